@@ -6,13 +6,18 @@ from importlib import import_module
 
 _QUERIES = {
     "op2_pii": "pii",
+    "op3_decontaminate": "decontaminate",
     "op9_token_records": "token_records",
 }
 
+_SQL = {
+    "op3_decontaminate": ("decontaminate", "OP3_SQL"),
+}
+
 
 def queries() -> dict:
     return {name: getattr(import_module(f"lodestone.llm.{module}"), name) for name, module in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(import_module(f"lodestone.llm.{module}"), sql) for name, (module, sql) in _SQL.items()}
