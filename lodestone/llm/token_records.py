@@ -18,11 +18,11 @@ texts' hashes; null doc_ids are written first, as the smallest 64-bit integer.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,15 @@ from lodestone.llm.common import shared_dir, slices, table
 
 NULL_ID = -(2**63)
 _MASK = 0xA282EAD8
-#: White space other than space and newline, and double spaces: texts with these are encoded in one piece.
-_WHOLE = re.compile("  |[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
-_MEMO_WORDS = 250_000
+#: Texts with double or unusual white space are encoded in one piece.
+_ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Words kept by a worker: at most twice as many.
+_MEMO_WORDS = 320_000
+
+
+def _odd(text: str) -> bool:
+    return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in _ASCII_SPACE) or (not text.isascii() and any(c in text for c in _OTHER_SPACE))
 
 
 def masked(data: bytes) -> int:
@@ -63,8 +69,10 @@ def unframe(data: bytes, at: int = 0) -> tuple[int, np.ndarray, int]:
 class Encoder:
     """A tokenizers model, with the ids of recent words kept.
 
-    The byte-level pre-tokenizer always cuts before a single space between other characters, so a text
-    without double or unusual white space is the sequence of its space-led words, each encoded alone.
+    The byte-level pre-tokenizer always cuts before a single space or newline between other characters, so
+    a text without double or unusual white space is the sequence of its words, each encoded alone with the
+    space or newline that leads it. The words met since the last change of generation are kept, and those
+    of the generation before it.
     """
 
     def __init__(self, path: str):
@@ -74,40 +82,55 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.memo: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         return [np.array(e.ids, kind).tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, all encoded in one call."""
+        if not words:
+            return []
+        e = self.model.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(e.ids, f"<u{self.width}").tobytes()
+        ends = np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(words))) * self.width
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        whole = [i for i, x in enumerate(texts) if _WHOLE.search(x)]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        memo = self.memo
-        for i, x in enumerate(texts):
-            if out[i] is not None:
-                continue
-            first, *words = x.split(" ")
-            try:
-                rest = b"".join([memo[w] for w in words])
-            except KeyError:
-                new = list({w for w in words if w not in memo})
-                if len(memo) + len(new) > _MEMO_WORDS:
-                    memo.clear()
-                    new = list(set(words))
-                memo.update(zip(new, self._encode([" " + w for w in new]), strict=True))
-                rest = b"".join([memo[w] for w in words])
-            out[i] = (self._encode([first])[0] if first else b"") + rest
-        return out
+        if len(self.new) > _MEMO_WORDS:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        # A leading \r marks the word that nothing leads; one that a newline leads has the newline.
+        split = [None if _odd(x) else ("\r" + x.replace("\n", " \n")).split(" ") for x in texts]
+        missing = set().union(*filter(None, split)).difference(new)
+        kept = missing.intersection(old)
+        new.update(zip(kept, map(old.__getitem__, kept), strict=True))
+        missing -= kept
+        # The pre-tokenizer also cuts between a letter and a comma or full stop at the word's end.
+        stems = {w: w[:-1] for w in missing if w[-1:] in (",", ".") and w[-2:-1].isalpha()}
+        need = list((missing - stems.keys()).union(x for x in stems.values() if x not in new))
+        for at in range(0, len(need), 20_000):
+            part = need[at : at + 20_000]
+            new.update(zip(part, self._words([w if w[:1] == "\n" else w[1:] if w[:1] == "\r" else " " + w for w in part]), strict=True))
+        if stems:
+            ends = dict(zip(",.", self._words([",", "."]), strict=True))
+            new.update((w, new[x] + ends[w[-1]]) for w, x in stems.items())
+        whole = iter(self._encode([x for x, words in zip(texts, split, strict=True) if words is None]))
+        return [next(whole) if words is None else b"".join(map(new.__getitem__, words)) for words in split]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder in each worker process, kept from task to task."""
+    return Encoder(path)
 
 
 def _frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
-        for b in slices(batches, 512):
-            encode = encode or Encoder(path)
+        encode = encoder(path)
+        for b in slices(batches, 1024):
             end = np.array([end_id], f"<u{encode.width}").tobytes()
             ids = encode([x or "" for x in b.column(1).to_pylist()])
             rows = [frame(NULL_ID if d is None else d, x + end, encode.width) for d, x in zip(b.column(0).to_pylist(), ids, strict=True)]

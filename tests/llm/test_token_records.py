@@ -8,7 +8,7 @@ from lodestone.llm import token_records as tr
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
-    "plain words, and more. Words\nnext line", "a  b   c", "a \nb\n c \n\n d", " lead", "trail ", "", "tab\tx y", "é ü ñ 你好 😀 x", "it's we'll 12 345 $$$ <|endoftext|> z",
+    "plain words, and more. Words\nnext line", "A,b, c.. d., \"e,\" 3, é, ², 你. x\u0301, a\u0300.\n.b,\n,", "a  b   c", "a \nb\n c \n\n d", " lead", "trail ", "", "tab\tx y", "é ü ñ 你好 😀 x", "it's we'll 12 345 $$$ <|endoftext|> z",
     "nb sp a b", "x y z", "a \u0085b c", "one", " ", "\n", "w " * 3000, "  a", "a\x1cb c", "…. ​ x", "﻿x y",
 ]
 
