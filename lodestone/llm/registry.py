@@ -7,11 +7,13 @@ from importlib import import_module
 _QUERIES = {
     "op2_pii": "pii",
     "op3_decontaminate": "decontaminate",
+    "op5_line_dedup": "line_dedup",
     "op9_token_records": "token_records",
 }
 
 _SQL = {
     "op3_decontaminate": ("decontaminate", "OP3_SQL"),
+    "op5_line_dedup": ("line_dedup", "OP5_SQL"),
 }
 
 
