@@ -8,6 +8,7 @@ _QUERIES = {
     "op2_pii": "pii",
     "op3_decontaminate": "decontaminate",
     "op5_line_dedup": "line_dedup",
+    "op8_language": "language",
     "op9_token_records": "token_records",
 }
 
