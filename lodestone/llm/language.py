@@ -93,13 +93,15 @@ class Model:
             if ord(c) < len(self.classes):
                 self.classes[ord(c)] = k + 2
         self.width = LETTERS + 3
-        tables, self.roots, at = [], [], 0
+        tables, self.starts, at = [], [], 0
         for label in self.labels:
             t = automaton(self.encode(samples[label]), self.width)
-            end = np.where(t[0] >= 0, t[0], 0)
-            full = np.where(t >= 0, (t + at) * self.width, ~((end[None, :] + at) * self.width))
-            tables.append(full.astype(np.int32))
-            self.roots.append(at * self.width)
+            # One more state, in which a text starts and an unknown symbol leaves it: every symbol starts a phrase.
+            out = len(t)
+            t = np.vstack([t, np.full((1, self.width), -1, np.int32)])
+            begun = ~((np.where(t[0] >= 0, t[0], out) + at) * self.width)
+            tables.append(np.where(t >= 0, (t + at) * self.width, begun[None, :]).astype(np.int32))
+            self.starts.append((out + at) * self.width)
             at += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.cost = np.array([np.log2(max(2, len(samples[x]))) for x in self.labels])
@@ -120,8 +122,8 @@ class Model:
         order = np.argsort(-sizes, kind="stable")
         starts, sizes, of = starts[order], sizes[order], of[order]
         n = len(starts)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], n, 1)
-        count = np.ones((len(self.labels), n), np.int32)
+        state = np.repeat(np.array(self.starts, np.int32)[:, None], n, 1)
+        count = np.zeros((len(self.labels), n), np.int32)
         active = np.searchsorted(-sizes, -np.arange(PIECE), side="left")
         for t in range(PIECE):
             a = active[t]
