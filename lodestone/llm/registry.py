@@ -10,6 +10,7 @@ _QUERIES = {
     "op5_line_dedup": "line_dedup",
     "op8_language": "language",
     "op9_token_records": "token_records",
+    "op10_quality": "quality",
 }
 
 _SQL = {
