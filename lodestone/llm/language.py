@@ -153,8 +153,8 @@ def learn(labelled: DataFrame, docs: int = DOCS, chars: int = CHARS) -> Model:
     """A model of the languages of labelled (doc_id, text, lang); rows without a language or letters teach nothing."""
     rows = labelled.filter("lang is not null").withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)))
     many = rows.groupBy("lang").count()
-    # A share of each language's rows, about four times what is wanted, then the smallest hashes of those.
-    part = rows.join(many, "lang").filter(F.col("h") * F.col("count") <= F.lit(float(4 * docs) * (1 << 40)))
+    # A row per language is broadcast. A share of each language's rows, about four times what is wanted, then the smallest hashes of those.
+    part = rows.join(F.broadcast(many), "lang").filter(F.col("h") * F.col("count") <= F.lit(float(4 * docs) * (1 << 40)))
     part = part.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))).filter(F.col("k") <= docs)
     sample: dict[str, list[str]] = {}
     for r in part.select("lang", F.substring("text", 1, 4 * chars).alias("text")).orderBy("lang", "h", F.xxhash64("text")).collect():
