@@ -20,18 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged, table
+from lodestone.llm.common import staged, table, unstage
 
 #: Jaccard similarity from which lines match, as a ratio of whole numbers.
 THRESHOLD = (4, 5)
 _BITS = 20
 BUCKETS = 1 << _BITS
-#: A token's number has 6 bits of its bucket's class, 5 of its length and so many of its hash.
-_HASH_BITS = 52
+#: A token's number has its bucket's class above so many bits of its hash.
+_HASH_BITS = 57
 #: Places of candidate lines are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 400_000
 #: Groups of more classes that share a token are thinned before they are paired; results don't depend on it.
 LARGE = 256
+PART = 16
 _ID = ["doc_id", "key"]
 
 
@@ -53,21 +54,19 @@ def rarity(documents: DataFrame) -> DataFrame:
     words = _lines(documents).select(F.explode(tokens(F.col("line"))).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
     every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
-    level = F.least(F.floor(2 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(63)).cast("byte")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.alias("level")))), lambda x: x["level"]).alias("levels"))
+    level = F.least(F.floor(2 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(63)).cast("long")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.alias("level")))), lambda x: F.shiftleft(x["level"], _HASH_BITS)).alias("levels"))
 
 
 def _ordered(line: Column, levels: Column) -> Column:
-    """The tokens as numbers, one for each token's hash, rare ones first; among equally rare ones longer words first."""
+    """The tokens as numbers, one for each token's hash, rare ones first."""
 
-    def number(w: Column, r: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.element_at(r, _bucket(h) + 1).cast("long")
-        size = F.lit(31) - F.least(F.length(w), F.lit(31)).cast("long")
-        return F.shiftleft(level * 32 + size, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+    def number(h: Column, r: Column) -> Column:
+        return F.element_at(r, _bucket(h) + 1).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    found = F.transform(F.array(levels), lambda r: F.transform(tokens(line), lambda w: number(w, r)))[0]
-    return F.array_sort(F.array_distinct(found))
+    hashes = F.transform(tokens(line), lambda w: F.xxhash64(w))  # noqa: PLW0108
+    found = F.transform(F.array(levels), lambda r: F.transform(hashes, lambda h: number(h, r)))[0]
+    return F.sort_array(F.array_distinct(found))
 
 
 def _least(n: Column) -> Column:
@@ -77,26 +76,26 @@ def _least(n: Column) -> Column:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and two parities.
+    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and a parity.
 
-    Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
+    Bit i of the parity tells whether an odd number of tokens falls on it: as many bits as differ between two
     lines, so many tokens at least are in one of them alone.
     """
     levels = staged(rarity(documents), "line-rarity")
     lines = _lines(documents).withColumn("levels", levels.scalar())
     found = lines.select(*_ID, "line_no", _ordered(F.col("line"), F.col("levels")).alias("all"))
-    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity(0).alias("p0"), _parity(1).alias("p1"))
-    return found.select(*_ID, "line_no", "k1", "k2", "n", "p0", "p1", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 1).otherwise(0)).alias("prefix"))
+    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"))
+    return found.select(*_ID, "line_no", "k1", "k2", "n", "p", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 1).otherwise(0)).alias("prefix"))
 
 
-def _parity(half: int) -> Column:
+def _parity() -> Column:
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseXOR(bit(v))).otherwise(acc))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
 
 
 def heads(found: DataFrame) -> DataFrame:
     """One row per class of lines with tokens: the place of its first line, n, prefix and parities."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_ID, "line_no", "n", "p0", "p1", "prefix")).alias("first"))
+    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_ID, "line_no", "n", "p", "prefix")).alias("first"))
     return first.select("k1", "k2", "first.*")
 
 
@@ -108,11 +107,13 @@ def _band(n: Column) -> Column:
 
 def entries(first: DataFrame) -> DataFrame:
     """A row per class and prefix token; classes of fewer tokens than THRESHOLD's first number match no other."""
-    return first.filter(F.col("n") >= THRESHOLD[0]).select("k1", "n", "p0", "p1", _band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "token"))
+    return first.filter(F.col("n") >= THRESHOLD[0]).select("k1", "n", "p", _band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "token"))
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("token", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("k1", "n", "p0", "p1", "at")])
+    """What is shuffled of a row: the hash of its token and band, its class, parity, and size and place in one number."""
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return rows.select(F.xxhash64("token", "band").alias("t"), F.col("k1").alias(f"k_{side}"), F.col("p").alias(f"p_{side}"), size.alias(f"s_{side}"))
 
 
 def _smaller(rows: DataFrame) -> DataFrame:
@@ -125,14 +126,13 @@ def _smaller(rows: DataFrame) -> DataFrame:
 def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
     """Pairs (k_a, k_b) with n_a <= n_b that share a token and pass the length, positional and parity filters."""
     up, down = THRESHOLD
-    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("k1_a") < F.col("k1_b")))
-    near = F.col("n_a") * down >= F.col("n_b") * up
-    bound = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = bound * (up + down) >= (F.col("n_a") + F.col("n_b")) * up
-    apart = F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))) + F.bit_count(F.col("p1_a").bitwiseXOR(F.col("p1_b")))
-    alike = apart * (up + down) <= (F.col("n_a") + F.col("n_b")) * (down - up)
-    met = _side(smaller, "a").join(_side(larger, "b"), ["token", "band"]).filter(order & near & enough & alike)
-    return met.select(F.col("k1_a").alias("k_a"), F.col("k1_b").alias("k_b"))
+    n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in "ab")
+    at_a, at_b = (F.col(f"s_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in "ab")
+    order = (n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))
+    near = n_a * down >= n_b * up
+    enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
+    alike = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) * (up + down) <= (n_a + n_b) * (down - up)
+    return _side(smaller, "a").join(_side(larger, "b"), "t").filter(order & near & alike & enough).select("k_a", "k_b")
 
 
 def verified(documents: DataFrame, first: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -158,8 +158,9 @@ def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFra
     Classes settled so needn't be compared with each other, so a group of near copies isn't paired with itself.
     """
     rows = entries(first)
-    groups = rows.groupBy("token", "band").agg(F.count("*").alias("size")).filter(F.col("size") > large)
-    groups = staged(groups.select("token", "band"), "line-groups")
+    # One class in PART is enough to see which groups are large; all classes of those are then thinned.
+    some = rows.filter(F.col("k1").bitwiseAND(F.lit(PART - 1)) == 0).groupBy("token", "band").agg(F.count("*").alias("size"))
+    groups = staged(some.filter(F.col("size") * PART > large).select("token", "band"), "line-groups")
     if groups.isEmpty():
         return verified(documents, first, pairs(_smaller(rows), rows))
     docs = first.select("k1", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"))
@@ -179,8 +180,10 @@ def removals(documents: DataFrame) -> DataFrame:
     removed: lines that an earlier line matches. filled: all lines with tokens. Each of the copies after the
     first loses the filled ones.
     """
-    found = staged(classes(documents), "line-classes")
-    first = staged(heads(found), "line-heads")
+    every = staged(classes(documents), "line-classes")
+    first = staged(heads(every), "line-heads")
+    found = staged(every.drop("prefix", "p"), "line-places")
+    unstage(every)
     matched = staged(later(documents, first), "line-later").withColumn("later", F.lit(True))
     known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")
     lines = found.select(*_ID, "line_no", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
