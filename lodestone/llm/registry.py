@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _QUERIES = {
+    "op1_near_dedup": "minhash",
     "op2_pii": "pii",
     "op3_decontaminate": "decontaminate",
     "op5_line_dedup": "line_dedup",
