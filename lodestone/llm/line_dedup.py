@@ -17,6 +17,8 @@ document; the others lose all lines with tokens. Other columns pass through.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ BROADCAST_ROWS = 400_000
 #: Groups of more classes that share a token are thinned before they are paired; results don't depend on it.
 LARGE = 256
 PART = 16
+PASSES = 4
 _ID = ["doc_id", "key"]
 
 
@@ -135,6 +138,12 @@ def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
     return _side(smaller, "a").join(_side(larger, "b"), "t").filter(order & near & alike & enough).select("k_a", "k_b")
 
 
+def paired(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+    """pairs() in PASSES over as many shares of the tokens: no more than one share's rows are in shuffle files at once."""
+    share = F.pmod(F.xxhash64("token"), F.lit(PASSES))
+    return reduce(DataFrame.unionByName, [staged(pairs(smaller.filter(share == k), larger.filter(share == k)).distinct(), "line-pairs") for k in range(PASSES)])
+
+
 def verified(documents: DataFrame, first: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Of candidate pairs (k_a, k_b) the later classes of those that match, by comparing the lines' words."""
     found = staged(found.distinct(), "line-candidates")
@@ -162,7 +171,7 @@ def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFra
     some = rows.filter(F.col("k1").bitwiseAND(F.lit(PART - 1)) == 0).groupBy("token", "band").agg(F.count("*").alias("size"))
     groups = staged(some.filter(F.col("size") * PART > large).select("token", "band"), "line-groups")
     if groups.isEmpty():
-        return verified(documents, first, pairs(_smaller(rows), rows))
+        return verified(documents, first, paired(_smaller(rows), rows))
     docs = first.select("k1", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"))
     crowd = staged(rows.join(groups, ["token", "band"]).join(docs, "k1"), "line-crowd")
     hubs = crowd.groupBy("token", "band").agg(F.min("doc").alias("doc")).join(crowd, ["token", "band", "doc"]).drop("doc")
@@ -170,7 +179,7 @@ def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFra
     near_hubs = pairs(_smaller(hubs), members).unionByName(pairs(_smaller(members), hubs))
     settled = staged(verified(documents, first, near_hubs), "line-settled")
     done, rest = first.join(settled, "k1", "left_semi"), first.join(settled, "k1", "left_anti")
-    left = pairs(_smaller(entries(rest)), entries(first)).unionByName(pairs(_smaller(entries(done)), entries(rest)))
+    left = paired(_smaller(entries(rest)), entries(first)).unionByName(paired(_smaller(entries(done)), entries(rest)))
     return settled.unionByName(verified(documents, first, left)).distinct()
 
 
