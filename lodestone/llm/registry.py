@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_pii": "pii",
     "op3_decontaminate": "decontaminate",
     "op5_line_dedup": "line_dedup",
+    "op6_context_tree": "context_tree",
     "op8_language": "language",
     "op9_token_records": "token_records",
     "op10_quality": "quality",
