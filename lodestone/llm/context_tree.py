@@ -8,9 +8,9 @@ mark) under the mixture learned from the training documents; the code length per
 
 Nothing that grows with the corpus is broadcast or collected. Documents are dealt to blocks of about BLOCK
 bytes; a block asks for the counts of its words and of its (DEPTH + 1)-grams of bytes and adds its training
-part to them, the counts are summed over all blocks, the trees are solved below each last byte, and the answers
-go back to the blocks that asked, where texts are scored. Solving collects one row of 255 numbers for each of
-at most 256 last bytes: what the root of the trees needs.
+part to them, the counts are summed over all blocks, the trees are solved below each pair of last bytes, and
+the answers go back to the blocks that asked, where texts are scored. Solving collects one row of 765 numbers
+for each of at most 256 last bytes: what depths 0 and 1 need.
 
 Null and empty texts have the end token and the end mark alone. Rows are independent once the model is learned;
 repeated rows count as often as they occur. With nothing to train on, every decision has probability one half.
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_mod, staged, table
 
-DEPTH = 3
-BLOCK = 8 << 20
+DEPTH = 5
+BLOCK = 16 << 20
+#: So many codes are solved at a time, or all of one pair of last bytes.
+CODES = 150_000
 ALPHA = 0.1
 #: Ends a text and fills the context before it; no UTF-8 text has this byte.
 END = 0xFF
@@ -51,70 +53,70 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return lgamma(zeros + 0.5) + lgamma(ones + 0.5) - lgamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def nodes(counts: np.ndarray) -> np.ndarray:
-    """(n, 256) counts of bytes -> (n, 255, 2) counts of decisions, nodes in breadth-first order."""
-    out, n = [], len(counts)
-    for level in range(8):
-        out.append(counts.reshape(n, 1 << level, 2, -1).sum(3))
-    return np.concatenate(out, 1)
-
-
 #: The decision node and the branch taken of each byte at each level.
 _BYTES = np.arange(256)
 PATH = np.stack([(1 << level) - 1 + (_BYTES >> (8 - level)) for level in range(8)], 1)
 TAKEN = np.stack([(_BYTES >> (7 - level)) & 1 for level in range(8)], 1)
 
 
-class Subtree:
-    """The context trees below one last byte: codes hold the context bytes, farthest first, then the next byte."""
+class Trees:
+    """The context trees below some pairs of last bytes: nodes at depths 2 to depth.
+
+    A code holds the context bytes, farthest first, then the next byte; all codes of a pair must be there.
+    Only decisions that some code reaches have nodes, numbered within their depth.
+    """
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray, depth: int):
-        order = np.argsort(codes)
-        self.codes, self.counts, self.depth = codes[order], counts[order], depth
-        contexts = self.codes >> 8
-        # Context nodes at each depth d are numbered by their nearest d bytes.
-        self.ids, self.of, self.decisions, self.weighted, self.stay = {}, {}, {}, {}, {}
-        for d in range(depth, 0, -1):
-            near = contexts & ((1 << (8 * d)) - 1)
-            self.ids[d], self.of[d] = np.unique(near, return_inverse=True)
-            table_ = np.zeros((len(self.ids[d]), 256))
-            np.add.at(table_, (self.of[d], self.codes & 255), self.counts)
-            self.decisions[d] = nodes(table_)
-            own = kt(self.decisions[d][..., 0], self.decisions[d][..., 1])
+        self.codes, self.depth = codes, depth
+        path, taken = PATH[codes & 255], TAKEN[codes & 255]
+        contexts = codes >> 8
+        flat = np.repeat(counts, 8)
+        self.at, self.n, self.stay, self.weighted = {}, {}, {}, {}
+        for d in range(depth, 1, -1):
+            _, near = np.unique(contexts & ((1 << (8 * d)) - 1), return_inverse=True)
+            _, first, at = np.unique((near[:, None] * 256 + path).ravel(), return_index=True, return_inverse=True)
+            n = np.stack([np.bincount(at, np.where(taken.ravel() == bit, flat, 0), len(first)) for bit in (0, 1)], 1)
+            own = kt(n[:, 0], n[:, 1])
             if d == depth:
-                self.weighted[d], self.stay[d] = own, np.ones_like(own)
+                weighted, stay = own, np.ones_like(own)
             else:
-                parent = np.searchsorted(self.ids[d], self.ids[d + 1] & ((1 << (8 * d)) - 1))
-                below = np.zeros_like(own)
-                np.add.at(below, parent, self.weighted[d + 1])
-                self.weighted[d] = np.logaddexp(own, below) - np.log(2)
-                self.stay[d] = np.exp(np.minimum(0, own - np.log(2) - self.weighted[d]))
-
-    def root_part(self) -> tuple[np.ndarray, np.ndarray]:
-        """For the root: decisions and weighted logarithm of this child (there is one child at depth 1)."""
-        return self.decisions[1].sum(0), self.weighted[1].sum(0)
-
-    def log10(self, root: np.ndarray, stay: np.ndarray) -> np.ndarray:
+                weighted = np.logaddexp(own, np.bincount(at[below_first], below, len(first))) - np.log(2)
+                stay = np.exp(np.minimum(0, own - np.log(2) - weighted))
+            self.at[d], self.n[d], self.stay[d] = at.reshape(-1, 8), n, stay
+            below_first, below = first, weighted
+        pairs, which = np.unique(contexts & 0xFFFF, return_inverse=True)
+        self.pairs = pairs
+        self.decisions, self.below = np.zeros((len(pairs), 255, 2)), np.zeros((len(pairs), 255))
+        where = which[below_first // 8], path.ravel()[below_first]
+        self.decisions[where], self.below[where] = n, weighted
+
+    def log10(self, shallow: Shallow) -> np.ndarray:
         """log10 probability of each code's next byte given its context."""
-        byte = self.codes & 255
+        byte, last = self.codes & 255, (self.codes >> 8) & 255
         path, taken = PATH[byte], TAKEN[byte]
         p = None
-        for d in range(self.depth, 0, -1):
-            at = self.of[d][:, None]
-            n = self.decisions[d]
-            own = (n[at, path, taken] + 0.5) / (n[at, path, 0] + n[at, path, 1] + 1)
-            p = own if p is None else self.stay[d][at, path] * own + (1 - self.stay[d][at, path]) * p
-        own = (root[path, taken] + 0.5) / (root[path, 0] + root[path, 1] + 1)
-        p = stay[path] * own + (1 - stay[path]) * p
+        for d in range(self.depth, 1, -1):
+            at, n = self.at[d], self.n[d]
+            own = (n[at, taken] + 0.5) / (n[at, 0] + n[at, 1] + 1)
+            p = own if p is None else self.stay[d][at] * own + (1 - self.stay[d][at]) * p
+        for n, stay, at in ((shallow.n1, shallow.stay1, (last[:, None], path)), (shallow.n0, shallow.stay0, (0, path))):
+            own = (n[(*at, taken)] + 0.5) / (n[(*at, 0)] + n[(*at, 1)] + 1)
+            p = stay[at] * own + (1 - stay[at]) * p
         return np.log10(p).sum(1)
 
 
-def solve_root(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The root's decisions and the weight of its own estimate."""
-    decisions = np.sum([d for d, _ in parts], 0) if parts else np.zeros((255, 2))
-    below = np.sum([w for _, w in parts], 0) if parts else np.zeros(255)
-    own = kt(decisions[:, 0], decisions[:, 1])
-    return decisions, np.exp(np.minimum(0, own - np.logaddexp(own, below)))
+class Shallow:
+    """The nodes at depths 0 and 1, from the sums of decisions and of weighted logarithms below each last byte."""
+
+    def __init__(self, last: np.ndarray, decisions: np.ndarray, below: np.ndarray):
+        self.n1, under = np.zeros((256, 255, 2)), np.zeros((256, 255))
+        self.n1[last], under[last] = decisions, below
+        own = kt(self.n1[..., 0], self.n1[..., 1])
+        weighted = np.logaddexp(own, under) - np.log(2)
+        self.stay1 = np.exp(np.minimum(0, own - np.log(2) - weighted))
+        self.n0 = self.n1.sum(0, keepdims=True)
+        own, under = kt(self.n0[..., 0], self.n0[..., 1]), weighted.sum(0, keepdims=True)
+        self.stay0 = np.exp(np.minimum(0, own - np.logaddexp(own, under)))
 
 
 def grams(data: np.ndarray, depth: int) -> np.ndarray:
@@ -184,22 +186,52 @@ def _batch(block, kind: int, word: pa.Array, code: pa.Array, count: pa.Array) ->
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int32)), word, code, count], names=["block", "kind", "word", "code", "n"])
 
 
+def _whole_pairs(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[Trees]:
+    """Trees of rows (pair, code, n) sorted by pair, as many whole pairs at a time as make some CODES codes."""
+    kept: list[tuple[np.ndarray, ...]] = []
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate([k[i] for k in kept]) for i in range(3)]
+
+    for b in batches:
+        kept.append(tuple(b.column(i).to_numpy() for i in range(3)))
+        if sum(len(k[0]) for k in kept) >= CODES:
+            pair, code, n = joined()
+            edge = np.searchsorted(pair, pair[-1])
+            if edge:
+                yield Trees(code[:edge], n[:edge].astype(float), depth)
+            kept = [(pair[edge:], code[edge:], n[edge:])]
+    if kept:
+        _, code, n = joined()
+        yield Trees(code, n.astype(float), depth)
+
+
 def _solve_parts(depth: int):
-    def run(b: pa.Table) -> pa.Table:
-        decisions, weighted = Subtree(b["code"].to_numpy(), b["n"].to_numpy().astype(float), depth).root_part()
-        return pa.table({"decisions": pa.array([decisions.ravel().tolist()], pa.list_(pa.float64())), "weighted": pa.array([weighted.tolist()], pa.list_(pa.float64()))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_pairs(batches, depth):
+            last, of = np.unique(t.pairs & 255, return_inverse=True)
+            sums = [np.zeros((len(last), x[0].size)) for x in (t.decisions, t.below)]
+            for s, x in zip(sums, (t.decisions, t.below), strict=True):
+                np.add.at(s, of, x.reshape(len(x), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(last), *(pa.array(s.tolist(), pa.list_(pa.float64())) for s in sums)], names=["last", "decisions", "below"])
 
     return run
 
 
-def _solve_codes(depth: int, root: np.ndarray, stay: np.ndarray):
-    def run(b: pa.Table) -> pa.Table:
-        tree = Subtree(b["code"].to_numpy(), b["n"].to_numpy().astype(float), depth)
-        return pa.table({"code": pa.array(tree.codes), "logp": pa.array(tree.log10(root, stay))})
+def _solve_codes(depth: int, shallow: Shallow):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_pairs(batches, depth):
+            yield pa.RecordBatch.from_arrays([pa.array(t.codes), pa.array(t.log10(shallow))], names=["code", "logp"])
 
     return run
 
 
+def _added(rows: pa.Table) -> pa.Table:
+    """The sums of rows of one last byte."""
+    sums = {c: np.sum(np.array(rows[c].to_pylist()), 0) for c in ("decisions", "below")}
+    return pa.table({"last": rows["last"][:1]} | {c: pa.array([v.tolist()], pa.list_(pa.float64())) for c, v in sums.items()})
+
+
 def _score(depth: int):
     """(documents of a block, answers of the block) -> rows."""
 
@@ -235,10 +267,11 @@ def _score(depth: int):
     return run
 
 
+_PARTS = "last long, decisions array<double>, below array<double>"
 _ROWS = pa.schema([("doc_id", pa.int64()), ("held", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
 
-def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:  # depth: 2 to 7
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row.
 
     held: a condition on the documents; its rows aren't learned from.
@@ -254,11 +287,10 @@ def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = B
     total = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     train, distinct = total[0] + size[2], total[1] + (size[2] > 0)
     codes = staged(asked.filter("kind = 1").groupBy("code").agg(F.sum("n").alias("n")), "lm-codes")
-    below = codes.groupBy(F.shiftright("code", 8).bitwiseAND(F.lit(255)).alias("last"))
-    # One row for each of at most 256 last bytes.
-    parts = below.applyInArrow(_solve_parts(depth), "decisions array<double>, weighted array<double>").collect()
-    root, stay = solve_root([(np.array(r.decisions).reshape(255, 2), np.array(r.weighted)) for r in parts])
-    solved = staged(below.applyInArrow(_solve_codes(depth, root, stay), "code long, logp double"), "lm-solved")
+    pairs = codes.select(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair"), "code", "n").repartition("pair").sortWithinPartitions("pair")
+    parts = pairs.mapInArrow(_solve_parts(depth), _PARTS).groupBy("last").applyInArrow(_added, _PARTS).collect()  # a row for each of at most 256 last bytes
+    shallow = Shallow(np.array([r["last"] for r in parts], int), np.array([r.decisions for r in parts]).reshape(-1, 255, 2), np.array([r.below for r in parts]).reshape(-1, 255))
+    solved = staged(pairs.mapInArrow(_solve_codes(depth, shallow), "code long, logp double"), "lm-solved")
 
     known = asked.filter("kind = 0").select("block", "kind", "word").join(words, "word").select("block", "kind", "word", F.lit(None).cast("long").alias("code"), "c", F.lit(None).cast("double").alias("logp"))
     valued = asked.filter("kind = 1").select("block", "kind", "code").join(solved, "code").select("block", "kind", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("c"), "logp")

@@ -66,16 +66,17 @@ def plain_base(train, texts):
     return [(len(cut(t)), sum(c[w] > 0 for w in cut(t)), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in cut(t))) for t in texts]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 300])
-def test_query_equals_plain_recursion(spark, tmp_path, monkeypatch, block):
-    monkeypatch.setattr(ct.score, "__defaults__", (2, block))
+@pytest.mark.parametrize("block,depth", [(1 << 20, 2), (300, 4)])
+def test_query_equals_plain_recursion(spark, tmp_path, monkeypatch, block, depth):
+    monkeypatch.setattr(ct.score, "__defaults__", (depth, block))
+    monkeypatch.setattr(ct, "CODES", block)
     rnd = random.Random(9)
     texts = [" ".join(rnd.choice(["the", "The", "cat", "été", "\tsat,", "on\n"]) for _ in range(rnd.randrange(0, 12))) for _ in range(40)] + [None, "", "zz top", "a\x0bb\x0cc d", "the " * 300]
     rows = list(enumerate(texts)) + [(7, texts[7]), (None, "no id")]
     spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [t for i, t in rows if not held(i)]
-    want = [(i, held(i), *b, s) for (i, t), b, s in zip(rows, plain_base(train, [t for _, t in rows]), plain_ctw(train, [t for _, t in rows], 2), strict=True)]
+    want = [(i, held(i), *b, s) for (i, t), b, s in zip(rows, plain_base(train, [t for _, t in rows]), plain_ctw(train, [t for _, t in rows], depth), strict=True)]
     got = ct.op6_context_tree(spark, str(tmp_path)).collect()
     assert len(got) == len(rows)
     for g, w in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), sorted(want, key=lambda r: (r[0] is None, r[0])), strict=True):
@@ -85,15 +86,15 @@ def test_query_equals_plain_recursion(spark, tmp_path, monkeypatch, block):
 
 def test_probabilities_sum_to_one():
     data = np.frombuffer(b"abracadabra\xffabab\xff", np.uint8)
-    codes, counts = np.unique(ct.grams(data, 2), return_counts=True)
-    last = (codes >> 8) & 255
-    trees = {x: (codes[last == x], counts[last == x].astype(float)) for x in np.unique(last)}
-    root, stay = ct.solve_root([ct.Subtree(*t, 2).root_part() for t in trees.values()])
-    every = np.concatenate([trees[97][0], (98 << 16) | (97 << 8) | np.arange(256)])
-    every, first = np.unique(every, return_index=True)
-    n = np.concatenate([trees[97][1], np.zeros(256)])[first]
-    got = ct.Subtree(every, n, 2).log10(root, stay)
-    assert np.power(10, got[every >> 8 == (98 << 8) | 97]).sum() == pytest.approx(1)
+    codes, counts = np.unique(ct.grams(data, 3), return_counts=True)
+    asked = np.union1d(codes, (98 << 24) | (98 << 16) | (97 << 8) | np.arange(256))
+    n = np.zeros(len(asked))
+    n[np.searchsorted(asked, codes)] = counts
+    trees = ct.Trees(asked, n, 3)
+    last = np.unique(trees.pairs & 255)
+    sums = [np.array([x[trees.pairs & 255 == k].sum(0) for k in last]) for x in (trees.decisions, trees.below)]
+    got = trees.log10(ct.Shallow(last, *sums))
+    assert np.power(10, got[asked >> 8 == (98 << 16) | (98 << 8) | 97]).sum() == pytest.approx(1)
 
 
 def test_empty(spark, tmp_path):
