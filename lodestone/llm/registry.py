@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_decontaminate": "decontaminate",
     "op5_line_dedup": "line_dedup",
     "op6_context_tree": "context_tree",
+    "op7_pieces": "pieces",
     "op8_language": "language",
     "op9_token_records": "token_records",
     "op10_quality": "quality",
