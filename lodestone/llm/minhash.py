@@ -10,10 +10,11 @@ lowest rank. Only darts up to a rank at which each coordinate has one for certai
 k ln k + 2k darts for any document, whatever its length.
 
 The signature is cut into BANDS bands of ROWS coordinates; documents that agree in a band are candidates
-(at similarity 0.8 all but 7 in a million pairs are), and are verified by the exact Jaccard similarity of their
+(at similarity 0.8 all but 3 in a hundred thousand pairs are), and are verified by the exact Jaccard similarity of their
 shingles. Documents with equal shingle sets form a class first, and only classes are joined. In a bucket, all
-are compared with its first class; classes that match it and each other's first need no further comparison for
-components, so large groups of near copies aren't paired with themselves; the others are compared in full.
+are compared with the class that meets most others; then classes that aren't connected yet are compared with
+all others, unless sizes or parities (see parity) prove that they can't be similar enough: large groups of
+near copies aren't paired with themselves, and no link is lost.
 
 Groups are connected components over matches. Null and empty texts and texts without words are alone in their
 group. Repeated rows share a row of the result each. Other columns are not read.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import slices, staged, table, unstage
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 20, 4
+#: Bits of a set's parity, and rounds in which only a bucket's middle is compared with its others.
+PARITY, ROUNDS = 2048, 1
 #: Ids of documents that share a band are broadcast while they are at most so many.
 BROADCAST_ROWS = 500_000
 SEED = 0x9E3779B97F4A7C15
@@ -97,73 +101,91 @@ def shingles(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rank, hash) of all darts of rank below the limit that hit the weighted elements."""
-    ranks, marks = [], []
-    top = float(weights.max())
+def darts(elements: np.ndarray, weights: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, hash, place of its element) of all darts that hit the weighted elements below each one's limit of rank."""
+    ranks, marks, places = [], [], []
     low, high, region = 0.0, 1.0, 0
+    top = float(weights.max(initial=0))
     while low < top:
-        part = weights > low
-        seed, weight = mix(elements[part] + _U((region * 0xD1B54A32D192ED03) & (2**64 - 1))), weights[part]
+        at = np.flatnonzero(weights > low)
+        seed = mix(elements[at] + _U((region * 0xD1B54A32D192ED03) & (2**64 - 1)))
         rank, step, width = np.zeros(len(seed)), 0, high - low
         while len(seed):
             step += 1
             draw = mix(seed + _U((step * SEED) & (2**64 - 1)))
             rank = rank - np.log(uniform(draw)) / width
-            keep = rank < limit
-            seed, rank, draw, weight = seed[keep], rank[keep], draw[keep], weight[keep]
+            keep = np.flatnonzero(rank < limits[at])
+            seed, rank, draw, at = seed[keep], rank[keep], draw[keep], at[keep]
             mark = mix(draw + _U(SEED))
-            hit = low + width * uniform(mark) < weight
+            # Where all of the region lies below the weight, every dart in it hits.
+            hit = slice(None) if top == high and (weights[at] >= high).all() else np.flatnonzero(low + width * uniform(mark) < weights[at])
             ranks.append(rank[hit])
             marks.append(mix(mark[hit] + _U(1)))
+            places.append(at[hit])
         low, high, region = high, high * 2, region + 1
-    return np.concatenate(ranks), np.concatenate(marks)
+    return np.concatenate(ranks), np.concatenate(marks), np.concatenate(places)
+
+
+def signatures(items: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = BANDS * ROWS) -> np.ndarray:
+    """For each weighted set the dart of lowest rank of each of k coordinates, as its hash; a set must have an element."""
+    sizes = np.array([len(x) for x in items])
+    elements, owner = np.concatenate(items), np.repeat(np.arange(len(items)), sizes)
+    mass = np.ones(len(elements)) if weights is None else np.concatenate(weights)
+    limits = (k * np.log(k) + 2 * k) / np.bincount(owner, mass)
+    out = np.zeros((len(items), k), _U)
+    todo = np.arange(len(items))
+    while len(todo):
+        chosen = np.flatnonzero(np.isin(owner, todo)) if len(todo) < len(items) else np.arange(len(elements))
+        rank, mark, place = darts(elements[chosen], mass[chosen], limits[owner[chosen]])
+        key = owner[chosen[place]] * k + (mark % _U(k)).astype(np.int64)
+        order = np.argsort(-rank)
+        best = np.full(len(items) * k, -1)
+        best[key[order]] = order
+        best = best.reshape(-1, k)[todo]
+        full = (best >= 0).all(1)
+        out[todo[full]] = mark[best[full]]
+        todo = todo[~full]
+        limits[todo] *= 2
+    return out
 
 
 def signature(elements: np.ndarray, weights: np.ndarray | None = None, k: int = BANDS * ROWS) -> np.ndarray:
-    """The dart of lowest rank of each of k coordinates, as its hash."""
-    if weights is None:
-        weights = np.ones(len(elements))
-    limit = (k * np.log(k) + 2 * k) / weights.sum()
-    while True:
-        rank, mark = darts(elements, weights, limit)
-        at = (mark % _U(k)).astype(np.int64)
-        order = np.lexsort((mark, rank))
-        found, first = np.unique(at[order], return_index=True)
-        if len(found) == k:
-            return mark[order][first]
-        limit *= 2
+    return signatures([elements], None if weights is None else [weights], k)[0]
+
+
+def parity(elements: np.ndarray) -> np.ndarray:
+    """PARITY bits in 64-bit numbers: whether an odd number of elements falls on each.
+
+    Two sets differ by as many elements at least as their parities have different bits.
+    """
+    odd = np.bincount((elements & _U(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit key for each band of coordinates."""
-    parts = sig.reshape(-1, rows)
-    total = np.arange(1, len(parts) + 1, dtype=_U) * _U(SEED)
+    """A 64-bit key for each band of coordinates, of one signature or of each row of many."""
+    parts = sig.reshape(*sig.shape[:-1], -1, rows)
+    total = np.arange(1, parts.shape[-2] + 1, dtype=_U) * _U(SEED)
     for k in range(rows):
-        total = mix(total + parts[:, k])
+        total = mix(total + parts[..., k])
     return total
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, set hashes (null without shingles), size, band keys."""
-    for b in slices(batches, 512):
-        h1, h2, size, keys, lengths = [], [], [], [], []
-        for s in shingles(b.column(1).to_pylist()):
-            size.append(len(s))
-            if len(s):
-                h1.append(int(mix(s).sum(dtype=_U).astype(np.int64)))
-                h2.append(int(np.bitwise_xor.reduce(mix(s + _U(SEED))).astype(np.int64)))
-                keys.append(bands(signature(s)))
-            else:
-                h1.append(None)
-                h2.append(None)
-            lengths.append(BANDS if len(s) else 0)
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int32()), lists], names=["doc_id", "h1", "h2", "size", "bands"])
-
-
-_SIGNED = "doc_id long, h1 long, h2 long, size int, bands array<long>"
+    """doc_id, text -> doc_id, set hashes (null without shingles), size, band keys, parities."""
+    for b in slices(batches, 256):
+        sets = shingles(b.column(1).to_pylist())
+        some = [s for s in sets if len(s)]
+        keys = bands(signatures(some)).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
+        odd = np.stack([parity(s) for s in some]) if some else np.zeros((0, PARITY // 64), np.int64)
+        h1 = [int(mix(s).sum(dtype=_U).astype(np.int64)) if len(s) else None for s in sets]
+        h2 = [int(np.bitwise_xor.reduce(mix(s + _U(SEED))).astype(np.int64)) if len(s) else None for s in sets]
+        ends = np.cumsum([0, *(len(s) > 0 for s in sets)]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends * np.int32(x.shape[1])), pa.array(x.ravel())) for x in (keys, odd)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), *lists], names=["doc_id", "h1", "h2", "size", "bands", "parity"])
+
+
+_SIGNED = "doc_id long, h1 long, h2 long, size int, bands array<long>, parity array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,29 +237,42 @@ def groups(documents: DataFrame, similarity: float = SIMILARITY, broadcast_rows:
     signed = staged(docs.mapInArrow(_sign, _SIGNED), "near-signatures")
     known = signed.filter("doc_id is not null and h1 is not null")
     classes = staged(known.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("head")), "near-classes")
-    heads = known.join(classes, ["h1", "h2", "size"]).filter("doc_id = head")
-    rows = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("head"), "size")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("head").alias("hub")).filter("n > 1")
-    crowd = staged(rows.join(shared, "key").distinct(), "near-buckets")
+    odd = [f"odd{i}" for i in range(PARITY // 64)]
+    heads = known.join(classes, ["h1", "h2", "size"]).filter("doc_id = head").dropDuplicates(["doc_id"])
+    rows = heads.select(F.explode("bands").alias("key"), F.col("doc_id").alias("head"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    crowd = staged(rows.join(shared, "key"), "near-buckets")
+    # How many others a class meets, over all bands: the one that meets most stands in a bucket's middle.
+    met = staged(crowd.groupBy("head").agg(F.sum("n").alias("met")).join(heads.select(F.col("doc_id").alias("head"), "size", *[F.get("parity", F.lit(i)).alias(c) for i, c in enumerate(odd)]), "head"), "near-wanted")
+    crowd = crowd.join(met, "head")
 
-    wanted = staged(crowd.select(F.col("head").alias("doc_id")).distinct(), "near-wanted")
     # The ids are broadcast while there are few; beyond that texts are shuffled to them.
-    hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda df: df)
-    texts = docs.join(hint(wanted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    hint = F.broadcast if met.count() <= broadcast_rows else (lambda df: df)
+    texts = docs.join(hint(met.select(F.col("head").alias("doc_id"))), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = staged(texts.mapInArrow(_sets, "doc_id long, items binary"), "near-sets")
 
-    near = (F.least("size", "other") >= similarity * F.greatest("size", "other") - 1e-9)
-    hubs = crowd.filter("head = hub").select("key", F.col("head").alias("a"), F.col("size").alias("other"))
-    star = crowd.filter("head <> hub").join(hubs, "key").filter(near).select("a", F.col("head").alias("b")).distinct()
-    links = verified(sets, star, similarity)
-    roots = components(links)
+    # At a similarity s, sets of sizes x and y differ by (1 - s) / (1 + s) * (x + y) elements at most.
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in odd])
+    near = (F.least("size", "size_b") >= similarity * F.greatest("size", "size_b") - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * (F.col("size") + F.col("size_b")) + 1e-9)
+    other = {c: f"{c}_b" for c in ("head", "size", "root", *odd)}
+
+    links = None
+    rooted = crowd.withColumn("root", F.col("head"))
+    for _ in range(ROUNDS):
+        # Each bucket's middle is compared with the others.
+        hubs = rooted.groupBy("key").agg(F.max(F.struct("met", "head")).alias("hub")).select("key", F.col("hub.head").alias("head"))
+        hubs = rooted.join(hubs, ["key", "head"]).withColumnsRenamed(other).drop("n", "met")
+        star = rooted.join(hubs, "key").filter((F.col("root") != F.col("root_b")) & near).select(F.least("head", "head_b").alias("a"), F.greatest("head", "head_b").alias("b")).distinct()
+        found = verified(sets, star, similarity)
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        rooted = crowd.join(roots.withColumnRenamed("id", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
+        # A bucket whose classes are all connected is done.
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        rooted = staged(rooted.join(mixed, "key"), "near-mixed")
     # What is left: pairs in a bucket that aren't connected yet.
-    rooted = crowd.select("key", "head", "size").join(roots.withColumnRenamed("id", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rooted = staged(rooted.join(mixed, "key"), "near-mixed")
-    other = rooted.select("key", F.col("head").alias("a"), F.col("size").alias("other"), F.col("root").alias("root_a"))
-    rest = rooted.join(other, "key").filter((F.col("root_a") < F.col("root")) & near).select(F.least("a", "head").alias("a"), F.greatest("a", "head").alias("b")).distinct()
-    more = verified(sets, rest, similarity)
+    rest = rooted.join(rooted.withColumnsRenamed(other).drop("n", "met"), "key").filter((F.col("root") < F.col("root_b")) & near)
+    more = verified(sets, rest.select(F.least("head", "head_b").alias("a"), F.greatest("head", "head_b").alias("b")).distinct(), similarity)
     roots = components(links.unionByName(more))
     joined = known.select("doc_id", "size", "h1", "h2").join(classes, ["h1", "h2", "size"]).join(roots.withColumnRenamed("id", "head"), "head", "left")
     grouped = joined.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "head").alias("component_id"))
