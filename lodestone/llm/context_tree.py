@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, staged, table
+from lodestone.llm.common import crc_mod, staged, table, unstage
 
 DEPTH = 5
-BLOCK = 16 << 20
+BLOCK = 24 << 20
 #: So many codes are solved at a time, or all of one pair of last bytes.
 CODES = 150_000
 ALPHA = 0.1
@@ -121,17 +121,49 @@ class Shallow:
 
 def grams(data: np.ndarray, depth: int) -> np.ndarray:
     """The code of each byte of texts that end in END: the depth bytes before it above it, END before a text's start."""
-    code = data.astype(np.int64)
-    ended = np.zeros(len(data), bool)
-    for d in range(1, depth + 1):
-        before = np.full(len(data), END, np.uint8)
-        before[d:] = data[:-d]
-        # Once an end mark is met, going back, all that lies before it is another text's.
-        ended |= before == END
-        code |= np.where(ended, END, before).astype(np.int64) << (8 * d)
+    code, have = data.astype(np.int64), 1
+    while have <= depth:
+        step = min(have, depth + 1 - have)
+        low = code if step == have else code & ((1 << (8 * step)) - 1)
+        longer = code.copy()
+        longer[have:] |= low[:-have] << (8 * have)
+        code, have = longer, have + step
+    starts = np.concatenate([[0], np.flatnonzero(data == END)[:-1] + 1])
+    lengths = np.diff(np.concatenate([starts, [len(data)]]))
+    for k in range(depth):
+        # All bits set is END: what lies before a text's start is wiped out.
+        code[starts[lengths > k] + k] |= ((1 << (8 * depth)) - (1 << (8 * k))) << 8
     return code
 
 
+class Lookup:
+    """Values of 64-bit keys in an open-addressed table; every key asked for must be there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys) - 1).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.mask = (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = keys[left[free]]
+            placed = self.keys[slot] == keys[left]
+            self.values[slot[placed]] = values[left[placed]]
+            slot, left = (slot[~placed] + 1) & self.mask, left[~placed]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        slot = self._slot(asked)
+        left = np.flatnonzero(self.keys.take(slot) != asked)
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            left = left[self.keys.take(slot[left]) != asked[left]]
+        return self.values.take(slot)
+
+
 def _text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(_FOLD)
 
@@ -242,8 +274,7 @@ def _score(depth: int):
         number = dict(zip(words, range(len(words)), strict=True))
         base = np.log10(count + ALPHA)
         part = right.filter(pa.array(kind == 1))
-        order = np.argsort(part["code"].to_numpy())
-        code, value = part["code"].to_numpy()[order], part["logp"].to_numpy()[order]
+        value = Lookup(part["code"].to_numpy(), part["logp"].to_numpy())
         out = []
         for whole in left.to_batches():
             for at in range(0, whole.num_rows, 512):
@@ -254,7 +285,7 @@ def _score(depth: int):
                 ids = np.fromiter((number[w] for ws in split for w in ws), np.int64, sizes.sum())
                 of = np.repeat(np.arange(n), sizes)
                 lengths = np.array([len(x) for x in texts])
-                logp = value.take(np.searchsorted(code, grams(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), depth)))
+                logp = value(grams(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), depth))
                 columns = {
                     "doc_id": b.column("doc_id"), "held": b.column("held"), "n_tokens": sizes + 1,
                     "n_known": np.bincount(of, weights=count[ids] > 0, minlength=n).astype(np.int64),
@@ -294,7 +325,8 @@ def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = B
 
     known = asked.filter("kind = 0").select("block", "kind", "word").join(words, "word").select("block", "kind", "word", F.lit(None).cast("long").alias("code"), "c", F.lit(None).cast("double").alias("logp"))
     valued = asked.filter("kind = 1").select("block", "kind", "code").join(solved, "code").select("block", "kind", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("c"), "logp")
-    answers = known.unionByName(valued)
+    answers = staged(known.unionByName(valued), "lm-answers")
+    unstage(asked, words, codes, solved)
     schema = "doc_id long, held int, n_tokens long, n_known long, base double, score double, n_bytes long"
     rows = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth), schema)
     # The end token's count is the number of training documents.
