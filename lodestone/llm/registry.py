@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_near_dedup": "minhash",
     "op2_pii": "pii",
     "op3_decontaminate": "decontaminate",
+    "op4_near_vectors": "vectors",
     "op5_line_dedup": "line_dedup",
     "op6_context_tree": "context_tree",
     "op7_pieces": "pieces",
@@ -18,6 +19,7 @@ _QUERIES = {
 
 _SQL = {
     "op3_decontaminate": ("decontaminate", "OP3_SQL"),
+    "op4_near_vectors": ("vectors", "OP4_SQL"),
     "op5_line_dedup": ("line_dedup", "OP5_SQL"),
 }
 
