@@ -145,19 +145,33 @@ def paired(smaller: DataFrame, larger: DataFrame) -> DataFrame:
 
 
 def verified(documents: DataFrame, first: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Of candidate pairs (k_a, k_b) the later classes of those that match, by comparing the lines' words."""
-    found = staged(found.distinct(), "line-candidates")
-    places = first.select("k1", *_ID, "line_no")
-    wanted = staged(found.select(F.explode(F.array("k_a", "k_b")).alias("k1")).distinct().join(places, "k1"), "line-wanted")
+    """Of candidate pairs (k_a, k_b) the later classes of those that match, by comparing the lines' words.
+
+    Each class is compared with its earliest candidate first; only where that doesn't match with the others
+    that come before it.
+    """
+    places = first.select("k1", F.struct(*_ID, "line_no").alias("place"))
+    a, b = (places.withColumnsRenamed({"k1": f"k_{x}", "place": f"at_{x}"}) for x in "ab")
+    ends = found.distinct().join(a, "k_a").join(b, "k_b")
+    swap = F.col("at_a") < F.col("at_b")
+    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    edges = staged(ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e")), "line-candidates")
+    wanted = staged(edges.select(F.explode(F.array("k", "e")).alias("k1")).distinct().join(first.select("k1", *_ID, "line_no"), "k1"), "line-wanted")
     wanted = wanted.withColumnsRenamed({"doc_id": "doc_", "key": "key_", "line_no": "line_"})
     hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda df: df)
     place = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("key") == F.col("key_")) & (F.col("line_no") == F.col("line_"))
     texts = _lines(documents).join(hint(wanted), place).dropDuplicates(["k1"])
-    texts = texts.select("k1", F.struct("doc_id", "key", "line_no").alias("place"), F.array_sort(F.array_distinct(tokens(F.col("line")))).alias("all"))
-    both = found.join(texts.withColumnsRenamed({"k1": "k_a", "all": "a", "place": "at_a"}), "k_a").join(texts.withColumnsRenamed({"k1": "k_b", "all": "b", "place": "at_b"}), "k_b")
+    texts = staged(texts.select("k1", F.array_sort(F.array_distinct(tokens(F.col("line")))).alias("all")), "line-words")
     up, down = THRESHOLD
-    same = both.filter(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.size("a") + F.size("b")) * up)
-    return same.select(F.when(F.col("at_a") < F.col("at_b"), F.col("k_b")).otherwise(F.col("k_a")).alias("k1")).distinct()
+
+    def compared(some: DataFrame) -> DataFrame:
+        both = some.join(texts.withColumnsRenamed({"k1": "k", "all": "a"}), "k").join(texts.withColumnsRenamed({"k1": "e", "all": "b"}), "e")
+        return staged(both.filter(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.size("a") + F.size("b")) * up).select(F.col("k").alias("k1")).distinct(), "line-same")
+
+    least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least"))
+    done = compared(least.select("k", "least.e"))
+    rest = edges.join(done.withColumnRenamed("k1", "k"), "k", "left_anti").join(least.select("k", F.col("least.e").alias("e")), ["k", "e"], "left_anti")
+    return done.unionByName(compared(rest.select("k", "e"))).distinct()
 
 
 def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFrame:
