@@ -1,11 +1,15 @@
-"""All queries of the reference's own operators and their SQL."""
+"""All queries of the library's own operators and their SQL."""
 
 from __future__ import annotations
 
+from lodestone.plans import audits, corpora, designs, numbers, surrogates
+
+_MODULES = (numbers, designs, corpora, audits, surrogates)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
