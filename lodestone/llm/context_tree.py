@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_mod, staged, table, unstage
 
 DEPTH = 5
-BLOCK = 24 << 20
+BLOCK = 16 << 20
 #: So many codes are solved at a time, or all of one pair of last bytes.
 CODES = 150_000
 ALPHA = 0.1
@@ -268,13 +269,15 @@ def _score(depth: int):
     """(documents of a block, answers of the block) -> rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kind = right["kind"].to_numpy()
-        part = right.filter(pa.array(kind == 0))
-        words, count = part["word"].to_pylist(), part["c"].to_numpy()
+        # Rows with a word have its count, the others a code and its value.
+        known = pc.is_valid(right["word"])
+        part = right.select(["word", "a"]).filter(known)
+        words, count = part["word"].to_pylist(), part["a"].to_numpy()
         number = dict(zip(words, range(len(words)), strict=True))
         base = np.log10(count + ALPHA)
-        part = right.filter(pa.array(kind == 1))
-        value = Lookup(part["code"].to_numpy(), part["logp"].to_numpy())
+        part = right.select(["a", "logp"]).filter(pc.invert(known))
+        value = Lookup(part["a"].to_numpy(), part["logp"].to_numpy())
+        del part, known
         out = []
         for whole in left.to_batches():
             for at in range(0, whole.num_rows, 512):
@@ -323,8 +326,8 @@ def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = B
     shallow = Shallow(np.array([r["last"] for r in parts], int), np.array([r.decisions for r in parts]).reshape(-1, 255, 2), np.array([r.below for r in parts]).reshape(-1, 255))
     solved = staged(pairs.mapInArrow(_solve_codes(depth, shallow), "code long, logp double"), "lm-solved")
 
-    known = asked.filter("kind = 0").select("block", "kind", "word").join(words, "word").select("block", "kind", "word", F.lit(None).cast("long").alias("code"), "c", F.lit(None).cast("double").alias("logp"))
-    valued = asked.filter("kind = 1").select("block", "kind", "code").join(solved, "code").select("block", "kind", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("c"), "logp")
+    known = asked.filter("kind = 0").select("block", "word").join(words, "word").select("block", "word", F.col("c").alias("a"), F.lit(None).cast("double").alias("logp"))
+    valued = asked.filter("kind = 1").select("block", "code").join(solved, "code").select("block", F.lit(None).cast("binary").alias("word"), F.col("code").alias("a"), "logp")
     answers = staged(known.unionByName(valued), "lm-answers")
     unstage(asked, words, codes, solved)
     schema = "doc_id long, held int, n_tokens long, n_known long, base double, score double, n_bytes long"
