@@ -1 +1,194 @@
-QUERIES: dict = {}
+"""Queries of corpus operators: normalisation, search, metadata, co-occurrence, links, assembly."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodestone.operators import text
+from lodestone.sources import table
+
+QUERIES: dict[str, tuple] = {}
+
+
+def query(sql: str | None):
+    def add(run):
+        QUERIES[run.__name__] = run, sql
+        return run
+
+    return add
+
+
+#: Words that occur in the tables, in place of a method lexicon.
+KEYWORDS = ("tion", "reed", "eau", "lich", "mente", "ou")
+_WS = r"[ \t\n\r\f\x0b]"
+
+
+@query(rf"""SELECT doc_id, md5(trim(regexp_replace(text, '{_WS}+', ' ', 'g'))) AS squeezed, length(regexp_replace(text, '{_WS}', '', 'g')) AS bare, CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS short,
+ md5(lower(regexp_replace(regexp_replace(text, '-[ \t\n\r]+', '', 'g'), '[^A-Za-z0-9%.]', '', 'g'))) AS comparable, len(regexp_extract_all(text, '[一-鿿]')) AS cjk,
+ greatest(2, length(text) + len(regexp_extract_all(text, '[^\x00-\x{{2E7F}}]'))) AS width, 'P' || doc_id || '_' || lower(regexp_replace(left(text, 40), '[^A-Za-z0-9]+', '-', 'g')) AS slug FROM documents""")
+def text_projections(spark, d):
+    """PRJ3-8, PRJ12, PRJ15."""
+    t = F.col("text")
+    digest = lambda c: F.md5(c.cast("binary"))
+    return table(spark, d, "documents").select(
+        "doc_id", digest(text.squeezed(t)).alias("squeezed"), text.bare_length(t).cast("long").alias("bare"), text.truncated(t).alias("short"), digest(text.comparable(t)).alias("comparable"),
+        text.cjk_count(t).cast("long").alias("cjk"), text.display_width(t).cast("long").alias("width"), text.slug(F.col("doc_id"), t).alias("slug"),
+    )
+
+
+@query("""WITH s AS (SELECT doc_id, text, string_split_regex(text, '(?i)tion ') AS p FROM documents), h AS (SELECT doc_id, text, unnest(range(len(p) - 1)) AS hit, p FROM s),
+q AS (SELECT doc_id, text, hit, CAST(list_sum(list_transform(list_slice(p, 1, hit + 1), lambda x: length(x))) AS BIGINT) + hit * 5 AS start FROM h)
+SELECT doc_id, hit, start, start + 5 AS "end", substring(text, greatest(start - 180, 0) + 1, least(start, 180) + 5 + 180) AS around FROM q""")
+def grep_places(spark, d):
+    """STR1, JN2: every place of a literal in every whole text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return text.literal_hits(docs, "text", "tion ").select("doc_id", F.col("hit").cast("long").alias("hit"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "around")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS title,
+ md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g'))) AS body, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links FROM pages""")
+def page_scan(spark, d):
+    """SRC2."""
+    p = table(spark, d, "pages")
+    links = F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
+    return p.select("page_id", text.page_title(F.col("html")).alias("title"), F.md5(text.page_text(F.col("html")).cast("binary")).alias("body"), links.cast("long").alias("n_links"))
+
+
+@query(None)
+def page_entities(spark, d):
+    """SRC2 with character references decoded, PRJ1 and PRJ2."""
+    p = table(spark, d, "pages").select("page_id", text.page_text(F.col("html")).alias("t"))
+    return p.select("page_id", text.normalised(text.unescaped("t")).alias("text"), F.length(text.same_length_view("t")).alias("length"))
+
+
+@query("WITH h AS (SELECT doc_id, " + ", ".join(f"contains(lower(text), '{k}') AS k{i}" for i, k in enumerate(KEYWORDS)) + " FROM documents), f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS k FROM h WHERE k{i}" for i, k in enumerate(KEYWORDS)) + """)
+SELECT a.k AS a, b.k AS b, count(*) AS n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.k < b.k GROUP BY 1, 2""")
+def keyword_cooccurrence(spark, d):
+    """STR10, SET4, JN4: pairs of keywords by the documents that hold both; pairs are made of each document's own short list."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(k)), F.lit(k)) for k in sorted(KEYWORDS)]))
+    docs = table(spark, d, "documents").select(found.alias("k"))
+    pairs = docs.select(F.posexplode("k").alias("i", "a"), "k").select("a", F.explode(F.slice("k", F.col("i") + 2, len(KEYWORDS))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y, o_orderpriority AS p FROM orders) SELECT CAST(y AS INT) AS year, string_agg(p, ',' ORDER BY p) AS ids FROM y GROUP BY 1""")
+def timeline(spark, d):
+    """AGG8: year to the list of its members."""
+    o = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderpriority").distinct()
+    return o.groupBy("year").agg(F.array_join(F.array_sort(F.collect_list("o_orderpriority")), ",").alias("ids"))
+
+
+@query("SELECT doc_id, item_id, min(position(b.text IN d.text)) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 6 GROUP BY 1, 2")
+def verbatim_links(spark, d):
+    """JN5, STR13, TOP3, CMP6: first place of each benchmark item of six words or more that a document holds word for word.
+
+    Documents and items meet by the item's second to fifth words, whole in any document that holds it, so
+    documents aren't held against all items.
+    """
+    words = F.split("text", " ")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("w")).filter("size(w) >= 6").select("item_id", "item", F.array_join(F.slice("w", 2, 4), " ").alias("head"))
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
+    bound = F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))))[0]
+    met = docs.select("doc_id", F.explode(bound).alias("head")).join(items.select("head").distinct(), "head")
+    both = met.join(items, "head").join(docs, "doc_id").filter(F.contains("text", F.col("item")))
+    return both.groupBy("doc_id", "item_id").agg((F.min(F.instr("text", F.col("item"))) - 1).cast("long").alias("start"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, n, line, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM l)
+SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars, min(n) AS first_line FROM s GROUP BY 1, 2""")
+def section_lengths(spark, d):
+    """WIN3, CMP10: short lines taken as headings."""
+    rows = text.lines(table(spark, d, "documents").select("doc_id", "text"), "text")
+    s = text.sections(rows, ["doc_id"], F.length("line") < 40)
+    return s.groupBy("doc_id", F.col("section").cast("long").alias("section")).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.min("line_no").cast("long").alias("first_line"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, role = 'user' AS mark, text FROM conversations), f AS (SELECT conv_id, turn, text, sum(CAST(mark AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) % 2 = 1 OR mark AS inside, mark FROM l)
+SELECT conv_id, turn, inside, coalesce(lag(mark) OVER w, false) OR coalesce(lead(mark) OVER w, false) AS beside FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def parity_and_neighbours(spark, d):
+    """WIN1, WIN2 over turns: inside between marks, and beside one."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("line_no"), F.when(F.col("role") == "user", "```").otherwise("x").alias("line"))
+    out = text.neighbours(text.fenced(rows, ["conv_id"]).withColumn("mark", F.col("line") == "```"), ["conv_id"], "mark")
+    return out.select("conv_id", F.col("line_no").alias("turn"), F.col("in_fence").alias("inside"), "beside")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1")
+def concatenated_turns(spark, d):
+    """AGG18, CMP8, CMP9, CMP11: parts joined in order."""
+    return text.concatenated(table(spark, d, "conversations").filter("text is not null"), ["conv_id"], "turn", "text")
+
+
+@query("""WITH k AS (SELECT doc_id, source, text FROM documents), h AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS word, doc_id, source, position('{k}' IN text) AS pos, substring(text, greatest(position('{k}' IN text) - 20, 1), 60) AS around FROM k WHERE contains(text, '{k}')" for k in KEYWORDS) + """),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id) AS n FROM h) SELECT word, doc_id, pos, around FROM r WHERE n = 1""")
+def first_appearance(spark, d):
+    """WIN4: the first document of each word, and the text around it."""
+    at = lambda k: F.instr("text", F.lit(k))
+    found = F.array_compact(F.array(*[F.when(at(k) > 0, F.struct(F.lit(k).alias("word"), at(k).cast("long").alias("pos"), F.substring(F.col("text"), F.greatest(at(k) - 20, F.lit(1)), F.lit(60)).alias("around"))) for k in KEYWORDS]))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(found).alias("f"))
+    return rows.groupBy("f.word").agg(F.min_by(F.struct("doc_id", "f.pos", "f.around"), "doc_id").alias("m")).select("word", "m.doc_id", "m.pos", "m.around")
+
+
+@query("""SELECT source, count(*) AS n, round(1000.0 * sum(length(text) - length(replace(text, 'the', ''))) / 3 / sum(length(text)), 4) AS density, round(avg(length(text)), 2) AS mean_chars, max(length(text)) AS longest, count(*) FILTER (WHERE length(text) > 20000) AS full_text FROM documents GROUP BY 1""")
+def density_by_source(spark, d):
+    """AGG11, AGG12, FLT1: occurrences per thousand characters, averages and the longest."""
+    n = F.length("text")
+    hits = (n - F.length(F.replace("text", F.lit("the"), F.lit("")))) / 3
+    return table(spark, d, "documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.round(1000.0 * F.sum(hits) / F.sum(n), 4).alias("density"), F.round(F.avg(n), 2).alias("mean_chars"), F.max(n).cast("long").alias("longest"), F.count_if(n > 20_000).alias("full_text"),
+    )
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, n) AS k FROM l WHERE length(line) > 25 AND length(line) < 160)
+SELECT doc_id, line AS title FROM r WHERE k = 1""")
+def title_hints(spark, d):
+    """STR6: the longest line of fitting length, the first on ties."""
+    rows = text.lines(table(spark, d, "documents").select("doc_id", "text"), "text").withColumn("line", F.trim("line")).filter("length(line) > 25 and length(line) < 160")
+    return rows.groupBy("doc_id").agg(F.max_by("line", F.struct(F.length("line"), -F.col("line_no"))).alias("title"))
+
+
+@query(r"""SELECT doc_id, coalesce(nullif(regexp_extract(text, '10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+'), ''), 'none') AS doi, coalesce(nullif(regexp_extract(text, '(19|20)[0-9][0-9]'), ''), 'none') AS year,
+ CASE WHEN contains(lower(left(text, 20000)), 'license') THEN 'license' WHEN contains(lower(left(text, 20000)), 'the ') THEN 'the' ELSE 'none' END AS journal, len(regexp_extract_all(text, '[0-9]+(\.[0-9]+)?%')) AS claims FROM documents""")
+def metadata_hints(spark, d):
+    """STR3-5, STR7-8, CMP1: first identifier, year, name in the list's order, and numeric claims."""
+    first = lambda p: F.coalesce(F.nullif(F.regexp_extract("text", p, 0), F.lit("")), F.lit("none"))
+    head = F.lower(F.substring("text", 1, 20_000))
+    name = F.when(F.contains(head, F.lit("license")), "license").when(F.contains(head, F.lit("the ")), "the").otherwise("none")
+    claims = F.size(F.regexp_extract_all("text", F.lit(r"[0-9]+(\.[0-9]+)?%"), F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", first(r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+").alias("doi"), first("(19|20)[0-9][0-9]").alias("year"), name.alias("journal"), claims.cast("long").alias("claims"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'C' WHEN n_chars > 20000 THEN 'A' WHEN quality = 1 THEN 'B-publisher' ELSE 'B-html' END AS level, n_chars = length(text) AS agrees FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def evidence_levels(spark, d):
+    """FLT2, JN3, JN15: declared against found, and the level of evidence."""
+    l = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("known"))
+    level = F.when(F.col("known").isNull(), "C").when(F.col("n_chars") > 20_000, "A").when(F.col("quality") == 1, "B-publisher").otherwise("B-html")
+    return table(spark, d, "documents").join(l, "doc_id", "left").select("doc_id", level.alias("level"), (F.col("n_chars") == F.length("text")).alias("agrees"))
+
+
+@query(None)
+def source_stamp(spark, d):
+    """SRC6."""
+    return text.stamp(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(None)
+def percent_places(spark, d):
+    """DM6, STR12: numbers with their places, whole texts."""
+    return text.pattern_hits(table(spark, d, "documents"), "doc_id", "text", r"\b[0-9]+(?:\.[0-9]+)?\s?%?")
+
+
+@query(None)
+def abstract_windows(spark, d):
+    """PRJ9."""
+    return table(spark, d, "documents").select("doc_id", text.abstracts("text").alias("abstract"))
+
+
+@query("""WITH b AS (SELECT doc_id, text, unnest(range(len(string_split(text, '. ')))) AS pos, unnest(string_split(text, '. ')) AS s FROM documents), g AS (SELECT doc_id, s, min(pos) AS pos FROM b WHERE length(s) >= 25 AND length(s) <= 320 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM g)
+SELECT doc_id, k AS rank, s AS claim FROM r WHERE k <= 3""")
+def first_sentences(spark, d):
+    """AGG7, TOP2, FLT3, STR14: a document's first three different sentences of fitting length."""
+    docs = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("at", "s")).filter("length(s) between 25 and 320")
+    g = docs.groupBy("doc_id", "s").agg(F.min("at").alias("at"))
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
+    return g.withColumn("rank", k.cast("long")).filter("rank <= 3").select("doc_id", "rank", F.col("s").alias("claim"))
