@@ -1 +1,170 @@
-QUERIES: dict = {}
+"""Queries of audit rules: uniqueness, coverage, order, forbidden words, arithmetic, scores, verdicts and mutations."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.operators import audit, text
+from lodestone.sources import table
+
+QUERIES: dict[str, tuple] = {}
+
+
+def query(sql: str | None):
+    def add(run):
+        QUERIES[run.__name__] = run, sql
+        return run
+
+    return add
+
+
+FORBIDDEN = ("stupid", "idiot", "password=", "All rights reserved")
+EXCUSE = "(license|License)"
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, d):
+    """D2, AGG15."""
+    return audit.duplicates(table(spark, d, "orders"), "o_custkey")
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def unlabelled_documents(spark, d):
+    """JN8, JN10, SET3: keys of one side alone."""
+    return audit.missing_both_ways(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT n_nationkey AS k FROM nation), p AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier)
+SELECT (SELECT count(*) FROM (SELECT k FROM a EXCEPT (SELECT k FROM p UNION SELECT k FROM s))) AS uncovered, (SELECT count(*) FROM (SELECT k FROM p INTERSECT SELECT k FROM s)) AS shared, (SELECT count(*) FROM (SELECT k FROM p EXCEPT SELECT k FROM s)) AS only_left""")
+def set_coverage(spark, d):
+    """SET1-3, D6: union covers all, overlap, difference, over one row per nation."""
+    a, p, s = (table(spark, d, t).select(F.col(c).cast("long").alias("k")).distinct() for t, c in (("nation", "n_nationkey"), ("customer", "c_nationkey"), ("supplier", "s_nationkey")))
+    parts = [x.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, x in (("uncovered", a.exceptAll(p.union(s).distinct())), ("shared", p.intersect(s)), ("only_left", p.exceptAll(s)))]
+    one = reduce(DataFrame.unionByName, parts)
+    return one.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in ("uncovered", "shared", "only_left")])
+
+
+@query("SELECT conv_id, turn, rn - 1 AS expected FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) WHERE turn <> rn - 1")
+def turn_gaps(spark, d):
+    """WIN12, S5."""
+    return audit.gaps(table(spark, d, "conversations").select("conv_id", "turn"), ["conv_id"], "turn").select("conv_id", "turn", F.col("expected").cast("long").alias("expected"))
+
+
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS needle, position('{n}' IN text) - 1 AS start, substring(text, greatest(position('{n}' IN text) - 90, 1), least(position('{n}' IN text), 91) - 1 + {len(n)} + 90) AS near FROM documents WHERE contains(text, '{n}')" for n in FORBIDDEN) + f") SELECT doc_id, needle, start FROM h WHERE NOT regexp_matches(near, '{EXCUSE}')")
+def forbidden_words(spark, d):
+    """D3, D4b, A7, FLT7."""
+    out = audit.forbidden(table(spark, d, "documents"), "doc_id", "text", list(FORBIDDEN), EXCUSE)
+    return out.select("doc_id", "needle", F.col("start").cast("long").alias("start"))
+
+
+_STATEMENTS = [(1, "1500/20000 = 7.5%"), (2, "1500/20000 = 15.0%"), (3, "1/3≈33% and 2/5=41%"), (4, "7/0 = 3%"), (5, "nothing"), (6, None)]
+
+
+@query("""WITH s AS (SELECT * FROM (VALUES (1, 7.5, 7.5), (2, 7.5, 15.0), (3, 100.0 / 3, 33.0), (3, 40.0, 41.0), (4, NULL, 3.0)) AS t(id, v, c)) SELECT CAST(id AS BIGINT) AS id, c FROM s WHERE coalesce(abs(v - c) > greatest(0.03 * c, 1e-9), true)""")
+def stated_arithmetic(spark, d):
+    """MTH13, MTH14 over stated texts."""
+    df = spark.createDataFrame(_STATEMENTS, "id long, text string")
+    return audit.stated_arithmetic(df, "id", "text").select("id", "c")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS v, 100.0 AS t FROM lineitem), s AS (SELECT k, sum(v) AS known, count(*) FILTER (WHERE v IS NULL) AS missing, max(t) AS total FROM i GROUP BY 1)
+SELECT k, round(known, 4) AS known, missing, CASE WHEN missing = 1 THEN round(total - known, 4) END AS inferred, CAST(CASE WHEN missing = 0 THEN abs(known - total) <= 1e-6 WHEN missing = 1 THEN total - known > 0 END AS INT) AS balanced FROM s""")
+def score_balance(spark, d):
+    """AGG13: an order's quantities as scores, one of them missing."""
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") != 2, F.col("l_quantity")).alias("v"), F.lit(100.0).alias("t"))
+    s = audit.balanced_scores(i, ["k"], "v", "t")
+    return s.select("k", F.round("known", 4).alias("known"), "missing", F.round("inferred", 4).alias("inferred"), F.col("balanced").cast("int").alias("balanced"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, sum(l_extendedprice) AS s, max(o_totalprice) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) SELECT k, abs(s - w) <= 1e-6 AS ok FROM s""")
+def allocation_check(spark, d):
+    """AGG14: lines against their order's total."""
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice"), "k")
+    return audit.allocations(parts, ["k"], "l_extendedprice", "o_totalprice").select("k", "ok")
+
+
+_LEXICON = [("density", "eau", "eau", "Les "), ("words", "the", "the ", "idiot"), ("words", "lich", "lich", "zu ")]
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, n, line, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM l),
+x AS (""" + " UNION ALL ".join(f"SELECT '{f}' AS family, '{c}' AS concept, * FROM w WHERE contains(line, '{i}') AND NOT contains(line, '{e}')" for f, c, i, e in _LEXICON) + """), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, concept ORDER BY n) AS k FROM x)
+SELECT doc_id, family, concept, n AS line_no, contains(near, ' is ') AS explained FROM r WHERE k = 1""")
+def concept_audit(spark, d):
+    """FLT5, WIN5, CMP17."""
+    rows = text.lines(table(spark, d, "documents").select("doc_id", "text"), "text")
+    lexicon = spark.createDataFrame(_LEXICON, "family string, concept string, include string, exclude string")
+    out = audit.first_concepts(rows, ["doc_id"], lexicon, " is ")
+    return out.select("doc_id", "family", "concept", F.col("line_no").cast("long").alias("line_no"), "explained")
+
+
+def _tables(spark, d) -> dict[str, DataFrame]:
+    return {t: table(spark, d, t) for t in ("documents", "conversations", "labels", "orders", "lineitem")}
+
+
+RULES: dict[str, audit.Rule] = {
+    "document-id-unique": lambda t: audit.violations(audit.duplicates(t["documents"], "doc_id"), "document-id-unique", F.col("doc_id"), F.col("n")),
+    "length-as-declared": lambda t: audit.violations(t["documents"].filter(F.col("n_chars") != F.length("text")), "length-as-declared", F.col("doc_id"), F.col("n_chars")),
+    "label-has-document": lambda t: audit.violations(t["labels"].join(t["documents"].select("doc_id"), "doc_id", "left_anti"), "label-has-document", F.col("doc_id"), F.lit("")),
+    "turns-in-order": lambda t: audit.violations(audit.gaps(t["conversations"].select("conv_id", "turn"), ["conv_id"], "turn"), "turns-in-order", F.col("conv_id"), F.col("turn")),
+    "role-known": lambda t: audit.violations(t["conversations"].filter(~F.col("role").isin("system", "user", "assistant")), "role-known", F.col("conv_id"), F.col("role")),
+    "discount-in-range": lambda t: audit.violations(t["lineitem"].filter(~F.col("l_discount").between(0, 1)), "discount-in-range", F.col("l_orderkey"), F.col("l_discount")),
+    "status-known": lambda t: audit.violations(t["orders"].filter(~F.col("o_orderstatus").isin("O", "F", "P")), "status-known", F.col("o_orderkey"), F.col("o_orderstatus")),
+}
+
+_VERDICT_SQL = """WITH n AS (SELECT 'document-id-unique' AS rule, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'length-as-declared', (SELECT count(*) FROM documents WHERE n_chars <> length(text))
+UNION ALL SELECT 'label-has-document', (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) UNION ALL SELECT 'turns-in-order', (SELECT count(*) FROM (SELECT turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS e FROM conversations) WHERE turn <> e)
+UNION ALL SELECT 'role-known', (SELECT count(*) FROM conversations WHERE role NOT IN ('system', 'user', 'assistant')) UNION ALL SELECT 'discount-in-range', (SELECT count(*) FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 1)
+UNION ALL SELECT 'status-known', (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F', 'P'))) """
+
+
+@query(_VERDICT_SQL + "SELECT rule, CAST(n AS BIGINT) AS n_violations, n = 0 AS passed FROM n")
+def audit_verdicts(spark, d):
+    """DM11, SNK5: all rules over all rows."""
+    return audit.verdicts(_tables(spark, d), RULES)
+
+
+#: A defect for each rule: table, where, column, value.
+DEFECTS = {
+    "length-as-declared": ("documents", "doc_id = 0", "n_chars", "n_chars + 1"),
+    "document-id-unique": ("documents", "doc_id = 1", "doc_id", "0"),
+    "label-has-document": ("labels", "doc_id = (SELECT min(doc_id) FROM labels)", "doc_id", "-5"),
+    "turns-in-order": ("conversations", "conv_id = 0 AND turn = 0", "turn", "99"),
+    "role-known": ("conversations", "conv_id = 0 AND turn = 0", "role", "'robot'"),
+    "discount-in-range": ("lineitem", "l_orderkey = (SELECT min(l_orderkey) FROM lineitem)", "l_discount", "1.5"),
+    "status-known": ("orders", "o_orderkey = (SELECT min(o_orderkey) FROM orders)", "o_orderstatus", "'X'"),
+}
+
+
+@query(None)
+def mutation_verdicts(spark, d):
+    """CMP18: each rule fails once its defect is in a copy of the tables."""
+    out = []
+    for rule, (name, where, column, value) in DEFECTS.items():
+        tables = _tables(spark, d)
+        for t, df in tables.items():
+            df.createOrReplaceTempView(f"audit_{t}")
+        condition = where
+        for t in tables:
+            condition = condition.replace(f"FROM {t}", f"FROM audit_{t}")
+        hit = spark.sql(f"SELECT *, {condition} AS hit_ FROM audit_{name}")
+        tables[name] = audit.mutated(hit, F.col("hit_"), column, F.expr(value)).drop("hit_")
+        out.append(RULES[rule](tables).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), (F.col("n") > 0).alias("caught")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(_VERDICT_SQL + """SELECT '[' || string_agg('{"rule":"' || rule || '","n_violations":' || n || ',"passed":' || (n = 0) || '}', ',' ORDER BY rule) || ']' AS report FROM n""")
+def audit_report(spark, d):
+    """SNK4."""
+    return audit.report_json(audit.verdicts(_tables(spark, d), RULES))
+
+
+@query("""WITH e AS (SELECT doc_id, left(text, 300) AS t, doc_id % 3 = 0 AS open FROM documents) SELECT doc_id, CASE WHEN open THEN 'draft ' || doc_id ELSE t END AS card FROM e""")
+def protected_merge(spark, d):
+    """SNK3: cards that still say TODO are drafted anew."""
+    docs = table(spark, d, "documents")
+    existing = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "TODO").otherwise(F.substring("text", 1, 300)).alias("card"))
+    drafted = docs.select("doc_id", F.concat(F.lit("draft "), F.col("doc_id").cast("string")).alias("card"))
+    return audit.merge_protected(existing, drafted, "doc_id", "card")

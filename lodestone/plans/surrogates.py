@@ -1 +1,116 @@
-QUERIES: dict = {}
+"""Queries of surrogates, kernel discrepancies, designs and searches; those of random or iterative operators have no SQL."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lodestone.functions import models
+from lodestone.operators import kernels, search
+from lodestone.sources import table
+
+QUERIES: dict[str, tuple] = {}
+BRANIN = [(-5.0, 10.0), (0.0, 15.0)]
+
+
+def query(sql: str | None):
+    def add(run):
+        QUERIES[run.__name__] = run, sql
+        return run
+
+    return add
+
+
+def branin(x: np.ndarray) -> np.ndarray:
+    a = x[:, 1] - 5.1 / (4 * math.pi**2) * x[:, 0] ** 2 + 5 / math.pi * x[:, 0] - 6
+    return a * a + 10 * (1 - 1 / (8 * math.pi)) * np.cos(x[:, 0]) + 10
+
+
+def _design(n: int, seed: int = 0) -> np.ndarray:
+    low, high = np.array(BRANIN).T
+    return low + models.latin_hypercube(n, 2, seed) * (high - low)
+
+
+def _inputs():
+    return F.array(F.col("p_size") / 50.0 * 15 - 5, (F.col("p_retailprice") - 900) / 1200 * 15)
+
+
+@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+k AS (SELECT a.label AS p, b.label AS q, avg(exp(-(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e)) / 2)) AS m FROM v a, v b GROUP BY 1, 2)
+SELECT CAST(p AS BIGINT) AS label, round(greatest(0, (SELECT m FROM k o WHERE o.p = k.p AND o.q = k.p) + (SELECT m FROM k o WHERE o.p = 0 AND o.q = 0) - 2 * m), 6) AS mmd2 FROM k WHERE q = 0 AND p <> 0""")
+def source_discrepancies(spark, d):
+    """NUM10, NUM11: each label's vectors against those of label 0."""
+    rows = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return kernels.discrepancies(rows, 0, 1.0).select("label", F.round("mmd2", 6).alias("mmd2"))
+
+
+@query(None)
+def kriging_scores(spark, d):
+    """NUM18, NUM19, NUM22: a model of 40 design points at every part."""
+    x = _design(40)
+    y = branin(x)
+    return kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), models.Kriging().fit(x, y), float(y.min())).select("p_partkey", "mean", "sd", "ei")
+
+
+@query(None)
+def radial_scores(spark, d):
+    """NUM21."""
+    x = _design(60, 1)
+    y = branin(x)
+    return kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), models.Radial().fit(x, y), float(y.min())).select("p_partkey", "mean")
+
+
+@query(None)
+def two_fidelity_scores(spark, d):
+    """NUM26: coarse responses are a scaled and shifted form of the fine ones."""
+    coarse, fine = _design(40, 2), _design(12, 3)
+    model = models.CoKriging(grid=np.linspace(0, 2, 9)).fit(coarse, 0.5 * branin(coarse) + coarse.sum(1), fine, branin(fine))
+    return kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), model, float(branin(fine).min())).select("p_partkey", "mean", "sd")
+
+
+@query("SELECT CAST(dim AS BIGINT) AS dim, CAST(stratum AS BIGINT) AS stratum, CAST(1 AS BIGINT) AS n FROM range(4) a(dim), range(64) b(stratum)")
+def hypercube_strata(spark, d):
+    """NUM1, WIN13: how often each stratum of each dimension is hit."""
+    x = models.latin_hypercube(64, 4)
+    rows = [(k, int(s)) for row in x for k, s in enumerate(np.floor(row * 64))]
+    return spark.createDataFrame(rows, "dim long, stratum long").groupBy("dim", "stratum").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(b AS BIGINT) AS batch, CAST(8 AS BIGINT) AS source, CAST(16 AS BIGINT) AS unlabeled FROM range(10) t(b)")
+def stratified_batches(spark, d):
+    """NUM12: the sizes of ten batches."""
+    rows = [(k, len(np.unique(a)), len(np.unique(b))) for k, (a, b) in enumerate(models.stratified_batches(40, 1010, 8, 0.5))]
+    return spark.createDataFrame(rows, "batch long, source long, unlabeled long")
+
+
+@query(None)
+def effects(spark, d):
+    """NUM15, NUM24: total effects and pair interactions of a stated model."""
+    box = [(0.0, 1.0)] * 5
+    model = lambda x: 5 * x[:, 0] * x[:, 1] + 0.3 * x[:, 2] * x[:, 3] + x[:, 2] + 0.8 * x[:, 3] ** 2 + 0.05 * x[:, 4]
+    total, _ = models.total_effects(model, box)
+    rows = [("total", i, i, float(v)) for i, v in enumerate(total)] + [("pair", i, j, v) for (i, j), v in models.pair_interactions(model, box).items()]
+    return spark.createDataFrame(rows, "kind string, i long, j long, score double")
+
+
+@query(None)
+def search_traces(spark, d):
+    """NUM31-34: best value after each round of each search on the same function."""
+    runs = {
+        "evolution": search.evolve(branin, BRANIN, 30, evaluations=1200, seed=3)[2], "swarm": search.swarm(branin, BRANIN, 40, 60, seed=5)[2],
+        "ego": search.ego(branin, BRANIN, lambda: models.Kriging(sweeps=1, steps=8, starts=1), 12, 12, 512, seed=1)[2], "assisted": search.assisted_evolution(branin, BRANIN, evaluations=150, seed=2)[2],
+    }
+    return spark.createDataFrame([(name, k, v) for name, h in runs.items() for k, v in enumerate(h)], "search string, round long, best double")
+
+
+@query(None)
+def nsga2_front(spark, d):
+    """NUM36: the front of a two-objective function of six inputs."""
+    def zdt(x):
+        g = 1 + 9 * x[:, 1:].mean(1)
+        return np.stack([x[:, 0], g * (1 - np.sqrt(x[:, 0] / g))], 1)
+
+    _, f = search.nsga2(zdt, [(0, 1)] * 6, 60, 60, seed=7)
+    return spark.createDataFrame([(float(a), float(b)) for a, b in f], "f1 double, f2 double")
