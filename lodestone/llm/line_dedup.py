@@ -36,6 +36,8 @@ BROADCAST_ROWS = 400_000
 LARGE = 256
 PART = 16
 PASSES = 4
+#: Lines of more tokens have parities of 512 bits in place of 64.
+LONG = 60
 _ID = ["doc_id", "key"]
 
 
@@ -79,26 +81,29 @@ def _least(n: Column) -> Column:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and a parity.
+    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and parities.
 
-    Bit i of the parity tells whether an odd number of tokens falls on it: as many bits as differ between two
+    Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
     lines, so many tokens at least are in one of them alone.
     """
     levels = staged(rarity(documents), "line-rarity")
     lines = _lines(documents).withColumn("levels", levels.scalar())
     found = lines.select(*_ID, "line_no", _ordered(F.col("line"), F.col("levels")).alias("all"))
-    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"))
-    return found.select(*_ID, "line_no", "k1", "k2", "n", "p", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 1).otherwise(0)).alias("prefix"))
+    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"), F.when(F.size("all") >= LONG * THRESHOLD[0] // THRESHOLD[1], F.array(*[_parity(k) for k in range(8)])).alias("q"))
+    return found.select(*_ID, "line_no", "k1", "k2", "n", "p", "q", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 1).otherwise(0)).alias("prefix"))
 
 
-def _parity() -> Column:
+def _parity(part: int | None = None) -> Column:
+    """The parity of all tokens, or of those whose number has a part's three bits."""
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
+    if part is None:
+        return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(448)) == 64 * part, acc.bitwiseXOR(bit(v))).otherwise(acc))
 
 
 def heads(found: DataFrame) -> DataFrame:
     """One row per class of lines with tokens: the place of its first line, n, prefix and parities."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_ID, "line_no", "n", "p", "prefix")).alias("first"))
+    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_ID, "line_no", "n", "p", "prefix", "q")).alias("first"))
     return first.select("k1", "k2", "first.*")
 
 
@@ -110,13 +115,14 @@ def _band(n: Column) -> Column:
 
 def entries(first: DataFrame) -> DataFrame:
     """A row per class and prefix token; classes of fewer tokens than THRESHOLD's first number match no other."""
-    return first.filter(F.col("n") >= THRESHOLD[0]).select("k1", "n", "p", _band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "token"))
+    return first.filter(F.col("n") >= THRESHOLD[0]).select("k1", "n", "p", "q", _band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "token"))
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    """What is shuffled of a row: the hash of its token and band, its class, parity, and size and place in one number."""
+def _side(rows: DataFrame, side: str, long: bool) -> DataFrame:
+    """What is shuffled of a row: the hash of its token and band, its class, parities, and size and place in one number."""
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    return rows.select(F.xxhash64("token", "band").alias("t"), F.col("k1").alias(f"k_{side}"), F.col("p").alias(f"p_{side}"), size.alias(f"s_{side}"))
+    odd = [F.get("q", F.lit(k)).alias(f"q{k}_{side}") for k in range(8)] if long else [F.col("p").alias(f"p_{side}")]
+    return rows.select(F.xxhash64("token", "band").alias("t"), F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), *odd)
 
 
 def _smaller(rows: DataFrame) -> DataFrame:
@@ -127,15 +133,25 @@ def _smaller(rows: DataFrame) -> DataFrame:
 
 
 def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """Pairs (k_a, k_b) with n_a <= n_b that share a token and pass the length, positional and parity filters."""
+    """Pairs (k_a, k_b) with n_a <= n_b that share a token and pass the length, positional and parity filters.
+
+    Pairs whose larger class has over LONG tokens are joined apart, with parities of eight times as many bits.
+    """
     up, down = THRESHOLD
-    n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in "ab")
-    at_a, at_b = (F.col(f"s_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in "ab")
-    order = (n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))
-    near = n_a * down >= n_b * up
-    enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-    alike = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) * (up + down) <= (n_a + n_b) * (down - up)
-    return _side(smaller, "a").join(_side(larger, "b"), "t").filter(order & near & alike & enough).select("k_a", "k_b")
+    short, long = F.col("n") <= LONG, F.col("n") > LONG
+    sides = [(smaller.filter(short), larger.filter(short), False), (smaller.filter(F.col("n") >= LONG * up // down), larger.filter(long), True)]
+    out = []
+    for few, many, wide in sides:
+        n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in "ab")
+        at_a, at_b = (F.col(f"s_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in "ab")
+        order = (n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))
+        near = n_a * down >= n_b * up
+        enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
+        names = [f"q{k}" for k in range(8)] if wide else ["p"]
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names])
+        alike = apart * (up + down) <= (n_a + n_b) * (down - up)
+        out.append(_side(few, "a", wide).join(_side(many, "b", wide), "t").filter(order & near & alike & enough).select("k_a", "k_b"))
+    return out[0].unionByName(out[1])
 
 
 def paired(smaller: DataFrame, larger: DataFrame) -> DataFrame:
@@ -205,7 +221,7 @@ def removals(documents: DataFrame) -> DataFrame:
     """
     every = staged(classes(documents), "line-classes")
     first = staged(heads(every), "line-heads")
-    found = staged(every.drop("prefix", "p"), "line-places")
+    found = staged(every.drop("prefix", "p", "q"), "line-places")
     unstage(every)
     matched = staged(later(documents, first), "line-later").withColumn("later", F.lit(True))
     known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")

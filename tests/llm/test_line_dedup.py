@@ -47,6 +47,7 @@ def write(spark, tmp_path, docs):
 @pytest.mark.parametrize("large,rows", [(256, 400_000), (0, 400_000), (256, 0)])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, large, rows):
     monkeypatch.setattr(ld.later, "__defaults__", (large,))
+    monkeypatch.setattr(ld, "LONG", 60 if large else 10)
     monkeypatch.setattr(ld.verified, "__defaults__", (rows,))
     docs = sample()
     write(spark, tmp_path, docs)
