@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_mod, staged, table, unstage
 
 DEPTH = 5
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 #: So many codes are solved at a time, or all of one pair of last bytes.
 CODES = 150_000
 ALPHA = 0.1
@@ -180,15 +180,12 @@ def _requests(depth: int):
                 n = len(words)
                 yield _batch(block, 0, pa.array(list(words), pa.binary()), pa.nulls(n, pa.int64()), pa.array(list(words.values()), pa.int64()))
             if codes:
-                every = np.concatenate([c for c, _ in codes])
-                weight = np.concatenate([w for _, w in codes])
-                unique, at = np.unique(every, return_inverse=True)
-                count = np.bincount(at, weights=weight, minlength=len(unique)).astype(np.int64)
+                unique, count = _merged(codes)
                 yield _batch(block, 1, pa.nulls(len(unique), pa.binary()), pa.array(unique), pa.array(count))
 
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 own, held = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts = [_text_bytes(x) for x in part.column(2).to_pylist()]
                 for s, e in _runs(own):
@@ -204,11 +201,18 @@ def _requests(depth: int):
                             data = np.frombuffer(b"\xff".join(some) + b"\xff", np.uint8)
                             unique, n = np.unique(grams(data, depth), return_counts=True)
                             codes.append((unique, n * (1 - keep)))
+                            if len(codes) >= 24:
+                                codes = [_merged(codes)]
         yield from out()
 
     return run
 
 
+def _merged(codes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    unique, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
+    return unique, np.bincount(at, weights=np.concatenate([w for _, w in codes]), minlength=len(unique)).astype(np.int64)
+
+
 def _runs(values: list) -> list[tuple[int, int]]:
     edges = [0, *[i for i in range(1, len(values)) if values[i] != values[i - 1]], len(values)]
     return list(zip(edges[:-1], edges[1:], strict=True)) if values else []
@@ -280,8 +284,8 @@ def _score(depth: int):
         del part, known
         out = []
         for whole in left.to_batches():
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 128):
+                b = whole.slice(at, 128)
                 texts = [_text_bytes(x) for x in b.column("text").to_pylist()]
                 split = [x.split() for x in texts]
                 n, sizes = len(texts), np.array([len(x) for x in split])
