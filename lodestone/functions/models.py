@@ -98,7 +98,9 @@ class Kriging:
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = self.state
-        r = np.exp(-(((self.unit(x)[:, None] - self.u[None]) ** 2) * s["theta"]).sum(2))
+        far = (((self.unit(x)[:, None] - self.u[None]) ** 2) * s["theta"]).sum(2)
+        # The nugget belongs to a point itself, so the model meets its own points.
+        r = np.exp(-far) + self.nugget * (far == 0)
         mean = s["mu"] + r @ s["weights"]
         v = np.linalg.solve(s["low"], r.T)
         variance = np.maximum(0, s["sigma2"] * (1 + self.nugget - (v * v).sum(0)))
