@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, staged, table, unstage
+from lodestone.llm.common import slices, staged, table
+from lodestone.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -213,24 +214,6 @@ def verified(sets: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
     return staged(both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "near-matches")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that each id of links (a, b) reaches, by alternating large and small stars."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = staged(small, "stars")
-        print_ = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        unstage(edges)
-        edges, same, before = new, print_ == before, print_
-        if same:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-
-
 def groups(documents: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; rows without an id have no component."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

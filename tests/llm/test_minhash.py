@@ -73,12 +73,6 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([*set(plain_groups(docs).values()), None], key=str)
 
 
-def test_components(spark):
-    chain = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7)]
-    got = {r.id: r.root for r in mh.components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100}
-
-
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert mh.op1_near_dedup(spark, str(tmp_path)).count() == 0
