@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import physics
 from lodestone.operators import stats
 from lodestone.sources import table
+from lodestone.streaming import windows
 
 QUERIES: dict[str, tuple] = {}
 
@@ -172,3 +173,9 @@ def negative_transfer(spark, d):
     e = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").alias("w"), F.avg("l_tax").alias("wo"))
     delta = F.col("w") - F.col("wo")
     return e.select("l_returnflag", F.round(delta, 6).alias("delta"), F.round(F.when(F.abs("wo") > 1e-12, F.col("w") / F.col("wo")), 6).alias("ratio"), (delta > 0.001).alias("negative"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS best FROM events GROUP BY 1, 2""")
+def hourly_events(spark, d):
+    """Extension: tumbling windows, the same plan that runs on a stream."""
+    return windows.tumbling(table(spark, d, "events")).withColumn("total", F.round("total", 4))
