@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import audits, corpora, designs, numbers, surrogates
+from lodestone.plans import audits, corpora, designs, markups, numbers, surrogates
 
-_MODULES = (numbers, designs, corpora, audits, surrogates)
+_MODULES = (numbers, designs, corpora, markups, audits, surrogates)
 
 
 def queries() -> dict:
