@@ -193,3 +193,27 @@ def matches_in(texts: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataF
 def pattern_hits(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """DM6: (id, start, end, snippet) of a pattern's matches, places in code points."""
     return df.select(F.col(key).cast("long"), text).mapInPandas(lambda it: matches_in(it, pattern), "id long, start int, end int, snippet string")
+
+
+def skeleton(df: DataFrame, key: str, text: str, dimensions: dict[str, tuple[str, str]], limit: int = 3, least: int = 40) -> DataFrame:
+    """STR9, DM7, DM8, FLT4: for each dimension the first different sentences of a strict pattern, else of a relaxed one.
+
+    The last 15 % of a text, where references stand, are not searched; matches of fewer than `least` characters
+    after squeezing don't count. One row per text and dimension: (key, dimension, claims, found, relaxed).
+    """
+    body = F.substring(F.col(text), F.lit(1), F.floor(F.length(text) * 0.85).cast("int"))
+
+    def claims(pattern: str) -> Column:
+        every = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), squeezed)
+        return F.slice(F.array_distinct(F.filter(every, lambda c: F.length(c) >= least)), 1, limit)
+
+    rows = F.array(*[F.struct(F.lit(name).alias("dimension"), claims(strict).alias("strict"), claims(relaxed).alias("loose")) for name, (strict, relaxed) in dimensions.items()])
+    found = df.select(key, F.inline(rows))
+    return found.select(key, "dimension", F.when(F.size("strict") > 0, F.col("strict")).otherwise(F.col("loose")).alias("claims"), (F.greatest(F.size("strict"), F.size("loose")) > 0).alias("found"), ((F.size("strict") == 0) & (F.size("loose") > 0)).alias("relaxed"))
+
+
+def mentions(df: DataFrame, key: str, text: str, needle: str, critical: str, reach: int = 400) -> DataFrame:
+    """STR11: first place of a literal in each text, and whether a critical pattern stands within reach of it."""
+    at = F.instr(text, F.lit(needle))
+    near = F.substring(F.col(text), F.greatest(at - reach, F.lit(1)), F.least(at, F.lit(reach + 1)) - 1 + len(needle) + reach)
+    return df.filter(at > 0).select(key, (at - 1).cast("long").alias("start"), F.when(near.rlike(critical), "criticism").otherwise("citation").alias("kind"))

@@ -192,3 +192,28 @@ def first_sentences(spark, d):
     g = docs.groupBy("doc_id", "s").agg(F.min("at").alias("at"))
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
     return g.withColumn("rank", k.cast("long")).filter("rank <= 3").select("doc_id", "rank", F.col("s").alias("claim"))
+
+
+DIMENSIONS = {"problem": (r"[^.\n]*the of[^.\n]*", r"[^.\n]*the [^.\n]*"), "result": (r"[^.\n]*[0-9]+%[^.\n]*", r"[^.\n]*tion [^.\n]*")}
+
+
+def _claims(pattern: str) -> str:
+    return rf"list_transform(regexp_extract_all(body, '{pattern}'), lambda c: trim(regexp_replace(c, '{_WS}+', ' ', 'g')))"
+
+
+_SKELETON = "WITH b AS (SELECT doc_id, left(text, CAST(floor(length(text) * 0.85) AS INT)) AS body FROM documents), m AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{n}' AS dimension, list_filter({_claims(a)}, lambda c: length(c) >= 40) AS s, list_filter({_claims(z)}, lambda c: length(c) >= 40) AS r FROM b" for n, (a, z) in DIMENSIONS.items()
+) + "), c AS (SELECT doc_id, dimension, len(s) > 0 AS strict, CASE WHEN len(s) > 0 THEN s ELSE r END AS t FROM m) SELECT doc_id, dimension, len(t) > 0 AS found, NOT strict AND len(t) > 0 AS relaxed, CASE WHEN len(t) > 0 THEN t[1] END AS first_claim, CAST(least(3, len(list_distinct(t))) AS BIGINT) AS n_claims FROM c"
+
+
+@query(_SKELETON)
+def skeletons(spark, d):
+    """STR9, DM8."""
+    out = text.skeleton(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", DIMENSIONS)
+    return out.select("doc_id", "dimension", "found", "relaxed", F.get("claims", F.lit(0)).alias("first_claim"), F.size("claims").cast("long").alias("n_claims"))
+
+
+@query("""WITH h AS (SELECT doc_id, position('Licensed under' IN text) AS p, text FROM documents WHERE contains(text, 'Licensed under')) SELECT doc_id, p - 1 AS start, CASE WHEN regexp_matches(substring(text, greatest(p - 400, 1), least(p, 401) - 1 + 14 + 400), '(idiot|stupid)') THEN 'criticism' ELSE 'citation' END AS kind FROM h""")
+def mention_kinds(spark, d):
+    """STR11."""
+    return text.mentions(table(spark, d, "documents"), "doc_id", "text", "Licensed under", "(idiot|stupid)")
