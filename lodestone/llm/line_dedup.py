@@ -36,7 +36,7 @@ BROADCAST_ROWS = 200_000
 LARGE = 256
 PART = 16
 PASSES = 4
-#: Lines of more tokens have one parity of 512 bits in place of four of 64.
+#: Lines of more tokens have parities of 512 bits in place of 64.
 LONG = 60
 _ID = ["doc_id", "key"]
 
@@ -89,17 +89,16 @@ def classes(documents: DataFrame) -> DataFrame:
     levels = staged(rarity(documents), "line-rarity")
     lines = _lines(documents).withColumn("levels", levels.scalar())
     found = lines.select(*_ID, "line_no", _ordered(F.col("line"), F.col("levels")).alias("all"))
-    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", F.array(*[_parity(shift=6 * k) for k in range(4)]).alias("p"), F.when(F.size("all") >= LONG * THRESHOLD[0] // THRESHOLD[1], F.array(*[_parity(part=k) for k in range(8)])).alias("q"))
+    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"), F.when(F.size("all") >= LONG * THRESHOLD[0] // THRESHOLD[1], F.array(*[_parity(part=k) for k in range(8)])).alias("q"))
     return found.select(*_ID, "line_no", "k1", "k2", "n", "p", "q", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 1).otherwise(0)).alias("prefix"))
 
 
-def _parity(part: int | None = None, shift: int = 0) -> Column:
-    """The parity of all tokens, by six bits of their numbers from a shift on, or of those whose number has a part's three bits."""
+def _parity(part: int | None = None) -> Column:
+    """The parity of all tokens, or of those whose number has a part's three bits."""
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    zero = F.lit(0).cast("long")
     if part is None:
-        return F.aggregate("all", zero, lambda acc, v: acc.bitwiseXOR(bit(F.shiftright(v, shift) if shift else v)))
-    return F.aggregate("all", zero, lambda acc, v: F.when(v.bitwiseAND(F.lit(448)) == 64 * part, acc.bitwiseXOR(bit(v))).otherwise(acc))
+        return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(448)) == 64 * part, acc.bitwiseXOR(bit(v))).otherwise(acc))
 
 
 def heads(found: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def entries(first: DataFrame) -> DataFrame:
 def _side(rows: DataFrame, side: str, long: bool) -> DataFrame:
     """What is shuffled of a row: the hash of its token and band, its class, parities, and size and place in one number."""
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    odd = [F.get("q", F.lit(k)).alias(f"q{k}_{side}") for k in range(8)] if long else [F.get("p", F.lit(k)).alias(f"p{k}_{side}") for k in range(4)]
+    odd = [F.get("q", F.lit(k)).alias(f"q{k}_{side}") for k in range(8)] if long else [F.col("p").alias(f"p_{side}")]
     return rows.select(F.xxhash64("token", "band").alias("t"), F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), *odd)
 
 
@@ -148,10 +147,9 @@ def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
         order = (n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))
         near = n_a * down >= n_b * up
         enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-        apart = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ([f"q{k}" for k in range(8)] if wide else [f"p{k}" for k in range(4)])]
-        # A long line's eight parts are one parity of 512 bits; a short line's four parities of 64 bits each tell by themselves.
-        told = [reduce(lambda x, y: x + y, apart)] if wide else apart
-        alike = reduce(lambda x, y: x & y, [x * (up + down) <= (n_a + n_b) * (down - up) for x in told])
+        names = [f"q{k}" for k in range(8)] if wide else ["p"]
+        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names])
+        alike = apart * (up + down) <= (n_a + n_b) * (down - up)
         out.append(_side(few, "a", wide).join(_side(many, "b", wide), "t").filter(order & near & alike & enough).select("k_a", "k_b"))
     return out[0].unionByName(out[1])
 
@@ -210,8 +208,10 @@ def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFra
     members = crowd.drop("doc")
     near_hubs = pairs(_smaller(hubs), members).unionByName(pairs(_smaller(members), hubs))
     settled = staged(verified(documents, first, near_hubs), "line-settled")
-    done, rest = first.join(settled, "k1", "left_semi"), first.join(settled, "k1", "left_anti")
-    left = paired(_smaller(entries(rest)), entries(first)).unionByName(paired(_smaller(entries(done)), entries(rest)))
+    marked = staged(first.join(settled.withColumn("settled", F.lit(True)), "k1", "left"), "line-marked")
+    done, rest = marked.filter("settled"), marked.filter("settled is null")
+    left = paired(_smaller(entries(rest)), entries(marked)).unionByName(paired(_smaller(entries(done)), entries(rest)))
+    unstage(crowd, marked)
     return settled.unionByName(verified(documents, first, left)).distinct()
 
 
