@@ -37,7 +37,7 @@ _MASK = 0xA282EAD8
 _ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a worker: at most twice as many.
-_MEMO_WORDS = 520_000
+_MEMO_WORDS = 400_000
 
 
 def _odd(text: str) -> bool:
