@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions import lexicon
+
 
 def squeezed(text: Column) -> Column:
     """PRJ3: runs of white space become one space, ends are trimmed."""
@@ -160,23 +162,52 @@ def page_title(markup: Column) -> Column:
     return squeezed(F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-_ABSTRACTS = ("Abstract", "ABSTRACT", "a b s t r a c t", "A B S T R A C T", "Summary")
-_ENDS = ("Keywords", "KEYWORDS", "Key words", "Introduction", "INTRODUCTION", "1. ", "Nomenclature", "NOMENCLATURE")
-
-
-def abstract_of(text: str | None, names: tuple[str, ...] = _ABSTRACTS, ends: tuple[str, ...] = _ENDS) -> str:
-    """PRJ9: the window after the first spelling, in the list's order, that stands early enough, cut at the earliest end."""
-    for name in names:
+def abstract_of(text: str | None, opens: tuple[str, ...] = lexicon.ABSTRACT_OPENS, ends: tuple[str, ...] = lexicon.ABSTRACT_ENDS) -> str:
+    """PRJ9: the window after the first spelling, in the list's order, that stands early enough, cut at the earliest end
+    beyond 300 characters and after the last full stop beyond 400."""
+    for name in opens:
         at = (text or "").find(name)
         if 0 < at < 12_000:
             window = text[at + len(name) : at + len(name) + 2200]
-            cuts = [k for e in ends if (k := window.find(e)) > 300]
-            window = re.sub(r"\s+", " ", window[: min(cuts, default=len(window))]).strip()[:1800]
+            cuts = [m.start() for e in ends if (m := re.search(e, window)) and m.start() > 300]
+            window = window[: min(cuts, default=len(window))][:1800]
             stop = window.rfind(". ")
-            return window[: stop + 1] if stop > 400 else window
+            return re.sub(r"\s+", " ", window[: stop + 1] if stop > 400 else window).strip()
     return ""
 
 
+def claims_of(text: str | None, patterns: tuple[str, ...] = lexicon.CLAIMS, cores: tuple[str, ...] = lexicon.CLAIM_CORES, limit: int = 40) -> list[str]:
+    """STR7, STR8: different squeezed claims of 25 to 320 characters, pattern after pattern, at most so many.
+
+    A pattern is tried on lines that hold its core only, so texts without claims cost one quick pass.
+    """
+    found: dict[str, None] = {}
+    for pattern, core in zip(patterns, cores, strict=True):
+        if re.search(core, text or "", re.IGNORECASE):
+            for line in text.split("\n"):
+                if re.search(core, line, re.IGNORECASE):
+                    for m in re.finditer(pattern, line, re.IGNORECASE):
+                        claim = re.sub(r"\s+", " ", m[0]).strip().lstrip(" .,;:")
+                        if 25 <= len(claim) <= 320:
+                            found.setdefault(claim)
+    return list(found)[:limit]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def claims(texts: pd.Series) -> pd.Series:
+    return texts.map(claims_of)
+
+
+def paper_hints(df: DataFrame, key: str, text: str) -> DataFrame:
+    """CMP1, STR3-5, STR10: identifier, year, journal and methods of each text; null where nothing is found."""
+    head, start = F.substring(F.col(text), 1, 6000), F.lower(F.substring(F.col(text), 1, 20_000))
+    found = lambda p, g: F.nullif(F.regexp_extract(head, p, g), F.lit(""))
+    year = F.coalesce(*[found(p, 1) for p in lexicon.YEAR_RULES])
+    journal = F.coalesce(*[F.when(F.contains(start, F.lit(j.lower())), F.lit(j)) for j in lexicon.JOURNALS])
+    methods = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(name)) for name, p in lexicon.METHODS.items()]))
+    return df.select(key, F.regexp_replace(found(lexicon.DOI, 0), "[.,;]+$", "").alias("doi"), year.alias("year"), journal.alias("journal"), methods.alias("methods"))
+
+
 @F.pandas_udf(T.StringType())
 def abstracts(texts: pd.Series) -> pd.Series:
     return texts.map(abstract_of)

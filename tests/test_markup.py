@@ -45,3 +45,12 @@ def test_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ['{"id":"01","kind":"pdf"}', '{"id":"02","kind":"none"}']
     files.write_texts(spark.createDataFrame([("k", "body")], "k string, t string"), "k", "t", f"{tmp_path}/texts")
     assert spark.read.text(f"{tmp_path}/texts/k=k").first().value == "body"
+
+
+def test_paper_hints(spark):
+    body = "Engineering Optimization, VOL. 53, NO. 7, JULY 2023\nhttps://doi.org/10.1016/j.ast.2021.106.\nAccepted 2 May 2022. Kriging and expected improvement cut the cost.\n"
+    r = text.paper_hints(spark.createDataFrame([(1, body), (2, None), (3, "")], "k int, t string"), "k", "t").orderBy("k").collect()
+    assert (r[0].doi, r[0].year, r[0].journal) == ("10.1016/j.ast.2021.106", "2023", "Engineering Optimization")
+    assert r[0].methods == ["Kriging / Gaussian process", "Expected improvement (EI)"] and r[2].doi is None and r[2].methods == []
+    claim = "The loss was reduced by 4.5% against the baseline."
+    assert text.claims_of("x\n" + claim + " " + claim) == [claim, "The loss was reduced by 4."] and text.claims_of(None) == []
