@@ -187,7 +187,9 @@ def verified(documents: DataFrame, first: DataFrame, found: DataFrame, broadcast
     least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least"))
     done = compared(least.select("k", "least.e"))
     rest = edges.join(done.withColumnRenamed("k1", "k"), "k", "left_anti").join(least.select("k", F.col("least.e").alias("e")), ["k", "e"], "left_anti")
-    return done.unionByName(compared(rest.select("k", "e"))).distinct()
+    more = compared(rest.select("k", "e"))
+    unstage(edges, texts)
+    return done.unionByName(more).distinct()
 
 
 def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFrame:
@@ -235,7 +237,10 @@ def removals(documents: DataFrame) -> DataFrame:
         F.collect_set(F.when(gone, F.col("line_no"))).alias("removed"),
         F.collect_set(F.when(F.col("n") > 0, F.col("line_no"))).alias("filled"),
     )
-    return per.select(*_ID, "copies", F.expr("rows div copies").alias("n_lines"), F.array_sort("removed").alias("removed"), F.array_sort("filled").alias("filled"))
+    out = per.select(*_ID, "copies", F.expr("rows div copies").alias("n_lines"), F.array_sort("removed").alias("removed"), F.array_sort("filled").alias("filled"))
+    out = staged(out, "line-removals")
+    unstage(found, first)
+    return out
 
 
 def clean(documents: DataFrame) -> DataFrame:

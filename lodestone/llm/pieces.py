@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import slices, table
 
 MARK = "▁"
-_MEMO = 500_000
+_MEMO = 250_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
