@@ -5,11 +5,18 @@ the Jaccard similarity of their tokens is at least THRESHOLD (a ratio of whole n
 are in the order of (doc_id, hash of the text, line number), null ids first; a line is removed if any
 earlier line matches it, in the same document or another one. Lines without tokens stay.
 
-Lines with equal tokens form a class, whose first line stands for it; classes alone are joined. Tokens are
-in a fixed order, rare ones first: the count of each of BUCKETS hash buckets over all lines ranks them (an
-array of constant size, read as a scalar subquery), so every line's order agrees whatever the collisions.
-A class is entered under the tokens of its prefix, as many as two matching classes can't both avoid; pairs
-that share one pass the length and positional filters, and what is left is verified on whole lines.
+Texts are cut into words once; the words' hashes are kept for two passes, one that counts them and one that
+orders them. Lines with equal tokens form a class, whose first line stands for it; classes alone are joined.
+Tokens are in a fixed order, rare ones first: the count of each of BUCKETS hash buckets over all lines ranks
+them (an array of constant size, read as a scalar subquery), so every line's order agrees whatever the
+collisions. A class is entered under the tokens of its prefix, as many as two matching classes can't both
+avoid. Where over LARGE classes share a token, they are entered under pairs of that token and a later one of
+their prefix, which is longer by one then: matching classes share a second token there too. Pairs of classes
+pass the length and positional filters and the parities' bound, and what is left is verified on whole lines.
+
+Groups that stay large hold many copies of a line: in ROUNDS rounds each unsettled class of such a group is
+compared with one class, the earliest of its groups' earliest ones. Classes found to match an earlier one are
+settled; settled classes needn't be compared with each other, so copies aren't paired with copies.
 
 Null and empty texts have one line without tokens, and stay. Of repeated rows the first is treated as any
 document; the others lose all lines with tokens. Other columns pass through.
@@ -26,19 +33,21 @@ from lodestone.llm.common import staged, table, unstage
 
 #: Jaccard similarity from which lines match, as a ratio of whole numbers.
 THRESHOLD = (4, 5)
-_BITS = 20
+_BITS, _LOW = 22, 11
 BUCKETS = 1 << _BITS
 #: A token's number has its bucket's class above so many bits of its hash.
 _HASH_BITS = 57
-#: Places of candidate lines are broadcast while they are at most so many, else joined by shuffle.
+#: Places of candidate lines and keys of large groups are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Groups of more classes that share a token are thinned before they are paired; results don't depend on it.
+#: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS.
 LARGE = 256
 PART = 16
+ROUNDS = 2
 PASSES = 4
 #: Lines of more tokens have parities of 512 bits in place of 64.
 LONG = 60
 _ID = ["doc_id", "key"]
+_PLACE = [*_ID, "line_no"]
 
 
 def tokens(line: Column) -> Column:
@@ -50,28 +59,36 @@ def _lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
+def hashed(documents: DataFrame) -> DataFrame:
+    """One row per line: doc_id, key, line_no and h, the hashes of its tokens."""
+    text = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\f\r", F.coalesce("text", F.lit("")))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
+    words = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))  # noqa: PLW0108
+    return rows.select(*_PLACE, F.array_remove(words, F.xxhash64(F.lit(""))).alias("h"))
+
+
 def _bucket(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - _BITS).cast("int")
 
 
-def rarity(documents: DataFrame) -> DataFrame:
-    """One row with one array: the class of each bucket, twice the binary logarithm of its token occurrences."""
-    words = _lines(documents).select(F.explode(tokens(F.col("line"))).alias("w"))
-    counted = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n"))
-    every = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counted, "b", "left")
-    level = F.least(F.floor(2 * F.log2(F.coalesce("n", F.lit(0)) + 1)), F.lit(63)).cast("long")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", level.alias("level")))), lambda x: F.shiftleft(x["level"], _HASH_BITS)).alias("levels"))
+def rarity(found: DataFrame) -> DataFrame:
+    """One row with one array: the class of each bucket, twice the binary logarithm of the number of lines with its tokens."""
+    every = found.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    counted = found.select(F.explode("h").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n"))
+    level = F.least(F.floor(2 * F.log2(F.sum("n") + 1)), F.lit(63)).cast("tinyint")
+    levels = counted.unionByName(every).groupBy("b").agg(level.alias("level"))
+    rows = levels.groupBy(F.shiftright("b", _LOW).alias("high")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "level"))), lambda x: x["level"]).alias("part"))
+    return rows.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("high", "part"))), lambda x: x["part"])).alias("levels"))
 
 
-def _ordered(line: Column, levels: Column) -> Column:
+def _ordered(h: Column, levels: Column) -> Column:
     """The tokens as numbers, one for each token's hash, rare ones first."""
 
     def number(h: Column, r: Column) -> Column:
-        return F.element_at(r, _bucket(h) + 1).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        level = F.coalesce(F.get(r, _bucket(h)).cast("long"), F.lit(0).cast("long"))
+        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    hashes = F.transform(tokens(line), lambda w: F.xxhash64(w))  # noqa: PLW0108
-    found = F.transform(F.array(levels), lambda r: F.transform(hashes, lambda h: number(h, r)))[0]
-    return F.sort_array(F.array_distinct(found))
+    return F.sort_array(F.transform(F.array(levels), lambda r: F.transform(h, lambda x: number(x, r)))[0])
 
 
 def _least(n: Column) -> Column:
@@ -86,11 +103,14 @@ def classes(documents: DataFrame) -> DataFrame:
     Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
     lines, so many tokens at least are in one of them alone.
     """
-    levels = staged(rarity(documents), "line-rarity")
-    lines = _lines(documents).withColumn("levels", levels.scalar())
-    found = lines.select(*_ID, "line_no", _ordered(F.col("line"), F.col("levels")).alias("all"))
-    found = found.select(*_ID, "line_no", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"), F.when(F.size("all") >= LONG * THRESHOLD[0] // THRESHOLD[1], F.array(*[_parity(part=k) for k in range(8)])).alias("q"))
-    return found.select(*_ID, "line_no", "k1", "k2", "n", "p", "q", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 1).otherwise(0)).alias("prefix"))
+    found = staged(hashed(documents), "line-hashes")
+    levels = staged(rarity(found), "line-rarity")
+    rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, _ordered(F.col("h"), F.col("levels")).alias("all"))
+    wide = F.when(F.size("all") >= LONG * THRESHOLD[0] // THRESHOLD[1], F.array(*[_parity(part=k) for k in range(8)]))
+    rows = rows.select(*_PLACE, F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"), wide.alias("q"))
+    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "q", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
+    unstage(found, levels)
+    return out
 
 
 def _parity(part: int | None = None) -> Column:
@@ -103,7 +123,7 @@ def _parity(part: int | None = None) -> Column:
 
 def heads(found: DataFrame) -> DataFrame:
     """One row per class of lines with tokens: the place of its first line, n, prefix and parities."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_ID, "line_no", "n", "p", "prefix", "q")).alias("first"))
+    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "prefix", "q")).alias("first"))
     return first.select("k1", "k2", "first.*")
 
 
@@ -113,27 +133,55 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(down / up)) - 1e-9).cast("int")
 
 
-def entries(first: DataFrame) -> DataFrame:
-    """A row per class and prefix token; classes of fewer tokens than THRESHOLD's first number match no other."""
-    return first.filter(F.col("n") >= THRESHOLD[0]).select("k1", "n", "p", "q", _band(F.col("n")).alias("band"), F.posexplode("prefix").alias("at", "token"))
+def _reach(smaller: bool) -> Column:
+    """The length of the prefix that a class needs as the larger of a pair, or as the smaller."""
+    up, down = THRESHOLD
+    return (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int") if smaller else F.col("n") - _least(F.col("n")) + 1
+
+
+def entries(first: DataFrame, smaller: bool = False) -> DataFrame:
+    """A row per class and prefix token, (g, k1, n, at, p, q, rest): g names the token and the band of sizes.
+
+    As the smaller of a pair a class has a shorter prefix and is in two bands of the larger. rest: the tokens
+    that may be the second one that it shares. Classes of fewer tokens than THRESHOLD's first number match no other.
+    """
+    some = first.filter(F.col("n") >= THRESHOLD[0]).withColumn("reach", _reach(smaller)).withColumn("band", _band(F.col("n")))
+    if smaller:
+        some = some.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    rows = some.select("k1", "n", "p", "q", "band", "reach", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    return rows.select(F.xxhash64("token", "band").alias("g"), "k1", "n", "at", "p", "q", F.expr("slice(prefix, at + 2, reach - at)").alias("rest"))
+
+
+def _split(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Entries of large groups entered under pairs instead: g of both tokens, the second's place less one."""
+    if large is None:
+        return rows.select("g", "k1", "n", "at", "p", "q", F.lit(False).alias("pair"))
+    marked = rows.join(large.withColumn("pair", F.lit(True)), "g", "left").withColumn("pair", F.coalesce("pair", F.lit(False)))
+    keys = F.when(F.col("pair"), F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at")))).otherwise(F.array(F.struct("g", "at")))
+    return marked.select("k1", "n", "p", "q", "pair", F.explode(keys).alias("e")).select("e.g", "k1", "n", "e.at", "p", "q", "pair")
 
 
 def _side(rows: DataFrame, side: str, long: bool) -> DataFrame:
-    """What is shuffled of a row: the hash of its token and band, its class, parities, and size and place in one number."""
+    """What is shuffled of a row: its group, its class, parities, and size and place in one number."""
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
     odd = [F.get("q", F.lit(k)).alias(f"q{k}_{side}") for k in range(8)] if long else [F.col("p").alias(f"p_{side}")]
-    return rows.select(F.xxhash64("token", "band").alias("t"), F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), *odd)
+    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), *odd)
 
 
-def _smaller(rows: DataFrame) -> DataFrame:
-    """Rows as the smaller class of a pair: its first n - ceil(2t n / (1 + t)) + 1 tokens, in two bands of the larger."""
+def _possible(a: str, b: str, long: bool) -> Column:
+    """The length and positional filters and the parities' bound, of a pair of _side rows."""
     up, down = THRESHOLD
-    few = rows.filter(F.col("at") <= F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}"))
-    return few.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in (a, b))
+    at_a, at_b = (F.col(f"s_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b))
+    near = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
+    enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
+    names = [f"q{k}" for k in range(8)] if long else ["p"]
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in names])
+    return near & (apart * (up + down) <= (n_a + n_b) * (down - up)) & enough
 
 
 def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """Pairs (k_a, k_b) with n_a <= n_b that share a token and pass the length, positional and parity filters.
+    """Pairs (k_a, k_b) with n_a <= n_b that are in one group and pass the filters.
 
     Pairs whose larger class has over LONG tokens are joined apart, with parities of more bits.
     """
@@ -143,78 +191,119 @@ def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
     out = []
     for few, many, wide in sides:
         n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in "ab")
-        at_a, at_b = (F.col(f"s_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in "ab")
         order = (n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))
-        near = n_a * down >= n_b * up
-        enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-        names = [f"q{k}" for k in range(8)] if wide else ["p"]
-        apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names])
-        alike = apart * (up + down) <= (n_a + n_b) * (down - up)
-        out.append(_side(few, "a", wide).join(_side(many, "b", wide), "t").filter(order & near & alike & enough).select("k_a", "k_b"))
+        out.append(_side(few, "a", wide).join(_side(many, "b", wide), "g").filter(order & _possible("a", "b", wide)).select("k_a", "k_b"))
     return out[0].unionByName(out[1])
 
 
-def paired(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """pairs() in PASSES over as many shares of the tokens: no more than one share's rows are in shuffle files at once."""
-    share = F.pmod(F.xxhash64("token"), F.lit(PASSES))
-    return reduce(DataFrame.unionByName, [staged(pairs(smaller.filter(share == k), larger.filter(share == k)).distinct(), "line-pairs") for k in range(PASSES)])
+def _hint(df: DataFrame):
+    return F.broadcast if df.count() <= BROADCAST_ROWS else (lambda x: x)
+
+
+class Words:
+    """The words of classes' first lines, read from the documents when they are asked for."""
+
+    def __init__(self, documents: DataFrame, first: DataFrame):
+        self.documents, self.first = documents, first
+
+    def same(self, edges: DataFrame) -> DataFrame:
+        """(k1) of those k of edges (k, e) whose lines match."""
+        wanted = staged(edges.select(F.explode(F.array("k", "e")).alias("k1")).distinct().join(self.first.select("k1", *_PLACE), "k1"), "line-wanted")
+        docs = wanted.groupBy(*_ID).agg(F.collect_list(F.struct("line_no", "k1")).alias("want")).withColumnsRenamed({"doc_id": "doc_", "key": "key_"})
+        hint = _hint(wanted)
+        here = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("key") == F.col("key_"))
+        texts = self.documents.select("doc_id", F.xxhash64("text").alias("key"), "text").join(hint(docs), here)
+        cut = texts.select("want", F.split("text", "\n").alias("lines")).select(F.explode("want").alias("w"), "lines").select("w.k1", F.get("lines", F.col("w.line_no")).alias("line"))
+        words = staged(cut.dropDuplicates(["k1"]).select("k1", F.array_distinct(tokens(F.col("line"))).alias("all")), "line-words")
+        both = edges.join(words.withColumnsRenamed({"k1": "k", "all": "a"}), "k").join(words.withColumnsRenamed({"k1": "e", "all": "b"}), "e")
+        up, down = THRESHOLD
+        found = staged(both.filter(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.size("a") + F.size("b")) * up).select(F.col("k").alias("k1")).distinct(), "line-same")
+        unstage(wanted, words)
+        return found
 
 
-def verified(documents: DataFrame, first: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Of candidate pairs (k_a, k_b) the later classes of those that match, by comparing the lines' words.
+def verified(words: Words, found: DataFrame) -> DataFrame:
+    """Of candidate pairs (k_a, k_b) the later classes of those that match.
 
     Each class is compared with its earliest candidate first; only where that doesn't match with the others
     that come before it.
     """
-    places = first.select("k1", F.struct(*_ID, "line_no").alias("place"))
+    places = words.first.select("k1", F.struct(*_PLACE).alias("place"))
     a, b = (places.withColumnsRenamed({"k1": f"k_{x}", "place": f"at_{x}"}) for x in "ab")
     ends = found.distinct().join(a, "k_a").join(b, "k_b")
-    swap = F.col("at_a") < F.col("at_b")
-    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    pick = lambda x, y: F.when(F.col("at_a") < F.col("at_b"), F.col(x)).otherwise(F.col(y))
     edges = staged(ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e")), "line-candidates")
-    wanted = staged(edges.select(F.explode(F.array("k", "e")).alias("k1")).distinct().join(first.select("k1", *_ID, "line_no"), "k1"), "line-wanted")
-    wanted = wanted.withColumnsRenamed({"doc_id": "doc_", "key": "key_", "line_no": "line_"})
-    hint = F.broadcast if wanted.count() <= broadcast_rows else (lambda df: df)
-    place = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.col("key") == F.col("key_")) & (F.col("line_no") == F.col("line_"))
-    texts = _lines(documents).join(hint(wanted), place).dropDuplicates(["k1"])
-    texts = staged(texts.select("k1", F.array_sort(F.array_distinct(tokens(F.col("line")))).alias("all")), "line-words")
-    up, down = THRESHOLD
+    least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least")).select("k", "least.e")
+    done = words.same(least)
+    rest = edges.join(done.withColumnRenamed("k1", "k"), "k", "left_anti").join(least, ["k", "e"], "left_anti")
+    more = words.same(rest.select("k", "e"))
+    unstage(edges)
+    return done.unionByName(more).distinct()
 
-    def compared(some: DataFrame) -> DataFrame:
-        both = some.join(texts.withColumnsRenamed({"k1": "k", "all": "a"}), "k").join(texts.withColumnsRenamed({"k1": "e", "all": "b"}), "e")
-        return staged(both.filter(F.size(F.array_intersect("a", "b")) * (up + down) >= (F.size("a") + F.size("b")) * up).select(F.col("k").alias("k1")).distinct(), "line-same")
 
-    least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least"))
-    done = compared(least.select("k", "least.e"))
-    rest = edges.join(done.withColumnRenamed("k1", "k"), "k", "left_anti").join(least.select("k", F.col("least.e").alias("e")), ["k", "e"], "left_anti")
-    more = compared(rest.select("k", "e"))
-    unstage(edges, texts)
-    return done.unionByName(more).distinct()
+def _large(rows: DataFrame, large: int, part: int) -> DataFrame | None:
+    """The groups (g) of more than so many classes, judged by one class in part; None if there are none."""
+    some = rows.filter(F.pmod("k1", F.lit(part)) == 0).groupBy("g").agg(F.count("*").alias("size"))
+    found = staged(some.filter(F.col("size") * part > large).select("g"), "line-groups")
+    if found.isEmpty():
+        return None
+    return _hint(found)(found)
 
 
-def later(documents: DataFrame, first: DataFrame, large: int = LARGE) -> DataFrame:
-    """The classes (k1) that an earlier class matches.
+def _thinned(words: Words, crowd: DataFrame, rounds: int) -> DataFrame | None:
+    """The classes (k1) that match an earlier one, found by comparing each with one class a round.
 
-    Where over large classes share a token, all are first compared with those of the group's earliest document.
-    Classes settled so needn't be compared with each other, so a group of near copies isn't paired with itself.
+    crowd: entries of large groups with place, the class's place. A group's first class is its hub; of the hubs
+    of a class that pass the filters the earliest is compared with it. Settled classes are no hubs later on.
     """
-    rows = entries(first)
-    # One class in PART is enough to see which groups are large; all classes of those are then thinned.
-    some = rows.filter(F.col("k1").bitwiseAND(F.lit(PART - 1)) == 0).groupBy("token", "band").agg(F.count("*").alias("size"))
-    groups = staged(some.filter(F.col("size") * PART > large).select("token", "band"), "line-groups")
-    if groups.isEmpty():
-        return verified(documents, first, paired(_smaller(rows), rows))
-    docs = first.select("k1", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"))
-    crowd = staged(rows.join(groups, ["token", "band"]).join(docs, "k1"), "line-crowd")
-    hubs = crowd.groupBy("token", "band").agg(F.min("doc").alias("doc")).join(crowd, ["token", "band", "doc"]).drop("doc")
-    members = crowd.drop("doc")
-    near_hubs = pairs(_smaller(hubs), members).unionByName(pairs(_smaller(members), hubs))
-    settled = staged(verified(documents, first, near_hubs), "line-settled")
-    marked = staged(first.join(settled.withColumn("settled", F.lit(True)), "k1", "left"), "line-marked")
-    done, rest = marked.filter("settled"), marked.filter("settled is null")
-    left = paired(_smaller(entries(rest)), entries(marked)).unionByName(paired(_smaller(entries(done)), entries(rest)))
-    unstage(crowd, marked)
-    return settled.unionByName(verified(documents, first, left)).distinct()
+    settled = None
+    for _ in range(rounds):
+        open_ = crowd if settled is None else crowd.join(_hint(settled)(settled), "k1", "left_anti")
+        sides = []
+        for wide in (False, True):
+            size = F.col("n") > LONG * THRESHOLD[0] // THRESHOLD[1] if wide else F.col("n") <= LONG
+            hubs = open_.filter(size).groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "p", "q", "place"), "place").alias("hub"))
+            hubs = hubs.select("g", "hub.*")
+            left = _side(open_.filter(size), "a", wide)
+            right = _side(hubs, "b", wide).join(hubs.select("g", "place"), "g")
+            sides.append(left.join(right, "g").filter((F.col("k_a") != F.col("k_b")) & _possible("a", "b", wide)).select(F.col("k_a").alias("k"), "place", F.col("k_b").alias("e")))
+        best = sides[0].unionByName(sides[1]).groupBy("k").agg(F.min(F.struct("place", "e")).alias("hub"))
+        edges = staged(best.select("k", "hub.e"), "line-hubs")
+        found = words.same(edges)
+        settled = found if settled is None else staged(settled.unionByName(found), "line-settled")
+    return settled
+
+
+def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
+    """The classes (k1) that an earlier class matches."""
+    first = words.first
+    part = PART if large >= PART else 1
+    rows, few = entries(first), entries(first, smaller=True)
+    crowded = _large(rows, large, part)
+    settled = None
+    if crowded is not None:
+        paired = _split(rows, crowded).filter("pair")
+        still = _large(paired, large, part)
+        if still is not None:
+            places = first.select("k1", F.struct(*_PLACE).alias("place"))
+            crowd = staged(paired.join(still, "g").join(places, "k1"), "line-crowd")
+            settled = _thinned(words, crowd, rounds)
+            unstage(crowd)
+    share = F.pmod(F.xxhash64("g"), F.lit(PASSES))
+    out = []
+    if settled is None:
+        sides = [(few, rows)]
+    else:
+        marked = staged(first.join(settled.withColumn("settled", F.lit(True)), "k1", "left"), "line-marked")
+        done, rest = marked.filter("settled"), marked.filter("settled is null")
+        sides = [(entries(rest, smaller=True), entries(marked)), (entries(done, smaller=True), entries(rest))]
+    # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
+    for k in range(PASSES):
+        found = [pairs(_split(a, crowded).filter(share == k), _split(b, crowded).filter(share == k)) for a, b in sides]
+        out.append(staged(reduce(DataFrame.unionByName, found).distinct(), "line-pairs"))
+    more = verified(words, reduce(DataFrame.unionByName, out))
+    unstage(*out)
+    return more if settled is None else more.unionByName(settled).distinct()
 
 
 def removals(documents: DataFrame) -> DataFrame:
@@ -223,11 +312,11 @@ def removals(documents: DataFrame) -> DataFrame:
     removed: lines that an earlier line matches. filled: all lines with tokens. Each of the copies after the
     first loses the filled ones.
     """
-    every = staged(classes(documents), "line-classes")
+    every = classes(documents)
     first = staged(heads(every), "line-heads")
     found = staged(every.drop("prefix", "p", "q"), "line-places")
     unstage(every)
-    matched = staged(later(documents, first), "line-later").withColumn("later", F.lit(True))
+    matched = staged(later(Words(documents, first)), "line-later").withColumn("later", F.lit(True))
     known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")
     lines = found.select(*_ID, "line_no", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
     gone = (F.col("n") > 0) & (F.coalesce("later", F.lit(False)) | ~F.col("at").eqNullSafe(F.struct(*_ID, "line_no")))

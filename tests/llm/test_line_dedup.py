@@ -44,11 +44,11 @@ def write(spark, tmp_path, docs):
     spark.createDataFrame([(*d, "z", 1) for d in docs], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
 
 
-@pytest.mark.parametrize("large,rows", [(256, 400_000), (0, 400_000), (256, 0)])
-def test_equals_brute_force(spark, tmp_path, monkeypatch, large, rows):
-    monkeypatch.setattr(ld.later, "__defaults__", (large,))
+@pytest.mark.parametrize("large,rounds,rows", [(256, 2, 400_000), (0, 2, 400_000), (4, 1, 400_000), (0, 0, 0)])
+def test_equals_brute_force(spark, tmp_path, monkeypatch, large, rounds, rows):
+    monkeypatch.setattr(ld.later, "__defaults__", (large, rounds))
     monkeypatch.setattr(ld, "LONG", 60 if large else 10)
-    monkeypatch.setattr(ld.verified, "__defaults__", (rows,))
+    monkeypatch.setattr(ld, "BROADCAST_ROWS", rows)
     docs = sample()
     write(spark, tmp_path, docs)
     assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
