@@ -43,9 +43,7 @@ BROADCAST_ROWS = 200_000
 LARGE = 256
 PART = 16
 ROUNDS = 2
-PASSES = 4
-#: Lines of more tokens have parities of 512 bits in place of 64.
-LONG = 60
+PASSES = 2
 _ID = ["doc_id", "key"]
 _PLACE = [*_ID, "line_no"]
 
@@ -106,19 +104,16 @@ def classes(documents: DataFrame) -> DataFrame:
     found = staged(hashed(documents), "line-hashes")
     levels = staged(rarity(found), "line-rarity")
     rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, _ordered(F.col("h"), F.col("levels")).alias("all"))
-    wide = F.when(F.size("all") >= LONG * THRESHOLD[0] // THRESHOLD[1], F.array(*[_parity(part=k) for k in range(8)]))
-    rows = rows.select(*_PLACE, F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"), wide.alias("q"))
+    rows = rows.select(*_PLACE, F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity(0).alias("p"), _parity(1).alias("q"))
     out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "q", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
     unstage(found, levels)
     return out
 
 
-def _parity(part: int | None = None) -> Column:
-    """The parity of all tokens, or of those whose number has a part's three bits."""
+def _parity(part: int) -> Column:
+    """The parity of the tokens whose number has a bit."""
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    if part is None:
-        return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
-    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(448)) == 64 * part, acc.bitwiseXOR(bit(v))).otherwise(acc))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(64)) == 64 * part, acc.bitwiseXOR(bit(v))).otherwise(acc))
 
 
 def heads(found: DataFrame) -> DataFrame:
@@ -127,73 +122,53 @@ def heads(found: DataFrame) -> DataFrame:
     return first.select("k1", "k2", "first.*")
 
 
-def _band(n: Column) -> Column:
-    """Matching classes are in the same band of sizes or in neighbouring ones."""
-    up, down = THRESHOLD
-    return F.floor(F.log(n) / F.log(F.lit(down / up)) - 1e-9).cast("int")
-
-
-def _reach(smaller: bool) -> Column:
-    """The length of the prefix that a class needs as the larger of a pair, or as the smaller."""
-    up, down = THRESHOLD
-    return (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int") if smaller else F.col("n") - _least(F.col("n")) + 1
-
-
-def entries(first: DataFrame, smaller: bool = False) -> DataFrame:
-    """A row per class and prefix token, (g, k1, n, at, p, q, rest): g names the token and the band of sizes.
+def entries(first: DataFrame) -> DataFrame:
+    """A row per class and prefix token, (g, k1, n, at, few, p, q, rest): g names the token.
 
-    As the smaller of a pair a class has a shorter prefix and is in two bands of the larger. rest: the tokens
-    that may be the second one that it shares. Classes of fewer tokens than THRESHOLD's first number match no other.
+    few: whether the place is in the shorter prefix that a class needs as the smaller of a pair. rest: the tokens
+    that may be the second one that it shares, up to one more than the prefix. Classes of fewer tokens than
+    THRESHOLD's first number match no other.
     """
-    some = first.filter(F.col("n") >= THRESHOLD[0]).withColumn("reach", _reach(smaller)).withColumn("band", _band(F.col("n")))
-    if smaller:
-        some = some.withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
-    rows = some.select("k1", "n", "p", "q", "band", "reach", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
-    return rows.select(F.xxhash64("token", "band").alias("g"), "k1", "n", "at", "p", "q", F.expr("slice(prefix, at + 2, reach - at)").alias("rest"))
+    up, down = THRESHOLD
+    some = first.filter(F.col("n") >= up).withColumn("reach", F.col("n") - _least(F.col("n")) + 1)
+    some = some.withColumn("short", (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int"))
+    rows = some.select("k1", "n", "p", "q", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "q", "short", F.expr("slice(prefix, at + 2, reach - at)").alias("rest"))
 
 
 def _split(rows: DataFrame, large: DataFrame | None) -> DataFrame:
     """Entries of large groups entered under pairs instead: g of both tokens, the second's place less one."""
     if large is None:
-        return rows.select("g", "k1", "n", "at", "p", "q", F.lit(False).alias("pair"))
+        return rows.select("g", "k1", "n", "at", "few", "p", "q", F.lit(False).alias("pair"))
     marked = rows.join(large.withColumn("pair", F.lit(True)), "g", "left").withColumn("pair", F.coalesce("pair", F.lit(False)))
-    keys = F.when(F.col("pair"), F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at")))).otherwise(F.array(F.struct("g", "at")))
-    return marked.select("k1", "n", "p", "q", "pair", F.explode(keys).alias("e")).select("e.g", "k1", "n", "e.at", "p", "q", "pair")
+    both = F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at"), (F.col("few") & (F.col("at") + i < F.col("short"))).alias("few")))
+    keys = F.when(F.col("pair"), both).otherwise(F.array(F.struct("g", "at", "few")))
+    return marked.select("k1", "n", "p", "q", "pair", F.explode(keys).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "q", "pair")
 
 
-def _side(rows: DataFrame, side: str, long: bool) -> DataFrame:
-    """What is shuffled of a row: its group, its class, parities, and size and place in one number."""
-    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
-    odd = [F.get("q", F.lit(k)).alias(f"q{k}_{side}") for k in range(8)] if long else [F.col("p").alias(f"p_{side}")]
-    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), *odd)
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    """What is shuffled of a row: its group, its class, parities, and whether it may be the smaller, size and place in one number."""
+    size = F.shiftleft(F.col("few").cast("long"), 60).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 30)).bitwiseOR(F.col("at").cast("long"))
+    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"), F.col("q").alias(f"q_{side}"))
 
 
-def _possible(a: str, b: str, long: bool) -> Column:
-    """The length and positional filters and the parities' bound, of a pair of _side rows."""
+def _possible(smaller: bool) -> Column:
+    """The length and positional filters and the parities' bound, of a pair of _side rows; smaller: a is the smaller of the two."""
     up, down = THRESHOLD
-    n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in (a, b))
-    at_a, at_b = (F.col(f"s_{x}").bitwiseAND(F.lit((1 << 32) - 1)) for x in (a, b))
+    low = F.lit((1 << 30) - 1)
+    n_a, n_b = (F.shiftright(f"s_{x}", 30).bitwiseAND(low) for x in "ab")
+    at_a, at_b = (F.col(f"s_{x}").bitwiseAND(low) for x in "ab")
     near = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
     enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-    names = [f"q{k}" for k in range(8)] if long else ["p"]
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in names])
-    return near & (apart * (up + down) <= (n_a + n_b) * (down - up)) & enough
-
+    apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
+    alike = apart * (up + down) <= (n_a + n_b) * (down - up)
+    order = (F.shiftright("s_a", 60) == 1) & ((n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))) if smaller else F.col("k_a") != F.col("k_b")
+    return order & near & alike & enough
 
-def pairs(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-    """Pairs (k_a, k_b) with n_a <= n_b that are in one group and pass the filters.
 
-    Pairs whose larger class has over LONG tokens are joined apart, with parities of more bits.
-    """
-    up, down = THRESHOLD
-    short, long = F.col("n") <= LONG, F.col("n") > LONG
-    sides = [(smaller.filter(short), larger.filter(short), False), (smaller.filter(F.col("n") >= LONG * up // down), larger.filter(long), True)]
-    out = []
-    for few, many, wide in sides:
-        n_a, n_b = (F.shiftright(f"s_{x}", 32) for x in "ab")
-        order = (n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))
-        out.append(_side(few, "a", wide).join(_side(many, "b", wide), "g").filter(order & _possible("a", "b", wide)).select("k_a", "k_b"))
-    return out[0].unionByName(out[1])
+def pairs(some: DataFrame, every: DataFrame) -> DataFrame:
+    """Pairs (k_a, k_b) with n_a <= n_b of rows of one group, one of each side, that pass the filters."""
+    return _side(some, "a").join(_side(every, "b"), "g").filter(_possible(True)).select("k_a", "k_b")
 
 
 def _hint(df: DataFrame):
@@ -222,8 +197,8 @@ class Words:
         return found
 
 
-def verified(words: Words, found: DataFrame) -> DataFrame:
-    """Of candidate pairs (k_a, k_b) the later classes of those that match.
+def verified(words: Words, found: DataFrame, settled: DataFrame | None) -> DataFrame:
+    """Of candidate pairs (k_a, k_b) the later classes, settled ones aside, of those that match.
 
     Each class is compared with its earliest candidate first; only where that doesn't match with the others
     that come before it.
@@ -232,7 +207,10 @@ def verified(words: Words, found: DataFrame) -> DataFrame:
     a, b = (places.withColumnsRenamed({"k1": f"k_{x}", "place": f"at_{x}"}) for x in "ab")
     ends = found.distinct().join(a, "k_a").join(b, "k_b")
     pick = lambda x, y: F.when(F.col("at_a") < F.col("at_b"), F.col(x)).otherwise(F.col(y))
-    edges = staged(ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e")), "line-candidates")
+    edges = ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e"))
+    if settled is not None:
+        edges = edges.join(_hint(settled)(settled.withColumnRenamed("k1", "k")), "k", "left_anti")
+    edges = staged(edges, "line-candidates")
     least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least")).select("k", "least.e")
     done = words.same(least)
     rest = edges.join(done.withColumnRenamed("k1", "k"), "k", "left_anti").join(least, ["k", "e"], "left_anti")
@@ -258,19 +236,14 @@ def _thinned(words: Words, crowd: DataFrame, rounds: int) -> DataFrame | None:
     """
     settled = None
     for _ in range(rounds):
-        open_ = crowd if settled is None else crowd.join(_hint(settled)(settled), "k1", "left_anti")
-        sides = []
-        for wide in (False, True):
-            size = F.col("n") > LONG * THRESHOLD[0] // THRESHOLD[1] if wide else F.col("n") <= LONG
-            hubs = open_.filter(size).groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "p", "q", "place"), "place").alias("hub"))
-            hubs = hubs.select("g", "hub.*")
-            left = _side(open_.filter(size), "a", wide)
-            right = _side(hubs, "b", wide).join(hubs.select("g", "place"), "g")
-            sides.append(left.join(right, "g").filter((F.col("k_a") != F.col("k_b")) & _possible("a", "b", wide)).select(F.col("k_a").alias("k"), "place", F.col("k_b").alias("e")))
-        best = sides[0].unionByName(sides[1]).groupBy("k").agg(F.min(F.struct("place", "e")).alias("hub"))
+        left = crowd if settled is None else crowd.join(_hint(settled)(settled), "k1", "left_anti")
+        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "q", "place"), "place").alias("hub")).select("g", "hub.*")
+        met = _side(left, "a").join(_side(hubs, "b").join(hubs.select("g", "place"), "g"), "g").filter(_possible(False))
+        best = met.groupBy(F.col("k_a").alias("k")).agg(F.min(F.struct("place", F.col("k_b").alias("e"))).alias("hub"))
         edges = staged(best.select("k", "hub.e"), "line-hubs")
         found = words.same(edges)
         settled = found if settled is None else staged(settled.unionByName(found), "line-settled")
+        unstage(edges)
     return settled
 
 
@@ -278,30 +251,27 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """The classes (k1) that an earlier class matches."""
     first = words.first
     part = PART if large >= PART else 1
-    rows, few = entries(first), entries(first, smaller=True)
+    rows = entries(first)
     crowded = _large(rows, large, part)
-    settled = None
+    still = settled = hot = None
     if crowded is not None:
-        paired = _split(rows, crowded).filter("pair")
-        still = _large(paired, large, part)
-        if still is not None:
-            places = first.select("k1", F.struct(*_PLACE).alias("place"))
-            crowd = staged(paired.join(still, "g").join(places, "k1"), "line-crowd")
-            settled = _thinned(words, crowd, rounds)
-            unstage(crowd)
-    share = F.pmod(F.xxhash64("g"), F.lit(PASSES))
+        still = _large(_split(rows, crowded).filter("pair"), large, part)
+    if still is not None:
+        places = first.select("k1", F.struct(*_PLACE).alias("place"))
+        hot = staged(_split(rows, crowded).filter("pair").join(still, "g").join(places, "k1"), "line-crowd")
+        settled = _thinned(words, hot, rounds)
     out = []
-    if settled is None:
-        sides = [(few, rows)]
-    else:
-        marked = staged(first.join(settled.withColumn("settled", F.lit(True)), "k1", "left"), "line-marked")
-        done, rest = marked.filter("settled"), marked.filter("settled is null")
-        sides = [(entries(rest, smaller=True), entries(marked)), (entries(done, smaller=True), entries(rest))]
     # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
     for k in range(PASSES):
-        found = [pairs(_split(a, crowded).filter(share == k), _split(b, crowded).filter(share == k)) for a, b in sides]
-        out.append(staged(reduce(DataFrame.unionByName, found).distinct(), "line-pairs"))
-    more = verified(words, reduce(DataFrame.unionByName, out))
+        cold = _split(rows, crowded)
+        cold = (cold if still is None else cold.join(still, "g", "left_anti")).filter(F.pmod("g", F.lit(PASSES)) == k)
+        out.append(staged(pairs(cold, cold).distinct(), "line-pairs"))
+    if hot is not None:
+        left = hot if settled is None else hot.join(_hint(settled)(settled), "k1", "left_anti")
+        # An unsettled class may be the smaller of a pair or the larger.
+        out.append(staged(pairs(left, hot).unionByName(pairs(hot, left)).distinct(), "line-pairs"))
+        unstage(hot)
+    more = verified(words, reduce(DataFrame.unionByName, out), settled)
     unstage(*out)
     return more if settled is None else more.unionByName(settled).distinct()
 

@@ -47,7 +47,6 @@ def write(spark, tmp_path, docs):
 @pytest.mark.parametrize("large,rounds,rows", [(256, 2, 400_000), (0, 2, 400_000), (4, 1, 400_000), (0, 0, 0)])
 def test_equals_brute_force(spark, tmp_path, monkeypatch, large, rounds, rows):
     monkeypatch.setattr(ld.later, "__defaults__", (large, rounds))
-    monkeypatch.setattr(ld, "LONG", 60 if large else 10)
     monkeypatch.setattr(ld, "BROADCAST_ROWS", rows)
     docs = sample()
     write(spark, tmp_path, docs)
