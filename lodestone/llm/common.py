@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.sources import table
-from lodestone.sources.staging import shared_dir, staged, unstage
+from lodestone.sources.staging import scratch, shared_dir, staged, tidy, unstage
 
-__all__ = ["crc_mod", "shared_dir", "slices", "staged", "table", "unstage"]
+__all__ = ["crc_mod", "scratch", "shared_dir", "slices", "staged", "table", "tidy", "unstage"]
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -19,8 +21,14 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that Python objects of few texts are alive at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, text: str | None = None, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and, of a text column, so many bytes (or one row), so that little is held at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        ends = np.zeros(batch.num_rows, np.int64)
+        if text is not None:
+            ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, taken = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, taken + size, "right"))))
+            yield batch.slice(at, end - at)
+            at, taken = end, int(ends[end - 1])

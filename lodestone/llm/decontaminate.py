@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged, table
+from lodestone.llm.common import staged, table, tidy
 
 SPAN, GRAM = 13, 5
 BROADCAST_ROWS = 200_000
@@ -142,6 +142,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     return documents.join(bad, documents["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(documents["text"]) == F.col("bad_key")), "left_anti")
 
 
+@tidy
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document shares with the benchmark."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

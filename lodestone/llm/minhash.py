@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, staged, table
+from lodestone.llm.common import slices, staged, table, tidy
 from lodestone.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -174,7 +174,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, set hashes (null without shingles), size, band keys, parities."""
-    for b in slices(batches, 256):
+    for b in slices(batches, 256, "text"):
         sets = shingles(b.column(1).to_pylist())
         some = [s for s in sets if len(s)]
         keys = bands(signatures(some)).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
@@ -190,7 +190,7 @@ _SIGNED = "doc_id long, h1 long, h2 long, size int, bands array<long>, parity ar
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 256):
+    for b in slices(batches, 256, "text"):
         rows = [s.tobytes() for s in shingles(b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["doc_id", "items"])
 
@@ -271,6 +271,7 @@ def dedup(documents: DataFrame, **kw) -> DataFrame:
     return first.unionByName(left.filter("doc_id is null"))
 
 
+@tidy
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of each document, and whether it is the one that stays."""
     found = groups(table(spark, sf_dir, "documents"))

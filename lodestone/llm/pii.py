@@ -115,7 +115,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int3
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    for b in slices(batches, text="text"):
         rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find(x)] for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_SPAN))], names=["doc_id", "spans"])
 
@@ -127,7 +127,7 @@ def detect(documents: DataFrame) -> DataFrame:
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    for b in slices(batches, text="text"):
         out = []
         for x in b.column(1).to_pylist():
             done, parts = 0, []
