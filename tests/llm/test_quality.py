@@ -6,25 +6,39 @@ import numpy as np
 from lodestone.llm import quality as q
 
 
-def test_pooled_features_equal_plain_windows():
+def plain(net, x):
+    """The score of one text by loops over its windows."""
+    n = max(1, -(-len(x) // q.HALF))
+    data = np.concatenate([np.frombuffer(x, np.uint8), np.zeros(n * q.HALF - len(x) + q.WIDTH, np.uint8)])
+    tops, same = [], []
+    for r in range(n):
+        tops.append(np.max([sum(net.filters[k, data[p + k]] for k in range(q.WIDTH)) for p in range(r * q.HALF, (r + 1) * q.HALF, q.STRIDE)], 0))
+        real = [p for p in range(r * q.HALF, (r + 1) * q.HALF) if data[p]]
+        same.append([sum(p >= lag and data[p] == data[p - lag] for p in real) / max(1, len(real)) for lag in q.LAGS])
+    chunks = [np.maximum(np.maximum(tops[r], tops[min(n - 1, r + 1)]) + np.maximum(same[r], same[min(n - 1, r + 1)]) @ net.lags + net.bias, 0) for r in range(n)]
+    value = np.concatenate([np.max(chunks, 0), np.mean(chunks, 0)]) @ net.out + net.base
+    return 1 / (1 + np.exp(-value))
+
+
+def test_score_equals_plain_windows_alone_batched_and_reordered(monkeypatch):
     net = q.Network(1)
+    net.out, net.bias = np.random.default_rng(2).standard_normal(2 * q.FILTERS) * 0.05, np.linspace(-0.5, 0.5, q.FILTERS).astype(np.float32)
     rnd = random.Random(4)
-    texts = [bytes(rnd.randrange(1, 255) for _ in range(n)) for n in (0, 1, 5, 511, 512, 513, 1500, 3000)] + [b"ab " * 700]
-    got = net.features(texts)
-    for x, row in zip(texts, got, strict=True):
-        n = max(1, -(-len(x) // q.HALF))
-        padded = np.frombuffer(x, np.uint8)
-        padded = np.concatenate([padded, np.zeros(n * q.HALF - len(x) + q.WIDTH, np.uint8)])
-        chunks = []
-        for c in range(n):
-            end = min(n, c + 2) * q.HALF
-            places = range(c * q.HALF, end, q.STRIDE)
-            # the last windows of a text read the padding that follows it, or the next text's first bytes
-            best = np.max([sum(net.filters[k, padded[p + k]] for k in range(q.WIDTH)) for p in places if p + q.WIDTH <= n * q.HALF], 0)
-            chunks.append(np.maximum(best + net.bias, 0))
-        want = np.max(chunks, 0)
-        assert (row[: q.FILTERS] >= want - 1e-4).all()
-        assert abs(row[: q.FILTERS] - want).max() < 1.0
+    texts = [bytes(rnd.randrange(1, 255) for _ in range(n)) for n in (0, 1, 5, 509, 511, 512, 513, 1500, 1023, 3000, 512)] + [b"ab " * 700, b"\xff" * 512]
+    alone = [net.score([x])[0] for x in texts]
+    assert np.allclose(alone, [plain(net, x) for x in texts], atol=1e-5)
+    assert net.score(texts).tolist() == alone
+    order = rnd.sample(range(len(texts)), len(texts))
+    assert net.score([texts[i] for i in order]).tolist() == [alone[i] for i in order]
+    monkeypatch.setattr(q, "_ROWS", 3)
+    assert net.score(texts).tolist() == alone
+
+
+def test_labels_of_one_kind_or_none(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (3, "c" * 2000)], "doc_id long, text string")
+    for labels, want in (([], 0.5), ([(1, 1), (2, 1), (2, 1)], 2.5 / 3), ([(1, 0), (None, 1)], 0.25), ([(8, 1), (9, 0)], 0.5)):
+        model = q.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert {r.quality_score for r in q.score(docs, model).collect()} == {want}
 
 
 def test_learns_and_scores(spark, tmp_path):
