@@ -2,21 +2,26 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is cut, from
 left to right, into the longest phrases that occur in the sample; each phrase costs log2 of the sample's
-length, and the language with the lowest cost wins (the smallest label on ties). Text is lower-cased, and
-each run of characters that aren't letters becomes one space.
-
-The whole text is parsed, in pieces of PIECE characters that each start a phrase, all pieces of a batch and
-all languages in lockstep over transition tables.
-
-The sample: at most DOCS documents per language, those with the smallest hash of their id among the learning
-rows, and at most CHARS characters of each. Everything else covers all rows. Null texts and texts without a
-letter are `und` with score 0; so is every text if there is nothing to learn from. Rows are independent.
+length, and the language with the lowest cost wins (the smallest label on ties). Text is lower-cased, each
+run of characters that aren't letters becomes one space, and automata read its UTF-8 bytes, so the letters of
+all scripts are told apart.
+
+The whole text is parsed, in pieces of PIECE bytes in lockstep over transition tables, for all languages at
+once. Each piece is parsed from its own start; then the parse of the piece before goes on into it until both
+begin a phrase at the same place, from where they agree, and the difference is settled. Where they don't meet
+within the piece the text is parsed again in one go, so phrases don't depend on pieces or batches.
+
+The sample: at most DOCS documents per language, whole, those with the smallest hash of their id among learning
+rows of at most CHARS characters (the shortest row where a language has none). Everything else covers all rows.
+Null texts and texts without a letter are `und` with score 0; so is every text if there is nothing to learn
+from. Rows are independent.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +30,20 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import crc_mod, slices, table
 
-DOCS, CHARS = 120, 400
-PIECE = 256
-#: Letters told apart, the most frequent in the sample; the rest share a class.
-LETTERS = 61
+DOCS, CHARS = 40, 1500
+PIECE = 512
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _not_letters() -> re.Pattern:
+    """Runs of what isn't a letter: also numbers that aren't decimal digits, as superscripts and fractions."""
+    points = [c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(r"[\W\d_" + "".join(points) + "]+")
 
 
 def letters_of(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", (text or "").lower())
+    return _not_letters().sub(" ", (text or "").lower())
 
 
 def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
@@ -80,22 +89,16 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.labels = sorted(samples)
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        counts.pop(" ", None)
-        kept = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        #: Class 0 is the space, 1 any other letter.
-        self.classes = np.ones(0x3000, np.uint8)
+        data = {k: x.encode("utf-8", "replace") for k, x in samples.items()}
+        #: Class 0 is the space, 1 any byte that no sample has.
+        self.classes = np.ones(256, np.uint8)
         self.classes[ord(" ")] = 0
-        for k, c in enumerate(kept):
-            if ord(c) < len(self.classes):
-                self.classes[ord(c)] = k + 2
-        self.width = LETTERS + 3
+        known = sorted(set(b"".join(data.values())) - {ord(" ")})
+        self.classes[known] = np.arange(2, len(known) + 2)
+        self.width = len(known) + 2
         tables, self.starts, at = [], [], 0
         for label in self.labels:
-            t = automaton(self.encode(samples[label]), self.width)
+            t = automaton(self.encode(data[label]), self.width)
             # One more state, in which a text starts and an unknown symbol leaves it: every symbol starts a phrase.
             out = len(t)
             t = np.vstack([t, np.full((1, self.width), -1, np.int32)])
@@ -104,36 +107,61 @@ class Model:
             self.starts.append((out + at) * self.width)
             at += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.cost = np.array([np.log2(max(2, len(samples[x]))) for x in self.labels])
+        self.cost = np.array([np.log2(max(2, len(data[x]))) for x in self.labels])
 
-    def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.classes[np.minimum(points, len(self.classes) - 1)]
+    def encode(self, data: bytes) -> np.ndarray:
+        return self.classes[np.frombuffer(data, np.uint8)]
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
+    def phrases(self, texts: list[bytes], piece: int = PIECE) -> np.ndarray:
         """The number of phrases of each text in each language."""
-        lengths = np.array([len(x) for x in texts])
-        symbols = self.encode("".join(texts))
-        pieces = -(-lengths // PIECE)
+        n_lang, lengths = len(self.labels), np.array([len(x) for x in texts])
+        symbols = self.encode(b"".join(texts))
+        pieces = -(-lengths // piece)
         of = np.repeat(np.arange(len(texts)), pieces)
-        first = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(np.cumsum(lengths) - lengths, pieces) + first * PIECE
-        sizes = np.minimum(PIECE, np.repeat(lengths, pieces) - first * PIECE)
+        n = len(of)
+        if not n:
+            return np.zeros((len(texts), n_lang))
+        first = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts = np.repeat(np.cumsum(lengths) - lengths, pieces) + first * piece
+        sizes = np.minimum(piece, np.repeat(lengths, pieces) - first * piece)
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes, of = starts[order], sizes[order], of[order]
-        n = len(starts)
+        begin, long = starts[order], sizes[order]
         state = np.repeat(np.array(self.starts, np.int32)[:, None], n, 1)
-        count = np.zeros((len(self.labels), n), np.int32)
-        active = np.searchsorted(-sizes, -np.arange(PIECE), side="left")
-        for t in range(PIECE):
-            a = active[t]
-            if not a:
-                break
-            step = self.table.take(state[:, :a] + symbols.take(starts[:a] + t)[None, :])
+        count = np.zeros((n_lang, n), np.int32)
+        #: Where a phrase begins, by language.
+        marks = np.zeros((n_lang, len(symbols)), bool)
+        active = np.searchsorted(-long, -np.arange(long[0]), side="left")
+        for t, a in enumerate(active.tolist()):
+            at = begin[:a] + t
+            step = self.table.take(state[:, :a] + symbols.take(at)[None, :])
             ended = step >> 31
+            marks[:, at] = ended
             count[:, :a] -= ended
             state[:, :a] = step ^ ended
-        return np.stack([np.bincount(of, weights=c, minlength=len(texts)) for c in count], 1) if n else np.zeros((len(texts), len(self.labels)))
+        total = np.stack([np.bincount(of[order], weights=c, minlength=len(texts)) for c in count], 1)
+        # The parse of each piece goes on into the next piece of its text.
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        on = np.flatnonzero(first[1:] > 0) if n > 1 else np.zeros(0, np.int64)
+        lang, left = np.repeat(np.arange(n_lang), len(on)), np.tile(on, n_lang)
+        now = state[lang, back[left]]
+        for t in range(piece):
+            # Where the text's last piece ends, its phrases are counted.
+            inside = t < sizes[left + 1]
+            lang, left, now = lang[inside], left[inside], now[inside]
+            if not len(left):
+                break
+            at = starts[left + 1] + t
+            step = self.table.take(now + symbols.take(at))
+            ended = step >> 31
+            there = marks[lang, at]
+            np.add.at(total, (of[left], lang), -ended - there)
+            going = ~((ended < 0) & there)
+            lang, left, now = lang[going], left[going], (step ^ ended)[going]
+        redo = np.unique(of[left])
+        if len(redo):
+            total[redo] = self.phrases([texts[i] for i in redo], int(lengths[redo].max()))
+        return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         clean = [letters_of(x) for x in texts]
@@ -141,7 +169,7 @@ class Model:
         labels, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known.any():
             rows = np.flatnonzero(known)
-            bits = self.phrases([clean[i] for i in rows]) * self.cost
+            bits = self.phrases([clean[i].encode("utf-8", "replace") for i in rows]) * self.cost
             best = bits.argmin(1)
             scores[rows] = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
             for i, k in zip(rows, best, strict=True):
@@ -151,14 +179,18 @@ class Model:
 
 def learn(labelled: DataFrame, docs: int = DOCS, chars: int = CHARS) -> Model:
     """A model of the languages of labelled (doc_id, text, lang); rows without a language or letters teach nothing."""
-    rows = labelled.filter("lang is not null").withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)))
-    many = rows.groupBy("lang").count()
-    # A row per language is broadcast. A share of each language's rows, about four times what is wanted, then the smallest hashes of those.
-    part = rows.join(F.broadcast(many), "lang").filter(F.col("h") * F.col("count") <= F.lit(float(4 * docs) * (1 << 40)))
-    part = part.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))).filter(F.col("k") <= docs)
+    size, h = F.length("text"), F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("text").alias("t"), size.alias("size"), h.alias("h"))
+    # Short rows by their hash, then the others by their length.
+    late = F.when(F.col("size") <= chars, F.lit(0)).otherwise(F.col("size"))
+    ranked = rows.withColumn("late", late).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("late", "h", "doc_id", "t")))
+    # At most docs rows a language: a side of bounded size, joined to one text of each.
+    part = ranked.filter((F.col("k") <= docs) & ((F.col("late") == 0) | (F.col("k") == 1))).select("lang", "k", F.col("doc_id").alias("doc_"), "t").withColumnRenamed("lang", "lang_")
+    same = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.xxhash64("text") == F.col("t")) & (F.col("lang") == F.col("lang_"))
+    found = labelled.select("doc_id", "lang", "text").join(F.broadcast(part), same).groupBy("lang_", "k").agg(F.min("text").alias("text")).orderBy("lang_", "k")
     sample: dict[str, list[str]] = {}
-    for r in part.select("lang", F.substring("text", 1, 4 * chars).alias("text")).orderBy("lang", "h", F.xxhash64("text")).collect():
-        sample.setdefault(r.lang, []).append(letters_of(r.text).strip()[:chars])
+    for r in found.collect():
+        sample.setdefault(r["lang_"], []).append(letters_of(r["text"]).strip())
     return Model({k: text for k, v in sample.items() if (text := " ".join(x for x in v if x))})
 
 
@@ -168,7 +200,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     docs = documents.drop("lang_pred", "lang_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024):
+        for b in slices(batches, 1024, "text"):
             labels, scores = shared.value.predict(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
 

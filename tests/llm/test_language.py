@@ -1,33 +1,44 @@
 import random
+import zlib
 
 import numpy as np
-import zlib
+import pytest
 
 from lodestone.llm import language as lg
 
 
 def plain_phrases(text, sample):
     n = 0
-    for at in range(0, len(text), lg.PIECE):
-        piece = text[at : at + lg.PIECE]
-        while piece:
-            k = 1
-            while k < len(piece) and piece[: k + 1] in sample:
-                k += 1
-            piece, n = piece[k:], n + 1
+    while text:
+        k = 1
+        while k < len(text) and text[: k + 1] in sample:
+            k += 1
+        text, n = text[k:], n + 1
     return n
 
 
-def test_lockstep_equals_plain_parsing():
+@pytest.mark.parametrize("piece", [3, 64, 512])
+def test_lockstep_equals_plain_parsing(piece):
     rnd = random.Random(1)
-    words = {x: ["".join(rnd.choice(a) for _ in range(rnd.randrange(1, 7))) for _ in range(40)] for x, a in (("aa", "abcde"), ("bb", "cdefg "), ("cc", "xyé"))}
+    words = {x: ["".join(rnd.choice(a) for _ in range(rnd.randrange(1, 7))) for _ in range(40)] for x, a in (("aa", "abcde"), ("bb", "cdefg "), ("cc", "xyé"), ("dd", "日本語中"))}
     samples = {x: " ".join(rnd.choice(w) for _ in range(120)) for x, w in words.items()}
     model = lg.Model(samples)
-    texts = [" ".join(rnd.choice(words[rnd.choice(list(words))]) for _ in range(n)) for n in (1, 3, 40, 400)] + ["a", "q", "zzz qq", "abc" * 300, samples["aa"]]
-    got = model.phrases(texts)
+    texts = [" ".join(rnd.choice(words[rnd.choice(list(words))]) for _ in range(n)) for n in (1, 3, 40, 400)] + ["a", "", "q", "zzz qq", "abc" * 300, samples["aa"], samples["dd"] * 2, "x" * 128, "日" * 100]
+    got = model.phrases([t.encode() for t in texts], piece)
     for i, t in enumerate(texts):
-        # letters outside the sample share a class that no sample has
-        assert got[i].tolist() == [plain_phrases(t, samples[x]) for x in model.labels], t
+        # bytes outside the samples share a class that no sample has
+        assert got[i].tolist() == [plain_phrases(t.encode(), samples[x].encode()) for x in model.labels], t
+
+
+def test_numbers_are_no_letters():
+    model = lg.Model({"a": "some text"})
+    assert model.predict(["½ ²", "Ⅷ①", "12 _", "é", "日"])[0] == ["und", "und", "und", "a", "a"]
+
+
+def test_long_rows_teach_only_where_there_are_no_short_ones(spark):
+    rows = [(1, "x" * 30, "a"), (2, "yy", "a"), (2, "yy", "a"), (3, "z" * 40, "b"), (4, "w" * 50, "b"), (None, None, "b"), (5, "q", None)]
+    got = lg.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=2, chars=10)
+    assert got.labels == ["a", "b"] and got.cost.tolist() == [np.log2(5), np.log2(40)]
 
 
 def test_automaton_knows_exactly_the_substrings():
