@@ -11,6 +11,9 @@ writes the shards: its commit protocol survives lost executors and works on any
 
 The index is a Parquet table (shard, position, offset, length, doc_id, n_tokens, start_in_shard, ids_crc32).
 
+Shards hold some SHARD bytes of text each, however many there are, and RECORDS records at most, so that one is
+read as a whole. The library's special tokens, written out in a text, become their ids.
+
 Null and empty texts become a record of the end id alone. Repeated doc_ids stay, in the order of their
 texts' hashes; null doc_ids are written first, as the smallest 64-bit integer.
 """
@@ -19,7 +22,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, slices, table
+from lodestone.llm.common import scratch, slices, staged, table
 
 NULL_ID = -(2**63)
 _MASK = 0xA282EAD8
@@ -38,6 +40,10 @@ _ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 _OTHER_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words kept by a worker: at most twice as many.
 _MEMO_WORDS = 400_000
+#: Bytes of text in a shard, about, and records in one file of it.
+SHARD, RECORDS = 16 << 20, 100_000
+#: Offsets of chosen records are broadcast while there are at most so many, so that no shard is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def _odd(text: str) -> bool:
@@ -80,10 +86,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        #: Their strings become their ids wherever they stand in a text, as the library does it.
+        self.special = tuple(t.content for t in self.model.get_added_tokens_decoder().values())
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: Which ids' tokens begin with the byte-level signs of a space and of a newline.
+        names = self.model.get_vocab()
+        self.first = {c: np.zeros(max(names.values()) + 1, bool) for c in (" ", "\n")}
+        for name, i in names.items():
+            for c, sign in ((" ", "\u0120"), ("\n", "\u010a")):
+                self.first[c][i] = name.startswith(sign)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
@@ -95,15 +108,29 @@ class Encoder:
             return []
         e = self.model.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(e.ids, f"<u{self.width}").tobytes()
-        ends = np.cumsum(np.bincount(np.array(e.word_ids), minlength=len(words))) * self.width
+        ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(words))) * self.width
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def _led(self, words: list[str], lead: str) -> list[bytes]:
+        """The ids of words that all begin with a space, or all with a newline, and have no other: encoded as one text.
+
+        The text is cut before each lead, so each word's ids begin where a token begins with it.
+        """
+        if not words:
+            return []
+        ids = np.array(self.model.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        starts = np.flatnonzero(self.first[lead][ids])
+        if len(starts) != len(words):
+            return self._words(words)
+        data, ends = ids.astype(f"<u{self.width}").tobytes(), [*(starts[1:] * self.width).tolist(), len(ids) * self.width]
+        return [data[a:b] for a, b in zip((starts * self.width).tolist(), ends, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.new) > _MEMO_WORDS:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         # A leading \r marks the word that nothing leads; one that a newline leads has the newline.
-        split = [None if _odd(x) else ("\r" + x.replace("\n", " \n")).split(" ") for x in texts]
+        split = [None if _odd(x) or any(t in x for t in self.special) else ("\r" + x.replace("\n", " \n")).split(" ") for x in texts]
         missing = set().union(*filter(None, split)).difference(new)
         kept = missing.intersection(old)
         new.update(zip(kept, map(old.__getitem__, kept), strict=True))
@@ -113,7 +140,11 @@ class Encoder:
         need = list((missing - stems.keys()).union(x for x in stems.values() if x not in new))
         for at in range(0, len(need), 20_000):
             part = need[at : at + 20_000]
-            new.update(zip(part, self._words([w if w[:1] == "\n" else w[1:] if w[:1] == "\r" else " " + w for w in part]), strict=True))
+            bare, lines = [w for w in part if w[:1] == "\r"], [w for w in part if w[:1] == "\n"]
+            spaced = [w for w in part if w[:1] not in ("\r", "\n")]
+            new.update(zip(bare, self._words([w[1:] for w in bare]), strict=True))
+            new.update(zip(lines, self._led(lines, "\n"), strict=True))
+            new.update(zip(spaced, self._led([" " + w for w in spaced], " "), strict=True))
         if stems:
             ends = dict(zip(",.", self._words([",", "."]), strict=True))
             new.update((w, new[x] + ends[w[-1]]) for w, x in stems.items())
@@ -130,7 +161,7 @@ def encoder(path: str) -> Encoder:
 def _frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for b in slices(batches, 1024):
+        for b in slices(batches, 1024, "text"):
             end = np.array([end_id], f"<u{encode.width}").tobytes()
             ids = encode([x or "" for x in b.column(1).to_pylist()])
             rows = [frame(NULL_ID if d is None else d, x + end, encode.width) for d, x in zip(b.column(0).to_pylist(), ids, strict=True)]
@@ -141,10 +172,11 @@ def _frames(path: str, end_id: int):
 
 def write(documents: DataFrame, tokenizer_path: str, out: str, end_id: int = 0) -> None:
     """Encode each text, append the end id and write the shards, in ascending doc_id order, under a new folder."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ordered = docs.repartitionByRange(max(1, -(-size // SHARD)), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     framed = ordered.mapInArrow(_frames(tokenizer_path, end_id), "value binary")
-    framed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    framed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).text(out)
 
 
 _INDEX = "shard string, position long, offset long, length long, doc_id long, n_tokens long, start_in_shard long, ids_crc32 long"
@@ -183,9 +215,15 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, out: str, chosen: DataFrame) -> DataFrame:
-    """(doc_id, ids) of chosen rows of the index, in any order, through their offsets."""
+    """(doc_id, ids) of chosen rows of the index, in any order, through their offsets.
+
+    While few rows are chosen their offsets are sent to the shards, of which only those asked for are read;
+    beyond that shards are joined to them by shuffle.
+    """
     wanted = chosen.groupBy("shard").agg(F.collect_list("offset").alias("at"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(out).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+    if chosen.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     return files.join(wanted, "shard").select("content", "at").mapInArrow(_picked, "doc_id long, ids array<int>")
 
 
@@ -202,7 +240,8 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and write all documents, read the files back, and give each document's place and checksum."""
     import public_tokenizers
 
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
+    with scratch(spark, "tokens") as out:
+        write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out)
+        found = staged(index(spark, out), "tokens-index", keep=True)
     doc_id = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
-    return starts(write_index(spark, out)).select(doc_id, "start", "n_tokens", "ids_crc32")
+    return starts(found).select(doc_id, "start", "n_tokens", "ids_crc32")

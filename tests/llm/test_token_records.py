@@ -17,7 +17,6 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -60,3 +59,16 @@ def test_shuffled_reads(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert tr.op9_token_records(spark, str(tmp_path)).count() == 0
+
+
+def test_shards_grow_with_the_text_and_split_a_repeated_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tr, "SHARD", 1000)
+    monkeypatch.setattr(tr, "RECORDS", 7)
+    docs = spark.createDataFrame([(5, f"text number {i} " * 20) for i in range(60)] + [(4, "x " * 9000), (6, None)], "doc_id long, text string")
+    tr.write(docs, PATH, f"{tmp_path}/t")
+    found = tr.starts(tr.write_index(spark, f"{tmp_path}/t")).collect()
+    assert len({r.shard for r in found}) > 10 and [r.doc_id for r in sorted(found, key=lambda r: r.start)] == [4, *[5] * 60, 6]
+    monkeypatch.setattr(tr, "BROADCAST_ROWS", 0)
+    index = spark.read.parquet(f"{tmp_path}/t.index")
+    got = tr.read(spark, f"{tmp_path}/t", index.filter("doc_id = 6")).collect()
+    assert [(r.doc_id, r.ids) for r in got] == [(6, [0])]
