@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file and composed with each text. The normaliser maps spaces to the
-space mark and adds one in front. The piece machine, a prefix tree over characters, maps characters to pieces;
-where no piece fits a character it maps the character to its bytes' pieces. The pair machine has a state for
-each last piece and rejects (weighs infinite) two pieces in a row that the model's merges would not leave side
-by side; all else weighs nothing but the byte fallback, which weighs one a character. The shortest path in the
-tropical semiring (sums along a path, the least over paths) then is the model's own segmentation: a sequence
-of pieces is what the merges leave exactly if every two neighbours are. Sums of the file's scores would not do
-for a model of merges: its scores are the merges' ranks, and their cheapest sum is another segmentation.
-
-Paths are searched in segments that no piece crosses (before a space mark, and at characters without pieces);
-a worker keeps the answers for recent segments. Decoding inverts the machines.
+Machines are compiled from a model file, with states and arcs (input, output, weight, next state): the normaliser
+maps a space to the space mark and puts one mark before a text; the piece machine, a prefix tree over characters,
+ends each piece with an arc back to its root that puts out the piece; the byte fallback maps a character that
+begins no piece to its bytes' pieces and weighs one. The normaliser is composed with the union of the other two,
+so the compiled machine reads text as it is. Composed with an input it gives a lattice of pieces over the input's
+places. The pair machine has a state for each last piece; it weighs nothing, or infinity for two pieces in a row
+that the model's merges would not leave side by side. The shortest path in the tropical semiring (sums along a
+path, the least over paths), searched over states (place, last piece) of the lattice composed with the pair
+machine, then is the model's own segmentation: a sequence of pieces is what the merges leave exactly if every two
+neighbours are. Sums of the file's scores would not do for a model of merges: its scores are the merges' ranks,
+and their cheapest sum is another segmentation. Decoding inverts the machines.
+
+Paths are searched in segments that no piece crosses (before a space, and at characters without pieces);
+a worker keeps the answers for recent segments.
 
 Null and empty texts have no pieces and decode to the empty text. Rows are independent; other columns pass.
 A model with a precompiled normaliser, or of another kind than merges with byte fallback, is refused.
@@ -33,7 +36,74 @@ from lodestone.llm.common import slices, table
 
 MARK = "▁"
 _MEMO = 250_000
-_RUNS = re.compile(f"{MARK}+[^{MARK}]*")
+#: Spaces and marks read alike once normalised.
+_RUNS = re.compile(f"[ {MARK}]+[^ {MARK}]*")
+_INFINITE = float("inf")
+
+
+class Transducer:
+    """A machine whose arcs are, by state and input character, (output, weight, next state); '' is the empty input or output.
+
+    Characters that a state has no arc for follow its arc for OTHER, whose output is the character itself.
+    """
+
+    OTHER = None
+
+    def __init__(self):
+        self.arcs: list[dict] = [{}]
+
+    def state(self) -> int:
+        self.arcs.append({})
+        return len(self.arcs) - 1
+
+    def add(self, state: int, read: str | None, put, weight: float, to: int) -> None:
+        self.arcs[state][read] = put, weight, to
+
+
+def normaliser() -> Transducer:
+    """One mark before the text, then spaces as marks and all else as it is."""
+    t = Transducer()
+    body = t.state()
+    t.add(0, "", MARK, 0, body)
+    t.add(body, " ", MARK, 0, body)
+    t.add(body, Transducer.OTHER, "", 0, body)
+    return t
+
+
+def piece_machine(ids: dict[str, int]) -> Transducer:
+    """The pieces' prefix tree; a piece's last state has an arc on the empty input that puts it out and goes to the root."""
+    t = Transducer()
+    for p, i in ids.items():
+        at = 0
+        for c in p:
+            found = t.arcs[at].get(c)
+            to = found[2] if found else t.state()
+            if not found:
+                t.add(at, c, "", 0, to)
+            at = to
+        t.add(at, "", i, 0, 0)
+    return t
+
+
+def with_fallback(t: Transducer, whole: set[str]) -> Transducer:
+    """The union with the byte fallback: at the root any character that is no piece of its own becomes its bytes, at weight 1."""
+    t.whole = whole
+    t.add(0, Transducer.OTHER, "bytes", 1, 0)
+    return t
+
+
+def composed(first: Transducer, then: Transducer) -> Transducer:
+    """What the body of the normaliser puts out, read by the second machine: its arcs, with the normaliser's inputs beside its own."""
+    out = Transducer()
+    out.arcs = [dict(arcs) for arcs in then.arcs]
+    body = first.arcs[0][""][2]
+    for read, (put, weight, _) in first.arcs[body].items():
+        if read is not Transducer.OTHER:
+            for arcs in out.arcs:
+                if put in arcs:
+                    more, cost, to = arcs[put]
+                    arcs[read] = more, cost + weight, to
+    return out
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -91,12 +161,9 @@ class Machine:
                 self.output.append(bytes([int(p[3:5], 16)]))
             else:
                 self.output.append(p.replace(MARK, " ").encode() if kind == normal else b"")
-        self.tree: dict = {}
-        for p, i in self.ids.items():
-            node = self.tree
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.whole = {p for p in self.ids if len(p) == 1} | ({" "} if MARK in self.ids else set())
+        self.read = composed(normaliser(), with_fallback(piece_machine(self.ids), self.whole))
+        self.lead = normaliser().arcs[0][""][0]
         inner = {c for p in self.ids if p.strip(MARK) for c in p[1:]}
         if MARK in inner:
             raise ValueError("a piece has a space mark after its first character")
@@ -117,42 +184,55 @@ class Machine:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def beside(self, left: int, right: int) -> bool:
-        """The pair machine: whether the merges leave the two pieces side by side."""
+    def beside(self, left: int, right: int) -> float:
+        """The pair machine's weight of a piece after another: nothing if the merges leave the two side by side, else infinity."""
         key = left, right
         found = self.pairs.get(key)
         if found is None:
             a, b = self.names[left], self.names[right]
-            found = self.pairs[key] = self.merged(a + b) == [a, b]
+            found = self.pairs[key] = 0 if self.merged(a + b) == [a, b] else _INFINITE
         return found
 
     def path(self, text: str) -> list[int]:
-        """The shortest path of one segment of normalised text."""
-        n, tree, pairs = len(text), self.tree, self.pairs
-        cost: list = [None] * (n + 1)
-        last: list = [None] * (n + 1)
-        start = [0] * (n + 1)
-        cost[0] = 0
+        """The shortest path of one segment: its lattice composed with the pair machine, place by place.
+
+        best[place] has for each last piece (None: bytes) the least weight and where it comes from.
+        """
+        n, arcs, pairs, root = len(text), self.read.arcs, self.pairs, self.read.arcs[0]
+        best: list[dict] = [{} for _ in range(n + 1)]
+        best[0][None] = 0, 0, None
         for s in range(n):
-            if cost[s] is None:
+            states = best[s].items()
+            if not states:
                 continue
-            node, before, here, fits = tree, last[s], cost[s], False
+            c = text[s]
+            if c not in self.whole:
+                _, weight, _ = root[Transducer.OTHER]
+                for last, (cost, _, _) in states:
+                    if None not in best[s + 1] or cost + weight < best[s + 1][None][0]:
+                        best[s + 1][None] = cost + weight, s, last
+            here = arcs[0]
             for e in range(s, n):
-                node = node.get(text[e])
-                if node is None:
+                arc = here.get(text[e])
+                if arc is None:
                     break
-                piece = node.get("")
-                if piece is not None:
-                    fits = True
-                    if (cost[e + 1] is None or here < cost[e + 1]) and (before is None or (pairs[before, piece] if (before, piece) in pairs else self.beside(before, piece))):
-                        cost[e + 1], last[e + 1], start[e + 1] = here, piece, s
-            if (not fits or text[s] not in tree) and (cost[s + 1] is None or here + 1 < cost[s + 1]):
-                cost[s + 1], last[s + 1], start[s + 1] = here + 1, None, s
+                here = arcs[arc[2]]
+                end = here.get("")
+                if end is not None:
+                    piece, weight, _ = end
+                    into = best[e + 1]
+                    for last, (cost, _, _) in states:
+                        if last is not None:
+                            cost += pairs[last, piece] if (last, piece) in pairs else self.beside(last, piece)
+                        cost += weight
+                        if cost != _INFINITE and (piece not in into or cost < into[piece][0]):
+                            into[piece] = cost, s, last
         out, e = [], n
+        last = min(best[n], key=lambda k: best[n][k][0]) if n else None
         while e:
-            s = start[e]
-            out.append([last[e]] if last[e] is not None else [self.bytes[b] for b in text[s:e].encode("utf-8", "replace")])
-            e = s
+            _, s, before = best[e][last]
+            out.append([last] if last is not None else [self.bytes[b] for b in text[s:e].encode("utf-8", "replace")])
+            e, last = s, before
         return [i for ids in reversed(out) for i in ids]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -164,20 +244,19 @@ class Machine:
         new, old = self.new, self.old
         split = []
         for x in texts:
-            marked = (x or "").replace(" ", MARK)
-            if not marked:
+            if not x:
                 split.append([])
-            elif MARK * 2 in marked or marked[0] == MARK or "\r" in marked or f"{MARK}\n" in marked or not self.newline_free:
+            elif "  " in x or MARK in x or x[0] == " " or "\r" in x or " \n" in x or not self.newline_free:
                 # A leading return marks a segment that is taken as it stands.
-                split.append(["\r" + s for s in _RUNS.findall(MARK + marked)])
+                split.append(["\r" + s for s in _RUNS.findall(self.lead + x)])
             else:
-                # Segments begin at single marks, left out here, and at newlines, which no piece holds.
-                split.append(marked.replace("\n", f"{MARK}\n").split(MARK))
+                # Segments begin at single spaces, left out here, and at newlines, which no piece holds.
+                split.append(x.replace("\n", " \n").split(" "))
         missing = set().union(*split).difference(new)
         for w in missing:
             ids = old.get(w)
             if ids is None:
-                ids = np.array(self.path(w if w[:1] == "\n" else w[1:] if w[:1] == "\r" else MARK + w), self.kind).tobytes()
+                ids = np.array(self.path(w if w[:1] == "\n" else w[1:] if w[:1] == "\r" else self.lead + w), self.kind).tobytes()
             new[w] = ids
         return [b"".join(map(new.__getitem__, words)) for words in split]
 
@@ -201,7 +280,7 @@ def encode(documents: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
-        for b in slices(batches, 1024):
+        for b in slices(batches, 1024, "text"):
             got = m.encode(b.column(b.schema.get_field_index("text")).to_pylist())
             flat = np.frombuffer(b"".join(got), m.kind).astype(np.int32)
             ends = np.cumsum([0, *(len(x) // int(m.kind[2]) for x in got)]).astype(np.int32)
@@ -231,7 +310,7 @@ _DIGEST = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
 def _digest(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
-        for b in slices(batches, 512):
+        for b in slices(batches, 512, "text"):
             texts = b.column(1).to_pylist()
             n, crc, same = [], [], []
             for x, got in zip(texts, m.encode(texts), strict=True):
