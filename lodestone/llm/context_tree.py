@@ -10,7 +10,8 @@ Nothing that grows with the corpus is broadcast or collected. Documents are deal
 bytes; a block asks for the counts of its words and of its (DEPTH + 1)-grams of bytes and adds its training
 part to them, the counts are summed over all blocks, the trees are solved below each pair of last bytes, and
 the answers go back to the blocks that asked, where texts are scored. Solving collects one row of 765 numbers
-for each of at most 256 last bytes: what depths 0 and 1 need.
+for each of at most 256 last bytes: what depths 0 and 1 need. A block's answers come before its documents in one
+sorted stream, so a task holds one block's answers and PIECE bytes of text, however long a text or large a block.
 
 Null and empty texts have the end token and the end mark alone. Rows are independent once the model is learned;
 repeated rows count as often as they occur. With nothing to train on, every decision has probability one half.
@@ -19,18 +20,22 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, staged, table, unstage
+from lodestone.llm.common import crc_mod, slices, staged, table, tidy, unstage
 
 DEPTH = 5
 BLOCK = 12 << 20
+#: So many bytes of text are coded at a time.
+PIECE = 1 << 20
+#: So many codes of new text are kept before they are merged with the block's others.
+MERGE = 1 << 20
 #: So many codes are solved at a time, or all of one pair of last bytes.
 CODES = 150_000
 ALPHA = 0.1
@@ -121,7 +126,10 @@ class Shallow:
 
 
 def grams(data: np.ndarray, depth: int) -> np.ndarray:
-    """The code of each byte of texts that end in END: the depth bytes before it above it, END before a text's start."""
+    """The code of each byte of texts that end in END: the depth bytes before it above it, END before a text's start.
+
+    Data that is cut off before its last END is coded as far as it goes.
+    """
     code, have = data.astype(np.int64), 1
     while have <= depth:
         step = min(have, depth + 1 - have)
@@ -129,7 +137,7 @@ def grams(data: np.ndarray, depth: int) -> np.ndarray:
         longer = code.copy()
         longer[have:] |= low[:-have] << (8 * have)
         code, have = longer, have + step
-    starts = np.concatenate([[0], np.flatnonzero(data == END)[:-1] + 1])
+    starts = np.concatenate([[0], np.flatnonzero(data[:-1] == END) + 1])
     lengths = np.diff(np.concatenate([starts, [len(data)]]))
     for k in range(depth):
         # All bits set is END: what lies before a text's start is wiped out.
@@ -165,6 +173,29 @@ class Lookup:
         return self.values.take(slot)
 
 
+def pieces(texts: list[bytes], depth: int) -> Iterator[np.ndarray]:
+    """The codes of texts, each followed by END, PIECE bytes at a time."""
+    data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
+    for at in range(0, len(data), PIECE):
+        low = max(0, at - depth)
+        yield grams(data[low : at + PIECE], depth)[at - low :]
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, those of some PIECE bytes at a time."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            m = _SPACE.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end].split()
+        at = end
+
+
 def _text_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").translate(_FOLD)
 
@@ -173,7 +204,7 @@ def _requests(depth: int):
     """A block's documents -> (block, kind, word, code, count): what it asks for and what its training part counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words, codes = None, {}, []
+        block, words, codes, fresh = None, {}, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             if words:
@@ -183,34 +214,37 @@ def _requests(depth: int):
                 unique, count = _merged(codes)
                 yield _batch(block, 1, pa.nulls(len(unique), pa.binary()), pa.array(unique), pa.array(count))
 
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                own, held = part.column(0).to_pylist(), part.column(1).to_pylist()
-                texts = [_text_bytes(x) for x in part.column(2).to_pylist()]
-                for s, e in _runs(own):
-                    if own[s] != block:
-                        yield from out()
-                        block, words, codes = own[s], {}, []
-                    for x, h in zip(texts[s:e], held[s:e], strict=True):
-                        for w in x.split():
+        for part in slices(batches, 512, "text", PIECE):
+            own, held = part.column(0).to_pylist(), part.column(1).to_pylist()
+            texts = [_text_bytes(x) for x in part.column(2).to_pylist()]
+            for s, e in _runs(own):
+                if own[s] != block:
+                    yield from out()
+                    block, words, codes, fresh = own[s], {}, [], 0
+                for x, h in zip(texts[s:e], held[s:e], strict=True):
+                    for ws in _words(x):
+                        for w in ws:
                             words[w] = words.get(w, 0) + (not h)
-                    for keep in (0, 1):
-                        some = [x for x, h in zip(texts[s:e], held[s:e], strict=True) if h == keep]
-                        if some:
-                            data = np.frombuffer(b"\xff".join(some) + b"\xff", np.uint8)
-                            unique, n = np.unique(grams(data, depth), return_counts=True)
-                            codes.append((unique, n * (1 - keep)))
-                            if len(codes) >= 24:
-                                codes = [_merged(codes)]
+                for keep in (0, 1):
+                    some = [x for x, h in zip(texts[s:e], held[s:e], strict=True) if h == keep]
+                    for got in pieces(some, depth) if some else ():
+                        unique, n = np.unique(got, return_counts=True)
+                        codes.append((unique, n * (1 - keep)))
+                        fresh += len(unique)
+                        if fresh >= MERGE:
+                            codes, fresh = [_merged(codes)], 0
         yield from out()
 
     return run
 
 
 def _merged(codes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    unique, at = np.unique(np.concatenate([c for c, _ in codes]), return_inverse=True)
-    return unique, np.bincount(at, weights=np.concatenate([w for _, w in codes]), minlength=len(unique)).astype(np.int64)
+    """The distinct codes of sorted runs and the sums of their counts."""
+    every, n = (np.concatenate([x[k] for x in codes]) for k in (0, 1))
+    order = np.argsort(every, kind="stable")
+    every, n = every[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[starts], np.add.reduceat(n, starts)
 
 
 def _runs(values: list) -> list[tuple[int, int]]:
@@ -269,38 +303,67 @@ def _added(rows: pa.Table) -> pa.Table:
     return pa.table({"last": rows["last"][:1]} | {c: pa.array([v.tolist()], pa.list_(pa.float64())) for c, v in sums.items()})
 
 
+class _Answers:
+    """What one block asked for: words' counts and codes' values, added batch by batch, then read."""
+
+    def __init__(self):
+        self.words, self.counts, self.codes, self.values = [], [], [], []
+
+    def add(self, kind: int, b: pa.RecordBatch) -> None:
+        a = b.column(b.schema.get_field_index("a")).to_numpy()
+        if kind == 0:
+            self.words += b.column(b.schema.get_field_index("word")).to_pylist()
+            self.counts.append(a)
+        else:
+            self.codes.append(a)
+            self.values.append(b.column(b.schema.get_field_index("logp")).to_numpy())
+
+    def close(self) -> None:
+        none = [np.zeros(0, np.int64)]
+        self.number = dict(zip(self.words, range(len(self.words)), strict=True))
+        self.count = np.concatenate(self.counts or none)
+        self.base = np.log10(self.count + ALPHA)
+        self.value = Lookup(np.concatenate(self.codes or none), np.concatenate(self.values or none))
+        self.words = self.counts = self.codes = self.values = None
+
+    def score(self, b: pa.RecordBatch, depth: int) -> pa.RecordBatch:
+        texts = [_text_bytes(x) for x in b.column(b.schema.get_field_index("text")).to_pylist()]
+        sizes, known, base = ([] for _ in range(3))
+        for x in texts:
+            n, k, total = 0, 0, 0.0
+            for ws in _words(x):
+                ids = np.fromiter((self.number[w] for w in ws), np.int64, len(ws))
+                n, k, total = n + len(ws), k + np.count_nonzero(self.count[ids]), total + self.base[ids].sum()
+            sizes.append(n), known.append(k), base.append(total)
+        lengths = np.array([len(x) for x in texts])
+        if len(texts) == 1:
+            scores = [sum(self.value(g).sum() for g in pieces(texts, depth))]
+        else:
+            scores = np.add.reduceat(np.concatenate([self.value(g) for g in pieces(texts, depth)]), np.cumsum(lengths + 1) - lengths - 1)
+        columns = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "held")]
+        columns += [pa.array(np.array(sizes) + 1, pa.int64()), *(pa.array(x, t) for x, t in ((known, pa.int64()), (base, pa.float64()), (scores, pa.float64()), (lengths, pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+
+
 def _score(depth: int):
-    """(documents of a block, answers of the block) -> rows."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        # Rows with a word have its count, the others a code and its value.
-        known = pc.is_valid(right["word"])
-        part = right.select(["word", "a"]).filter(known)
-        words, count = part["word"].to_pylist(), part["a"].to_numpy()
-        number = dict(zip(words, range(len(words)), strict=True))
-        base = np.log10(count + ALPHA)
-        part = right.select(["a", "logp"]).filter(pc.invert(known))
-        value = Lookup(part["a"].to_numpy(), part["logp"].to_numpy())
-        del part, known
-        out = []
-        for whole in left.to_batches():
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
-                texts = [_text_bytes(x) for x in b.column("text").to_pylist()]
-                split = [x.split() for x in texts]
-                n, sizes = len(texts), np.array([len(x) for x in split])
-                ids = np.fromiter((number[w] for ws in split for w in ws), np.int64, sizes.sum())
-                of = np.repeat(np.arange(n), sizes)
-                lengths = np.array([len(x) for x in texts])
-                logp = value(grams(np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8), depth))
-                columns = {
-                    "doc_id": b.column("doc_id"), "held": b.column("held"), "n_tokens": sizes + 1,
-                    "n_known": np.bincount(of, weights=count[ids] > 0, minlength=n).astype(np.int64),
-                    "base": np.bincount(of, weights=base[ids], minlength=n),
-                    "score": np.add.reduceat(logp, np.cumsum(lengths + 1) - lengths - 1), "n_bytes": lengths,
-                }
-                out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns)))
-        return pa.Table.from_batches(out, _ROWS)
+    """Rows sorted by block and kind, a block's answers (kinds 0 and 1) before its documents (kind 2) -> rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, answers, closed = None, _Answers(), False
+        for b in batches:
+            own, kinds = (b.column(k).to_numpy() for k in (0, 1))
+            for s, e in _runs((own * 4 + kinds).tolist()):
+                part = b.slice(s, e - s)
+                if own[s] != block:
+                    block, answers, closed = own[s], _Answers(), False
+                if kinds[s] < 2:
+                    answers.add(kinds[s], part)
+                    continue
+                if not closed:
+                    answers.close()
+                    closed = True
+                for some in slices([part], 512, "text", PIECE):
+                    yield answers.score(some, depth)
 
     return run
 
@@ -330,12 +393,14 @@ def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = B
     shallow = Shallow(np.array([r["last"] for r in parts], int), np.array([r.decisions for r in parts]).reshape(-1, 255, 2), np.array([r.below for r in parts]).reshape(-1, 255))
     solved = staged(pairs.mapInArrow(_solve_codes(depth, shallow), "code long, logp double"), "lm-solved")
 
-    known = asked.filter("kind = 0").select("block", "word").join(words, "word").select("block", "word", F.col("c").alias("a"), F.lit(None).cast("double").alias("logp"))
-    valued = asked.filter("kind = 1").select("block", "code").join(solved, "code").select("block", F.lit(None).cast("binary").alias("word"), F.col("code").alias("a"), "logp")
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held", "int"), ("text", "string"))]
+    known = asked.filter("kind = 0").select("block", "word").join(words, "word").select("block", F.lit(0).alias("kind"), "word", F.col("c").alias("a"), F.lit(None).cast("double").alias("logp"))
+    valued = asked.filter("kind = 1").select("block", "code").join(solved, "code").select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("word"), F.col("code").alias("a"), "logp")
     answers = staged(known.unionByName(valued), "lm-answers")
     unstage(asked, words, codes, solved)
-    schema = "doc_id long, held int, n_tokens long, n_known long, base double, score double, n_bytes long"
-    rows = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth), schema)
+    stream = dealt.select("block", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("double").alias("logp"), "doc_id", "held", "text")
+    stream = answers.select("*", *blank).unionByName(stream).repartition("block").sortWithinPartitions("block", "kind")
+    rows = stream.mapInArrow(_score(depth), "doc_id long, held int, n_tokens long, n_known long, base double, score double, n_bytes long")
     # The end token's count is the number of training documents.
     end = float(np.log10(size[2] + ALPHA))
     norm = float(np.log10(train + ALPHA * (distinct + 1)))
@@ -345,6 +410,7 @@ def score(documents: DataFrame, held: Column, depth: int = DEPTH, block: int = B
     )
 
 
+@tidy
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by the word model and the context trees."""
     found = score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)

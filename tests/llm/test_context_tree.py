@@ -66,10 +66,12 @@ def plain_base(train, texts):
     return [(len(cut(t)), sum(c[w] > 0 for w in cut(t)), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in cut(t))) for t in texts]
 
 
-@pytest.mark.parametrize("block,depth", [(1 << 20, 2), (300, 4)])
-def test_query_equals_plain_recursion(spark, tmp_path, monkeypatch, block, depth):
+@pytest.mark.parametrize("block,depth,piece", [(1 << 20, 2, 1 << 20), (300, 4, 64), (1 << 20, 5, 100)])
+def test_query_equals_plain_recursion(spark, tmp_path, monkeypatch, block, depth, piece):
     monkeypatch.setattr(ct.score, "__defaults__", (depth, block))
     monkeypatch.setattr(ct, "CODES", block)
+    monkeypatch.setattr(ct, "PIECE", piece)
+    monkeypatch.setattr(ct, "MERGE", piece)
     rnd = random.Random(9)
     texts = [" ".join(rnd.choice(["the", "The", "cat", "été", "\tsat,", "on\n"]) for _ in range(rnd.randrange(0, 12))) for _ in range(40)] + [None, "", "zz top", "a\x0bb\x0cc d", "the " * 300]
     rows = list(enumerate(texts)) + [(7, texts[7]), (None, "no id")]
@@ -84,6 +86,21 @@ def test_query_equals_plain_recursion(spark, tmp_path, monkeypatch, block, depth
         assert g.base_score == pytest.approx(w[5], rel=1e-9) and g.score == pytest.approx(w[6], rel=1e-6)
 
 
+def test_long_text_and_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(ct, "PIECE", 1000)
+    rnd = random.Random(2)
+    long = " ".join(rnd.choice(["one", "two", "three", "x" * 40]) for _ in range(3000))
+    rows = [(1, "a b")] * 10_000 + [(2, long), (3, long + "!"), (4, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, held int").repartition(3)
+    got = ct.score(docs, ct.F.col("doc_id") == 3, block=4096).collect()
+    train = [t for i, t in rows if i != 3]
+    some = [("a b",), (long,), (long + "!",), (None,)]
+    want = {i: (b[3], s) for i, b, s in zip((1, 2, 3, 4), plain_base(train, [t for (t,) in some]), plain_ctw(train, [t for (t,) in some], ct.DEPTH), strict=True)}
+    assert len(got) == len(rows) and {r.doc_id for r in got} == {1, 2, 3, 4}
+    for r in got:
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id], rel=1e-6)
+
+
 def test_probabilities_sum_to_one():
     data = np.frombuffer(b"abracadabra\xffabab\xff", np.uint8)
     codes, counts = np.unique(ct.grams(data, 3), return_counts=True)
