@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged, table, unstage
+from lodestone.llm.common import staged, table, tidy, unstage
 
 #: Jaccard similarity from which lines match, as a ratio of whole numbers.
 THRESHOLD = (4, 5)
@@ -314,6 +314,7 @@ def clean(documents: DataFrame) -> DataFrame:
     return marked.withColumn("text", F.when(F.size("lines_gone") == 0, F.col("text")).otherwise(kept)).select(*documents.columns)
 
 
+@tidy
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines each document has and which of them go."""
     found = removals(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed", "filled", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

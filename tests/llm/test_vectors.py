@@ -45,6 +45,24 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, split, small):
     assert got == plain(rows)
 
 
+def test_calibrated_count_prunes():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 64))
+    (a, u), perm = v.cells(x / np.linalg.norm(x, axis=1, keepdims=True)), rng.permutation(3000)
+    count = ((a == a[perm]) & (abs(u - u[perm]) <= v.WINDOW)).sum(1)
+    count[perm == np.arange(3000)] = 0
+    assert v.needed(64) > 1 and (count >= 1).sum() > 0 and (count >= v.needed(64)).sum() == 0
+
+
+def test_many_equal_and_near_vectors(spark):
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal(24)
+    near = [(one + rng.standard_normal(24) * 0.02).tolist() for _ in range(120)]
+    rows = [(i, one.tolist()) for i in range(400)] + [(500 + i, x) for i, x in enumerate(near)] + [(900, (-one).tolist())]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in v.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), split=32).collect()}
+    assert got == {i: ((519, 0) if i != 900 else (0, 900)) for i, _ in rows}
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((3000, 64))
