@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language, line_dedup, minhash, pieces
-from lodestone.llm.common import crc_mod, staged, table
+from lodestone.llm.common import crc_mod, scratch, staged, table, unstage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after another; each one's tables go as soon as its result is written, and the result once the next one's is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark, name):
+            docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
+        if before is not None:
+            unstage(before)
+        before = docs
     return docs
