@@ -35,15 +35,20 @@ PIECE = 512
 UNKNOWN = "und"
 
 
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache(maxsize=1)
-def _not_letters() -> re.Pattern:
-    """Runs of what isn't a letter: also numbers that aren't decimal digits, as superscripts and fractions."""
+def _not_letters() -> tuple[re.Pattern, re.Pattern]:
+    """Runs of what isn't a letter: also numbers that aren't decimal digits, as superscripts and fractions; those beyond the first plane apart."""
     points = [c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(r"[\W\d_" + "".join(points) + "]+")
+    return re.compile(r"[\W\d_" + "".join(c for c in points if c <= "￿") + "]+"), re.compile("[ " + "".join(c for c in points if c > "￿") + "]+")
 
 
 def letters_of(text: str | None) -> str:
-    return _not_letters().sub(" ", (text or "").lower())
+    first, beyond = _not_letters()
+    found = first.sub(" ", (text or "").lower())
+    return found if found.isascii() or not _ASTRAL.search(found) else beyond.sub(" ", found)
 
 
 def automaton(symbols: np.ndarray, n_symbols: int) -> np.ndarray:
