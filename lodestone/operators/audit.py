@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import text as tx
+
 Rule = Callable[[dict[str, DataFrame]], DataFrame]
 
 
@@ -49,15 +51,13 @@ def gaps(df: DataFrame, keys: list[str], number: str, first: int = 0) -> DataFra
 
 
 def forbidden(df: DataFrame, key: str, text: str, needles: list[str], excuse: str, reach: int = 90) -> DataFrame:
-    """D3, D4b, A7, FLT7: first place of each forbidden literal of a text, unless an excusing pattern stands near it."""
-    at = [(n, F.instr(F.col(text), F.lit(n))) for n in needles]
-    near = lambda p, n: F.substring(F.col(text), F.greatest(p - reach, F.lit(1)), F.least(p, F.lit(reach + 1)) - 1 + len(n) + reach)
-    found = F.array_compact(F.array(*[F.when((p > 0) & ~near(p, n).rlike(excuse), F.struct(F.lit(n).alias("needle"), (p - 1).alias("start"))) for n, p in at]))
-    return df.select(key, F.explode(found).alias("f")).select(key, "f.needle", "f.start")
+    """D3, D4b, A7, FLT7: of each forbidden literal of a text the first place, among all, near which no excusing pattern stands."""
+    places = tx.literal_places(df.select(key, text), text, needles, reach)
+    return places.filter(~F.col("around").rlike(excuse)).groupBy(key, "needle").agg(F.min("start").alias("start"))
 
 
 def stated_arithmetic(df: DataFrame, key: str, text: str, tolerance: float = 0.03) -> DataFrame:
-    """MTH13, MTH14, A8: statements a/b = c% whose stated result is off by more than the tolerance, relative to it."""
+    """MTH13, A8: statements a/b = c% whose stated result is off by more than the tolerance, relative to it."""
     pattern = r"([0-9]+(?:\.[0-9]+)?) ?/ ?([0-9]+(?:\.[0-9]+)?) ?[=≈] ?([0-9]+(?:\.[0-9]+)?)%"
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
     g = df.select(key, *[p.alias(f"p{k}") for k, p in enumerate(parts)]).select(key, F.posexplode("p0").alias("i", "a"), "p1", "p2")
@@ -66,6 +66,29 @@ def stated_arithmetic(df: DataFrame, key: str, text: str, tolerance: float = 0.0
     return g.filter(F.coalesce(off > F.greatest(tolerance * F.col("c"), F.lit(1e-9)), F.lit(True)))
 
 
+_N = r"([0-9]{1,6}(?:\.[0-9]+)?)"
+
+
+def wrong_sums(df: DataFrame, key: str, text: str) -> DataFrame:
+    """MTH14: (key, form, said, real) of statements a + b = c (also -, ×, x), a/b ≈ c% and 1000^(1/d) ≈ c that are off.
+
+    Tolerances: the larger of 0.5 % and 0.015; of 5 % and 0.05; 0.002. A division by zero isn't judged.
+    """
+
+    def found(form: str, pattern: str, groups: int) -> DataFrame:
+        parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in range(groups + 1)])
+        return df.select(key, F.lit(form).alias("form"), F.explode(parts).alias("m")).select(key, "form", F.col("m.g0").alias("said"), *[F.col(f"m.g{k}").alias(f"g{k}") for k in range(1, groups + 1)])
+
+    number = lambda c: F.col(c).cast("double")
+    near = lambda share, least: F.greatest(share * F.greatest(F.lit(1.0), F.abs(F.col("c"))), F.lit(least))
+    a = found("sum", rf"{_N} *([-+×x−]) *{_N} *= *{_N}", 4).select(key, "form", "said", number("g1").alias("a"), F.col("g2").alias("op"), number("g3").alias("b"), number("g4").alias("c"))
+    a = a.withColumn("real", F.when(F.col("op").isin("-", "−"), F.col("a") - F.col("b")).when(F.col("op") == "+", F.col("a") + F.col("b")).otherwise(F.col("a") * F.col("b")))
+    b = found("share", rf"{_N} */ *{_N} *≈? *{_N} *%", 3).select(key, "form", "said", (100 * F.try_divide(number("g1"), number("g2"))).alias("real"), number("g3").alias("c"))
+    c = found("root", r"1000\^\(1/([0-9]{1,4})\) *≈ *([0-9]{1,4}\.[0-9]{2,4})", 2).select(key, "form", "said", F.pow(F.lit(1000.0), F.try_divide(F.lit(1.0), number("g1"))).alias("real"), number("g2").alias("c"))
+    bad = [x.filter(F.abs(F.col("real") - F.col("c")) > t).select(key, "form", "said", "real") for x, t in ((a, near(0.005, 0.015)), (b, near(0.05, 0.05)), (c, F.lit(0.002)))]
+    return bad[0].unionByName(bad[1]).unionByName(bad[2])
+
+
 def balanced_scores(items: DataFrame, keys: list[str], score: str, total: str) -> DataFrame:
     """AGG13: sums of scores against the stated total; a single missing score is inferred, more are unknown."""
     s = items.groupBy(*keys).agg(F.sum(score).alias("known"), F.count_if(F.col(score).isNull()).alias("missing"), F.max(total).alias("total"))

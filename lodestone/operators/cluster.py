@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import components
@@ -63,13 +63,22 @@ def pair_classes(scored: DataFrame, confirmed: list[tuple[int, int]], n_suspecte
     return marked.join(best, ["i", "j"], "left").select("i", "j", "score", out.alias("kind"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, distance: Column) -> DataFrame:
-    """JN14: the k nearest rows (id, v) of each of a stated, size-checked set of queries (query, q), others than itself.
+#: Queries are broadcast while there are at most so many; beyond that they are dealt into blocks of as many.
+QUERIES = 10_000
 
-    Queries go to the rows; a query's nearest are kept as an ordered array of k while rows are merged.
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, distance: Column, limit: int = QUERIES) -> DataFrame:
+    """JN14: the k nearest rows (id, v) of each of a stated set of queries (query, q), others than itself; ties by id.
+
+    Queries, counted first, go to the rows, in blocks if there are many. Each task keeps a query's k best before
+    anything is shuffled (the filter on row_number() becomes a limit by group there).
     """
-    met = rows.join(F.broadcast(queries), F.col("id") != F.col("query")).select("query", "id", distance.alias("d"))
-    share = F.pmod(F.xxhash64("id"), F.lit(64))
-    part = met.groupBy("query", share.alias("share")).agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k).alias("best"))
-    whole = part.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return whole.select("query", F.posexplode("best").alias("at", "b")).select("query", (F.col("at") + 1).alias("rank"), F.col("b.id").alias("id"), F.col("b.d").alias("d"))
+    blocks = max(1, -(-queries.count() // limit))
+    if blocks == 1:
+        met = rows.join(F.broadcast(queries), F.col("id") != F.col("query"))
+    else:
+        dealt = queries.withColumn("block_", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        every = rows.withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block_", F.col("block_").cast("long"))
+        met = every.join(dealt, "block_").filter(F.col("id") != F.col("query"))
+    order = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
+    return met.select("query", "id", distance.alias("d")).withColumn("rank", order).filter(F.col("rank") <= k).select("query", "rank", "id", "d")

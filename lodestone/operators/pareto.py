@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,36 @@ def pareto_front(df: DataFrame, f1: Column, f2: Column, keys: list[str] | None =
     return points.join(front, [*keys, "f1", "f2"])
 
 
+def _undominated(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Of rows of n objectives those that no other row of the partition dominates, kept as they come."""
+    kept = np.zeros((0, n))
+    for b in batches:
+        new = np.unique(np.column_stack([b.column(k).to_numpy() for k in range(n)]), axis=0)
+        # In order of their sums, a row is dominated by earlier ones only.
+        for x in new[np.argsort(new.sum(1), kind="stable")]:
+            if not ((kept <= x).all(1) & (kept < x).any(1)).any():
+                kept = np.vstack([kept[~((x <= kept).all(1) & (x < kept).any(1))], x])
+    yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in range(n)], names=[f"f{k}" for k in range(n)])
+
+
+def skyline(df: DataFrame, objectives: list[Column]) -> DataFrame:
+    """NUM4, NUM6 in any number of objectives: all rows that no row dominates, duplicates kept, null objectives left out.
+
+    Shares of the different points give their own fronts; a point of one stays if it isn't dominated by any of the
+    others, share by share, so the fronts are never held in one place.
+    """
+    n = len(objectives)
+    names = [f"f{k}" for k in range(n)]
+    rows = df.select("*", *[o.cast("double").alias(c) for o, c in zip(objectives, names, strict=True)]).dropna(subset=names)
+    schema = ", ".join(f"{c} double" for c in names)
+    local = staged(rows.select(*names).distinct().mapInArrow(lambda it: _undominated(it, n), schema), "fronts").withColumn("share", F.pmod(F.xxhash64(*names), F.lit(SHARES)))
+    other = local.select(*[F.col(c).alias(f"o{k}") for k, c in enumerate(names)], "share")
+    asked = local.drop("share").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))).withColumn("share", F.col("share").cast("long"))
+    worse = dominates([F.col(f"o{k}") for k in range(n)], [F.col(c) for c in names])
+    beaten = asked.join(other, (asked["share"] == other["share"]) & worse, "left_semi").select(*names).distinct()
+    return rows.join(local.drop("share").distinct().join(beaten, names, "left_anti"), names).select(*df.columns, *names)
+
+
 def front_ranks(df: DataFrame, f1: Column, f2: Column) -> DataFrame:
     """NUM5: the rank of each row's front, peeled one after another; every round is written out."""
     rest = staged(df.withColumn("f1", f1).withColumn("f2", f2).filter("f1 is not null and f2 is not null").withColumn("row_", F.monotonically_increasing_id()), "ranks")

@@ -90,19 +90,28 @@ def same_length_view(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _PAGE.sub(lambda m: " " * len(m[0]), t).replace("\n", " "), na_action="ignore")
 
 
-def literal_hits(df: DataFrame, text: str, needle: str, context: int = 180) -> DataFrame:
-    """STR1: all places of a literal, ignoring case of ASCII letters, with the text around each, by cutting at it.
+def literal_places(df: DataFrame, text: str, needles: list[str], context: int = 180, ignore_case: bool = False) -> DataFrame:
+    """STR1: every place of each literal, from left to right without overlaps, with the text around it; one pass over each text.
 
-    The needle must not overlap itself. Rows gain hit (from 0), start, end and around.
+    Rows keep all columns but the text and gain needle, hit (from 0), start, end and around.
     """
-    pattern = "(?i)" + re.sub(r"([^A-Za-z0-9 ])", r"\\\1", needle)
-    n = len(needle)
-    lengths = F.transform(F.split(F.col(text), pattern, -1), lambda p: F.length(p))
-    places = F.transform(lengths, lambda _, k: F.aggregate(F.slice(lengths, F.lit(1), k + 1), F.lit(0), lambda s, v: s + v) + k * n)
-    cut = df.withColumn("places_", F.slice(places, F.lit(1), F.greatest(F.size(lengths) - 1, F.lit(0))))
-    hits = cut.select(*df.columns, F.posexplode("places_").alias("hit", "start"))
-    around = F.substring(F.col(text), F.greatest(F.col("start") - context, F.lit(0)) + 1, F.least(F.col("start"), F.lit(context)) + n + context)
-    return hits.withColumn("end", F.col("start") + n).withColumn("around", around)
+    flags = re.IGNORECASE | re.ASCII if ignore_case else 0
+    patterns = [(n, re.compile(re.escape(n), flags)) for n in needles]
+
+    @F.pandas_udf("array<struct<needle:string,hit:int,start:int,end:int,around:string>>")
+    def places(texts: pd.Series) -> pd.Series:
+        def of(t: str | None) -> list:
+            return [(n, k, m.start(), m.end(), t[max(0, m.start() - context) : m.end() + context]) for n, p in patterns for k, m in enumerate(p.finditer(t or ""))]
+
+        return texts.map(of)
+
+    kept = [c for c in df.columns if c != text]
+    return df.select(*kept, F.explode(places(F.col(text))).alias("place_")).select(*kept, "place_.*")
+
+
+def literal_hits(df: DataFrame, text: str, needle: str, context: int = 180) -> DataFrame:
+    """STR1: literal_places of one literal, ignoring case of ASCII letters."""
+    return literal_places(df, text, [needle], context, ignore_case=True).drop("needle")
 
 
 def page_of(text: Column, start: Column) -> Column:
@@ -147,9 +156,18 @@ def concatenated(rows: DataFrame, keys: list[str], order: str, part: str, joint:
 
 
 def stamp(df: DataFrame, key: str, content: str) -> DataFrame:
-    """SRC6: a digest of the contents in the order of their keys, combined from each row's own digest so no task holds the texts."""
-    one = df.select(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.coalesce(content, F.lit(""))), 256).alias("h"))
-    return one.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("long")).alias("x"), F.count("*").alias("n")).agg(F.bit_xor("x").alias("stamp"), F.sum("n").alias("n"))
+    """SRC6: (stamp, n): SHA-256 over the rows' own digests, sorted, by range: of each four first digits, then of two, then of all.
+
+    Repeated rows count as often as they occur; null contents count as empty. No task holds texts, or more digests
+    than one range has.
+    """
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "").cast("binary"), 256)
+    one = df.select(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.coalesce(content, F.lit(""))).cast("binary"), 256).alias("h"))
+    four = one.groupBy(F.substring("h", 1, 4).alias("r")).agg(digest("h").alias("h"), F.count("*").alias("n"))
+    # Digests of ranges are ordered by their range.
+    up = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), "").cast("binary"), 256)
+    two = four.groupBy(F.substring("r", 1, 2).alias("q")).agg(up().alias("h"), F.sum("n").alias("n")).withColumnRenamed("q", "r")
+    return two.agg(up().alias("stamp"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def page_text(markup: Column) -> Column:
@@ -204,7 +222,7 @@ def paper_hints(df: DataFrame, key: str, text: str) -> DataFrame:
     found = lambda p, g: F.nullif(F.regexp_extract(head, p, g), F.lit(""))
     year = F.coalesce(*[found(p, 1) for p in lexicon.YEAR_RULES])
     journal = F.coalesce(*[F.when(F.contains(start, F.lit(j.lower())), F.lit(j)) for j in lexicon.JOURNALS])
-    methods = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(name)) for name, p in lexicon.METHODS.items()]))
+    methods = F.array_compact(F.array(*[F.when(F.col(text).rlike(f"(?i){p}"), F.lit(name)) for name, p in lexicon.METHODS.items()]))
     return df.select(key, F.regexp_replace(found(lexicon.DOI, 0), "[.,;]+$", "").alias("doi"), year.alias("year"), journal.alias("journal"), methods.alias("methods"))
 
 
@@ -248,3 +266,38 @@ def mentions(df: DataFrame, key: str, text: str, needle: str, critical: str, rea
     at = F.instr(text, F.lit(needle))
     near = F.substring(F.col(text), F.greatest(at - reach, F.lit(1)), F.least(at, F.lit(reach + 1)) - 1 + len(needle) + reach)
     return df.filter(at > 0).select(key, (at - 1).cast("long").alias("start"), F.when(near.rlike(critical), "criticism").otherwise("citation").alias("kind"))
+
+
+def cooccurrences(df: DataFrame, text: str, words: tuple[str, ...]) -> DataFrame:
+    """JN4, SET4: (a, b, n): how many texts hold both of two words, whatever their case; pairs are made of each text's own short list."""
+    found = F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(k)), F.lit(k)) for k in sorted(words)]))
+    own = df.select(found.alias("k"))
+    pairs = own.select(F.posexplode("k").alias("i", "a"), "k").select("a", F.explode(F.slice("k", F.col("i") + 2, len(words))).alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def contained(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, gram: int = 16) -> DataFrame:
+    """JN5, STR13: (key, item_key, start): the first place of each item that a text holds word for word, items of any length.
+
+    Wherever a text holds an item of 2 * gram - 1 characters or more, one of the item's first gram grams starts at a
+    multiple of gram in the text: texts give one gram in gram places, items their first ones. Shorter items are
+    met by their beginnings, of 16, 8, 4 or fewer characters. Empty and null items are held by none.
+    """
+    docs = texts.select(F.col(key).alias("id_"), F.col(text).alias("whole_")).filter("whole_ is not null")
+    wanted = items.select(F.col(item_key).alias("item_id_"), F.col(item).alias("c")).filter("length(c) > 0")
+    long, short = wanted.filter(F.length("c") >= 2 * gram - 1), wanted.filter(F.length("c") < 2 * gram - 1)
+    chunks = F.array_distinct(F.regexp_extract_all("whole_", F.lit(f"(?s).{{{gram}}}"), F.lit(0)))
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.substring(F.col("c"), i, F.lit(gram)))).alias("g")
+    met = docs.select("id_", F.explode(chunks).alias("g")).join(long.select("item_id_", ends).distinct(), "g").select("id_", "item_id_").distinct()
+    short = short.withColumn("g", F.expr(f"substring(c, 1, case when length(c) < 4 then length(c) when length(c) < 8 then 4 when length(c) < {gram} then 8 else {gram} end)"))
+    sizes = [r[0] for r in short.select(F.length("g")).distinct().collect()]  # six at most
+    if sizes:
+        # A match of no width at each place, with what follows it: all pieces of a length in one pass.
+        cut = lambda n: F.regexp_extract_all("whole_", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
+        met = met.unionByName(docs.select("id_", F.explode(pieces).alias("g")).join(short.select("item_id_", "g"), "g").select("id_", "item_id_"))
+    # Each text is fetched once, with all items to look for.
+    asked = met.join(wanted, "item_id_").groupBy("id_").agg(F.collect_set(F.struct("item_id_", "c")).alias("asked"))
+    found = asked.join(docs, "id_").select("id_", "whole_", F.explode("asked").alias("a"))
+    at = F.min(F.instr(F.col("whole_"), F.col("a.c")))
+    return found.filter(F.contains("whole_", F.col("a.c"))).groupBy(F.col("id_").alias(key), F.col("a.item_id_").alias(item_key)).agg((at - 1).cast("long").alias("start"))

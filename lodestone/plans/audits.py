@@ -53,13 +53,31 @@ def turn_gaps(spark, d):
     return audit.gaps(table(spark, d, "conversations").select("conv_id", "turn"), ["conv_id"], "turn").select("conv_id", "turn", F.col("expected").cast("long").alias("expected"))
 
 
-@query("WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS needle, position('{n}' IN text) - 1 AS start, substring(text, greatest(position('{n}' IN text) - 90, 1), least(position('{n}' IN text), 91) - 1 + {len(n)} + 90) AS near FROM documents WHERE contains(text, '{n}')" for n in FORBIDDEN) + f") SELECT doc_id, needle, start FROM h WHERE NOT regexp_matches(near, '{EXCUSE}')")
+_PLACES = " UNION ALL ".join(f"SELECT doc_id, text, '{n}' AS needle, {len(n)} AS n, string_split(text, '{n}') AS p FROM t WHERE contains(text, '{n}')" for n in FORBIDDEN)
+
+
+@query(f"""WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN ' stupid License' || repeat(' and more', 20) || ' stupid' ELSE '' END AS text FROM documents), s AS ({_PLACES}), h AS (SELECT *, unnest(range(len(p) - 1)) AS k FROM s), q AS (SELECT doc_id, text, needle, n, CAST(list_sum(list_transform(list_slice(p, 1, k + 1), lambda x: length(x))) AS BIGINT) + k * n AS start FROM h)
+SELECT doc_id, needle, min(start) AS start FROM q WHERE NOT regexp_matches(substring(text, greatest(start - 90, 0) + 1, least(start, 90) + n + 90), '{EXCUSE}') GROUP BY 1, 2""")
 def forbidden_words(spark, d):
-    """D3, D4b, A7, FLT7."""
-    out = audit.forbidden(table(spark, d, "documents"), "doc_id", "text", list(FORBIDDEN), EXCUSE)
+    """D3, D4b, A7, FLT7: in some texts a first place is excused and a later one isn't."""
+    late = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" stupid License"), F.repeat(F.lit(" and more"), 20), F.lit(" stupid"))).otherwise(F.lit(""))
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", late).alias("text"))
+    out = audit.forbidden(docs, "doc_id", "text", list(FORBIDDEN), EXCUSE)
     return out.select("doc_id", "needle", F.col("start").cast("long").alias("start"))
 
 
+_SUM = "o_orderkey || ' + ' || o_custkey || ' = ' || (o_orderkey + o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 40 ELSE 0 END) || ', ' || (o_custkey % 50 + 1) || '/' || 64 || ' ≈ ' || ((o_custkey % 50 + 1) * 100 div 64) || '%, 1000^(1/' || (o_orderkey % 3 + 1) || ') ≈ ' || CASE o_orderkey % 3 WHEN 0 THEN '1000.00' WHEN 1 THEN '31.6228' ELSE '10.50' END"
+
+
+@query("WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 400000 AND o_custkey < 400000), " + """t AS (SELECT o_orderkey, 'sum' AS form, o_orderkey || ' + ' || o_custkey || ' = ' || (o_orderkey + o_custkey + 40) AS said, CAST(o_orderkey + o_custkey AS DOUBLE) AS real, CAST(o_orderkey + o_custkey + 40 AS DOUBLE) AS c, greatest(0.005 * (o_orderkey + o_custkey + 40), 0.015) AS tol FROM o WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'share', (o_custkey % 50 + 1) || '/64 ≈ ' || ((o_custkey % 50 + 1) * 100 // 64) || '%', 100 * (CAST(o_custkey % 50 + 1 AS DOUBLE) / 64), CAST((o_custkey % 50 + 1) * 100 // 64 AS DOUBLE), greatest(0.05 * greatest(1, (o_custkey % 50 + 1) * 100 // 64), 0.05) FROM o
+UNION ALL SELECT o_orderkey, 'root', '1000^(1/3) ≈ 10.50', pow(1000.0, 1.0 / 3), 10.5, 0.002 FROM o WHERE o_orderkey % 3 = 2) SELECT o_orderkey, form, said, round(real, 6) AS real FROM t WHERE abs(real - c) > tol""")
+def wrong_sums(spark, d):
+    """MTH14, CMP14: three forms of stated arithmetic, written from orders."""
+    o = table(spark, d, "orders").filter("o_orderkey < 400000 and o_custkey < 400000").select("o_orderkey", F.expr(_SUM).alias("t"))
+    return audit.wrong_sums(o, "o_orderkey", "t").withColumn("real", F.round("real", 6))
+
+
 _STATEMENTS = [(1, "1500/20000 = 7.5%"), (2, "1500/20000 = 15.0%"), (3, "1/3≈33% and 2/5=41%"), (4, "7/0 = 3%"), (5, "nothing"), (6, None)]
 
 
@@ -130,26 +148,21 @@ def audit_verdicts(spark, d):
 DEFECTS = {
     "length-as-declared": ("documents", "doc_id = 0", "n_chars", "n_chars + 1"),
     "document-id-unique": ("documents", "doc_id = 1", "doc_id", "0"),
-    "label-has-document": ("labels", "doc_id = (SELECT min(doc_id) FROM labels)", "doc_id", "-5"),
+    "label-has-document": ("labels", "doc_id = (SELECT min(doc_id) FROM {labels})", "doc_id", "-5"),
     "turns-in-order": ("conversations", "conv_id = 0 AND turn = 0", "turn", "99"),
     "role-known": ("conversations", "conv_id = 0 AND turn = 0", "role", "'robot'"),
-    "discount-in-range": ("lineitem", "l_orderkey = (SELECT min(l_orderkey) FROM lineitem)", "l_discount", "1.5"),
-    "status-known": ("orders", "o_orderkey = (SELECT min(o_orderkey) FROM orders)", "o_orderstatus", "'X'"),
+    "discount-in-range": ("lineitem", "l_orderkey = (SELECT min(l_orderkey) FROM {lineitem})", "l_discount", "1.5"),
+    "status-known": ("orders", "o_orderkey = (SELECT min(o_orderkey) FROM {orders})", "o_orderstatus", "'X'"),
 }
 
 
-@query(None)
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', true)" for r in DEFECTS) + ") AS t(rule, caught)")
 def mutation_verdicts(spark, d):
     """CMP18: each rule fails once its defect is in a copy of the tables."""
     out = []
     for rule, (name, where, column, value) in DEFECTS.items():
         tables = _tables(spark, d)
-        for t, df in tables.items():
-            df.createOrReplaceTempView(f"audit_{t}")
-        condition = where
-        for t in tables:
-            condition = condition.replace(f"FROM {t}", f"FROM audit_{t}")
-        hit = spark.sql(f"SELECT *, {condition} AS hit_ FROM audit_{name}")
+        hit = spark.sql(f"SELECT *, {where} AS hit_ FROM {{{name}}}", **{name: tables[name]})
         tables[name] = audit.mutated(hit, F.col("hit_"), column, F.expr(value)).drop("hit_")
         out.append(RULES[rule](tables).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), (F.col("n") > 0).alias("caught")))
     return reduce(DataFrame.unionByName, out)

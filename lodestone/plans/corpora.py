@@ -66,10 +66,16 @@ def page_entities(spark, d):
 SELECT a.k AS a, b.k AS b, count(*) AS n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.k < b.k GROUP BY 1, 2""")
 def keyword_cooccurrence(spark, d):
     """STR10, SET4, JN4: pairs of keywords by the documents that hold both; pairs are made of each document's own short list."""
-    found = F.array_compact(F.array(*[F.when(F.contains(F.lower("text"), F.lit(k)), F.lit(k)) for k in sorted(KEYWORDS)]))
-    docs = table(spark, d, "documents").select(found.alias("k"))
-    pairs = docs.select(F.posexplode("k").alias("i", "a"), "k").select("a", F.explode(F.slice("k", F.col("i") + 2, len(KEYWORDS))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    return text.cooccurrences(table(spark, d, "documents"), "text", KEYWORDS)
+
+
+_MANY = ("able", "eau", "ei", "lich", "mente", "ou", "reed", "tion", "un", "und")
+
+
+@query("WITH f AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS k FROM documents WHERE contains(lower(text), '{k}')" for k in _MANY) + ") SELECT a.k AS a, b.k AS b, count(*) AS n FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.k < b.k GROUP BY 1, 2 ORDER BY n DESC, a, b LIMIT 15")
+def top_keyword_pairs(spark, d):
+    """TOP1, JN4: the fifteen pairs of keywords that most documents hold both of."""
+    return text.cooccurrences(table(spark, d, "documents"), "text", _MANY).orderBy(F.desc("n"), "a", "b").limit(15)
 
 
 @query("""WITH y AS (SELECT DISTINCT year(o_orderdate) AS y, o_orderpriority AS p FROM orders) SELECT CAST(y AS INT) AS year, string_agg(p, ',' ORDER BY p) AS ids FROM y GROUP BY 1""")
@@ -79,20 +85,32 @@ def timeline(spark, d):
     return o.groupBy("year").agg(F.array_join(F.array_sort(F.collect_list("o_orderpriority")), ",").alias("ids"))
 
 
-@query("SELECT doc_id, item_id, min(position(b.text IN d.text)) - 1 AS start FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 6 GROUP BY 1, 2")
-def verbatim_links(spark, d):
-    """JN5, STR13, TOP3, CMP6: first place of each benchmark item of six words or more that a document holds word for word.
+#: Items, and the first words of some: items of any length.
+_ITEMS = "SELECT item_id, text FROM benchmark UNION ALL SELECT item_id + 1000000, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] FROM benchmark UNION ALL SELECT item_id + 2000000, left(text, 40) FROM benchmark"
+
 
-    Documents and items meet by the item's second to fifth words, whole in any document that holds it, so
-    documents aren't held against all items.
-    """
-    words = F.split("text", " ")
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), words.alias("w")).filter("size(w) >= 6").select("item_id", "item", F.array_join(F.slice("w", 2, 4), " ").alias("head"))
-    docs = table(spark, d, "documents").select("doc_id", "text").filter("text is not null")
-    bound = F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(4)), " "))))[0]
-    met = docs.select("doc_id", F.explode(bound).alias("head")).join(items.select("head").distinct(), "head")
-    both = met.join(items, "head").join(docs, "doc_id").filter(F.contains("text", F.col("item")))
-    return both.groupBy("doc_id", "item_id").agg((F.min(F.instr("text", F.col("item"))) - 1).cast("long").alias("start"))
+@query(f"WITH b AS ({_ITEMS}) SELECT doc_id, item_id, min(position(b.text IN d.text)) - 1 AS start FROM documents d JOIN b ON contains(d.text, b.text) WHERE length(b.text) > 0 GROUP BY 1, 2")
+def verbatim_links(spark, d):
+    """JN5, STR13, TOP3, CMP6: first place of each item, of any length, that a document holds word for word."""
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    w = F.split("text", " ")
+    two = items.select(F.col("item_id") + 1_000_000, F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1))))
+    items = items.union(two).union(items.select(F.col("item_id") + 2_000_000, F.substring("text", 1, 40)))
+    return text.contained(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text")
+
+
+@query("""WITH i AS (SELECT item_id, lower(regexp_replace(regexp_replace(text, '-[ \\t\\n\\r]+', '', 'g'), '[^A-Za-z0-9%.]', '', 'g')) AS c FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '-[ \\t\\n\\r]+', '', 'g'), '[^A-Za-z0-9%.]', '', 'g')) AS c FROM documents)
+SELECT DISTINCT item_id, doc_id FROM i JOIN d ON contains(d.c, i.c) OR (length(i.c) > 120 AND contains(d.c, left(i.c, 60)) AND contains(d.c, right(i.c, 60))) WHERE length(i.c) > 0""")
+def verbatim_check(spark, d):
+    """STR13: items that a document holds once both are normalised, or whose first and last 60 characters it holds if there are over 120."""
+    docs = table(spark, d, "documents").select("doc_id", text.comparable(F.col("text")).alias("c"))
+    items = table(spark, d, "benchmark").select("item_id", text.comparable(F.col("text")).alias("c")).filter("length(c) > 0")
+    part = F.explode(F.when(F.length("c") > 120, F.array(F.substring("c", 1, 60), F.substring(F.col("c"), F.length("c") - 59, F.lit(60)))).otherwise(F.array("c"))).alias("p")
+    parts = items.select("item_id", part).distinct()
+    met = text.contained(docs, "doc_id", "c", parts.select("p").distinct().withColumn("key", F.xxhash64("p")), "key", "p")
+    found = parts.withColumn("key", F.xxhash64("p")).join(met, "key").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    # A whole item is held if its one part is, a long one if both its ends are.
+    return found.join(parts.groupBy("item_id").agg(F.count("*").alias("of")), "item_id").filter("n = of").select("item_id", "doc_id")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, n, line, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM l)
@@ -139,11 +157,11 @@ def density_by_source(spark, d):
     )
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, n) AS k FROM l WHERE length(line) > 25 AND length(line) < 160)
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, trim(unnest(string_split(text, chr(10)))) AS line FROM (SELECT doc_id, left(text, 6000) AS text FROM documents)), r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, n) AS k FROM l WHERE length(line) > 25 AND length(line) < 160)
 SELECT doc_id, line AS title FROM r WHERE k = 1""")
 def title_hints(spark, d):
-    """STR6: the longest line of fitting length, the first on ties."""
-    rows = text.lines(table(spark, d, "documents").select("doc_id", "text"), "text").withColumn("line", F.trim("line")).filter("length(line) > 25 and length(line) < 160")
+    """STR6: the longest line of fitting length in the first 6000 characters, the first on ties."""
+    rows = text.lines(table(spark, d, "documents").select("doc_id", F.substring("text", 1, 6000).alias("text")), "text").withColumn("line", F.trim("line")).filter("length(line) > 25 and length(line) < 160")
     return rows.groupBy("doc_id").agg(F.max_by("line", F.struct(F.length("line"), -F.col("line_no"))).alias("title"))
 
 
@@ -166,7 +184,8 @@ def evidence_levels(spark, d):
     return table(spark, d, "documents").join(l, "doc_id", "left").select("doc_id", level.alias("level"), (F.col("n_chars") == F.length("text")).alias("agrees"))
 
 
-@query(None)
+@query("""WITH o AS (SELECT sha256(doc_id || ':' || coalesce(text, '')) AS h FROM documents), f AS (SELECT left(h, 4) AS r, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM o GROUP BY 1), t AS (SELECT left(r, 2) AS r, sha256(string_agg(h, '' ORDER BY r)) AS h, sum(n) AS n FROM f GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY r)) AS stamp, CAST(sum(n) AS BIGINT) AS n FROM t""")
 def source_stamp(spark, d):
     """SRC6."""
     return text.stamp(table(spark, d, "documents"), "doc_id", "text")

@@ -38,6 +38,14 @@ def pareto_front_part(spark, d):
     return _front(spark, d).select("p_partkey", "f1", "f2")
 
 
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS f0, -l_quantity AS f1, l_discount AS f2 FROM lineitem WHERE l_returnflag = 'R'), x AS (SELECT DISTINCT f0, f1, f2 FROM p), g AS (SELECT f1, f2, min(f0) AS f0 FROM x GROUP BY 1, 2)
+SELECT p.* FROM p JOIN (SELECT * FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.f0 <= a.f0 AND b.f1 <= a.f1 AND b.f2 <= a.f2 AND (b.f0 < a.f0 OR b.f1 < a.f1 OR b.f2 < a.f2))) s ON p.f0 = s.f0 AND p.f1 = s.f1 AND p.f2 = s.f2""")
+def skyline_lineitem(spark, d):
+    """NUM4, NUM6: cheap, large and undiscounted lines that came back, in three objectives."""
+    rows = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("c"))
+    return pareto.skyline(rows, [F.col("p"), -F.col("q"), F.col("c")]).select("l_orderkey", "l_linenumber", "f0", "f1", "f2")
+
+
 @query(f"WITH p AS ({_F}) SELECT p_partkey, p_brand, f1, f2 FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p_brand = a.p_brand AND b.f1 <= a.f1 AND b.f2 <= a.f2 AND (b.f1 < a.f1 OR b.f2 < a.f2))")
 def pareto_front_by_brand(spark, d):
     """NUM6 by key."""

@@ -37,15 +37,24 @@ def _inputs():
     return F.array(F.col("p_size") / 50.0 * 15 - 5, (F.col("p_retailprice") - 900) / 1200 * 15)
 
 
-@query("""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+_MMD = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 k AS (SELECT a.label AS p, b.label AS q, avg(exp(-(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e)) / 2)) AS m FROM v a, v b GROUP BY 1, 2)
-SELECT CAST(p AS BIGINT) AS label, round(greatest(0, (SELECT m FROM k o WHERE o.p = k.p AND o.q = k.p) + (SELECT m FROM k o WHERE o.p = 0 AND o.q = 0) - 2 * m), 6) AS mmd2 FROM k WHERE q = 0 AND p <> 0""")
+SELECT CAST(p AS BIGINT) AS label, round(greatest(0, (SELECT m FROM k o WHERE o.p = k.p AND o.q = k.p) + (SELECT m FROM k o WHERE o.p = 0 AND o.q = 0) - 2 * m), 6) AS mmd2 FROM k WHERE q = 0 AND p <> 0"""
+
+
+@query(_MMD)
 def source_discrepancies(spark, d):
     """NUM10, NUM11: each label's vectors against those of label 0."""
     rows = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     return kernels.discrepancies(rows, 0, 1.0).select("label", F.round("mmd2", 6).alias("mmd2"))
 
 
+@query(f"SELECT label, mmd2, row_number() OVER (ORDER BY mmd2, label) AS rank FROM ({_MMD})")
+def ranked_sources(spark, d):
+    """TOP4, NUM11: labels by how little they differ from label 0."""
+    return kernels.ranked(source_discrepancies(spark, d), "mmd2", "label").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(None)
 def kriging_scores(spark, d):
     """NUM18, NUM19, NUM22: a model of 40 design points at every part."""
@@ -114,3 +123,60 @@ def nsga2_front(spark, d):
 
     _, f = search.nsga2(zdt, [(0, 1)] * 6, 60, 60, seed=7)
     return spark.createDataFrame([(float(a), float(b)) for a, b in f], "f1 double, f2 double")
+
+
+@query("SELECT true AS close, 40 AS points")
+def leave_one_out_error(spark, d):
+    """NUM20: the error of refits without each point, one row a refit, in parallel; held against the same on the driver."""
+    x = _design(40, 4)
+    y = branin(x)
+    found = kernels.left_out(spark, models.Radial, x, y)
+    want = models.leave_one_out(models.Radial, x, y)
+    return found.select((F.abs(F.col("rmse") - want) < 1e-6).alias("close"), F.col("n").cast("int").alias("points"))
+
+
+@query("SELECT count(*) AS rows, true AS first_moment_is_ei FROM part")
+def generalised_scores(spark, d):
+    """NUM23: generalised improvements of orders 1 and 2; the first is the expected improvement."""
+    x = _design(40)
+    y = branin(x)
+    best = float(y.min())
+    rows = kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), models.Kriging().fit(x, y), best)
+    out = rows.withColumn("g", kernels.improvements(best, (1, 2))(F.struct("mean", "sd")))
+    return out.agg(F.count("*").alias("rows"), F.bool_and(F.abs(F.col("g")[0] - F.col("ei")) < 1e-9).alias("first_moment_is_ei"))
+
+
+@query(None)
+def ensemble_scores(spark, d):
+    """NUM28: Co-Kriging with local models where fine points are dense."""
+    coarse, fine = _design(40, 2), _design(10, 3)
+    model = models.Ensemble().fit(coarse, 0.5 * branin(coarse) + coarse.sum(1), fine, branin(fine))
+    return kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), model, float(branin(fine).min())).select("p_partkey", "mean", "sd")
+
+
+@query("SELECT true AS one_after_breakthrough, true AS two_at_most, true AS restrained_is_less")
+def improvement_steps(spark, d):
+    """NUM29, NUM30: which rows the steps of the calibrated search ask for."""
+    x = _design(30, 5)
+    y = branin(x)
+    mean, sd = models.Kriging().fit(x[:20], y[:20]).predict(x)
+    rows = []
+    for breakthroughs in (0, 1):
+        for limit in (0.0, 30.0):
+            step = models.improvement_step(mean, sd + 0.1, x, y, x[y.argmin()], limit, breakthroughs=breakthroughs)
+            cei, rei = models.restrained_improvement(mean, sd + 0.1, float(y.min()), x, x[y.argmin()], limit)
+            rows.append((breakthroughs, len(step["rows"]), bool((rei <= cei).all())))
+    df = spark.createDataFrame(rows, "breakthroughs int, n int, less boolean")
+    return df.agg(F.bool_and((F.col("breakthroughs") == 0) | (F.col("n") == 1)).alias("one_after_breakthrough"), F.bool_and(F.col("n") <= 2).alias("two_at_most"), F.bool_and("less").alias("restrained_is_less"))
+
+
+@query("SELECT true AS close")
+def sampled_hypervolume(spark, d):
+    """NUM8: the area that a stated front covers, by random points of a seeded generator, within two percent of the exact one."""
+    front = [(k / 20, (1 - k / 20) ** 2) for k in range(21)]
+    return kernels.covered_share(spark, front, (1.2, 1.2), 200_000).select((F.abs(F.col("area") / _exact_area(front, (1.2, 1.2)) - 1) < 0.02).alias("close"))
+
+
+def _exact_area(front: list[tuple[float, float]], ref: tuple[float, float]) -> float:
+    rows = sorted(front)
+    return sum((b[0] - a[0]) * (ref[1] - a[1]) for a, b in zip(rows, [*rows[1:], ref], strict=True))
