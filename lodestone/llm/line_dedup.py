@@ -40,8 +40,8 @@ _HASH_BITS = 57
 #: Places of candidate lines and keys of large groups are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS.
-LARGE = 256
-PART = 16
+LARGE = 64
+PART = 8
 ROUNDS = 2
 PASSES = 2
 _ID = ["doc_id", "key"]
@@ -96,7 +96,7 @@ def _least(n: Column) -> Column:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and parities.
+    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and parity p.
 
     Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
     lines, so many tokens at least are in one of them alone.
@@ -104,63 +104,72 @@ def classes(documents: DataFrame) -> DataFrame:
     found = staged(hashed(documents), "line-hashes")
     levels = staged(rarity(found), "line-rarity")
     rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, _ordered(F.col("h"), F.col("levels")).alias("all"))
-    rows = rows.select(*_PLACE, F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity(0).alias("p"), _parity(1).alias("q"))
-    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "q", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
+    rows = rows.select(*_PLACE, F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"))
+    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
     unstage(found, levels)
     return out
 
 
-def _parity(part: int) -> Column:
-    """The parity of the tokens whose number has a bit."""
+def _parity() -> Column:
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(64)) == 64 * part, acc.bitwiseXOR(bit(v))).otherwise(acc))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
 
 
 def heads(found: DataFrame) -> DataFrame:
-    """One row per class of lines with tokens: the place of its first line, n, prefix and parities."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "prefix", "q")).alias("first"))
+    """One row per class of lines with tokens: the place of its first line, n, prefix and parity."""
+    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "prefix")).alias("first"))
     return first.select("k1", "k2", "first.*")
 
 
 def entries(first: DataFrame) -> DataFrame:
-    """A row per class and prefix token, (g, k1, n, at, few, p, q, rest): g names the token.
+    """A row per class and prefix token, (g, k1, n, at, few, p, ...): g names the token.
 
-    few: whether the place is in the shorter prefix that a class needs as the smaller of a pair. rest: the tokens
-    that may be the second one that it shares, up to one more than the prefix. Classes of fewer tokens than
-    THRESHOLD's first number match no other.
+    few: whether the place is in the shorter prefix (short) that a class needs as the smaller of a pair. Classes of
+    fewer tokens than THRESHOLD's first number match no other.
     """
     up, down = THRESHOLD
     some = first.filter(F.col("n") >= up).withColumn("reach", F.col("n") - _least(F.col("n")) + 1)
     some = some.withColumn("short", (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int"))
-    rows = some.select("k1", "n", "p", "q", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
-    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "q", "short", F.expr("slice(prefix, at + 2, reach - at)").alias("rest"))
+    rows = some.select("k1", "n", "p", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "reach", "short", "prefix")
 
 
-def _split(rows: DataFrame, large: DataFrame | None) -> DataFrame:
-    """Entries of large groups entered under pairs instead: g of both tokens, the second's place less one."""
-    if large is None:
-        return rows.select("g", "k1", "n", "at", "few", "p", "q", F.lit(False).alias("pair"))
-    marked = rows.join(large.withColumn("pair", F.lit(True)), "g", "left").withColumn("pair", F.coalesce("pair", F.lit(False)))
+_ENTRY = ["g", "k1", "n", "at", "few", "p"]
+
+
+def _paired(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Entries of large groups entered under pairs instead: g of both tokens, the second's place less one.
+
+    The second token is a later one of the prefix, or the next after it.
+    """
+    met = rows.join(large, "g", "left_semi").withColumn("rest", F.expr("slice(prefix, at + 2, reach - at)"))
     both = F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at"), (F.col("few") & (F.col("at") + i < F.col("short"))).alias("few")))
-    keys = F.when(F.col("pair"), both).otherwise(F.array(F.struct("g", "at", "few")))
-    return marked.select("k1", "n", "p", "q", "pair", F.explode(keys).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "q", "pair")
+    return met.select("k1", "n", "p", F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p")
+
+
+def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -> DataFrame:
+    """All entries, those of large groups under pairs, but for groups of pairs that are large still."""
+    if crowded is None:
+        return rows.select(*_ENTRY)
+    both = _paired(rows, crowded)
+    return rows.join(crowded, "g", "left_anti").select(*_ENTRY).unionByName(both if still is None else both.join(still, "g", "left_anti"))
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    """What is shuffled of a row: its group, its class, parities, and whether it may be the smaller, size and place in one number."""
+    """What is shuffled of a row: its group, its class, parity, and whether it may be the smaller, size and place in one number."""
     size = F.shiftleft(F.col("few").cast("long"), 60).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 30)).bitwiseOR(F.col("at").cast("long"))
-    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"), F.col("q").alias(f"q_{side}"))
+    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"))
 
 
 def _possible(smaller: bool) -> Column:
-    """The length and positional filters and the parities' bound, of a pair of _side rows; smaller: a is the smaller of the two."""
+    """The length and positional filters and the parity's bound, of a pair of _side rows; smaller: a is the smaller of the two."""
     up, down = THRESHOLD
     low = F.lit((1 << 30) - 1)
     n_a, n_b = (F.shiftright(f"s_{x}", 30).bitwiseAND(low) for x in "ab")
     at_a, at_b = (F.col(f"s_{x}").bitwiseAND(low) for x in "ab")
     near = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
     enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-    apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
+    apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b")))
     alike = apart * (up + down) <= (n_a + n_b) * (down - up)
     order = (F.shiftright("s_a", 60) == 1) & ((n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))) if smaller else F.col("k_a") != F.col("k_b")
     return order & near & alike & enough
@@ -237,7 +246,7 @@ def _thinned(words: Words, crowd: DataFrame, rounds: int) -> DataFrame | None:
     settled = None
     for _ in range(rounds):
         left = crowd if settled is None else crowd.join(_hint(settled)(settled), "k1", "left_anti")
-        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "q", "place"), "place").alias("hub")).select("g", "hub.*")
+        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "place"), "place").alias("hub")).select("g", "hub.*")
         met = _side(left, "a").join(_side(hubs, "b").join(hubs.select("g", "place"), "g"), "g").filter(_possible(False))
         best = met.groupBy(F.col("k_a").alias("k")).agg(F.min(F.struct("place", F.col("k_b").alias("e"))).alias("hub"))
         edges = staged(best.select("k", "hub.e"), "line-hubs")
@@ -255,16 +264,15 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     crowded = _large(rows, large, part)
     still = settled = hot = None
     if crowded is not None:
-        still = _large(_split(rows, crowded).filter("pair"), large, part)
+        still = _large(_paired(rows, crowded), large, part)
     if still is not None:
         places = first.select("k1", F.struct(*_PLACE).alias("place"))
-        hot = staged(_split(rows, crowded).filter("pair").join(still, "g").join(places, "k1"), "line-crowd")
+        hot = staged(_paired(rows, crowded).join(still, "g").join(places, "k1"), "line-crowd")
         settled = _thinned(words, hot, rounds)
     out = []
     # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
     for k in range(PASSES):
-        cold = _split(rows, crowded)
-        cold = (cold if still is None else cold.join(still, "g", "left_anti")).filter(F.pmod("g", F.lit(PASSES)) == k)
+        cold = _cold(rows, crowded, still).filter(F.pmod("g", F.lit(PASSES)) == k)
         out.append(staged(pairs(cold, cold).distinct(), "line-pairs"))
     if hot is not None:
         left = hot if settled is None else hot.join(_hint(settled)(settled), "k1", "left_anti")
@@ -284,7 +292,7 @@ def removals(documents: DataFrame) -> DataFrame:
     """
     every = classes(documents)
     first = staged(heads(every), "line-heads")
-    found = staged(every.drop("prefix", "p", "q"), "line-places")
+    found = staged(every.drop("prefix", "p"), "line-places")
     unstage(every)
     matched = staged(later(Words(documents, first)), "line-later").withColumn("later", F.lit(True))
     known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")
