@@ -123,3 +123,8 @@ def merge_protected(existing: DataFrame, drafted: DataFrame, key: str, text: str
     """SNK3: drafts replace existing rows that still hold the mark; finished rows stay, new keys are added."""
     done = existing.filter(~F.contains(F.col(text), F.lit(mark)))
     return done.unionByName(drafted.join(done.select(key), key, "left_anti").select(*done.columns))
+
+
+def mismatches(curated: DataFrame, found: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """JN1, D1b: (key, a, b) of rows where the curated value isn't the found one; null differs from any value."""
+    return curated.join(found, key).filter(~F.col(a).eqNullSafe(F.col(b))).select(key, a, b)

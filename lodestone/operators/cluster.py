@@ -2,47 +2,69 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import components
+from lodestone.sources.staging import staged
+
 
+def _cells(points: DataFrame, eps: float) -> DataFrame:
+    """Rows (id, x, y, ...) with their cell (cx, cy); rows of one cell are within eps of each other."""
+    side = eps / math.sqrt(2) * (1 - 1e-9)
+    return points.withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
 
-def near_pairs(points: DataFrame, eps: float) -> DataFrame:
-    """JN13: pairs (a, b), a < b, of (id, x, y) within eps, by an equi-join over cells of side eps.
 
-    A row is entered in its own cell and looked up from the nine around it.
+def _met(probes: DataFrame, rows: DataFrame, eps: float) -> DataFrame:
+    """JN13: cell rows of probes (their columns end in _p) beside all rows within eps of them, by an equi-join over cells.
+
+    What follows aggregates the pairs where they are made, so that no pair is shuffled.
     """
-    cell = points.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
-    probe = cell.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "cx", "cy", around)
-    probe = probe.select("a", "xa", "ya", (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"))
-    far = F.pow(F.col("xa") - F.col("x"), 2) + F.pow(F.col("ya") - F.col("y"), 2)
-    return probe.join(cell, ["cx", "cy"]).filter((F.col("a") < F.col("id")) & (far <= eps * eps)).select("a", F.col("id").alias("b"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3)])).alias("d")
+    asked = probes.withColumnsRenamed({c: f"{c}_p" for c in probes.columns}).select("*", around)
+    asked = asked.withColumn("cx", F.col("cx_p") + F.col("d.dx")).withColumn("cy", F.col("cy_p") + F.col("d.dy")).drop("d")
+    far = F.pow(F.col("x_p") - F.col("x"), 2) + F.pow(F.col("y_p") - F.col("y"), 2)
+    return asked.join(rows, ["cx", "cy"]).filter(far <= eps * eps)
+
+
+def _linked_cells(points: DataFrame, eps: float) -> DataFrame:
+    """(cx, cy, root): of each cell the smallest id that its rows reach by steps of at most eps."""
+    rows = _cells(points, eps).dropna(subset=["cx", "cy"])
+    names = rows.groupBy("cx", "cy").agg(F.min("id").alias("name"))
+    after = (F.col("cx") > F.col("cx_p")) | ((F.col("cx") == F.col("cx_p")) & (F.col("cy") > F.col("cy_p")))
+    pairs = _met(rows, rows, eps).filter(after).groupBy("cx_p", "cy_p", "cx", "cy").agg(F.count("*").alias("n")).drop("n")
+    edges = pairs.join(names, ["cx", "cy"]).withColumnRenamed("name", "a").drop("cx", "cy").withColumnsRenamed({"cx_p": "cx", "cy_p": "cy"}).join(names, ["cx", "cy"]).select("a", F.col("name").alias("b"))
+    return names.join(components(edges).withColumnRenamed("id", "name"), "name", "left").select("cx", "cy", F.coalesce("root", "name").alias("root"))
 
 
 def single_linkage(points: DataFrame, limit: float) -> DataFrame:
-    """NUM13: clusters of rows linked by steps of at most limit, named by their smallest id (a non-positive limit joins nothing)."""
-    ids = points.select("id")
+    """NUM13: clusters of rows linked by steps of at most limit, named by their smallest id (a non-positive limit joins nothing).
+
+    A row without a coordinate is alone.
+    """
     if limit <= 0:
-        return ids.withColumn("cluster", F.col("id"))
-    return ids.join(components(near_pairs(points, limit)), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+        return points.select("id", F.col("id").alias("cluster"))
+    return _cells(points, limit).join(_linked_cells(points, limit), ["cx", "cy"], "left").select("id", F.coalesce("root", "id").alias("cluster"))
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
     """NUM14: (id, is_core, cluster): cores count themselves; a cluster is named by its smallest core, -1 is noise.
 
-    A border row goes to the neighbouring cluster with the smallest name, the one discovered first.
+    All rows of a cell of min_samples rows are cores; only the others count their neighbours. A border row goes to
+    the neighbouring cluster with the smallest name, the one discovered first. A row without a coordinate is alone.
     """
-    pairs = near_pairs(points, eps)
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg((F.count("*") + 1).alias("n"))
-    ids = points.select("id").join(degree.withColumnRenamed("a", "id"), "id", "left").select("id", (F.coalesce("n", F.lit(1)) >= min_samples).alias("is_core"))
-    cores = ids.filter("is_core").select("id")
-    inner = pairs.join(cores.withColumnRenamed("id", "a"), "a").join(cores.withColumnRenamed("id", "b"), "b")
-    named = cores.join(components(inner), "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
-    border = both.join(named.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near"))
-    joined = ids.join(named, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
+    rows = _cells(points.select("id", "x", "y"), eps)
+    sizes = rows.groupBy("cx", "cy").agg(F.count("*").alias("size"))
+    sized = rows.join(sizes, ["cx", "cy"], "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    sparse = sized.filter(F.col("size") < min_samples).drop("size")
+    degree = _met(sparse, rows, eps).groupBy(F.col("id_p").alias("id")).agg(F.count("*").alias("n"))
+    ids = staged(sized.join(degree, "id", "left").select("id", "x", "y", ((F.col("size") >= min_samples) | (F.coalesce("n", F.lit(0)) >= min_samples)).alias("is_core")), "dbscan-cores")
+    cores = ids.filter("is_core").select("id", "x", "y")
+    named = _cells(cores, eps).join(_linked_cells(cores, eps), ["cx", "cy"]).select("id", "x", "y", "cx", "cy", F.col("root").alias("cluster"))
+    border = _met(_cells(ids.filter("not is_core").select("id", "x", "y"), eps), named, eps).groupBy(F.col("id_p").alias("id")).agg(F.min("cluster").alias("near"))
+    joined = ids.join(named.select("id", "cluster"), "id", "left").join(border, "id", "left")
     return joined.select("id", "is_core", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
 
 

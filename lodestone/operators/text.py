@@ -58,6 +58,24 @@ def comparable(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, r"-[ \t\n\r]+", ""), "[^A-Za-z0-9%.]", ""))
 
 
+_PAGE_MARK = re.compile(r"=====\s*\[PAGE[^\]]*\]\s*=====")
+
+
+def comparable_form(text: str | None) -> str | None:
+    """PRJ4, in its order: NFKC, page marks out, words joined over hyphens, accents off, ASCII letters, digits, % and dots in lower case."""
+    if text is None:
+        return None
+    text = re.sub(r"-\s+", "", _PAGE_MARK.sub(" ", unicodedata.normalize("NFKC", text)))
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return re.sub("[^A-Za-z0-9%.]", "", text).lower()
+
+
+@F.pandas_udf(T.StringType())
+def comparable_english(texts: pd.Series) -> pd.Series:
+    return texts.map(comparable_form, na_action="ignore")
+
+
 _ESCAPE = re.compile("/u([0-9A-Fa-f]{4,6})")
 
 
@@ -268,6 +286,12 @@ def mentions(df: DataFrame, key: str, text: str, needle: str, critical: str, rea
     return df.filter(at > 0).select(key, (at - 1).cast("long").alias("start"), F.when(near.rlike(critical), "criticism").otherwise("citation").alias("kind"))
 
 
+def by_identifier(found: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """JN6: rows joined by an identifier, whatever its case and the blanks around it; null and empty ones meet nothing."""
+    a, b = (x.withColumn(name, F.nullif(F.lower(F.trim(name)), F.lit(""))) for x in (found, known))
+    return a.join(b, name)
+
+
 def cooccurrences(df: DataFrame, text: str, words: tuple[str, ...]) -> DataFrame:
     """JN4, SET4: (a, b, n): how many texts hold both of two words, whatever their case; pairs are made of each text's own short list."""
     found = F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(k)), F.lit(k)) for k in sorted(words)]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import audits, corpora, designs, markups, numbers, reports, rules, surrogates
+from lodestone.plans import audits, corpora, designs, markups, numbers, papers, reports, rules, surrogates
 
-_MODULES = (numbers, designs, corpora, markups, audits, rules, reports, surrogates)
+_MODULES = (numbers, designs, corpora, markups, audits, papers, rules, reports, surrogates)
 
 
 def queries() -> dict:

@@ -124,3 +124,26 @@ def test_scratch_goes_with_its_tables_and_results_stay(spark):
     run = staging.tidy(lambda s, d: staging.staged(s.range(5), "b").filter("id > 1"))
     assert run(spark, "").count() == 3
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_clusters_equal_plain_ones(spark):
+    rnd = random.Random(8)
+    rows = [(i, rnd.gauss(5 * (i % 4), 0.4), rnd.gauss(3 * (i % 3), 0.4)) for i in range(300)] + [(900 + i, 2.0, 2.0) for i in range(20)] + [(950, None, 1.0), (951, 1.0, None), (952, 99.0, 99.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    whole = {i: (x, y) for i, x, y in rows if x is not None and y is not None}
+    near = lambda a, eps: [b for b in whole if a in whole and (whole[a][0] - whole[b][0]) ** 2 + (whole[a][1] - whole[b][1]) ** 2 <= eps * eps]
+
+    def reached(start, among, eps):
+        seen, todo = {start}, [start]
+        while todo:
+            new = [b for b in near(todo.pop(), eps) if b in among and b not in seen]
+            seen.update(new)
+            todo += new
+        return min(seen)
+
+    got = {r.id: r.cluster for r in cluster.single_linkage(points, 0.3).collect()}
+    assert got == {i: reached(i, whole, 0.3) if i in whole else i for i, _, _ in rows}
+    cores = {i for i in whole if len(near(i, 0.3)) >= 6}
+    names = {i: reached(i, cores, 0.3) for i in cores}
+    want = {i: (i in cores, names[i] if i in cores else min([names[b] for b in near(i, 0.3) if b in cores], default=-1)) for i, _, _ in rows}
+    assert {r.id: (r.is_core, r.cluster) for r in cluster.dbscan(points, 0.3, 6).collect()} == want
