@@ -4,8 +4,9 @@ Words are runs of characters outside [\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A
 windows are its runs of SPAN words, or all its words if it has fewer. A fingerprint is the smallest hash of
 GRAM words among SPAN - GRAM + 1 consecutive ones (the rightmost of equal ones), so a window that a document
 shares with an item has a fingerprint that both chose, at the same place of the window: joining fingerprints
-misses none. Each hit is extended to the windows around it, whose words are compared with the items'. Items
-of fewer than SPAN words are looked for by the hash of all their words.
+misses none. Each hit is extended to the windows around it, which are compared with the items' by a digest of
+128 bits of their words. Items of fewer than SPAN words are looked for by the hash of all their words. A text of
+more than 2 ** 26 - 1 words is refused, as its places couldn't be told apart.
 
 The benchmark's fingerprints are broadcast while they are at most BROADCAST_ROWS; beyond that the fingerprints
 are joined by shuffle and hit documents are read a second time. Nothing else is broadcast.
@@ -96,7 +97,8 @@ def hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     hint = F.broadcast if small else (lambda df: df)
 
     docs = documents.select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("ws"))
-    docs = docs.withColumn("n_words", F.size("ws"))
+    many = F.raise_error(F.lit("a text has more words than places can be told apart")).cast("int")
+    docs = docs.withColumn("n_words", F.when(F.size("ws") <= _PLACE, F.size("ws")).otherwise(many))
     mark = F.explode(F.concat(F.array(F.lit(None).cast("struct<h:bigint,pos:int,len:int>")), fingerprints(F.col("ws"), short, span, gram))).alias("f")
     carried = ["doc_id", "key", "n_words", *["ws"] * small]
     probes = docs.select(*carried, mark).select(*carried, F.col("f.h").alias("h"), F.col("f.pos").alias("pos"), F.col("f.len").alias("len"))

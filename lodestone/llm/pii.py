@@ -7,6 +7,7 @@ Positions are code points, end exclusive; rows are independent, so repeated rows
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,10 +98,22 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
             for m in _PHONE.finditer(text):
                 if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
                     found.append(("phone", *m.span()))
-        taken = [(a, b) for _, a, b in found]
+        # Confirmed spans merged into runs in order, so that each candidate asks only the run it begins in and the next.
+        runs: list[list[int]] = []
+        for a, b in sorted((a, b) for _, a, b in found):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        starts = [a for a, _ in runs]
+
+        def free(start: int, end: int) -> bool:
+            at = bisect_right(starts, start)
+            return not (at and runs[at - 1][1] > start) and not (at < len(runs) and runs[at][0] < end)
+
         for kind, pattern, valid in (("iban", _IBAN, lambda s: mod97(s.replace(" ", ""))), ("ssn", _SSN, None), ("local_phone", _LOCAL_PHONE, None)):
             for m in pattern.finditer(text):
-                if (valid is None or valid(m[0])) and not any(a < m.end() and m.start() < b for a, b in taken):
+                if (valid is None or valid(m[0])) and free(*m.span()):
                     found.append((kind, *m.span()))
     out = []
     for kind, start, end in found:
@@ -145,7 +158,7 @@ def mask(documents: DataFrame) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the spans of each document."""
+    """Digests of the spans of each document, the spans and their scores."""
     spans = F.col("spans")
 
     def joined(s: Column) -> Column:
@@ -156,5 +169,6 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(k) for k in BASE]
     base = F.filter(spans, lambda x: x["kind"].isin(*BASE))
-    return detect(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    scores = F.array_join(F.transform(spans, lambda x: F.format_number(x["score"], 2)), ",")
+    return detect(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"), scores.alias("scores"))
 

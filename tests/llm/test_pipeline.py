@@ -70,3 +70,21 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_a_long_text(spark, tmp_path):
+    docs, items = sample()
+    docs = docs[:30] + [(95, "\n".join(f"kiz zek ikzi {k} zzk kek izz {k * 7} ezik" for k in range(8000)), "yy")]
+    names = ["key", "copy", "h", "n", "p", "ws", "head", "size", "line_no", "lines_gone", "near_rank", "bad_id", "root", "block"]
+    extra = [f"x{k}" for k in range(len(names))]
+    spark.createDataFrame([(i, t, x, "s", len(t or ""), *extra) for i, t, x in docs], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    bare = now.drop(*names)
+    for name, stage in corpus_pipeline.STAGES:
+        now, bare = (corpus_pipeline.staged(stage(spark, x, str(tmp_path)), name) for x in (now, bare))
+        if name != "sentencepiece":
+            assert now.columns[5:] == names
+            assert all(tuple(r)[5:] == tuple(extra) for r in now.collect())
+        assert sorted(map(tuple, now.select(*bare.columns).collect()), key=str) == sorted(map(tuple, bare.collect()), key=str)
+    assert 95 in {r.doc_id for r in now.collect()}
