@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import rules
+from lodestone.operators import markup, rules
 from lodestone.operators import text as tx
 
 
@@ -70,6 +70,16 @@ def term_table(df: DataFrame, key: str, text: str, terms: list[str], limit: int)
     return s.orderBy(F.desc("n"), "term").limit(limit)
 
 
+def reader_report(df: DataFrame, key: str, text: str, found: DataFrame, opens: str, counted: str) -> DataFrame:
+    """CMP16, AGG11, STR16, STR17: per text its counted characters, formulas, images, share of boxes, concepts, bare ones and
+    concepts per thousand characters; found: bare_concepts of the same texts."""
+    marks = markup.counters(F.col(text))
+    own = df.select(key, F.regexp_count(text, F.lit(counted)).cast("long").alias("letters"), *[marks[c].cast("long").alias(c) for c in ("formulas", "images")])
+    concepts = found.groupBy(key).agg(F.count("*").alias("concepts"), F.count("severity").alias("bare"))
+    out = own.join(box_share(df, key, text, opens, counted), key, "left").join(concepts, key, "left").fillna(0, ["concepts", "bare"])
+    return out.withColumn("density", F.round(F.try_divide(1000.0 * F.col("concepts"), F.col("letters")), 4))
+
+
 def chapter_report(df: DataFrame, key: str, text: str, least: int, sections: list[str], claim: str, cited: str) -> DataFrame:
     """CMP15: per text its length, sections it lacks, blocks without a source, and whether it passes."""
     own = df.select(key, rules.prose_length(F.col(text)).cast("long").alias("n"), F.array_join(rules.missing_words(rules.headings_of(F.col(text), "##"), sections), ",").alias("lacks"))

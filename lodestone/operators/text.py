@@ -325,3 +325,10 @@ def contained(texts: DataFrame, key: str, text: str, items: DataFrame, item_key:
     found = asked.join(docs, "id_").select("id_", "whole_", F.explode("asked").alias("a"))
     at = F.min(F.instr(F.col("whole_"), F.col("a.c")))
     return found.filter(F.contains("whole_", F.col("a.c"))).groupBy(F.col("id_").alias(key), F.col("a.item_id_").alias(item_key)).agg((at - 1).cast("long").alias("start"))
+
+
+def linked(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, critical: str, reach: int = 400) -> DataFrame:
+    """CMP6: (key, item_key, start, kind) of contained(): criticism where a critical pattern stands within reach of the place, else citation."""
+    found = contained(texts, key, text, items, item_key, item).join(items.select(item_key, F.length(item).alias("n_")), item_key).dropDuplicates([key, item_key])
+    near = F.substring(F.col(text), F.greatest(F.col("start") - reach, F.lit(0)).cast("int") + 1, (F.least(F.col("start"), F.lit(reach)) + F.col("n_") + reach).cast("int"))
+    return found.join(texts.select(key, text), key).select(key, item_key, "start", F.when(near.rlike(critical), "criticism").otherwise("citation").alias("kind"))

@@ -76,3 +76,18 @@ def corpus_records(spark, d):
     stamped = text.stamp(pages, "page_id", "text").select(F.concat(F.lit("src-"), F.substring("stamp", 1, 12)).alias("generated_at"))
     # One row of one stamp.
     return pages.crossJoin(F.broadcast(stamped)).select("page_id", "title", F.length("text").cast("long").alias("chars"), F.size(F.array_distinct(F.filter(claims, lambda c: F.length(c) >= 12))).cast("long").alias("claims"), "generated_at")
+
+
+@query(f"""WITH {_PAPERS}, m AS (SELECT coalesce({_YEAR}) AS year, doc_id, unnest(string_split({_METHODS}, ';')) AS method FROM p) SELECT year, method, count(*) AS n, min(doc_id) AS first_id FROM m WHERE method <> '' AND year IS NOT NULL GROUP BY 1, 2""")
+def methods_by_year(spark, d):
+    """CMP5, AGG8: which methods the texts of a year name, how often and first where."""
+    found = text.paper_hints(papers(spark, d), "doc_id", "text").filter("year is not null")
+    return found.select("year", "doc_id", F.explode("methods").alias("method")).groupBy("year", "method").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+@query("""WITH b AS (SELECT item_id, left(text, 40) AS c FROM benchmark), h AS (SELECT doc_id, item_id, d.text, length(c) AS n, position(c IN d.text) - 1 AS start FROM documents d JOIN b ON contains(d.text, c) WHERE length(c) > 0)
+SELECT doc_id, item_id, min(start) AS start, CASE WHEN bool_or(regexp_matches(substring(text, greatest(start - 400, 0) + 1, least(start, 400) + n + 400), '(tion|und) ')) THEN 'criticism' ELSE 'citation' END AS kind FROM h GROUP BY 1, 2""")
+def linked_mentions(spark, d):
+    """CMP6, JN5, STR11, TOP3: places where a text holds another's beginning, and whether critical words stand around them."""
+    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("c"))
+    return text.linked(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "c", "(tion|und) ")

@@ -99,6 +99,14 @@ def box_shares(spark, d):
     return reports.box_share(book(spark, d), "chapter", "text", "^ *> *T", "[a-z]")
 
 
+@query(f"""WITH {_BOOK}, {_CONCEPTS}, m AS (SELECT chapter, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM b), s AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^ *> *T') THEN 1 WHEN NOT starts_with(trim(line), '>') THEN 0 END IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS inside, len(regexp_extract_all(line, '[a-z]')) AS c FROM m),
+x AS (SELECT chapter, round(CAST(sum(c * inside) AS DOUBLE) / nullif(sum(c), 0), 6) AS share FROM s GROUP BY 1), o AS (SELECT chapter, len(regexp_extract_all(text, '[a-z]')) AS letters, len(regexp_extract_all(text, '\\$\\$[^$]+\\$\\$')) AS formulas, len(regexp_extract_all(text, '!\\[[^\\]]*\\]\\(')) AS images FROM b), k AS (SELECT chapter, count(*) AS concepts, count(severity) AS bare FROM z GROUP BY 1)
+SELECT o.chapter, letters, formulas, images, share, coalesce(concepts, 0) AS concepts, coalesce(bare, 0) AS bare, round(1000.0 * coalesce(concepts, 0) / nullif(letters, 0), 4) AS density FROM o LEFT JOIN x ON o.chapter = x.chapter LEFT JOIN k ON o.chapter = k.chapter""".replace("y AS (SELECT *, row_number() OVER (PARTITION BY chapter, concept ORDER BY n) AS k FROM x)", "y AS (SELECT *, row_number() OVER (PARTITION BY chapter, concept ORDER BY n) AS k FROM c0)").replace(", x AS (SELECT 'endings'", ", c0 AS (SELECT 'endings'"))
+def reader_report(spark, d):
+    """CMP16: what a reader meets in each chapter."""
+    return reports.reader_report(book(spark, d), "chapter", "text", _bare(spark, d), "^ *> *T", "[a-z]")
+
+
 _TERMS = ["tion", "eau", "able", "Limits", "TODO", "zzz"]
 
 

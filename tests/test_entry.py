@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) > 60
+    assert len(entry.queries()) > 140
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
@@ -23,7 +23,7 @@ def test_flagship_and_rules(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["describe_by_flag", "pareto_front_part", "dbscan_supplier", "grep_places", "section_lengths", "keyword_cooccurrence", "forbidden_words", "source_discrepancies"])
+@pytest.mark.parametrize("name", ["describe_by_flag", "pareto_front_part", "dbscan_supplier", "grep_places", "section_lengths", "keyword_cooccurrence", "forbidden_words", "source_discrepancies", "uncited_claims", "exam_faults", "bare_concepts", "paper_metadata", "verbatim_links", "source_stamp", "assembled_book", "number_tiers"])
 def test_agrees_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
