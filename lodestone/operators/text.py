@@ -198,18 +198,29 @@ def page_title(markup: Column) -> Column:
     return squeezed(F.regexp_extract(markup, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
-def abstract_of(text: str | None, opens: tuple[str, ...] = lexicon.ABSTRACT_OPENS, ends: tuple[str, ...] = lexicon.ABSTRACT_ENDS) -> str:
-    """PRJ9: the window after the first spelling, in the list's order, that stands early enough, cut at the earliest end
-    beyond 300 characters and after the last full stop beyond 400."""
-    for name in opens:
-        at = (text or "").find(name)
-        if 0 < at < 12_000:
-            window = text[at + len(name) : at + len(name) + 2200]
-            cuts = [m.start() for e in ends if (m := re.search(e, window)) and m.start() > 300]
-            window = window[: min(cuts, default=len(window))][:1800]
-            stop = window.rfind(". ")
-            return re.sub(r"\s+", " ", window[: stop + 1] if stop > 400 else window).strip()
-    return ""
+def attribute(markup: Column, tag: str, name: str) -> Column:
+    """SRC2: an attribute of the first tag that has it, empty if none has."""
+    return F.regexp_extract(markup, f'(?i)<{tag}[^>]*{name}="([^"]*)"', 1)
+
+
+def part(markup: Column, tag: str) -> Column:
+    """SRC2: the text of the first element of a kind."""
+    return squeezed(F.regexp_replace(F.regexp_extract(markup, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"(?s)<[^>]+>", " "))
+
+
+def abstract_window(text: Column, opens: tuple[str, ...] = lexicon.ABSTRACT_OPENS, ends: tuple[str, ...] = lexicon.ABSTRACT_ENDS) -> Column:
+    """PRJ9: what follows the first spelling, in the list's order, that stands early enough; empty where none does.
+
+    Of 2200 characters: up to the earliest end pattern beyond 300, 1800 at most, then up to the last full stop if
+    that lies beyond 400.
+    """
+    at = [(F.instr(text, F.lit(name)), len(name)) for name in opens]
+    window = F.coalesce(*[F.when((p > 1) & (p <= 12_000), F.substring(text, p + n, F.lit(2200))) for p, n in at])
+    cuts = [F.nullif(F.length(F.regexp_extract(window, f"(?s)^(.{{301,}}?)(?:{e})", 1)), F.lit(0)) for e in ends]
+    cut = F.substring(window, F.lit(1), F.least(*cuts, F.lit(1800)))
+    stop = F.length(cut) - F.instr(F.reverse(cut), F.lit(" .")) - 1
+    ended = F.when((F.instr(cut, F.lit(". ")) > 0) & (stop > 400), F.substring(cut, F.lit(1), stop + 1)).otherwise(cut)
+    return F.coalesce(squeezed(ended), F.lit(""))
 
 
 def claims_of(text: str | None, patterns: tuple[str, ...] = lexicon.CLAIMS, cores: tuple[str, ...] = lexicon.CLAIM_CORES, limit: int = 40) -> list[str]:
@@ -244,11 +255,6 @@ def paper_hints(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.regexp_replace(found(lexicon.DOI, 0), "[.,;]+$", "").alias("doi"), year.alias("year"), journal.alias("journal"), methods.alias("methods"))
 
 
-@F.pandas_udf(T.StringType())
-def abstracts(texts: pd.Series) -> pd.Series:
-    return texts.map(abstract_of)
-
-
 def matches_in(texts: Iterator[pd.DataFrame], pattern: str) -> Iterator[pd.DataFrame]:
     """All matches of a Python pattern with their places, for patterns the engine can't place (mapInPandas body)."""
     compiled = re.compile(pattern)

@@ -197,12 +197,6 @@ def percent_places(spark, d):
     return text.pattern_hits(table(spark, d, "documents"), "doc_id", "text", r"\b[0-9]+(?:\.[0-9]+)?\s?%?")
 
 
-@query(None)
-def abstract_windows(spark, d):
-    """PRJ9."""
-    return table(spark, d, "documents").select("doc_id", text.abstracts("text").alias("abstract"))
-
-
 @query("""WITH b AS (SELECT doc_id, text, unnest(range(len(string_split(text, '. ')))) AS pos, unnest(string_split(text, '. ')) AS s FROM documents), g AS (SELECT doc_id, s, min(pos) AS pos FROM b WHERE length(s) >= 25 AND length(s) <= 320 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM g)
 SELECT doc_id, k AS rank, s AS claim FROM r WHERE k <= 3""")
 def first_sentences(spark, d):

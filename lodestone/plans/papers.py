@@ -91,3 +91,36 @@ def linked_mentions(spark, d):
     """CMP6, JN5, STR11, TOP3: places where a text holds another's beginning, and whether critical words stand around them."""
     items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("c"))
     return text.linked(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "c", "(tion|und) ")
+
+
+#: Statements put before a document's text, by its id.
+STATED = """'In trial ' || doc_id || ' the loss fell by ' || (doc_id % 90) || '.5% against the base design of all. ' || CASE doc_id % 3 WHEN 0 THEN 'A problem of 12 dimensional spaces was solved by it. It was faster.' WHEN 1 THEN 'The gain was improved by much, and the gain was improved by much more. ' ELSE 'short 5%. ' END || chr(10) || 'The loss fell by 7 % of   all the others there.' || chr(10)"""
+_CLAIM_LISTS = ", ".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), lambda x: ltrim(trim(regexp_replace(x, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')), ' .,;:'))" for p in lexicon.CLAIMS)
+
+
+@query(f"WITH p AS (SELECT doc_id, {STATED} || text AS text FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, list_filter(list_concat({_CLAIM_LISTS}), lambda x: length(x) BETWEEN 25 AND 320) AS c FROM p) SELECT doc_id, least(40, len(list_distinct(c))) AS n_claims, c[1] AS first_claim FROM c")
+def paper_claims(spark, d):
+    """STR7, STR8, CMP2: the different numeric claims of each text, forty at most, and the first of them."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.concat(F.expr(STATED), F.col("text")).alias("text"))
+    return docs.select("doc_id", text.claims("text").alias("c")).select("doc_id", F.size("c").cast("long").alias("n_claims"), F.get("c", F.lit(0)).alias("first_claim"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?i)<meta[^>]*charset="([^"]*)"', 1) AS charset, len(regexp_extract_all(html, '(?is)<div[^>]*class="ad"[^>]*>.*?</div>')) AS ads, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1), '(?s)<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS footer FROM pages""")
+def page_parts(spark, d):
+    """SRC2: attributes, meta tags and named parts of pages."""
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", text.attribute(html, "html", "lang").alias("lang"), text.attribute(html, "meta", "charset").alias("charset"), F.regexp_count("html", F.lit(r'(?is)<div[^>]*class="ad"[^>]*>.*?</div>')).cast("long").alias("ads"), text.part(html, "footer").alias("footer"))
+
+
+#: A title, the word that opens an abstract, the text, and what ends it, by a document's id.
+OPENED = """CASE doc_id % 6 WHEN 0 THEN 'A title. ABSTRACT ' WHEN 1 THEN 'A title. Abstract— ' WHEN 2 THEN 'A B S T R A C T, after Abstract ' WHEN 3 THEN 'Abstract at the very start ' WHEN 4 THEN 'no such word ' ELSE 'A title. Abstract ' END || substr(text, 1, 100 + doc_id % 11 * 90) || CASE doc_id % 4 WHEN 0 THEN ' Keywords one, two ' WHEN 1 THEN chr(10) || '1. Introduction ' WHEN 2 THEN ' Index Terms ' ELSE '' END || text"""
+_AT = "coalesce(" + ", ".join(f"CASE WHEN position('{n}' IN text) > 1 AND position('{n}' IN text) <= 12000 THEN substring(text, position('{n}' IN text) + {len(n)}, 2200) END" for n in lexicon.ABSTRACT_OPENS) + ")"
+_CUTS = ", ".join(f"nullif(length(regexp_extract(w, '(?s)^(.{{301,}}?)(?:{e})', 1)), 0)" for e in lexicon.ABSTRACT_ENDS)
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {OPENED} AS text FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, {_AT} AS w FROM p), c AS (SELECT doc_id, left(w, CAST(least({_CUTS}, 1800) AS BIGINT)) AS c FROM w), s AS (SELECT *, length(c) - position(' .' IN reverse(c)) - 1 AS stop FROM c)
+SELECT doc_id, coalesce(trim(regexp_replace(CASE WHEN position('. ' IN c) > 0 AND stop > 400 THEN left(c, stop + 1) ELSE c END, '[ \t\n\r\f\x0b]+', ' ', 'g')), '') AS abstract FROM s""")
+def abstract_windows(spark, d):
+    """PRJ9, CMP3."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.expr(OPENED).alias("text"))
+    return docs.select("doc_id", text.abstract_window(F.col("text")).alias("abstract"))

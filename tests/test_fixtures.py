@@ -102,7 +102,9 @@ def test_text(spark):
     fence = spark.createDataFrame([(0, "# a"), (1, "```"), (2, "# b"), (3, "```"), (4, "# c")], "line_no int, line string").withColumn("k", F.lit(1))
     got = [(r.in_fence, r.line) for r in text.demoted(text.fenced(fence, ["k"])).orderBy("line_no").collect()]
     assert got == [(False, "## a"), (True, "```"), (True, "# b"), (True, "```"), (False, "## c")]
-    assert text.abstract_of("x Abstract This is it. " + "w " * 400 + "Introduction more") .startswith("This is it.") and text.abstract_of(None) == ""
+    rows = spark.createDataFrame([(1, "x Abstract This is it. " + "w " * 400 + "Introduction more"), (2, None), (3, "Abstract at the start")], "id long, t string")
+    got = {r.id: r.a for r in rows.select("id", text.abstract_window(F.col("t")).alias("a")).collect()}
+    assert got[1].startswith("This is it.") and "Introduction" not in got[1] and got[2] == got[3] == ""
     stamps = {text.stamp(spark.createDataFrame(rows, "k int, v string").repartition(2), "k", "v").first().stamp for rows in ([(1, "a"), (2, "b")], [(2, "b"), (1, "a")])}
     assert len(stamps) == 1
 
