@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.models import distances, expected_improvement, generalised_improvement
+from lodestone.functions.testbed import squared_distance
+from lodestone.sources.staging import staged
 
 BLOCK = 512
 
@@ -53,6 +55,32 @@ def discrepancies(rows: DataFrame, target: int, sigma: float, block: int = BLOCK
     return both.select("label", F.greatest(F.lit(0.0), F.col("own") + F.col("base") - 2 * F.col("cross")).alias("mmd2"))
 
 
+#: Sets of at most so many rows have the median of their distances taken from all their pairs.
+MEDIAN_ROWS = 2000
+
+
+def median_discrepancies(rows: DataFrame, target: int, cap: int = MEDIAN_ROWS) -> DataFrame:
+    """NUM10, JN12, AGG5: (label, sigma, mmd2) of each other label's rows against the target's, of (label, v), each with its own width.
+
+    The width is the root of half the median of squared distances within the two sets, pairs of a row with itself
+    included; 1 if that is about 0. Sets are counted first: larger ones are refused, for them state a width.
+    """
+    if rows.groupBy("label").count().filter(F.col("count") > cap).head(1):
+        raise ValueError(f"a set has more than {cap} rows: state a width")
+    a, b = (rows.select(F.col("label").alias(f"label_{x}"), F.col("v").alias(x)) for x in "xy")
+    own = a.join(b, F.col("label_x") == F.col("label_y")).select(F.col("label_x").alias("label"), squared_distance(F.col("x"), F.col("y")).alias("d"))
+    labels = rows.select("label").distinct().filter(F.col("label") != target)
+    cross = a.join(b.filter(F.col("label_y") == target), F.col("label_x") != target).select(F.col("label_x").alias("label"), squared_distance(F.col("x"), F.col("y")).alias("d"), F.lit("xy").alias("kind"))
+    mine = own.filter(F.col("label") != target).withColumn("kind", F.lit("xx"))
+    base = labels.crossJoin(own.filter(F.col("label") == target).select("d")).withColumn("kind", F.lit("yy"))
+    both = staged(mine.unionByName(base).unionByName(cross), "distances")
+    middle = both.filter("kind <> 'xy'").groupBy("label").agg(F.percentile("d", F.lit(0.5)).alias("m"))
+    width = middle.select("label", F.when(F.col("m") > 1e-12, F.sqrt(F.col("m") / 2)).otherwise(1.0).alias("sigma"))
+    k = both.join(F.broadcast(width), "label").withColumn("k", F.exp(-F.col("d") / (2 * F.col("sigma") * F.col("sigma"))))
+    mean = lambda kind: F.avg(F.when(F.col("kind") == kind, F.col("k")))
+    return k.groupBy("label", "sigma").agg(F.greatest(F.lit(0.0), mean("xx") + mean("yy") - 2 * mean("xy")).alias("mmd2"))
+
+
 _SCORE = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("sd", T.DoubleType()), T.StructField("ei", T.DoubleType())])
 
 

@@ -55,6 +55,17 @@ def ranked_sources(spark, d):
     return kernels.ranked(source_discrepancies(spark, d), "mmd2", "label").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("""WITH v AS (SELECT s_nationkey % 5 AS label, s_acctbal AS a, CAST(s_suppkey AS DOUBLE) AS b FROM supplier), p AS (SELECT x.label AS lx, y.label AS ly, (x.a - y.a) ** 2 + (x.b - y.b) ** 2 AS d FROM v x, v y), l AS (SELECT DISTINCT label FROM v WHERE label <> 0),
+w AS (SELECT label, CASE WHEN m > 1e-12 THEN sqrt(m / 2) ELSE 1 END AS sigma FROM (SELECT label, median(d) AS m FROM l JOIN p ON lx = ly AND (lx = label OR lx = 0) GROUP BY 1)),
+k AS (SELECT label, sigma, avg(CASE WHEN lx = label AND ly = label THEN exp(-d / (2 * sigma * sigma)) END) AS xx, avg(CASE WHEN lx = 0 AND ly = 0 THEN exp(-d / (2 * sigma * sigma)) END) AS yy, avg(CASE WHEN lx = label AND ly = 0 THEN exp(-d / (2 * sigma * sigma)) END) AS xy FROM w, p GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS label, round(sigma, 4) AS sigma, round(greatest(0, xx + yy - 2 * xy), 6) AS mmd2 FROM k""")
+def median_rule_discrepancies(spark, d):
+    """NUM10, JN12: shelves of suppliers against shelf 0, each with the width of the median rule."""
+    rows = table(spark, d, "supplier").select((F.col("s_nationkey") % 5).cast("long").alias("label"), F.array(F.col("s_acctbal").cast("double"), F.col("s_suppkey").cast("double")).alias("v"))
+    out = kernels.median_discrepancies(rows, 0)
+    return out.select("label", F.round("sigma", 4).alias("sigma"), F.round("mmd2", 6).alias("mmd2"))
+
+
 @query(None)
 def kriging_scores(spark, d):
     """NUM18, NUM19, NUM22: a model of 40 design points at every part."""
