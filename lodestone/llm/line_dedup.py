@@ -14,9 +14,10 @@ avoid. Where over LARGE classes share a token, they are entered under pairs of t
 their prefix, which is longer by one then: matching classes share a second token there too. Pairs of classes
 pass the length and positional filters and the parities' bound, and what is left is verified on whole lines.
 
-Groups that stay large hold many copies of a line: in ROUNDS rounds each unsettled class of such a group is
-compared with one class, the earliest of its groups' earliest ones. Classes found to match an earlier one are
-settled; settled classes needn't be compared with each other, so copies aren't paired with copies.
+Copies of a line aren't paired with each other: first each class is compared with one other, the earliest of those
+that share its two rarest tokens, then, if that didn't match, of those that share its second and third. In groups that
+stay large though split, ROUNDS rounds more compare each class left with the earliest of its groups' earliest ones.
+Classes found to match an earlier one are settled, and settled classes needn't be compared with each other.
 
 Null and empty texts have one line without tokens, and stay. Of repeated rows the first is treated as any
 document; the others lose all lines with tokens. Other columns pass through.
@@ -40,8 +41,8 @@ _HASH_BITS = 57
 #: Places of candidate lines and keys of large groups are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS.
-LARGE = 64
-PART = 8
+LARGE = 1024
+PART = 16
 ROUNDS = 2
 PASSES = 2
 _ID = ["doc_id", "key"]
@@ -130,11 +131,11 @@ def entries(first: DataFrame) -> DataFrame:
     up, down = THRESHOLD
     some = first.filter(F.col("n") >= up).withColumn("reach", F.col("n") - _least(F.col("n")) + 1)
     some = some.withColumn("short", (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int"))
-    rows = some.select("k1", "n", "p", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
-    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "reach", "short", "prefix")
+    rows = some.select("k1", "n", "p", "settled", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "settled", "reach", "short", "prefix")
 
 
-_ENTRY = ["g", "k1", "n", "at", "few", "p"]
+_ENTRY = ["g", "k1", "n", "at", "few", "p", "settled"]
 
 
 def _paired(rows: DataFrame, large: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def _paired(rows: DataFrame, large: DataFrame) -> DataFrame:
     """
     met = rows.join(large, "g", "left_semi").withColumn("rest", F.expr("slice(prefix, at + 2, reach - at)"))
     both = F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at"), (F.col("few") & (F.col("at") + i < F.col("short"))).alias("few")))
-    return met.select("k1", "n", "p", F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p")
+    return met.select("k1", "n", "p", "settled", F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "settled")
 
 
 def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -> DataFrame:
@@ -156,8 +157,8 @@ def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    """What is shuffled of a row: its group, its class, parity, and whether it may be the smaller, size and place in one number."""
-    size = F.shiftleft(F.col("few").cast("long"), 60).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 30)).bitwiseOR(F.col("at").cast("long"))
+    """What is shuffled of a row: its group, its class, parity, and in one number whether it is settled and may be the smaller, size and place."""
+    size = F.shiftleft(F.col("settled").cast("long"), 61).bitwiseOR(F.shiftleft(F.col("few").cast("long"), 60)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 30)).bitwiseOR(F.col("at").cast("long"))
     return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"))
 
 
@@ -171,7 +172,8 @@ def _possible(smaller: bool) -> Column:
     enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
     apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b")))
     alike = apart * (up + down) <= (n_a + n_b) * (down - up)
-    order = (F.shiftright("s_a", 60) == 1) & ((n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))) if smaller else F.col("k_a") != F.col("k_b")
+    flag = lambda x, bit: F.shiftright(f"s_{x}", bit).bitwiseAND(F.lit(1)) == 1
+    order = flag("a", 60) & ~(flag("a", 61) & flag("b", 61)) & ((n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))) if smaller else F.col("k_a") != F.col("k_b")
     return order & near & alike & enough
 
 
@@ -206,7 +208,7 @@ class Words:
         return found
 
 
-def verified(words: Words, found: DataFrame, settled: DataFrame | None) -> DataFrame:
+def verified(words: Words, found: DataFrame, settled: DataFrame) -> DataFrame:
     """Of candidate pairs (k_a, k_b) the later classes, settled ones aside, of those that match.
 
     Each class is compared with its earliest candidate first; only where that doesn't match with the others
@@ -217,8 +219,7 @@ def verified(words: Words, found: DataFrame, settled: DataFrame | None) -> DataF
     ends = found.distinct().join(a, "k_a").join(b, "k_b")
     pick = lambda x, y: F.when(F.col("at_a") < F.col("at_b"), F.col(x)).otherwise(F.col(y))
     edges = ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e"))
-    if settled is not None:
-        edges = edges.join(_hint(settled)(settled.withColumnRenamed("k1", "k")), "k", "left_anti")
+    edges = edges.join(_hint(settled)(settled.withColumnRenamed("k1", "k")), "k", "left_anti")
     edges = staged(edges, "line-candidates")
     least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least")).select("k", "least.e")
     done = words.same(least)
@@ -237,51 +238,71 @@ def _large(rows: DataFrame, large: int, part: int) -> DataFrame | None:
     return _hint(found)(found)
 
 
-def _thinned(words: Words, crowd: DataFrame, rounds: int) -> DataFrame | None:
-    """The classes (k1) that match an earlier one, found by comparing each with one class a round.
+def _thinned(words: Words, crowd: DataFrame, rounds: int, settled: DataFrame) -> DataFrame:
+    """The settled classes (k1) and those that match an earlier one, found by comparing each with one class a round.
 
     crowd: entries of large groups with place, the class's place. A group's first class is its hub; of the hubs
     of a class that pass the filters the earliest is compared with it. Settled classes are no hubs later on.
     """
-    settled = None
     for _ in range(rounds):
-        left = crowd if settled is None else crowd.join(_hint(settled)(settled), "k1", "left_anti")
-        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "place"), "place").alias("hub")).select("g", "hub.*")
+        left = crowd.join(_hint(settled)(settled), "k1", "left_anti")
+        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "settled", "place"), "place").alias("hub")).select("g", "hub.*")
         met = _side(left, "a").join(_side(hubs, "b").join(hubs.select("g", "place"), "g"), "g").filter(_possible(False))
         best = met.groupBy(F.col("k_a").alias("k")).agg(F.min(F.struct("place", F.col("k_b").alias("e"))).alias("hub"))
         edges = staged(best.select("k", "hub.e"), "line-hubs")
         found = words.same(edges)
-        settled = found if settled is None else staged(settled.unionByName(found), "line-settled")
+        settled = staged(settled.unionByName(found), "line-settled")
         unstage(edges)
     return settled
 
 
+def _settled(words: Words, shift: int, but: DataFrame | None) -> DataFrame:
+    """The classes (k1) that match the earliest class with the same two tokens at a place of the prefix, those aside that are settled."""
+    up, down = THRESHOLD
+    rows = words.first.filter(F.col("n") >= up)
+    if but is not None:
+        rows = rows.join(_hint(but)(but), "k1", "left_anti")
+    key = F.xxhash64(F.get("prefix", F.lit(shift)), F.get("prefix", F.lit(shift + 1)))
+    rows = rows.select(key.alias("g"), "k1", "n", "p", F.struct(*_PLACE).alias("place"))
+    hubs = rows.groupBy("g").agg(F.min_by(F.struct("k1", "n", "p"), "place").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("g", "hub")
+    n, apart = F.col("hub.n"), F.bit_count(F.col("p").bitwiseXOR(F.col("hub.p")))
+    near = (n * down >= F.col("n") * up) & (F.col("n") * down >= n * up) & (apart * (up + down) <= (n + F.col("n")) * (down - up))
+    edges = staged(rows.join(hubs, "g").filter((F.col("k1") != F.col("hub.k1")) & near).select(F.col("k1").alias("k"), F.col("hub.k1").alias("e")), "line-hubs")
+    found = words.same(edges)
+    unstage(edges)
+    return found
+
+
 def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """The classes (k1) that an earlier class matches."""
-    first = words.first
     part = PART if large >= PART else 1
+    settled = None
+    for shift in range(2):
+        found = _settled(words, shift, settled)
+        settled = found if settled is None else staged(settled.unionByName(found), "line-settled")
+    first = staged(words.first.join(settled.withColumn("settled", F.lit(True)), "k1", "left").withColumn("settled", F.coalesce("settled", F.lit(False))), "line-marked")
     rows = entries(first)
     crowded = _large(rows, large, part)
-    still = settled = hot = None
+    still = hot = None
     if crowded is not None:
         still = _large(_paired(rows, crowded), large, part)
     if still is not None:
         places = first.select("k1", F.struct(*_PLACE).alias("place"))
         hot = staged(_paired(rows, crowded).join(still, "g").join(places, "k1"), "line-crowd")
-        settled = _thinned(words, hot, rounds)
+        settled = _thinned(words, hot, rounds, settled)
     out = []
     # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
     for k in range(PASSES):
         cold = _cold(rows, crowded, still).filter(F.pmod("g", F.lit(PASSES)) == k)
         out.append(staged(pairs(cold, cold).distinct(), "line-pairs"))
     if hot is not None:
-        left = hot if settled is None else hot.join(_hint(settled)(settled), "k1", "left_anti")
+        left = hot.join(_hint(settled)(settled), "k1", "left_anti")
         # An unsettled class may be the smaller of a pair or the larger.
         out.append(staged(pairs(left, hot).unionByName(pairs(hot, left)).distinct(), "line-pairs"))
         unstage(hot)
     more = verified(words, reduce(DataFrame.unionByName, out), settled)
-    unstage(*out)
-    return more if settled is None else more.unionByName(settled).distinct()
+    unstage(*out, first)
+    return more.unionByName(settled).distinct()
 
 
 def removals(documents: DataFrame) -> DataFrame:
