@@ -14,8 +14,8 @@ avoid. Where over LARGE classes share a token, they are entered under pairs of t
 their prefix, which is longer by one then: matching classes share a second token there too. Pairs of classes
 pass the length and positional filters and the parities' bound, and what is left is verified on whole lines.
 
-Copies of a line aren't paired with each other: first each class is compared with one other, the earliest of those
-that share its two rarest tokens, then, if that didn't match, of those that share its second and third. In groups that
+Copies of a line aren't paired with each other: first each class is compared with two others, the earliest of
+those that share its two rarest tokens and of those that share its tokens of least and greatest hash. In groups that
 stay large though split, ROUNDS rounds more compare each class left with the earliest of its groups' earliest ones.
 Classes found to match an earlier one are settled, and settled classes needn't be compared with each other.
 
@@ -97,16 +97,18 @@ def _least(n: Column) -> Column:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix and parity p.
+    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix, parity p and
+    ends, what names its tokens of least and greatest hash.
 
     Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
     lines, so many tokens at least are in one of them alone.
     """
     found = staged(hashed(documents), "line-hashes")
     levels = staged(rarity(found), "line-rarity")
-    rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, _ordered(F.col("h"), F.col("levels")).alias("all"))
-    rows = rows.select(*_PLACE, F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"))
-    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
+    ends = F.xxhash64(F.array_min("h"), F.array_max("h")).alias("ends")
+    rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, ends, _ordered(F.col("h"), F.col("levels")).alias("all"))
+    rows = rows.select(*_PLACE, "ends", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"))
+    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "ends", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
     unstage(found, levels)
     return out
 
@@ -118,7 +120,7 @@ def _parity() -> Column:
 
 def heads(found: DataFrame) -> DataFrame:
     """One row per class of lines with tokens: the place of its first line, n, prefix and parity."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "prefix")).alias("first"))
+    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "ends", "prefix")).alias("first"))
     return first.select("k1", "k2", "first.*")
 
 
@@ -256,18 +258,16 @@ def _thinned(words: Words, crowd: DataFrame, rounds: int, settled: DataFrame) ->
     return settled
 
 
-def _settled(words: Words, shift: int, but: DataFrame | None) -> DataFrame:
-    """The classes (k1) that match the earliest class with the same two tokens at a place of the prefix, those aside that are settled."""
+def _settled(words: Words) -> DataFrame:
+    """The classes (k1) that match the earliest class with the same two rarest tokens, or with the same ends."""
     up, down = THRESHOLD
     rows = words.first.filter(F.col("n") >= up)
-    if but is not None:
-        rows = rows.join(_hint(but)(but), "k1", "left_anti")
-    key = F.xxhash64(F.get("prefix", F.lit(shift)), F.get("prefix", F.lit(shift + 1)))
-    rows = rows.select(key.alias("g"), "k1", "n", "p", F.struct(*_PLACE).alias("place"))
+    keys = F.explode(F.array(F.xxhash64(F.get("prefix", F.lit(0)), F.get("prefix", F.lit(1))), "ends"))
+    rows = rows.select(keys.alias("g"), "k1", "n", "p", F.struct(*_PLACE).alias("place"))
     hubs = rows.groupBy("g").agg(F.min_by(F.struct("k1", "n", "p"), "place").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("g", "hub")
     n, apart = F.col("hub.n"), F.bit_count(F.col("p").bitwiseXOR(F.col("hub.p")))
     near = (n * down >= F.col("n") * up) & (F.col("n") * down >= n * up) & (apart * (up + down) <= (n + F.col("n")) * (down - up))
-    edges = staged(rows.join(hubs, "g").filter((F.col("k1") != F.col("hub.k1")) & near).select(F.col("k1").alias("k"), F.col("hub.k1").alias("e")), "line-hubs")
+    edges = staged(rows.join(hubs, "g").filter((F.col("k1") != F.col("hub.k1")) & near).select(F.col("k1").alias("k"), F.col("hub.k1").alias("e")).distinct(), "line-hubs")
     found = words.same(edges)
     unstage(edges)
     return found
@@ -276,10 +276,7 @@ def _settled(words: Words, shift: int, but: DataFrame | None) -> DataFrame:
 def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """The classes (k1) that an earlier class matches."""
     part = PART if large >= PART else 1
-    settled = None
-    for shift in range(2):
-        found = _settled(words, shift, settled)
-        settled = found if settled is None else staged(settled.unionByName(found), "line-settled")
+    settled = _settled(words)
     first = staged(words.first.join(settled.withColumn("settled", F.lit(True)), "k1", "left").withColumn("settled", F.coalesce("settled", F.lit(False))), "line-marked")
     rows = entries(first)
     crowded = _large(rows, large, part)
@@ -313,7 +310,7 @@ def removals(documents: DataFrame) -> DataFrame:
     """
     every = classes(documents)
     first = staged(heads(every), "line-heads")
-    found = staged(every.drop("prefix", "p"), "line-places")
+    found = staged(every.drop("prefix", "p", "ends"), "line-places")
     unstage(every)
     matched = staged(later(Words(documents, first)), "line-later").withColumn("later", F.lit(True))
     known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")
