@@ -164,6 +164,14 @@ class Machine:
         self.whole = {p for p in self.ids if len(p) == 1} | ({" "} if MARK in self.ids else set())
         self.read = composed(normaliser(), with_fallback(piece_machine(self.ids), self.whole))
         self.lead = normaliser().arcs[0][""][0]
+        self.fallback = self.read.arcs[0][Transducer.OTHER][1]
+        # The composed machine with each arc holding its next state's arcs; '' has the piece put out and its weight.
+        nodes: list[dict] = [{} for _ in self.read.arcs]
+        for node, arcs in zip(nodes, self.read.arcs, strict=True):
+            for c, (put, weight, to) in arcs.items():
+                if c is not Transducer.OTHER:
+                    node[c] = nodes[to] if c else (put, weight)
+        self.linked = nodes[0]
         inner = {c for p in self.ids if p.strip(MARK) for c in p[1:]}
         if MARK in inner:
             raise ValueError("a piece has a space mark after its first character")
@@ -173,60 +181,66 @@ class Machine:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What the merges leave of a short text: again and again the best-ranked merge, the leftmost of equals."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best = max(((rank[a + b], -i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)) if a + b in rank), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
     def beside(self, left: int, right: int) -> float:
-        """The pair machine's weight of a piece after another: nothing if the merges leave the two side by side, else infinity."""
-        key = left, right
-        found = self.pairs.get(key)
-        if found is None:
-            a, b = self.names[left], self.names[right]
-            found = self.pairs[key] = 0 if self.merged(a + b) == [a, b] else _INFINITE
+        """The pair machine's weight of a piece after another: nothing if the merges leave the two side by side, else infinity.
+
+        The merges of the two together: again and again the best-ranked one, the leftmost of equals, until one would
+        cross from the first piece to the second or none is left.
+        """
+        a, b = self.names[left], self.names[right]
+        parts, cut, rank = [*a, *b], len(a), self.rank
+        while True:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                r = rank.get(parts[i] + parts[i + 1])
+                if r is not None and (best is None or r > best):
+                    best, at = r, i
+            if at < 0 or at == cut - 1:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            cut -= at < cut
+        found = self.pairs[left, right] = 0 if at < 0 and parts == [a, b] else _INFINITE
         return found
 
     def path(self, text: str) -> list[int]:
         """The shortest path of one segment: its lattice composed with the pair machine, place by place.
 
-        best[place] has for each last piece (None: bytes) the least weight and where it comes from.
+        best[place] has for each last piece (None: bytes) the least weight and where it comes from. Arcs of infinite
+        weight are left out.
         """
-        n, arcs, pairs, root = len(text), self.read.arcs, self.pairs, self.read.arcs[0]
-        best: list[dict] = [{} for _ in range(n + 1)]
-        best[0][None] = 0, 0, None
+        n, pairs, root = len(text), self.pairs, self.linked
+        best: list = [None] * (n + 1)
+        best[0] = {None: (0, 0, None)}
         for s in range(n):
-            states = best[s].items()
-            if not states:
+            states = best[s]
+            if states is None:
                 continue
-            c = text[s]
-            if c not in self.whole:
-                _, weight, _ = root[Transducer.OTHER]
-                for last, (cost, _, _) in states:
-                    if None not in best[s + 1] or cost + weight < best[s + 1][None][0]:
-                        best[s + 1][None] = cost + weight, s, last
-            here = arcs[0]
+            if text[s] not in self.whole:
+                for last, (cost, _, _) in states.items():
+                    into = best[s + 1] = best[s + 1] or {}
+                    if None not in into or cost + self.fallback < into[None][0]:
+                        into[None] = cost + self.fallback, s, last
+            node = root
             for e in range(s, n):
-                arc = here.get(text[e])
-                if arc is None:
+                node = node.get(text[e])
+                if node is None:
                     break
-                here = arcs[arc[2]]
-                end = here.get("")
-                if end is not None:
-                    piece, weight, _ = end
-                    into = best[e + 1]
-                    for last, (cost, _, _) in states:
-                        if last is not None:
-                            cost += pairs[last, piece] if (last, piece) in pairs else self.beside(last, piece)
-                        cost += weight
-                        if cost != _INFINITE and (piece not in into or cost < into[piece][0]):
-                            into[piece] = cost, s, last
+                end = node.get("")
+                if end is None:
+                    continue
+                piece, weight = end
+                for last, state in states.items():
+                    if last is not None:
+                        joint = pairs.get((last, piece))
+                        if joint is None:
+                            joint = self.beside(last, piece)
+                        if joint:
+                            continue
+                    cost, into = state[0] + weight, best[e + 1]
+                    if into is None:
+                        best[e + 1] = {piece: (cost, s, last)}
+                    elif piece not in into or cost < into[piece][0]:
+                        into[piece] = cost, s, last
         out, e = [], n
         last = min(best[n], key=lambda k: best[n][k][0]) if n else None
         while e:
