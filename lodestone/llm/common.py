@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.sources import table
 from lodestone.sources.staging import scratch, shared_dir, staged, tidy, unstage
 
-__all__ = ["crc_mod", "scratch", "shared_dir", "slices", "staged", "table", "tidy", "unstage"]
+__all__ = ["crc_mod", "scratch", "shared_dir", "slices", "staged", "table", "tidy", "unstage", "whole"]
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -32,3 +32,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 2048, text: str | None
             end = max(at + 1, min(at + rows, int(np.searchsorted(ends, taken + size, "right"))))
             yield batch.slice(at, end - at)
             at, taken = end, int(ends[end - 1])
+
+
+def whole(df: DataFrame) -> Column:
+    """A row's columns as one struct whole_, so that columns added meanwhile clash with none of them."""
+    return F.struct(*[df[c] for c in df.columns]).alias("whole_")

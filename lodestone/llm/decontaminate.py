@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged, table, tidy
+from lodestone.llm.common import staged, table, tidy, whole
 
 SPAN, GRAM = 13, 5
 BROADCAST_ROWS = 200_000
@@ -140,8 +140,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, share: int = 20, **
 
 def clean(documents: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    bad = contaminated(documents, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(documents["text"]) == F.col("bad_key")), "left_anti")
+    bad = contaminated(documents, benchmark, **kw).filter("contaminated").select(F.col("doc_id").alias("bad_id_"), F.col("key").alias("bad_key_")).distinct()
+    docs = documents.select(whole(documents), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("hash_"))
+    return docs.join(bad, F.col("id_").eqNullSafe(F.col("bad_id_")) & (F.col("hash_") == F.col("bad_key_")), "left_anti").select("whole_.*")
 
 
 @tidy

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import staged, table, tidy, unstage
+from lodestone.llm.common import staged, table, tidy, unstage, whole
 
 #: Jaccard similarity from which lines match, as a ratio of whole numbers.
 THRESHOLD = (4, 5)
@@ -330,14 +330,16 @@ def removals(documents: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame) -> DataFrame:
     """The documents without removed lines, all columns kept; a document that had lines with tokens and keeps none goes."""
-    docs = documents.withColumn("lines_hash", F.xxhash64("text"))
-    found = removals(documents).select(*[F.col(c).alias(f"lines_{c}") for c in ("doc_id", "key", "removed", "filled")])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("lines_doc_id")) & (F.col("lines_hash") == F.col("lines_key")))
-    copy = F.row_number().over(Window.partitionBy("lines_doc_id", "lines_key").orderBy("lines_key"))
-    marked = joined.withColumn("lines_gone", F.when(copy == 1, F.col("lines_removed")).otherwise(F.col("lines_filled")))
-    marked = marked.filter((F.size("lines_filled") == 0) | (F.size("lines_gone") < F.size("lines_filled")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("lines_gone", i)), "\n")
-    return marked.withColumn("text", F.when(F.size("lines_gone") == 0, F.col("text")).otherwise(kept)).select(*documents.columns)
+    docs = documents.select(whole(documents), F.col("doc_id").alias("id_"), F.xxhash64("text").alias("hash_"))
+    found = removals(documents).select(*[F.col(c).alias(f"{c}_") for c in ("doc_id", "key", "removed", "filled")])
+    joined = docs.join(found, F.col("id_").eqNullSafe(F.col("doc_id_")) & (F.col("hash_") == F.col("key_")))
+    copy = F.row_number().over(Window.partitionBy("doc_id_", "key_").orderBy("key_"))
+    marked = joined.withColumn("gone_", F.when(copy == 1, F.col("removed_")).otherwise(F.col("filled_")))
+    marked = marked.filter((F.size("filled_") == 0) | (F.size("gone_") < F.size("filled_")))
+    text = F.col("whole_")["text"]
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("gone_", i)), "\n")
+    changed = F.when(F.size("gone_") == 0, text).otherwise(kept).alias("text")
+    return marked.select(*[changed if c == "text" else F.col("whole_")[c].alias(c) for c in documents.columns])
 
 
 @tidy

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, staged, table, tidy
+from lodestone.llm.common import slices, staged, table, tidy, whole
 from lodestone.operators.graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -266,8 +266,8 @@ def dedup(documents: DataFrame, **kw) -> DataFrame:
     """The documents without those whose group has a smaller doc_id; of rows that repeat an id one stays."""
     gone = groups(documents, **kw).filter("component_id <> doc_id").select("doc_id").distinct()
     left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
-    named = left.filter("doc_id is not null")
-    first = named.withColumn("near_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("near_rank = 1").drop("near_rank")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    first = left.filter("doc_id is not null").select(whole(left), rank.alias("rank_")).filter("rank_ = 1").select("whole_.*")
     return first.unionByName(left.filter("doc_id is null"))
 
 
