@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,15 +104,15 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, n, data -> uid, n, data, codes and places."""
     for b in batches:
         data = b.column(2).to_pylist()
-        codes, places = [None] * len(data), [None] * len(data)
+        codes, places = np.zeros((len(data), TURNS), np.int32), np.zeros((len(data), TURNS), np.float32)
         by_dim: dict[int, list[int]] = {}
         for i, x in enumerate(data):
             by_dim.setdefault(len(x) // 8, []).append(i)
         for dim, some in by_dim.items():
-            x = np.frombuffer(b"".join([data[i] for i in some]), np.float64).reshape(-1, dim)
-            for i, c, p in zip(some, *cells(x), strict=True):
-                codes[i], places[i] = c.tolist(), p.tolist()
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.float32()))], names=["uid", "n", "data", "codes", "places"])
+            codes[some], places[some] = cells(np.frombuffer(b"".join([data[i] for i in some]), np.float64).reshape(-1, dim))
+        ends = pa.array(np.arange(len(data) + 1, dtype=np.int32) * np.int32(TURNS))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (codes, places)]
+        yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=["uid", "n", "data", "codes", "places"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -179,7 +180,7 @@ def _linked(cosine: float):
         for t in _groups(batches):
             uid, group, turn, block, visits, weight = (t[c].to_numpy() for c in ("uid", "group", "turn", "block", "visits", "n"))
             data = t["data"].to_pylist()
-            codes, places = (np.array(t[c].to_pylist(), k).reshape(len(uid), -1) for c, k in (("codes", np.int32), ("places", np.float32)))
+            codes, places = (pc.list_flatten(t[c]).to_numpy().reshape(len(uid), -1) for c in ("codes", "places"))
             dims = np.array([len(x) // 8 for x in data])
             edges = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
             sizes = np.diff(np.append(edges, len(group)))
