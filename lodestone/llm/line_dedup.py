@@ -41,7 +41,7 @@ _HASH_BITS = 57
 #: Places of candidate lines and keys of large groups are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS.
-LARGE = 1024
+LARGE = 256
 PART = 16
 ROUNDS = 2
 PASSES = 2
@@ -97,8 +97,8 @@ def _least(n: Column) -> Column:
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix, parity p and
-    ends, what names its tokens of least and greatest hash.
+    """One row per line: doc_id, key, line_no, its class (k1, k2), its number of tokens n, its prefix, parities p and q,
+    and ends, what names its tokens of least and greatest hash.
 
     Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
     lines, so many tokens at least are in one of them alone.
@@ -107,20 +107,26 @@ def classes(documents: DataFrame) -> DataFrame:
     levels = staged(rarity(found), "line-rarity")
     ends = F.xxhash64(F.array_min("h"), F.array_max("h")).alias("ends")
     rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, ends, _ordered(F.col("h"), F.col("levels")).alias("all"))
-    rows = rows.select(*_PLACE, "ends", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"))
-    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "ends", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
+    rows = rows.select(*_PLACE, "ends", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity(0).alias("p"), _parity(1).alias("q"))
+    out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "q", "ends", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
     unstage(found, levels)
     return out
 
 
-def _parity() -> Column:
+def _parity(half: int) -> Column:
+    """The parity of the tokens whose number has a bit, or hasn't."""
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseXOR(bit(v))).otherwise(acc))
+
+
+def _apart(p: str, q: str, of_p: str, of_q: str) -> Column:
+    """The bits in which two classes' parities differ."""
+    return F.bit_count(F.col(p).bitwiseXOR(F.col(of_p))) + F.bit_count(F.col(q).bitwiseXOR(F.col(of_q)))
 
 
 def heads(found: DataFrame) -> DataFrame:
-    """One row per class of lines with tokens: the place of its first line, n, prefix and parity."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "ends", "prefix")).alias("first"))
+    """One row per class of lines with tokens: the place of its first line, n, prefix and parities."""
+    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "q", "ends", "prefix")).alias("first"))
     return first.select("k1", "k2", "first.*")
 
 
@@ -133,11 +139,11 @@ def entries(first: DataFrame) -> DataFrame:
     up, down = THRESHOLD
     some = first.filter(F.col("n") >= up).withColumn("reach", F.col("n") - _least(F.col("n")) + 1)
     some = some.withColumn("short", (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int"))
-    rows = some.select("k1", "n", "p", "settled", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
-    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "settled", "reach", "short", "prefix")
+    rows = some.select("k1", "n", "p", "q", "settled", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "q", "settled", "reach", "short", "prefix")
 
 
-_ENTRY = ["g", "k1", "n", "at", "few", "p", "settled"]
+_ENTRY = ["g", "k1", "n", "at", "few", "p", "q", "settled"]
 
 
 def _paired(rows: DataFrame, large: DataFrame) -> DataFrame:
@@ -147,7 +153,7 @@ def _paired(rows: DataFrame, large: DataFrame) -> DataFrame:
     """
     met = rows.join(large, "g", "left_semi").withColumn("rest", F.expr("slice(prefix, at + 2, reach - at)"))
     both = F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at"), (F.col("few") & (F.col("at") + i < F.col("short"))).alias("few")))
-    return met.select("k1", "n", "p", "settled", F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "settled")
+    return met.select("k1", "n", "p", "q", "settled", F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "q", "settled")
 
 
 def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -> DataFrame:
@@ -159,20 +165,20 @@ def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
-    """What is shuffled of a row: its group, its class, parity, and in one number whether it is settled and may be the smaller, size and place."""
+    """What is shuffled of a row: its group, its class, parities, and in one number whether it is settled and may be the smaller, size and place."""
     size = F.shiftleft(F.col("settled").cast("long"), 61).bitwiseOR(F.shiftleft(F.col("few").cast("long"), 60)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 30)).bitwiseOR(F.col("at").cast("long"))
-    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"))
+    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"), F.col("q").alias(f"q_{side}"))
 
 
 def _possible(smaller: bool) -> Column:
-    """The length and positional filters and the parity's bound, of a pair of _side rows; smaller: a is the smaller of the two."""
+    """The length and positional filters and the parities' bound, of a pair of _side rows; smaller: a is the smaller of the two."""
     up, down = THRESHOLD
     low = F.lit((1 << 30) - 1)
     n_a, n_b = (F.shiftright(f"s_{x}", 30).bitwiseAND(low) for x in "ab")
     at_a, at_b = (F.col(f"s_{x}").bitwiseAND(low) for x in "ab")
     near = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
     enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-    apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b")))
+    apart = _apart("p_a", "q_a", "p_b", "q_b")
     alike = apart * (up + down) <= (n_a + n_b) * (down - up)
     flag = lambda x, bit: F.shiftright(f"s_{x}", bit).bitwiseAND(F.lit(1)) == 1
     order = flag("a", 60) & ~(flag("a", 61) & flag("b", 61)) & ((n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))) if smaller else F.col("k_a") != F.col("k_b")
@@ -248,7 +254,7 @@ def _thinned(words: Words, crowd: DataFrame, rounds: int, settled: DataFrame) ->
     """
     for _ in range(rounds):
         left = crowd.join(_hint(settled)(settled), "k1", "left_anti")
-        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "settled", "place"), "place").alias("hub")).select("g", "hub.*")
+        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "q", "settled", "place"), "place").alias("hub")).select("g", "hub.*")
         met = _side(left, "a").join(_side(hubs, "b").join(hubs.select("g", "place"), "g"), "g").filter(_possible(False))
         best = met.groupBy(F.col("k_a").alias("k")).agg(F.min(F.struct("place", F.col("k_b").alias("e"))).alias("hub"))
         edges = staged(best.select("k", "hub.e"), "line-hubs")
@@ -263,9 +269,9 @@ def _settled(words: Words) -> DataFrame:
     up, down = THRESHOLD
     rows = words.first.filter(F.col("n") >= up)
     keys = F.explode(F.array(F.xxhash64(F.get("prefix", F.lit(0)), F.get("prefix", F.lit(1))), "ends"))
-    rows = rows.select(keys.alias("g"), "k1", "n", "p", F.struct(*_PLACE).alias("place"))
-    hubs = rows.groupBy("g").agg(F.min_by(F.struct("k1", "n", "p"), "place").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("g", "hub")
-    n, apart = F.col("hub.n"), F.bit_count(F.col("p").bitwiseXOR(F.col("hub.p")))
+    rows = rows.select(keys.alias("g"), "k1", "n", "p", "q", F.struct(*_PLACE).alias("place"))
+    hubs = rows.groupBy("g").agg(F.min_by(F.struct("k1", "n", "p", "q"), "place").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("g", "hub")
+    n, apart = F.col("hub.n"), _apart("p", "q", "hub.p", "hub.q")
     near = (n * down >= F.col("n") * up) & (F.col("n") * down >= n * up) & (apart * (up + down) <= (n + F.col("n")) * (down - up))
     edges = staged(rows.join(hubs, "g").filter((F.col("k1") != F.col("hub.k1")) & near).select(F.col("k1").alias("k"), F.col("hub.k1").alias("e")).distinct(), "line-hubs")
     found = words.same(edges)
@@ -310,7 +316,7 @@ def removals(documents: DataFrame) -> DataFrame:
     """
     every = classes(documents)
     first = staged(heads(every), "line-heads")
-    found = staged(every.drop("prefix", "p", "ends"), "line-places")
+    found = staged(every.drop("prefix", "p", "q", "ends"), "line-places")
     unstage(every)
     matched = staged(later(Words(documents, first)), "line-later").withColumn("later", F.lit(True))
     known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")
