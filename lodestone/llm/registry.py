@@ -15,12 +15,17 @@ _QUERIES = {
     "op8_language": "language",
     "op9_token_records": "token_records",
     "op10_quality": "quality",
+    "op11_resample": "targeting",
+    "op12_toxicity": "toxicity",
+    "op13_fill_middle": "fill_middle",
 }
 
 _SQL = {
     "op3_decontaminate": ("decontaminate", "OP3_SQL"),
     "op4_near_vectors": ("vectors", "OP4_SQL"),
     "op5_line_dedup": ("line_dedup", "OP5_SQL"),
+    "op11_resample": ("targeting", "OP11_SQL"),
+    "op13_fill_middle": ("fill_middle", "OP13_SQL"),
 }
 
 
