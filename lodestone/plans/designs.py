@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import testbed
-from lodestone.operators import cluster, pareto, stats
+from lodestone.operators import cluster, metric, pareto, stats
 from lodestone.sources import table
 
 QUERIES: dict[str, tuple] = {}
@@ -132,14 +132,35 @@ def pair_classes(spark, d):
     return cluster.pair_classes(s, [(0, 1), (3, 2)], 10, 1000.0).withColumn("score", F.round("score", 4))
 
 
-@query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT query, vec_id AS id, round(sqrt(list_sum(list_transform(list_zip(q.e, v.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))), 6) AS d FROM q JOIN embeddings v ON query <> vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM n) SELECT query, rank, id, d FROM r WHERE rank <= 5""")
+_NEAR = "l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2)) <= {e2})"
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query("WITH RECURSIVE " + _NEAR.format(e2="1.21") + ", t(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT t.id, l.b FROM t JOIN l ON t.r = l.a) SELECT id, min(r) AS cluster FROM t GROUP BY id")
+def single_linkage_vectors(spark, d):
+    """NUM13, JN13 in all dimensions, with steps of at most 1.1."""
+    return metric.linkage(_vectors(spark, d), 1.1)
+
+
+@query("WITH RECURSIVE " + _NEAR.format(e2="1.44") + """, c AS (SELECT vec_id AS id FROM embeddings LEFT JOIN l ON vec_id = a GROUP BY 1 HAVING count(a) + 1 >= 5),
+t(id, r) AS (SELECT id, id FROM c UNION SELECT t.id, l.b FROM t JOIN l ON t.r = l.a WHERE l.b IN (SELECT id FROM c)), n AS (SELECT id, min(r) AS cluster FROM t GROUP BY id),
+b AS (SELECT l.a AS id, min(n.cluster) AS near FROM l JOIN n ON l.b = n.id GROUP BY 1)
+SELECT vec_id AS id, c.id IS NOT NULL AS is_core, coalesce(n.cluster, b.near, -1) AS cluster FROM embeddings LEFT JOIN c ON vec_id = c.id LEFT JOIN n ON vec_id = n.id LEFT JOIN b ON vec_id = b.id""")
+def dbscan_vectors(spark, d):
+    """NUM14, JN13 in all dimensions, with eps 1.2 and five samples."""
+    return metric.dbscan(_vectors(spark, d), 1.2)
+
+
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), n AS (SELECT query, vec_id AS id, sqrt(list_sum(list_transform(list_zip(q.e, v.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) ** 2))) AS d FROM q JOIN embeddings v ON query <> vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM n) SELECT query, rank, id, round(d, 6) AS d FROM r WHERE rank <= 5""")
 def nearest_vectors(spark, d):
     """JN14: of every vector whose id is divisible by 100, the five nearest of all."""
-    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("q"))
-    out = cluster.nearest(rows, queries, 5, F.round(F.sqrt(testbed.squared_distance(F.col("v"), F.col("q"))), 6))
-    return out.select("query", F.col("rank").cast("long").alias("rank"), "id", "d")
+    rows = _vectors(spark, d)
+    out, _ = metric.nearest(rows, rows.filter("id % 100 = 0"), 5)
+    return out.select("query", F.col("rank").cast("long").alias("rank"), "id", F.round("d", 6).alias("d"))
 
 
 def _lists(expression: str) -> str:
