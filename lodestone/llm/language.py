@@ -11,8 +11,8 @@ once. Each piece is parsed from its own start; then the parse of the piece befor
 begin a phrase at the same place, from where they agree, and the difference is settled. Where they don't meet
 within the piece the text is parsed again in one go, so phrases don't depend on pieces or batches.
 
-The sample: at most DOCS documents per language, whole, those with the smallest hash of their id among learning
-rows of at most CHARS characters (the shortest row where a language has none). Everything else covers all rows.
+The sample: of at most DOCS documents per language, those with the smallest hash of their id, whatever their
+length, a passage of at most CHARS characters at a place that the hash draws. Everything else covers all rows.
 Null texts and texts without a letter are `und` with score 0; so is every text if there is nothing to learn
 from. Rows are independent.
 """
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import crc_mod, slices, table
 
@@ -184,15 +185,15 @@ class Model:
 
 def learn(labelled: DataFrame, docs: int = DOCS, chars: int = CHARS) -> Model:
     """A model of the languages of labelled (doc_id, text, lang); rows without a language or letters teach nothing."""
-    size, h = F.length("text"), F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))
-    rows = labelled.filter("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("text").alias("t"), size.alias("size"), h.alias("h"))
-    # Short rows by their hash, then the others by their length.
-    late = F.when(F.col("size") <= chars, F.lit(0)).otherwise(F.col("size"))
-    ranked = rows.withColumn("late", late).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("late", "h", "doc_id", "t")))
+    h = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))
+    rows = labelled.filter("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("text").alias("t"), h.alias("h"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "t")))
     # At most docs rows a language: a side of bounded size, joined to one text of each.
-    part = ranked.filter((F.col("k") <= docs) & ((F.col("late") == 0) | (F.col("k") == 1))).select("lang", "k", F.col("doc_id").alias("doc_"), "t").withColumnRenamed("lang", "lang_")
+    part = ranked.filter(F.col("k") <= docs).select("lang", "k", "h", F.col("doc_id").alias("doc_"), "t").withColumnRenamed("lang", "lang_")
     same = F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.xxhash64("text") == F.col("t")) & (F.col("lang") == F.col("lang_"))
-    found = labelled.select("doc_id", "lang", "text").join(F.broadcast(part), same).groupBy("lang_", "k").agg(F.min("text").alias("text")).orderBy("lang_", "k")
+    start = F.pmod(F.xxhash64("h", "t"), F.greatest(F.length("text") - chars, F.lit(0)) + 1)
+    passage = F.substring("text", start.cast("int") + 1, F.lit(chars))
+    found = labelled.select("doc_id", "lang", "text").join(F.broadcast(part), same).groupBy("lang_", "k").agg(F.min(passage).alias("text")).orderBy("lang_", "k")
     sample: dict[str, list[str]] = {}
     for r in found.collect():
         sample.setdefault(r["lang_"], []).append(letters_of(r["text"]).strip())
@@ -209,8 +210,8 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             labels, scores = shared.value.predict(b.column(b.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double")
+    fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

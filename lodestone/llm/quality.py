@@ -1,10 +1,10 @@
 """Quality classifier: a convolutional network over bytes, in numpy.
 
 A text's UTF-8 bytes are read whole, in chunks of two halves of HALF bytes that overlap by one half. Learned
-filters of WIDTH bytes slide over them by STRIDE bytes. Beside the byte itself a place has one bit for each of
-LAGS, which tells whether the byte stood so many bytes before in the same text too; the filters weigh both. Each
-chunk keeps the largest and the mean response of each filter; the text keeps the largest and the mean of its
-chunks' largest ones and the mean of all, which one logistic unit combines into a probability. A text's score
+filters of WIDTH bytes slide over them by STRIDE bytes, and each chunk keeps the largest response of each. To that is
+added, weighed for each filter, the share of the chunk's bytes that stood so many bytes before in the same text too,
+for each of LAGS. The text keeps the largest and the mean of its chunks' values, which one logistic unit combines into
+a probability. A text's score
 depends on the text alone: what lies beyond its ends counts as zeros.
 
 Fitting takes at most DOCS labelled rows of each label, those with the smallest hash of their id, whole; rows are
@@ -93,7 +93,10 @@ class Network:
 
     def chunks(self, top: np.ndarray, same: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """(chunk, filter): the rectified largest response of both halves, the lags' weighted bits added."""
-        lagged = np.maximum(same, same[ends]) @ self.lags
+        # Summed lag by lag, so that no chunk's rounding depends on how many are worked on together.
+        share, lagged = np.maximum(same, same[ends]), np.zeros_like(top)
+        for k, w in enumerate(self.lags):
+            lagged += share[:, k : k + 1] * w
         return np.maximum(np.maximum(top, top[ends]) + lagged + self.bias, 0)
 
     def features(self, texts: list[bytes]) -> np.ndarray:

@@ -35,10 +35,14 @@ def test_numbers_are_no_letters():
     assert model.predict(["½ ²", "Ⅷ①", "12 _", "é", "日"])[0] == ["und", "und", "und", "a", "a"]
 
 
-def test_long_rows_teach_only_where_there_are_no_short_ones(spark):
+def test_rows_of_all_lengths_teach_and_none_fills_the_sample(spark):
     rows = [(1, "x" * 30, "a"), (2, "yy", "a"), (2, "yy", "a"), (3, "z" * 40, "b"), (4, "w" * 50, "b"), (None, None, "b"), (5, "q", None)]
-    got = lg.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=2, chars=10)
-    assert got.labels == ["a", "b"] and got.cost.tolist() == [np.log2(5), np.log2(40)]
+    got = lg.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=9, chars=10)
+    # Ten of the thirty characters, a blank, and two texts of two; two passages of ten.
+    assert got.labels == ["a", "b"] and got.cost.tolist() == [np.log2(16), np.log2(21)]
+    text = "".join(chr(0x4E00 + k) for k in range(5000))
+    sample = lg.learn(spark.createDataFrame([(k, text, "c") for k in range(30)], "doc_id long, text string, lang string"), docs=30, chars=20)
+    assert sample.cost.tolist() == [np.log2(30 * 20 * 3 + 29)]
 
 
 def test_automaton_knows_exactly_the_substrings():

@@ -75,7 +75,7 @@ def test_empty(spark, tmp_path):
 def test_clashing_columns_and_a_long_text(spark, tmp_path):
     docs, items = sample()
     docs = docs[:30] + [(95, "\n".join(f"kiz zek ikzi {k} zzk kek izz {k * 7} ezik" for k in range(8000)), "yy")]
-    names = ["key", "copy", "h", "n", "p", "ws", "head", "size", "line_no", "lines_gone", "near_rank", "bad_id", "root", "block"]
+    names = ["key", "copy", "h", "n", "p", "ws", "head", "size", "line_no", "lines_gone", "near_rank", "bad_id", "root", "block", "lang_pred", "lang_score", "whole_"]
     extra = [f"x{k}" for k in range(len(names))]
     spark.createDataFrame([(i, t, x, "s", len(t or ""), *extra) for i, t, x in docs], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -34,6 +34,13 @@ def test_score_equals_plain_windows_alone_batched_and_reordered(monkeypatch):
     assert net.score(texts).tolist() == alone
 
 
+def test_no_score_depends_on_the_batch():
+    net, rnd, rng = q.Network(3), random.Random(8), np.random.default_rng(9)
+    net.out, net.lags = rng.standard_normal(2 * q.FILTERS) * 0.05, rng.standard_normal(net.lags.shape).astype(np.float32)
+    texts = [bytes(rnd.choice(b"ab cd") for _ in range(rnd.randrange(3000))) for _ in range(400)]
+    assert net.score(texts).tolist() == [net.score([x])[0] for x in texts]
+
+
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (3, "c" * 2000)], "doc_id long, text string")
     for labels, want in (([], 0.5), ([(1, 1), (2, 1), (2, 1)], 2.5 / 3), ([(1, 0), (None, 1)], 0.25), ([(8, 1), (9, 0)], 0.5)):
