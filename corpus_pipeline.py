@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language, line_dedup, minhash, pieces
-from lodestone.llm.common import crc_mod, scratch, staged, table, unstage
+from lodestone.llm.common import crc_mod, scratch, staged, table, unstage, whole
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and all texts if no language can be learned, have no language and go."""
     model = language.learn(docs.filter(crc_mod("doc_id", 5) != 0).select("doc_id", "text", "lang"))
-    return language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    found = language.identify(docs.select(whole(docs), "text"), model).filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.select("whole_.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
