@@ -304,37 +304,3 @@ def cooccurrences(df: DataFrame, text: str, words: tuple[str, ...]) -> DataFrame
     own = df.select(found.alias("k"))
     pairs = own.select(F.posexplode("k").alias("i", "a"), "k").select("a", F.explode(F.slice("k", F.col("i") + 2, len(words))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-
-
-def contained(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, gram: int = 16) -> DataFrame:
-    """JN5, STR13: (key, item_key, start): the first place of each item that a text holds word for word, items of any length.
-
-    Wherever a text holds an item of 2 * gram - 1 characters or more, one of the item's first gram grams starts at a
-    multiple of gram in the text: texts give one gram in gram places, items their first ones. Shorter items are
-    met by their beginnings, of 16, 8, 4 or fewer characters. Empty and null items are held by none.
-    """
-    docs = texts.select(F.col(key).alias("id_"), F.col(text).alias("whole_")).filter("whole_ is not null")
-    wanted = items.select(F.col(item_key).alias("item_id_"), F.col(item).alias("c")).filter("length(c) > 0")
-    long, short = wanted.filter(F.length("c") >= 2 * gram - 1), wanted.filter(F.length("c") < 2 * gram - 1)
-    chunks = F.array_distinct(F.regexp_extract_all("whole_", F.lit(f"(?s).{{{gram}}}"), F.lit(0)))
-    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda i: F.substring(F.col("c"), i, F.lit(gram)))).alias("g")
-    met = docs.select("id_", F.explode(chunks).alias("g")).join(long.select("item_id_", ends).distinct(), "g").select("id_", "item_id_").distinct()
-    short = short.withColumn("g", F.expr(f"substring(c, 1, case when length(c) < 4 then length(c) when length(c) < 8 then 4 when length(c) < {gram} then 8 else {gram} end)"))
-    sizes = [r[0] for r in short.select(F.length("g")).distinct().collect()]  # six at most
-    if sizes:
-        # A match of no width at each place, with what follows it: all pieces of a length in one pass.
-        cut = lambda n: F.regexp_extract_all("whole_", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
-        met = met.unionByName(docs.select("id_", F.explode(pieces).alias("g")).join(short.select("item_id_", "g"), "g").select("id_", "item_id_"))
-    # Each text is fetched once, with all items to look for.
-    asked = met.join(wanted, "item_id_").groupBy("id_").agg(F.collect_set(F.struct("item_id_", "c")).alias("asked"))
-    found = asked.join(docs, "id_").select("id_", "whole_", F.explode("asked").alias("a"))
-    at = F.min(F.instr(F.col("whole_"), F.col("a.c")))
-    return found.filter(F.contains("whole_", F.col("a.c"))).groupBy(F.col("id_").alias(key), F.col("a.item_id_").alias(item_key)).agg((at - 1).cast("long").alias("start"))
-
-
-def linked(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, critical: str, reach: int = 400) -> DataFrame:
-    """CMP6: (key, item_key, start, kind) of contained(): criticism where a critical pattern stands within reach of the place, else citation."""
-    found = contained(texts, key, text, items, item_key, item).join(items.select(item_key, F.length(item).alias("n_")), item_key).dropDuplicates([key, item_key])
-    near = F.substring(F.col(text), F.greatest(F.col("start") - reach, F.lit(0)).cast("int") + 1, (F.least(F.col("start"), F.lit(reach)) + F.col("n_") + reach).cast("int"))
-    return found.join(texts.select(key, text), key).select(key, item_key, "start", F.when(near.rlike(critical), "criticism").otherwise("citation").alias("kind"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import text
+from lodestone.operators import links, text
 from lodestone.sources import table
 
 QUERIES: dict[str, tuple] = {}
@@ -96,7 +96,7 @@ def verbatim_links(spark, d):
     w = F.split("text", " ")
     two = items.select(F.col("item_id") + 1_000_000, F.concat(F.get(w, F.lit(0)), F.lit(" "), F.get(w, F.lit(1))))
     items = items.union(two).union(items.select(F.col("item_id") + 2_000_000, F.substring("text", 1, 40)))
-    return text.contained(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text")
+    return links.contained(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text")
 
 
 @query("""WITH i AS (SELECT item_id, lower(regexp_replace(regexp_replace(text, '-[ \\t\\n\\r]+', '', 'g'), '[^A-Za-z0-9%.]', '', 'g')) AS c FROM benchmark), d AS (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '-[ \\t\\n\\r]+', '', 'g'), '[^A-Za-z0-9%.]', '', 'g')) AS c FROM documents)
@@ -107,12 +107,27 @@ def verbatim_check(spark, d):
     items = table(spark, d, "benchmark").select("item_id", text.comparable(F.col("text")).alias("c")).filter("length(c) > 0")
     part = F.explode(F.when(F.length("c") > 120, F.array(F.substring("c", 1, 60), F.substring(F.col("c"), F.length("c") - 59, F.lit(60)))).otherwise(F.array("c"))).alias("p")
     parts = items.select("item_id", part).distinct()
-    met = text.contained(docs, "doc_id", "c", parts.select("p").distinct().withColumn("key", F.xxhash64("p")), "key", "p")
+    met = links.contained(docs, "doc_id", "c", parts.select("p").distinct().withColumn("key", F.xxhash64("p")), "key", "p")
     found = parts.withColumn("key", F.xxhash64("p")).join(met, "key").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
     # A whole item is held if its one part is, a long one if both its ends are.
     return found.join(parts.groupBy("item_id").agg(F.count("*").alias("of")), "item_id").filter("n = of").select("item_id", "doc_id")
 
 
+#: Aliases of no document, and some that a document owns and isn't searched for.
+_ALIASES = [(1, r"\b(apache|mit)[- ]licen[cs]e\b", 3), (2, r"\ball rights? reserved\b", None), (3, r"\b(ed|er)[- ]?tion[a-z]{2,}\b", 0), (4, r"\b(idiot|moron|worthless)\b", 5), (5, r"\b(token|secret|api[_-]?key) *=", None), (6, r"\b(keit|heit|lich)[- ]?(ver|ung)[a-z]*", 2), (7, r"[0-9]{3}-[0-9]{4}", None)]
+_ALIAS_ROWS = "SELECT * FROM (VALUES " + ", ".join(f"({a}, '{p}', {'NULL' if o is None else o})" for a, p, o in _ALIASES) + ") AS t(alias, pattern, owner) UNION ALL SELECT 1000 + item_id, '\\b' || regexp_extract(text, '([A-Za-z]+) ([A-Za-z]+)', 1) || '[- ]+' || regexp_extract(text, '([A-Za-z]+) ([A-Za-z]+)', 2) || '[a-z]*', NULL FROM benchmark"
+
+
+@query(f"""WITH a AS ({_ALIAS_ROWS}), h AS (SELECT doc_id, alias, text, pattern, length(regexp_extract(text, '(?is)^(.*?)(?:' || pattern || ')', 1)) AS start, regexp_extract(text, '(?i)' || pattern) AS match FROM documents JOIN a ON owner IS DISTINCT FROM doc_id AND regexp_matches(text, '(?i)' || pattern))
+SELECT doc_id, alias, start, start + length(match) AS "end", match, CASE WHEN regexp_matches(substring(text, greatest(start - 400, 0) + 1, start + length(match) + 400 - greatest(start - 400, 0)), '(tion|und) ') THEN 'criticism' ELSE 'citation' END AS kind FROM h""")
+def alias_mentions(spark, d):
+    """JN5, CMP6, TOP3: the first place where each document names an alias that isn't its own, and the kind of the mention."""
+    own = spark.createDataFrame(_ALIASES, "alias long, pattern string, owner long")
+    word = lambda k: F.regexp_extract("text", "([A-Za-z]+) ([A-Za-z]+)", k)
+    items = table(spark, d, "benchmark").select((1000 + F.col("item_id")).cast("long").alias("alias"), F.concat(F.lit(r"\b"), word(1), F.lit("[- ]+"), word(2), F.lit("[a-z]*")).alias("pattern"), F.lit(None).cast("long").alias("owner"))
+    return links.alias_mentions(table(spark, d, "documents"), "doc_id", "text", own.unionByName(items), "(tion|und) ")
+
+
 @query("""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, n, line, sum(CASE WHEN length(line) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM l)
 SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS chars, min(n) AS first_line FROM s GROUP BY 1, 2""")
 def section_lengths(spark, d):

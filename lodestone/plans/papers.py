@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon
-from lodestone.operators import audit, text
+from lodestone.operators import audit, links, text
 from lodestone.sources import table
 
 QUERIES: dict[str, tuple] = {}
@@ -85,12 +85,12 @@ def methods_by_year(spark, d):
     return found.select("year", "doc_id", F.explode("methods").alias("method")).groupBy("year", "method").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("""WITH b AS (SELECT item_id, left(text, 40) AS c FROM benchmark), h AS (SELECT doc_id, item_id, d.text, length(c) AS n, position(c IN d.text) - 1 AS start FROM documents d JOIN b ON contains(d.text, c) WHERE length(c) > 0)
+@query("""WITH b AS (SELECT item_id, text AS c FROM benchmark), h AS (SELECT doc_id, item_id, d.text, length(c) AS n, position(c IN d.text) - 1 AS start FROM documents d JOIN b ON contains(d.text, c) WHERE length(c) > 0)
 SELECT doc_id, item_id, min(start) AS start, CASE WHEN bool_or(regexp_matches(substring(text, greatest(start - 400, 0) + 1, least(start, 400) + n + 400), '(tion|und) ')) THEN 'criticism' ELSE 'citation' END AS kind FROM h GROUP BY 1, 2""")
 def linked_mentions(spark, d):
-    """CMP6, JN5, STR11, TOP3: places where a text holds another's beginning, and whether critical words stand around them."""
-    items = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("c"))
-    return text.linked(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "c", "(tion|und) ")
+    """CMP6, JN5, STR11, TOP3: places where a text holds another one, and whether critical words stand around them."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("c"))
+    return links.linked(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "c", "(tion|und) ")
 
 
 #: Statements put before a document's text, by its id.

@@ -33,16 +33,6 @@ def test_stamp_tells_repeated_rows(spark):
     assert stamps[0] == stamps[3] and len({s.stamp for s in stamps}) == 4 and [s.n for s in stamps] == [2, 3, 5, 2, 0]
 
 
-def test_contained_finds_items_of_any_length(spark):
-    rnd = random.Random(1)
-    whole = "".join(rnd.choice("abc ") for _ in range(400))
-    docs = [("d1", whole), ("d2", whole[100:180]), ("d3", "abc"), ("d4", None), ("d5", "")]
-    items = [(k, whole[a : a + n]) for k, (a, n) in enumerate([(0, 400), (7, 31), (9, 30), (100, 80), (101, 40), (50, 1), (60, 5), (377, 23)])] + [(90, ""), (91, None), (92, "zz")]
-    got = {(r.key, r.item): r.start for r in text.contained(frame(spark, docs), "key", "text", spark.createDataFrame(items, "item long, c string"), "item", "c").collect()}
-    want = {(k, i): t.find(c) for k, t in docs if t for i, c in items if c and c in t}
-    assert got == want
-
-
 def test_literal_places(spark):
     rows = [("a", "Tion x tion tion"), ("b", None), ("c", "")]
     got = [(r.key, r.hit, r.start, r.end, r.around) for r in text.literal_hits(frame(spark, rows), "text", "tion ", 2).collect()]
