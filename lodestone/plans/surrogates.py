@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
-from lodestone.operators import kernels, search
+from lodestone.operators import fits, kernels, search
 from lodestone.sources import table
 
 QUERIES: dict[str, tuple] = {}
@@ -66,6 +66,46 @@ def median_rule_discrepancies(spark, d):
     return out.select("label", F.round("sigma", 4).alias("sigma"), F.round("mmd2", 6).alias("mmd2"))
 
 
+@query("""WITH d AS (SELECT p_brand AS g, CAST(p_size AS DOUBLE) AS x, avg(p_retailprice) AS y FROM part GROUP BY 1, 2), n AS (SELECT g, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM d WINDOW w AS (PARTITION BY g ORDER BY x))
+SELECT p_partkey, round(y + (p_size + 0.3141592 - x) * (y2 - y) / (x2 - x), 4) AS mean FROM part JOIN n ON p_brand = g AND p_size = x WHERE x2 IS NOT NULL""")
+def radial_by_brand(spark, d):
+    """NUM21: a model of each brand's mean prices by size, asked between the sizes. With a linear kernel of one input it is the broken line."""
+    part = table(spark, d, "part").withColumn("x", F.col("p_size").cast("double"))
+    states = fits.fit(part.select(F.col("p_brand").alias("group"), F.array("x").alias("x"), F.col("p_retailprice").alias("y")), lambda: models.Radial("linear"))
+    last = part.groupBy("p_brand").agg(F.max("x").alias("last"))
+    asked = part.join(last, "p_brand").filter("x < last").select(F.col("p_brand").alias("group"), F.col("p_partkey").alias("id"), F.array(F.col("x") + 0.3141592).alias("x"))
+    return fits.predict(states, asked).select(F.col("id").alias("p_partkey"), F.round("mean", 4).alias("mean"))
+
+
+def _charges(spark, d):
+    """What a unit line costs after discount and tax, by supplier."""
+    l = table(spark, d, "lineitem")
+    y = F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    id_ = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long")
+    return l.select("l_returnflag", "l_linestatus", F.col("l_suppkey").alias("group"), id_.alias("id"), F.array(F.col("l_quantity").cast("double"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double")).alias("x"), y.cast("double").alias("y"))
+
+
+@query(None)
+def kriging_by_supplier(spark, d):
+    """NUM18, NUM19, NUM22, NUM27: a Kriging model of each supplier's charges from sixty of its lines, and how well it tells all of them."""
+    rows = _charges(spark, d)
+    states = fits.fit(rows.select("group", "x", "y"), lambda: models.Kriging(sweeps=2, steps=12, starts=2), 60)
+    found = fits.predict(states, rows)
+    counted = found.groupBy("group").agg(F.avg("sd").alias("mean_sd"), F.max("ei").alias("best_ei"))
+    return fits.explained(found).join(counted, "group").select(F.col("group").cast("long").alias("l_suppkey"), "n", "r2", "mean_sd", "best_ei")
+
+
+@query(None)
+def two_fidelity_by_flag(spark, d):
+    """NUM26: charges by return flag and status; sixty coarse lines without tax, and a dozen fine ones."""
+    rows = _charges(spark, d).select(F.concat("l_returnflag", "l_linestatus").alias("group"), "id", "x", "y")
+    coarse = rows.select("group", F.lit(1).alias("level"), "x", (F.get("x", F.lit(0)) * (1 - F.get("x", F.lit(1))) * 0.8 + 3).alias("y"))
+    # The finer lines are fewer: those of the smallest hashes.
+    fine = fits.designs(rows.withColumn("level", F.lit(0)), 12).select("group", "level", "x", "y")
+    states = fits.fit(fits.designs(coarse, 60).select("group", "level", "x", "y").unionByName(fine), lambda: models.CoKriging(grid=np.linspace(0, 2, 9)), 60)
+    return fits.explained(fits.predict(states, rows)).withColumnRenamed("group", "flag")
+
+
 @query(None)
 def kriging_scores(spark, d):
     """NUM18, NUM19, NUM22: a model of 40 design points at every part."""
