@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicon
-from lodestone.operators import audit, links, text
+from lodestone.operators import audit, links, pages, text
 from lodestone.sources import table
 
 QUERIES: dict[str, tuple] = {}
@@ -112,6 +112,60 @@ def page_parts(spark, d):
     return table(spark, d, "pages").select("page_id", text.attribute(html, "html", "lang").alias("lang"), text.attribute(html, "meta", "charset").alias("charset"), F.regexp_count("html", F.lit(r'(?is)<div[^>]*class="ad"[^>]*>.*?</div>')).cast("long").alias("ads"), text.part(html, "footer").alias("footer"))
 
 
+#: A page with metadata in its head and blocks of abstract in its body, by its id; ~ stands for a single quote.
+METAS = """replace(CASE page_id % 4 WHEN 0 THEN '<meta name="citation_title" content="Loss &amp; gain ' || page_id || '"><meta content="other" name="citation_title">' WHEN 1 THEN '<meta content=~Only ' || page_id || '~ name="citation_title">' WHEN 2 THEN '<meta name=~citation_doi~ content=~10.1000/' || page_id || '~>' ELSE '' END
+ || CASE page_id % 3 WHEN 0 THEN '<meta name="citation_author" content="One, A."><meta name="citation_author" content="Two &lt;B&gt;"><meta content="Late, C." name="citation_author">' WHEN 1 THEN '<meta content="Three, D." name="citation_author"><meta content="Four, E." name="citation_author">' ELSE '' END
+ || CASE page_id % 2 WHEN 0 THEN '<meta property="og:description" content=" About ' || page_id || ' ">' ELSE '' END, '~', chr(39))"""
+BLOCKS = """CASE page_id % 5 WHEN 0 THEN '<div class="x abstract">First <div>inner</div> and last ' || page_id || '</div>' WHEN 1 THEN '<div class="abstract">Flat &amp; short</div> between <div class="my-abstract">second</div>' ELSE '' END"""
+BUILT = f"replace(replace(html, '<head>', '<head>' || {METAS}), '<article>', '<article>' || {BLOCKS})"
+
+
+def _named(name: str) -> str:
+    """Name before content, or else content before name, quotes of either kind, as an expression of the other engine."""
+    either = lambda p: p.replace("Q", "[\"'']")
+    first, second = either(f"<meta name=Q{name}Q content=Q([^\"'']*)Q"), either(f"<meta content=Q([^\"'']*)Q name=Q{name}Q")
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(html, '{p}') THEN regexp_extract(html, '{p}', 1) END" for p in (first, second)) + ")"
+
+
+def _plain(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+@query(rf"""WITH h AS (SELECT page_id, {BUILT} AS html FROM pages), b AS (SELECT *, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS body FROM h),
+t AS (SELECT *, CASE page_id % 5 WHEN 0 THEN regexp_extract(body, '(?s)<div class="x abstract">(.*?</div>.*?)</div>', 1) WHEN 1 THEN regexp_extract(body, '(?s)<div class="abstract">(.*?)</div>', 1) || ' ' || regexp_extract(body, '(?s)<div class="my-abstract">(.*?)</div>', 1) ELSE body END AS said FROM b)
+SELECT page_id, {_plain(_named("citation_title"))} AS title, {_named("citation_doi")} AS doi,
+ array_to_string(CASE WHEN regexp_matches(html, '<meta name="citation_author"') THEN list_transform(regexp_extract_all(html, '<meta name="citation_author" content="([^"]*)"', 1), lambda x: {_plain("x")}) ELSE regexp_extract_all(html, '<meta content="([^"]*)" name="citation_author"', 1) END, ';') AS authors,
+ trim(nullif(regexp_extract(html, '<meta property="og:description" content="([^"]*)"', 1), '')) AS description, CASE page_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS blocks,
+ md5(regexp_replace(regexp_replace(nfc_normalize({_plain("regexp_replace(said, '(?s)<[^>]+>', ' ', 'g')")}), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS digest FROM t""")
+def page_metadata(spark, d):
+    """SRC2, PRJ1: named metadata in both orders, repeated authors, abstracts to their own closing tag, references decoded, text normalised."""
+    found = pages.scan(table(spark, d, "pages").withColumn("html", F.expr(BUILT)), "page_id", "html")
+    return found.select("page_id", F.col("meta.citation_title").alias("title"), F.col("meta.citation_doi").alias("doi"), F.array_join("authors", ";").alias("authors"), "description", "blocks", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+#: What stands in the raw text for what the normalised one holds: a soft hyphen, and two blanks for one.
+_RAW = "replace(replace(text, 'tion', 'ti' || chr(173) || 'on'), ' ', '  ')"
+_BEFORE = "CAST(list_sum(list_transform(list_slice(p, 1, hit + 1), lambda x: length(x))) AS BIGINT) + hit * 7"
+
+
+@query(f"WITH r AS (SELECT doc_id, {_RAW} AS raw FROM documents), s AS (SELECT doc_id, string_split(raw, 'ti' || chr(173) || 'on  ') AS p FROM r WHERE raw IS NOT NULL), h AS (SELECT doc_id, p, unnest(range(len(p) - 1)) AS hit FROM s) SELECT doc_id, hit, {_BEFORE} AS raw_start, {_BEFORE} + 7 AS raw_end FROM h")
+def raw_places(spark, d):
+    """PRJ1, PRJ2, STR1: hits found after normalising, told in places of the raw text."""
+    raw = F.replace(F.replace(F.col("text"), F.lit("tion"), F.lit("ti­on")), F.lit(" "), F.lit("  "))
+    found = pages.raw_hits(table(spark, d, "documents").select("doc_id", raw.alias("raw")), "doc_id", "raw", "tion ")
+    return found.select("doc_id", F.col("hit").cast("long").alias("hit"), F.col("raw_start").cast("long").alias("raw_start"), F.col("raw_end").cast("long").alias("raw_end"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, '===== [PAGE ' || turn || '] =====' || chr(10) || text || ' ===== [PAGE x] =====' AS t FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, length(t) AS length, md5(replace(regexp_replace(regexp_replace(t, '===== \[PAGE [0-9]\] =====', repeat(' ', 20), 'g'), '===== \[PAGE [0-9][0-9]\] =====', repeat(' ', 21), 'g'), chr(10), ' ')) AS digest FROM t""")
+def same_length_views(spark, d):
+    """PRJ2: page marks and line ends become as many spaces, so that places stay."""
+    turns = table(spark, d, "conversations").filter("text is not null")
+    t = F.concat(F.lit("===== [PAGE "), F.col("turn").cast("string"), F.lit("] =====\n"), F.col("text"), F.lit(" ===== [PAGE x] ====="))
+    view = turns.select("conv_id", "turn", text.same_length_view(t).alias("view"))
+    return view.select("conv_id", "turn", F.length("view").cast("long").alias("length"), F.md5(F.col("view").cast("binary")).alias("digest"))
+
+
 #: A title, the word that opens an abstract, the text, and what ends it, by a document's id.
 OPENED = """CASE doc_id % 6 WHEN 0 THEN 'A title. ABSTRACT ' WHEN 1 THEN 'A title. Abstract— ' WHEN 2 THEN 'A B S T R A C T, after Abstract ' WHEN 3 THEN 'Abstract at the very start ' WHEN 4 THEN 'no such word ' ELSE 'A title. Abstract ' END || substr(text, 1, 100 + doc_id % 11 * 90) || CASE doc_id % 4 WHEN 0 THEN ' Keywords one, two ' WHEN 1 THEN chr(10) || '1. Introduction ' WHEN 2 THEN ' Index Terms ' ELSE '' END || text"""
 _AT = "coalesce(" + ", ".join(f"CASE WHEN position('{n}' IN text) > 1 AND position('{n}' IN text) <= 12000 THEN substring(text, position('{n}' IN text) + {len(n)}, 2200) END" for n in lexicon.ABSTRACT_OPENS) + ")"
