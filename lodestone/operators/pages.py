@@ -76,14 +76,14 @@ def scanned(markup: str | None) -> dict | None:
                 inside.append(value)
             continue
         every.append(" ")
-        if depth:
+        if value == "div" and kind == "close" and depth == 1:
+            blocks.append("".join(inside))
+            inside = []
+        elif depth:
             inside.append(" ")
         if value == "div":
             if kind == "close" and depth:
                 depth -= 1
-                if not depth:
-                    blocks.append("".join(inside))
-                    inside = []
             elif kind == "open" and (depth or ABSTRACT in a.get("class", "").lower()):
                 depth += 1
         elif value == "meta" and kind == "open" and "content" in a:

@@ -131,16 +131,34 @@ def assembled(df: DataFrame, key: str, text: str) -> DataFrame:
     return out.join(lost, key)
 
 
-def number_tiers(df: DataFrame, key: str, text: str, own: Column, every: DataFrame, scaffold: str) -> DataFrame:
-    """CMP14, FLT6, JN9: (key, number, tier) of a text's different numbers: in its own source, in another text (number) or nowhere.
+#: A number as texts state it, and the blanks that may stand before its unit.
+NUMBER, BLANKS = r"[0-9]{1,4}(?:\.[0-9]+)?", r"[ \t\n\r\f\x0b]*"
 
-    Lines with a scaffold pattern aren't judged. own: the source's numbers, an array.
+
+def numbers(df: DataFrame, key: str, text: str, units: list[str], scaffold: str, years: str = "20[0-9]{2}", reach: int = 28) -> DataFrame:
+    """STR12, FLT6: (key, kind, number, start, end, around, judged) of the numbers in each whole text.
+
+    Kinds: percent, unit (a number before one of the units, tried in their order), integer (two to four digits that are
+    no part of a longer number or percentage). A number that isn't a percentage is judged unless it is a year or a
+    scaffold pattern stands within reach of it: its line may say what it likes. Null texts hold none.
     """
-    rows = tx.lines(df.select(key, own.alias("own"), text), text).filter(~F.col("line").rlike(scaffold))
-    numbers = F.regexp_extract_all("line", F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    rows = rows.select(key, "own", F.explode(F.array_distinct(numbers)).alias("number")).distinct()
-    met = rows.join(every.select("number").distinct().withColumn("there", F.lit(True)), "number", "left")
-    return met.select(key, "number", F.when(F.array_contains("own", F.col("number")), "own").when(F.col("there"), "other").otherwise("none").alias("tier"))
+    t = F.col(text)
+    kinds = {"percent": NUMBER + BLANKS + "%", "unit": f"{NUMBER}{BLANKS}(?:{'|'.join(units)})", "integer": "[0-9.．]+[%％]?"}
+    tagged = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"))
+    found = F.concat(*[F.transform(tx.places(t, p), tagged(k)) for k, p in kinds.items()])
+    whole = F.filter(found, lambda m: (m["kind"] != "integer") | m["match"].rlike("^[0-9]{2,4}$"))
+    rows = df.filter(t.isNotNull()).select(key, t.alias("text_"), F.explode(whole).alias("m"))
+    rows = rows.select(key, "m.kind", F.regexp_extract("m.match", NUMBER, 0).alias("number"), "m.start", "m.end", tx.around(F.col("text_"), F.col("m.start"), F.col("m.end"), reach).alias("around"))
+    excused = F.col("number").rlike(f"^(?:{years})$") | F.col("around").rlike(scaffold)
+    return rows.withColumn("judged", (F.col("kind") == "percent") | ~excused)
+
+
+def number_tiers(found: DataFrame, key: str, own: DataFrame, every: DataFrame) -> DataFrame:
+    """CMP14, FLT6, JN9: (key, number, tier) of a text's different judged numbers: in its own source (key, number), in another text (number) or nowhere."""
+    rows = found.filter("judged").select(key, "number").distinct()
+    met = rows.join(own.select(key, "number").distinct().withColumn("own", F.lit(True)), [key, "number"], "left")
+    met = met.join(every.select("number").distinct().withColumn("there", F.lit(True)), "number", "left")
+    return met.select(key, "number", F.when(F.col("own"), "own").when(F.col("there"), "other").otherwise("none").alias("tier"))
 
 
 def pointed_to(text: Column, links: dict[str, str]) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,6 +127,40 @@ def literal_places(df: DataFrame, text: str, needles: list[str], context: int =
     return df.select(*kept, F.explode(places(F.col(text))).alias("place_")).select(*kept, "place_.*")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with a value that is evaluated once: a lambda's variable isn't inlined."""
+    return F.transform(F.array(value), body)[0]
+
+
+def before_each(sizes: Column, block: int = 64) -> Column:
+    """Of an array of numbers the sum before each, by sums of blocks, so that long arrays cost little more than their length."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def summed(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / block).cast("int")), lambda b: total(F.slice(xs, b * block + 1, block)))
+        upto = let(blocks, lambda s: F.transform(s, lambda _, b: total(F.slice(s, 1, b))))
+        return let(upto, lambda u: F.transform(xs, lambda _, i: F.get(u, F.floor(i / block).cast("int")) + total(F.slice(xs, F.floor(i / block).cast("int") * block + 1, i % block))))
+
+    return let(sizes, summed)
+
+
+def places(text: Column, pattern: str) -> Column:
+    """STR12, DM6: array<struct<start, end, match>> of a pattern's matches, from the lengths of what stands between them. The pattern matches no empty text."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def placed(both: Column) -> Column:
+        return let(before_each(both["gaps"]), lambda gaps: let(before_each(F.transform(both["found"], F.length)), lambda taken: F.transform(
+            both["found"], lambda m, i: let(F.get(gaps, i) + F.get(both["gaps"], i) + F.get(taken, i), lambda at: F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("match"))))))
+
+    return let(F.struct(found.alias("found"), F.transform(between, F.length).alias("gaps")), placed)
+
+
+def around(text: Column, start: Column, end: Column, reach: int) -> Column:
+    """The characters within reach of a place, and those of the place."""
+    low = F.greatest(start - reach, F.lit(0))
+    return F.substring(text, low + 1, end + reach - low)
+
+
 def literal_hits(df: DataFrame, text: str, needle: str, context: int = 180) -> DataFrame:
     """STR1: literal_places of one literal, ignoring case of ASCII letters."""
     return literal_places(df, text, [needle], context, ignore_case=True).drop("needle")

@@ -58,7 +58,19 @@ SELECT s_suppkey, front FROM v JOIN m USING (f1, f2)""")
 def front_ranks_supplier(spark, d):
     """NUM5 over balances in hundreds and nations."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    return pareto.front_ranks(s, F.round("s_acctbal", -2), F.col("s_nationkey").cast("double")).select("s_suppkey", "front")
+    return pareto.front_ranks(s, [F.round("s_acctbal", -2), F.col("s_nationkey")]).select("s_suppkey", "front")
+
+
+@query("""WITH RECURSIVE v AS (SELECT p_partkey, round(p_retailprice, -1) AS f0, -CAST(p_size AS DOUBLE) AS f1, CAST(p_partkey % 13 AS DOUBLE) AS f2 FROM part), p AS (SELECT DISTINCT f0, f1, f2 FROM v),
+t(f0, f1, f2, r) AS (SELECT f0, f1, f2, 0 FROM p UNION SELECT b.f0, b.f1, b.f2, r + 1 FROM t JOIN p b ON t.f0 <= b.f0 AND t.f1 <= b.f1 AND t.f2 <= b.f2 AND (t.f0 < b.f0 OR t.f1 < b.f1 OR t.f2 < b.f2)), m AS (SELECT f0, f1, f2, max(r) AS front FROM t GROUP BY 1, 2, 3),
+u AS (SELECT v.*, front, count(*) OVER w AS n, """ + ", ".join(f"max(f{k}) OVER w - min(f{k}) OVER w AS s{k}, lag(f{k}) OVER (PARTITION BY front ORDER BY f{k}, p_partkey) AS l{k}, lead(f{k}) OVER (PARTITION BY front ORDER BY f{k}, p_partkey) AS h{k}" for k in range(3)) + """ FROM v JOIN m USING (f0, f1, f2) WINDOW w AS (PARTITION BY front)),
+e AS (SELECT *, n <= 2 OR """ + " OR ".join(f"(s{k} > 1e-12 AND (l{k} IS NULL OR h{k} IS NULL))" for k in range(3)) + " AS edge FROM u) SELECT p_partkey, front, edge AS is_boundary, CASE WHEN NOT edge THEN round(" + " + ".join(f"CASE WHEN s{k} > 1e-12 THEN coalesce(h{k} - l{k}, 0) / s{k} ELSE 0 END" for k in range(3)) + ", 6) END AS crowding FROM e")
+def front_ranks_part(spark, d):
+    """NUM5, WIN7 in three objectives: each part's front and its crowding there."""
+    p = table(spark, d, "part").select("p_partkey", "p_retailprice", "p_size")
+    ranked = pareto.front_ranks(p, [F.round("p_retailprice", -1), -F.col("p_size"), F.col("p_partkey") % 13])
+    found = pareto.crowding(ranked, ["f0", "f1", "f2"], "p_partkey", ["front"])
+    return found.select("p_partkey", "front", "is_boundary", F.round("crowding", 6).alias("crowding"))
 
 
 @query(f"""WITH {_FRONT}, u AS (SELECT *, count(*) OVER () AS n, max(f1) OVER () - min(f1) OVER () AS s1, max(f2) OVER () - min(f2) OVER () AS s2,

@@ -128,7 +128,7 @@ def _named(name: str) -> str:
 
 
 def _plain(x: str) -> str:
-    return f"replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    return f"replace(replace(replace(replace(replace(replace({x}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 
 
 @query(rf"""WITH h AS (SELECT page_id, {BUILT} AS html FROM pages), b AS (SELECT *, regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g') AS body FROM h),

@@ -160,15 +160,34 @@ def assembled_book(spark, d):
     return reports.assembled(book(spark, d), "chapter", "text").select("chapter", F.md5(F.col("text").cast("binary")).alias("digest"), "n_entries", "ok")
 
 
-@query(f"""WITH {_BOOK}, {_LINES}, o AS (SELECT conv_id AS chapter, list_distinct(flatten(list(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')))) AS own FROM conversations GROUP BY 1), e AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[0-9]+(?:\\.[0-9]+)?')) AS number FROM pages),
-n AS (SELECT DISTINCT chapter, unnest(regexp_extract_all(line, '[0-9]+(?:\\.[0-9]+)?')) AS number FROM l WHERE NOT regexp_matches(line, '^#|source P|images/|20[12][0-9]'))
-SELECT n.chapter, n.number, CASE WHEN list_contains(own, n.number) THEN 'own' WHEN e.number IS NOT NULL THEN 'other' ELSE 'none' END AS tier FROM n LEFT JOIN o ON n.chapter = o.chapter LEFT JOIN e ON n.number = e.number""")
+_UNITS, _SCAFFOLD = ["kPa", "Hz", "ms", "mm", "GB", "[mskhWJNK]", "°"], "source P|images/|[Ss]ection|token|#[0-9]"
+
+
+def _numbers_sql(texts: str, key: str) -> str:
+    """The same of texts (key, text), as common tables of the other engine that end in numbers."""
+    kinds = {"percent": reports.NUMBER + reports.BLANKS + "%", "unit": f"{reports.NUMBER}{reports.BLANKS}(?:{'|'.join(_UNITS)})", "integer": "[0-9.．]+[%％]?"}
+    each = " UNION ALL ".join(f"SELECT {key}, text, '{k}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM ({texts}) WHERE text IS NOT NULL" for k, p in kinds.items())
+    return f"""x AS ({each}), y AS (SELECT *, unnest(range(len(m))) AS i FROM x), z AS (SELECT {key}, text, kind, m[i + 1] AS match, CAST(list_sum(list_transform(list_slice(g, 1, i + 1), lambda v: length(v))) AS BIGINT) + coalesce(CAST(list_sum(list_transform(list_slice(m, 1, i), lambda v: length(v))) AS BIGINT), 0) AS start FROM y),
+w AS (SELECT {key}, kind, regexp_extract(match, '{reports.NUMBER}') AS number, start, start + length(match) AS "end", substring(text, greatest(start - 28, 0) + 1, start + length(match) + 28 - greatest(start - 28, 0)) AS around FROM z WHERE kind <> 'integer' OR regexp_full_match(match, '[0-9]{{2,4}}')),
+numbers AS (SELECT *, kind = 'percent' OR NOT (regexp_full_match(number, '20[0-9]{{2}}') OR regexp_matches(around, '{_SCAFFOLD}')) AS judged FROM w)"""
+
+
+@query(f'WITH {_numbers_sql("SELECT doc_id, text FROM documents", "doc_id")} SELECT doc_id, kind, number, start, "end", md5(around) AS around, judged FROM numbers')
+def number_places(spark, d):
+    """STR12, FLT6: percentages, numbers with units and integers with their places, and whether what stands around excuses them."""
+    found = reports.numbers(table(spark, d, "documents"), "doc_id", "text", _UNITS, _SCAFFOLD)
+    return found.select("doc_id", "kind", "number", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.col("around").cast("binary")).alias("around"), "judged")
+
+
+@query(f"""WITH {_BOOK}, {_numbers_sql("SELECT chapter, text FROM b", "chapter")}, o AS (SELECT DISTINCT conv_id AS chapter, unnest(regexp_extract_all(text, '{reports.NUMBER}')) AS number FROM conversations), e AS (SELECT DISTINCT unnest(regexp_extract_all(html, '{reports.NUMBER}')) AS number FROM pages),
+n AS (SELECT DISTINCT chapter, number FROM numbers WHERE judged)
+SELECT n.chapter, n.number, CASE WHEN o.number IS NOT NULL THEN 'own' WHEN e.number IS NOT NULL THEN 'other' ELSE 'none' END AS tier FROM n LEFT JOIN o ON n.chapter = o.chapter AND n.number = o.number LEFT JOIN e ON n.number = e.number""")
 def number_tiers(spark, d):
     """CMP14, FLT6, JN9, STR12: where a chapter's numbers come from."""
-    pattern = F.lit(r"[0-9]+(?:\.[0-9]+)?")
-    own = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("chapter")).agg(F.flatten(F.collect_list(F.regexp_extract_all("text", pattern, F.lit(0)))).alias("own"))
-    every = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", pattern, F.lit(0))).alias("number"))
-    return reports.number_tiers(book(spark, d).join(own, "chapter"), "chapter", "text", F.col("own"), every, "^#|source P|images/|20[12][0-9]")
+    every = lambda text: F.explode(F.regexp_extract_all(text, F.lit(reports.NUMBER), F.lit(0))).alias("number")
+    own = table(spark, d, "conversations").select(F.col("conv_id").alias("chapter"), every("text"))
+    found = reports.numbers(book(spark, d), "chapter", "text", _UNITS, _SCAFFOLD)
+    return reports.number_tiers(found, "chapter", own, table(spark, d, "pages").select(every("html")))
 
 
 @query(f"""WITH {_BOOK} SELECT chapter, md5(replace(replace(text, '](./images/', '](../img/'), '](#s0', '](#start')) AS digest FROM b""")

@@ -45,13 +45,13 @@ FRONTS = [(1, 5), (2, 4), (3, 3), (4, 2), (5, 1), (2, 6), (3, 5), (6, 6)]
 def test_fronts(spark):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(FRONTS)] + [(8, 3.0, 3.0), (9, None, 1.0)], "id int, a double, b double")
     assert sorted(r.id for r in pareto.pareto_front(df, F.col("a"), F.col("b")).collect()) == [0, 1, 2, 3, 4, 8]
-    assert {r.id: r.front for r in pareto.front_ranks(df, F.col("a"), F.col("b")).collect()} == dict(enumerate([0, 0, 0, 0, 0, 1, 1, 2])) | {8: 0}
+    assert {r.id: r.front for r in pareto.front_ranks(df, [F.col("a"), F.col("b")]).collect()} == dict(enumerate([0, 0, 0, 0, 0, 1, 1, 2])) | {8: 0}
     assert search.front_ranks(np.array(FRONTS, float)).tolist() == [0, 0, 0, 0, 0, 1, 1, 2]
     front = pareto.pareto_front(df.filter("id < 5"), F.col("a"), F.col("b"))
     c = {r.id: (r.is_boundary, r.crowding) for r in pareto.crowding(front, ["f1", "f2"], "id").collect()}
     assert c[0] == c[4] == (True, None) and c[2] == (False, 1.0)
     empty = df.filter("id < 0")
-    assert pareto.pareto_front(empty, F.col("a"), F.col("b")).count() == 0 and pareto.front_ranks(empty, F.col("a"), F.col("b")).count() == 0
+    assert pareto.pareto_front(empty, F.col("a"), F.col("b")).count() == 0 and pareto.front_ranks(empty, [F.col("a"), F.col("b")]).count() == 0
 
 
 def test_hypervolume_and_igd(spark):
