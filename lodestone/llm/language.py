@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import crc_mod, slices, table
 
-DOCS, CHARS = 40, 1500
+DOCS, CHARS = 40, 750
 PIECE = 512
 UNKNOWN = "und"
 
