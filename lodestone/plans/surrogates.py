@@ -49,6 +49,19 @@ def source_discrepancies(spark, d):
     return kernels.discrepancies(rows, 0, 1.0).select("label", F.round("mmd2", 6).alias("mmd2"))
 
 
+_LABEL_MMD = """WITH v AS (SELECT label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT x.label AS lx, y.label AS ly, greatest(0, list_dot_product(x.e, x.e) + list_dot_product(y.e, y.e) - 2 * list_dot_product(x.e, y.e)) AS d FROM v x, v y), l AS (SELECT DISTINCT label FROM v WHERE label <> 0),
+w AS (SELECT label, CASE WHEN m > 1e-12 THEN sqrt(m / 2) ELSE 1 END AS sigma FROM (SELECT label, median(CASE WHEN d < 1e-12 THEN 0 ELSE d END) AS m FROM l JOIN p ON lx = ly AND (lx = label OR lx = 0) GROUP BY 1)),
+k AS (SELECT label, sigma, avg(CASE WHEN lx = label AND ly = label THEN exp(-d / (2 * sigma * sigma)) END) AS xx, avg(CASE WHEN lx = 0 AND ly = 0 THEN exp(-d / (2 * sigma * sigma)) END) AS yy, avg(CASE WHEN lx = label AND ly = 0 THEN exp(-d / (2 * sigma * sigma)) END) AS xy FROM w, p GROUP BY 1, 2)
+SELECT CAST(label AS BIGINT) AS label, round(sigma, 6) AS sigma, round(greatest(0, xx + yy - 2 * xy), 6) AS mmd2 FROM k"""
+
+
+@query(_LABEL_MMD)
+def label_discrepancies(spark, d):
+    """NUM10, JN12: each label's vectors against those of label 0, each with the width of the median rule."""
+    rows = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    return kernels.median_discrepancies(rows, 0).select("label", F.round("sigma", 6).alias("sigma"), F.round("mmd2", 6).alias("mmd2"))
+
+
 @query(f"SELECT label, mmd2, row_number() OVER (ORDER BY mmd2, label) AS rank FROM ({_MMD})")
 def ranked_sources(spark, d):
     """TOP4, NUM11: labels by how little they differ from label 0."""
