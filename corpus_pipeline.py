@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language, line_dedup, minhash, pieces
-from lodestone.llm.common import crc_mod, scratch, staged, table, unstage, whole
+from lodestone.llm.common import crc_mod, scratch, staged, table, unstage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and all texts if no language can be learned, have no language and go."""
     model = language.learn(docs.filter(crc_mod("doc_id", 5) != 0).select("doc_id", "text", "lang"))
-    found = language.identify(docs.select(whole(docs), "text"), model).filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.select("whole_.*")
+    # The other columns go along as one, so that none clashes with the stage's own.
+    others = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("others_")
+    found = language.identify(docs.select(others, "text"), model).filter(F.col("lang_pred") != language.UNKNOWN)
+    return found.select(*["text" if c == "text" else F.col("others_")[c].alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
