@@ -121,3 +121,23 @@ def explained(predicted: DataFrame) -> DataFrame:
     """(group, n, r2): the share of the variance of the rows' y that the predictions explain; null without variance."""
     s = predicted.filter(usable(F.array("y"))).groupBy("group").agg(F.count("*").alias("n"), F.sum(F.pow(F.col("y") - F.col("mean"), 2)).alias("left"), (F.var_pop("y") * F.count("*")).alias("all"))
     return s.select("group", "n", F.when(F.col("all") > 1e-12, 1 - F.col("left") / F.col("all")).alias("r2"))
+
+
+def left_out(rows: DataFrame, make: Callable, limit: int = DESIGN) -> DataFrame:
+    """NUM20: (group, n, rmse) over refits of each group's model without each point of its design, side by side; failed refits are left out."""
+    design = designs(rows.withColumn("level", F.lit(0)), limit).withColumn("group", F.col("group").cast("string")).select("group", "x", "y")
+    # A group's design once for each of its points, which a design's size bounds.
+    folds = design.select("group", F.col("x").alias("without")).join(design, "group")
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        x, y, out = np.array(t["x"].to_pylist(), float), t["y"].to_numpy(), t["without"][0].as_py()
+        order = np.lexsort(x.T)
+        x, y = x[order], y[order]
+        gone = (x == np.array(out, float)).all(1)
+        try:
+            error = [float(make().fit(x[~gone], y[~gone]).predict(x[gone])[0][0] - y[gone][0]) ** 2]
+        except (ValueError, np.linalg.LinAlgError):
+            error = [None]
+        return pa.table({"group": pa.array([key[0].as_py()]), "e": pa.array(error, pa.float64())})
+
+    return folds.groupBy("group", "without").applyInArrow(run, "group string, e double").groupBy("group").agg(F.count("e").alias("n"), F.sqrt(F.avg("e")).alias("rmse"))

@@ -69,23 +69,25 @@ def forbidden_words(spark, d):
 _SUM = "o_orderkey || ' + ' || o_custkey || ' = ' || (o_orderkey + o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 40 ELSE 0 END) || ', ' || (o_custkey % 50 + 1) || '/' || 64 || ' ≈ ' || ((o_custkey % 50 + 1) * 100 div 64) || '%, 1000^(1/' || (o_orderkey % 3 + 1) || ') ≈ ' || CASE o_orderkey % 3 WHEN 0 THEN '1000.00' WHEN 1 THEN '31.6228' ELSE '10.50' END"
 
 
-@query("WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 400000 AND o_custkey < 400000), " + """t AS (SELECT o_orderkey, 'sum' AS form, o_orderkey || ' + ' || o_custkey || ' = ' || (o_orderkey + o_custkey + 40) AS said, CAST(o_orderkey + o_custkey AS DOUBLE) AS real, CAST(o_orderkey + o_custkey + 40 AS DOUBLE) AS c, greatest(0.005 * (o_orderkey + o_custkey + 40), 0.015) AS tol FROM o WHERE o_orderkey % 5 = 0
-UNION ALL SELECT o_orderkey, 'share', (o_custkey % 50 + 1) || '/64 ≈ ' || ((o_custkey % 50 + 1) * 100 // 64) || '%', 100 * (CAST(o_custkey % 50 + 1 AS DOUBLE) / 64), CAST((o_custkey % 50 + 1) * 100 // 64 AS DOUBLE), greatest(0.05 * greatest(1, (o_custkey % 50 + 1) * 100 // 64), 0.05) FROM o
-UNION ALL SELECT o_orderkey, 'root', '1000^(1/3) ≈ 10.50', pow(1000.0, 1.0 / 3), 10.5, 0.002 FROM o WHERE o_orderkey % 3 = 2) SELECT o_orderkey, form, said, round(real, 6) AS real FROM t WHERE abs(real - c) > tol""")
+@query("WITH o AS (SELECT o_orderkey AS id, o_orderkey % 400000 AS o_orderkey, o_custkey % 400000 AS o_custkey FROM orders), " + """t AS (SELECT id, 'sum' AS form, o_orderkey || ' + ' || o_custkey || ' = ' || (o_orderkey + o_custkey + 40) AS said, CAST(o_orderkey + o_custkey AS DOUBLE) AS real, CAST(o_orderkey + o_custkey + 40 AS DOUBLE) AS c, greatest(0.005 * (o_orderkey + o_custkey + 40), 0.015) AS tol FROM o WHERE o_orderkey % 5 = 0
+UNION ALL SELECT id, 'share', (o_custkey % 50 + 1) || '/64 ≈ ' || ((o_custkey % 50 + 1) * 100 // 64) || '%', 100 * (CAST(o_custkey % 50 + 1 AS DOUBLE) / 64), CAST((o_custkey % 50 + 1) * 100 // 64 AS DOUBLE), greatest(0.05 * greatest(1, (o_custkey % 50 + 1) * 100 // 64), 0.05) FROM o
+UNION ALL SELECT id, 'root', '1000^(1/3) ≈ 10.50', pow(1000.0, 1.0 / 3), 10.5, 0.002 FROM o WHERE o_orderkey % 3 = 2) SELECT id AS o_orderkey, form, said, round(real, 6) AS real FROM t WHERE abs(real - c) > tol""")
 def wrong_sums(spark, d):
     """MTH14, CMP14: three forms of stated arithmetic, written from orders."""
-    o = table(spark, d, "orders").filter("o_orderkey < 400000 and o_custkey < 400000").select("o_orderkey", F.expr(_SUM).alias("t"))
-    return audit.wrong_sums(o, "o_orderkey", "t").withColumn("real", F.round("real", 6))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 400_000).alias("o_orderkey"), (F.col("o_custkey") % 400_000).alias("o_custkey"))
+    return audit.wrong_sums(o.select(F.col("id").alias("o_orderkey"), F.expr(_SUM).alias("t")), "o_orderkey", "t").withColumn("real", F.round("real", 6))
 
 
-_STATEMENTS = [(1, "1500/20000 = 7.5%"), (2, "1500/20000 = 15.0%"), (3, "1/3≈33% and 2/5=41%"), (4, "7/0 = 3%"), (5, "nothing"), (6, None)]
+#: What an order's text states: a share of 64 in whole percents, every third one 7 too high, and one of nothing.
+_SHARES = "'have ' || (o_custkey % 50 + 1) || '/64 = ' || ((o_custkey % 50 + 1) * 100 div 64 + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END) || '% and ' || (o_orderkey % 9) || ' / ' || (o_orderkey % 4) || ' ≈ 50%'"
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES (1, 7.5, 7.5), (2, 7.5, 15.0), (3, 100.0 / 3, 33.0), (3, 40.0, 41.0), (4, NULL, 3.0)) AS t(id, v, c)) SELECT CAST(id AS BIGINT) AS id, c FROM s WHERE coalesce(abs(v - c) > greatest(0.03 * c, 1e-9), true)""")
+@query("""WITH s AS (SELECT o_orderkey, 100.0 * (o_custkey % 50 + 1) / 64 AS v, CAST((o_custkey % 50 + 1) * 100 // 64 + CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 0 END AS DOUBLE) AS c FROM orders
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN 100.0 * (o_orderkey % 9) / (o_orderkey % 4) END, 50.0 FROM orders) SELECT o_orderkey, c FROM s WHERE coalesce(abs(v - c) > greatest(0.03 * c, 1e-9), true)""")
 def stated_arithmetic(spark, d):
-    """MTH13, MTH14 over stated texts."""
-    df = spark.createDataFrame(_STATEMENTS, "id long, text string")
-    return audit.stated_arithmetic(df, "id", "text").select("id", "c")
+    """MTH13, A8: shares that orders state, held against what they are."""
+    o = table(spark, d, "orders").select("o_orderkey", F.expr(_SHARES).alias("t"))
+    return audit.stated_arithmetic(o, "o_orderkey", "t").select("o_orderkey", "c")
 
 
 @query("""WITH i AS (SELECT l_orderkey AS k, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS v, 100.0 AS t FROM lineitem), s AS (SELECT k, sum(v) AS known, count(*) FILTER (WHERE v IS NULL) AS missing, max(t) AS total FROM i GROUP BY 1)

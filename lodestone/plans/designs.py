@@ -231,10 +231,3 @@ def scattered_elite(spark, d):
     z = F.array(*[F.lit(0.0)] * 5)
     elite = F.transform(z, lambda v, i: F.when(i == (F.col("s_suppkey") % 5).cast("int"), F.col("s_acctbal")).otherwise(v))
     return table(spark, d, "supplier").select("s_suppkey", F.round(testbed.total(F.transform(elite, lambda v, i: v * (i + 1))), 4).alias("digest"))
-
-
-@query("SELECT i, j, round(i / 5.0, 6) AS u, round(j / 4.0, 6) AS v FROM range(6) a(i), range(5) b(j)")
-def control_grid(spark, d):
-    """JN16: the 6 x 5 grid of control points."""
-    grid = spark.range(6).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(4)).cast("array<long>")).alias("j"))
-    return grid.select("i", "j", F.round(F.col("i") / 5.0, 6).alias("u"), F.round(F.col("j") / 4.0, 6).alias("v"))

@@ -329,7 +329,6 @@ def broken(df: DataFrame, spark: SparkSession) -> DataFrame:
     return whole
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r}', true, true)" for r in DEFECTS) + ") AS t(rule, caught, clean)")
 def rule_mutations(spark, d):
     """CMP18: every rule is broken by its defect, put into a clean chapter, and not by the clean chapter."""
     made = [("clean", CLEAN)] + [(r, CLEAN.replace(old, new)) for r, (old, new) in DEFECTS.items()]

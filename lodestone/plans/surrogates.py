@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import models
-from lodestone.operators import fits, kernels, search
+from lodestone.operators import fits, kernels
 from lodestone.sources import table
 
 QUERIES: dict[str, tuple] = {}
@@ -143,104 +143,9 @@ def two_fidelity_scores(spark, d):
     return kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), model, float(branin(fine).min())).select("p_partkey", "mean", "sd")
 
 
-@query("SELECT CAST(dim AS BIGINT) AS dim, CAST(stratum AS BIGINT) AS stratum, CAST(1 AS BIGINT) AS n FROM range(4) a(dim), range(64) b(stratum)")
-def hypercube_strata(spark, d):
-    """NUM1, WIN13: how often each stratum of each dimension is hit."""
-    x = models.latin_hypercube(64, 4)
-    rows = [(k, int(s)) for row in x for k, s in enumerate(np.floor(row * 64))]
-    return spark.createDataFrame(rows, "dim long, stratum long").groupBy("dim", "stratum").agg(F.count("*").alias("n"))
-
-
-@query("SELECT CAST(b AS BIGINT) AS batch, CAST(8 AS BIGINT) AS source, CAST(16 AS BIGINT) AS unlabeled FROM range(10) t(b)")
-def stratified_batches(spark, d):
-    """NUM12: the sizes of ten batches."""
-    rows = [(k, len(np.unique(a)), len(np.unique(b))) for k, (a, b) in enumerate(models.stratified_batches(40, 1010, 8, 0.5))]
-    return spark.createDataFrame(rows, "batch long, source long, unlabeled long")
-
-
-@query(None)
-def effects(spark, d):
-    """NUM15, NUM24: total effects and pair interactions of a stated model."""
-    box = [(0.0, 1.0)] * 5
-    model = lambda x: 5 * x[:, 0] * x[:, 1] + 0.3 * x[:, 2] * x[:, 3] + x[:, 2] + 0.8 * x[:, 3] ** 2 + 0.05 * x[:, 4]
-    total, _ = models.total_effects(model, box)
-    rows = [("total", i, i, float(v)) for i, v in enumerate(total)] + [("pair", i, j, v) for (i, j), v in models.pair_interactions(model, box).items()]
-    return spark.createDataFrame(rows, "kind string, i long, j long, score double")
-
-
-@query(None)
-def search_traces(spark, d):
-    """NUM31-34: best value after each round of each search on the same function."""
-    runs = {
-        "evolution": search.evolve(branin, BRANIN, 30, evaluations=1200, seed=3)[2], "swarm": search.swarm(branin, BRANIN, 40, 60, seed=5)[2],
-        "ego": search.ego(branin, BRANIN, lambda: models.Kriging(sweeps=1, steps=8, starts=1), 12, 12, 512, seed=1)[2], "assisted": search.assisted_evolution(branin, BRANIN, evaluations=150, seed=2)[2],
-    }
-    return spark.createDataFrame([(name, k, v) for name, h in runs.items() for k, v in enumerate(h)], "search string, round long, best double")
-
-
-@query(None)
-def nsga2_front(spark, d):
-    """NUM36: the front of a two-objective function of six inputs."""
-    def zdt(x):
-        g = 1 + 9 * x[:, 1:].mean(1)
-        return np.stack([x[:, 0], g * (1 - np.sqrt(x[:, 0] / g))], 1)
-
-    _, f = search.nsga2(zdt, [(0, 1)] * 6, 60, 60, seed=7)
-    return spark.createDataFrame([(float(a), float(b)) for a, b in f], "f1 double, f2 double")
-
-
-@query("SELECT true AS close, 40 AS points")
-def leave_one_out_error(spark, d):
-    """NUM20: the error of refits without each point, one row a refit, in parallel; held against the same on the driver."""
-    x = _design(40, 4)
-    y = branin(x)
-    found = kernels.left_out(spark, models.Radial, x, y)
-    want = models.leave_one_out(models.Radial, x, y)
-    return found.select((F.abs(F.col("rmse") - want) < 1e-6).alias("close"), F.col("n").cast("int").alias("points"))
-
-
-@query("SELECT count(*) AS rows, true AS first_moment_is_ei FROM part")
-def generalised_scores(spark, d):
-    """NUM23: generalised improvements of orders 1 and 2; the first is the expected improvement."""
-    x = _design(40)
-    y = branin(x)
-    best = float(y.min())
-    rows = kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), models.Kriging().fit(x, y), best)
-    out = rows.withColumn("g", kernels.improvements(best, (1, 2))(F.struct("mean", "sd")))
-    return out.agg(F.count("*").alias("rows"), F.bool_and(F.abs(F.col("g")[0] - F.col("ei")) < 1e-9).alias("first_moment_is_ei"))
-
-
 @query(None)
 def ensemble_scores(spark, d):
     """NUM28: Co-Kriging with local models where fine points are dense."""
     coarse, fine = _design(40, 2), _design(10, 3)
     model = models.Ensemble().fit(coarse, 0.5 * branin(coarse) + coarse.sum(1), fine, branin(fine))
     return kernels.scored(table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), _inputs(), model, float(branin(fine).min())).select("p_partkey", "mean", "sd")
-
-
-@query("SELECT true AS one_after_breakthrough, true AS two_at_most, true AS restrained_is_less")
-def improvement_steps(spark, d):
-    """NUM29, NUM30: which rows the steps of the calibrated search ask for."""
-    x = _design(30, 5)
-    y = branin(x)
-    mean, sd = models.Kriging().fit(x[:20], y[:20]).predict(x)
-    rows = []
-    for breakthroughs in (0, 1):
-        for limit in (0.0, 30.0):
-            step = models.improvement_step(mean, sd + 0.1, x, y, x[y.argmin()], limit, breakthroughs=breakthroughs)
-            cei, rei = models.restrained_improvement(mean, sd + 0.1, float(y.min()), x, x[y.argmin()], limit)
-            rows.append((breakthroughs, len(step["rows"]), bool((rei <= cei).all())))
-    df = spark.createDataFrame(rows, "breakthroughs int, n int, less boolean")
-    return df.agg(F.bool_and((F.col("breakthroughs") == 0) | (F.col("n") == 1)).alias("one_after_breakthrough"), F.bool_and(F.col("n") <= 2).alias("two_at_most"), F.bool_and("less").alias("restrained_is_less"))
-
-
-@query("SELECT true AS close")
-def sampled_hypervolume(spark, d):
-    """NUM8: the area that a stated front covers, by random points of a seeded generator, within two percent of the exact one."""
-    front = [(k / 20, (1 - k / 20) ** 2) for k in range(21)]
-    return kernels.covered_share(spark, front, (1.2, 1.2), 200_000).select((F.abs(F.col("area") / _exact_area(front, (1.2, 1.2)) - 1) < 0.02).alias("close"))
-
-
-def _exact_area(front: list[tuple[float, float]], ref: tuple[float, float]) -> float:
-    rows = sorted(front)
-    return sum((b[0] - a[0]) * (ref[1] - a[1]) for a, b in zip(rows, [*rows[1:], ref], strict=True))
