@@ -165,12 +165,13 @@ class Machine:
         self.read = composed(normaliser(), with_fallback(piece_machine(self.ids), self.whole))
         self.lead = normaliser().arcs[0][""][0]
         self.fallback = self.read.arcs[0][Transducer.OTHER][1]
-        # The composed machine with each arc holding its next state's arcs; '' has the piece put out and its weight.
+        # The composed machine: each arc holds its next state's arcs, and the piece put out there and its weight.
         nodes: list[dict] = [{} for _ in self.read.arcs]
+        ends = [next(((put, weight) for c, (put, weight, _) in arcs.items() if c == ""), None) for arcs in self.read.arcs]
         for node, arcs in zip(nodes, self.read.arcs, strict=True):
-            for c, (put, weight, to) in arcs.items():
-                if c is not Transducer.OTHER:
-                    node[c] = nodes[to] if c else (put, weight)
+            for c, (_, _, to) in arcs.items():
+                if c is not Transducer.OTHER and c:
+                    node[c] = nodes[to], ends[to]
         self.linked = nodes[0]
         inner = {c for p in self.ids if p.strip(MARK) for c in p[1:]}
         if MARK in inner:
@@ -211,6 +212,8 @@ class Machine:
         n, pairs, root = len(text), self.pairs, self.linked
         best: list = [None] * (n + 1)
         best[0] = {None: (0, 0, None)}
+        #: Of each place the least weight with which a piece ends there.
+        least = [_INFINITE] * (n + 1)
         for s in range(n):
             states = best[s]
             if states is None:
@@ -222,25 +225,30 @@ class Machine:
                         into[None] = cost + self.fallback, s, last
             node = root
             for e in range(s, n):
-                node = node.get(text[e])
-                if node is None:
+                arc = node.get(text[e])
+                if arc is None:
                     break
-                end = node.get("")
+                node, end = arc
                 if end is None:
                     continue
                 piece, weight = end
+                into = best[e + 1]
                 for last, state in states.items():
+                    cost = state[0] + weight
+                    # Pieces that all may stand beside each other are what the merges give, and they give one segmentation:
+                    # a place that some piece has reached at no more weight needs no other one.
+                    if into is not None and least[e + 1] <= cost:
+                        continue
                     if last is not None:
                         joint = pairs.get((last, piece))
                         if joint is None:
                             joint = self.beside(last, piece)
                         if joint:
                             continue
-                    cost, into = state[0] + weight, best[e + 1]
                     if into is None:
-                        best[e + 1] = {piece: (cost, s, last)}
-                    elif piece not in into or cost < into[piece][0]:
-                        into[piece] = cost, s, last
+                        into = best[e + 1] = {}
+                    into[piece] = cost, s, last
+                    least[e + 1] = cost
         out, e = [], n
         last = min(best[n], key=lambda k: best[n][k][0]) if n else None
         while e:
