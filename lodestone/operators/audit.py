@@ -109,7 +109,7 @@ def first_concepts(rows: DataFrame, keys: list[str], lexicon: DataFrame, explain
     """
     w = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(-3, 3)
     around = rows.withColumn("near", F.array_join(F.collect_list("line").over(w), "\n"))
-    met = around.join(F.broadcast(lexicon), F.expr("line rlike include and not line rlike exclude"))
+    met = around.join(lexicon, F.expr("line rlike include and not line rlike exclude"))
     first = met.groupBy(*keys, "family", "concept").agg(F.min_by(F.struct("line_no", "near"), "line_no").alias("m"))
     return first.select(*keys, "family", "concept", F.col("m.line_no").alias("line_no"), F.col("m.near").rlike(explained).alias("explained"))
 

@@ -19,7 +19,7 @@ def bare_concepts(df: DataFrame, key: str, text: str, lexicon: DataFrame, explai
     rows = tx.lines(df.select(key, F.col(text).alias("t"), F.regexp_extract(text, card, 1).alias("card")), "t")
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(-3, 3)
     around = rows.withColumn("near", F.array_join(F.collect_list("line").over(w), "\n"))
-    met = around.join(F.broadcast(lexicon), F.expr("line rlike include and not line rlike exclude"))
+    met = around.join(lexicon, F.expr("line rlike include and not line rlike exclude"))
     first = met.groupBy(key, "family", "severity", "concept").agg(F.min_by(F.struct("line_no", "line", "near", "card"), "line_no").alias("m"))
     covered = F.col("m.near").rlike(explained) | F.contains("m.card", F.col("concept")) | F.col("concept").isin(baseline)
     worse = F.when((F.col("severity") == "P0") & F.col("m.line").rlike(formula), "P0+").otherwise(F.col("severity"))
@@ -37,7 +37,7 @@ def break_summary(found: DataFrame, key: str) -> DataFrame:
 
 def patches(found: DataFrame, key: str, lookup: DataFrame) -> DataFrame:
     """AGG10, JN7: bare concepts by the patch that would cover them (concept, patch): how many, in how many texts, how many fatal."""
-    bare = found.filter("severity is not null").join(F.broadcast(lookup), "concept")
+    bare = found.filter("severity is not null").join(lookup, "concept")
     return bare.groupBy("patch").agg(F.count("*").alias("n"), F.countDistinct(key).alias("texts"), F.count_if(F.col("severity") == "P0+").alias("fatal"))
 
 
@@ -109,9 +109,44 @@ def cards(df: DataFrame, key: str, fields: dict[str, Column], claims: Column, li
     return df.select(key, F.concat(head, table, body).alias("card"))
 
 
+def evidence_level(has_text: Column, has_page: Column) -> Column:
+    """CMP3: A where the text itself is at hand, B where a page about it is, else C."""
+    return F.when(has_text, "A").when(has_page, "B").otherwise("C")
+
+
+def evidence_cards(df: DataFrame, key: str, fields: dict[str, Column], level: Column, found: Column, declared: Column, abstract: Column, claims: Column, dimensions: DataFrame, names: list[str]) -> DataFrame:
+    """CMP3, CMP4: (key, card): level of evidence, identifier with a note where two conflict, fields, abstract, numbered claims, skeleton.
+
+    found and declared: the identifier of the text and of the files about it; the found one counts. dimensions: (key,
+    dimension, claims array, relaxed) of each text, as text.skeleton() gives it, listed in the order of names; a
+    dimension without claims says so, and a text without any row has no skeleton. What is null is left to do.
+    """
+    todo = lambda c: F.coalesce(c.cast("string"), F.lit("TODO"))
+    per = dimensions.groupBy(key).agg(F.collect_list(F.struct("dimension", "claims", "relaxed")).alias("dims_"))
+    rows = df.select(F.struct(*df.columns).alias("row_"), F.col(key).alias("key_"), *[x.alias(n) for n, x in (("level_", level), ("found_", found), ("declared_", declared), ("abstract_", abstract), ("claims_", claims))], *[todo(c).alias(f"field{k}_") for k, c in enumerate(fields.values())])
+    rows = rows.join(per.withColumnRenamed(key, "dim_key_"), F.col("key_") == F.col("dim_key_"), "left")
+    note = F.when(F.col("found_") != F.col("declared_"), F.concat(F.lit("\n> conflict: `"), F.col("declared_"), F.lit("` was declared, `"), F.col("found_"), F.lit("` stands in the text\n")))
+    note = F.coalesce(note, F.when(F.col("found_").isNull() & F.col("declared_").isNotNull(), F.lit("\n> declared only: no identifier in the text\n")), F.lit(""))
+    table = F.concat(*[F.concat(F.lit(f"| {name} | "), F.col(f"field{k}_"), F.lit(" |\n")) for k, name in enumerate(fields)])
+    numbered = F.array_join(F.transform("claims_", lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), tx.squeezed(c))), "\n")
+    listed = F.when(F.size("claims_") > 0, numbered).otherwise("(none)")
+
+    def section(name: str) -> Column:
+        mine = F.element_at(F.filter("dims_", lambda d: d["dimension"] == name), 1)
+        lines = F.array_join(F.transform(mine["claims"], lambda c: F.concat(F.lit("- "), tx.squeezed(c), F.when(mine["relaxed"], F.lit(" (relaxed)")).otherwise(""))), "\n")
+        return F.concat(F.lit(f"\n### {name}\n\n"), F.when(F.size(mine["claims"]) > 0, lines).otherwise("(not found)"), F.lit("\n"))
+
+    skeleton = F.when(F.col("dims_").isNotNull(), F.concat(*[section(n) for n in names])).otherwise(F.lit("\n(no text, no skeleton)\n"))
+    card = F.concat(
+        F.lit("# Card "), F.col("key_").cast("string"), F.lit("\n\n> level of evidence: "), F.col("level_"), F.lit("\n\n| field | value |\n| :--- | :--- |\n| DOI | `"), todo(F.coalesce("found_", "declared_")), F.lit("` |\n"), table, note,
+        F.lit("\n## Abstract\n\n> "), todo(F.nullif(F.col("abstract_"), F.lit(""))), F.lit("\n\n## Claims\n\n"), listed, F.lit("\n\n## Skeleton\n"), skeleton,
+    )
+    return rows.select(F.col("key_").alias(key), card.alias("card"))
+
+
 def assembled(df: DataFrame, key: str, text: str) -> DataFrame:
     """CMP8, CMP9, CMP11, STR26: (key, text, n_entries, ok): headings go one level down, each gets an anchor, and a table of
-    contents that links to all of them goes first; ok: every link has its anchor.
+    contents that links to all of them goes first; ok: every link has its anchor, and no anchor stands twice.
 
     An anchor is the text's key and the heading's number.
     """
@@ -127,7 +162,9 @@ def assembled(df: DataFrame, key: str, text: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("line_no", F.col(c).alias("x"))))), lambda x: x["x"]), "\n")
     whole = parts.groupBy(key).agg(joined("entry").alias("toc"), joined("line").alias("body"), F.count("entry").alias("n_entries"))
     out = whole.select(key, F.concat(F.lit("## Contents\n\n"), "toc", F.lit("\n\n"), "body").alias("text"), "n_entries")
-    lost = rules.links(out.select(key, F.col("text")), key, "text").select(key, (F.col("n_dangling") == 0).alias("ok"))
+    ids = F.regexp_extract_all("text", F.lit('<a id="([^"]+)"'), F.lit(1))
+    single = out.select(key, (F.size(ids) == F.size(F.array_distinct(ids))).alias("single"))
+    lost = rules.links(out.select(key, F.col("text")), key, "text").join(single, key).select(key, ((F.col("n_dangling") == 0) & F.col("single")).alias("ok"))
     return out.join(lost, key)
 
 
@@ -153,6 +190,35 @@ def numbers(df: DataFrame, key: str, text: str, units: list[str], scaffold: str,
     return rows.withColumn("judged", (F.col("kind") == "percent") | ~excused)
 
 
+def split_at(df: DataFrame, key: str, text: str, markers: list[str], least: int = 5) -> DataFrame:
+    """CMP10: (key, part, first_line, last_line, text, fault) of texts cut at the first lines that begin with each marker.
+
+    Part 0 is what stands before the first marker; a part ends before the next one's marker, the last with the text, its
+    closing newline aside. Faults: a missing marker (a row without lines), one that stands before its forerunner, a part of
+    fewer than least lines. Null texts have no parts.
+    """
+    rows = tx.lines(df.filter(F.col(text).isNotNull()).select(key, text), text)
+    at = rows.groupBy(key).agg(F.max("line_no").alias("end"), F.max_by("line", "line_no").alias("last"), *[F.min(F.when(F.col("line").startswith(m), F.col("line_no"))).alias(f"m{k}") for k, m in enumerate(markers)])
+    end = F.when((F.col("last") == "") & (F.col("end") > 0), F.col("end") - 1).otherwise(F.col("end"))
+    n = len(markers)
+    starts = F.array(F.lit(0), *[F.col(f"m{k}") for k in range(n)])
+    parts = at.select(key, end.alias("end"), starts.alias("starts"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("part"))
+    first = F.get("starts", F.col("part"))
+    # What comes next in the text, whichever marker it is.
+    after = F.array_min(F.filter("starts", lambda s: s > first))
+    cut = parts.select(key, "part", first.alias("first_line"), F.coalesce(after - 1, F.col("end")).alias("last_line"), F.get("starts", F.col("part") - 1).alias("before"))
+    body = rows.join(cut, key).filter(F.col("line_no").between(F.col("first_line"), F.col("last_line"))).groupBy(key, "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    short = F.col("last_line") - F.col("first_line") + 1 < least
+    fault = F.when(F.col("first_line").isNull(), "missing").when(F.col("first_line") < F.col("before"), "out of order").when(short, "short")
+    return cut.join(body, [key, "part"], "left").select(key, "part", "first_line", F.when(F.col("first_line").isNotNull(), F.col("last_line")).alias("last_line"), "text", fault.alias("fault"))
+
+
+def verdicts(report: DataFrame, key: str, checks: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """SNK5: (key, check_no, line): a line [PASS] or [FAIL] with name and detail for each check (ok, detail); a null ok fails."""
+    lines = [F.concat(F.when(F.coalesce(ok, F.lit(False)), "[PASS] ").otherwise("[FAIL] "), F.lit(f"{name}: "), F.coalesce(detail.cast("string"), F.lit(""))) for name, (ok, detail) in checks.items()]
+    return report.select(key, F.posexplode(F.array(*lines)).alias("check_no", "line"))
+
+
 def number_tiers(found: DataFrame, key: str, own: DataFrame, every: DataFrame) -> DataFrame:
     """CMP14, FLT6, JN9: (key, number, tier) of a text's different judged numbers: in its own source (key, number), in another text (number) or nowhere."""
     rows = found.filter("judged").select(key, "number").distinct()

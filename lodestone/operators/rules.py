@@ -38,6 +38,11 @@ def uncited(rows: DataFrame, key: str, claim: str, cited: str, excused: str | No
     return out.select(key, "block_no", F.substring(tx.squeezed(F.col("block")), 1, 70).alias("said"))
 
 
+def uncited_counts(rows: DataFrame, key: str, claim: str, count: str, cited: str, debunked: str) -> DataFrame:
+    """A5: uncited() of counts (1500 runs), but for blocks that say that the count is no good, and those uncited for another claim already."""
+    return uncited(rows, key, count, cited, debunked).join(uncited(rows, key, claim, cited).select(key, "block_no"), [key, "block_no"], "left_anti")
+
+
 def prose_length(text: Column) -> Column:
     """A1: characters that are neither white space nor in code fences."""
     return tx.bare_length(tx.without_fences(text))
@@ -85,6 +90,34 @@ def links(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.size(to).cast("long").alias("n_links"), F.size(lost).cast("long").alias("n_dangling"), F.size(F.filter(to, lambda x: x.rlike(r"[^\x00-\x7f]"))).cast("long").alias("n_foreign"))
 
 
+def contents_faults(df: DataFrame, key: str, text: str, contents: str, required: list[str], least: int) -> DataFrame:
+    """A10: (key, n_links, dangling, lacking, foreign, ok) of the links in each text's contents (the pattern's group 1).
+
+    dangling: links without an anchor; lacking: required anchors that no link names or that aren't there; foreign: names
+    not in ASCII. Too few links, or no contents at all, fail too.
+    """
+    inside = F.coalesce(F.regexp_extract(text, contents, 1), F.lit(""))
+    to, ids = F.regexp_extract_all(inside, F.lit(r"\]\(#([^)]+)\)"), F.lit(1)), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit('<a +id="([^"]+)"'), F.lit(1))
+    rows = df.select(key, to.alias("to"), ids.alias("ids"))
+    joined = lambda xs: F.array_join(xs, ",")
+    lacking = F.filter(F.array(*[F.lit(r) for r in required]), lambda r: ~F.array_contains("to", r) | ~F.array_contains("ids", r))
+    out = rows.select(key, F.size("to").cast("long").alias("n_links"), joined(F.filter("to", lambda x: ~F.array_contains("ids", x))).alias("dangling"), joined(lacking).alias("lacking"), joined(F.filter("to", lambda x: x.rlike(r"[^\x00-\x7f]"))).alias("foreign"))
+    return out.withColumn("ok", (F.col("n_links") >= least) & (F.col("dangling") == "") & (F.col("lacking") == "") & (F.col("foreign") == ""))
+
+
+def identities(df: DataFrame, key: str, title: Column, meta: Column, doi: Column, known: DataFrame) -> DataFrame:
+    """(key, fault) where the id of a text's title, of its metadata and of its DOI's owner don't agree, or are missing.
+
+    known: (doi, id), each DOI of one owner; case and blanks around a DOI don't count, and one that nobody owns is no fault.
+    """
+    same = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    rows = df.select(key, F.nullif(title, F.lit("")).alias("title"), F.nullif(meta, F.lit("")).alias("meta"), same(doi).alias("doi"))
+    owners = known.select(same(F.col("doi")).alias("doi"), F.col("id").alias("owner"))
+    met = rows.join(owners, "doi", "left")
+    faults = F.array_compact(F.array(F.when(F.col("title").isNull(), "no title id"), F.when(F.col("meta").isNull(), "no metadata id"), F.when(F.col("title") != F.col("meta"), "title and metadata"), F.when(F.col("owner") != F.col("meta"), "DOI and metadata")))
+    return met.select(key, F.explode(faults).alias("fault"))
+
+
 def captions(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row per image: (key, image_no, alt, file)."""
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1)).alias("alt"), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(2)).alias("file"))

@@ -75,7 +75,7 @@ def number_provenance(spark, d):
 @query("""SELECT region, sum(n) AS nations, string_agg(name || ':' || n, ',' ORDER BY name) AS listed FROM (SELECT r_name AS region, n_name AS name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2) GROUP BY 1""")
 def curated_dimension(spark, d):
     """JN1, JN6, JN7: rows against a small dimension."""
-    joined = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     per = joined.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("name")).agg(F.count("*").alias("n"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "n"))), lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string"))), ",")
     return per.groupBy("region").agg(F.sum("n").alias("nations"), listed.alias("listed"))

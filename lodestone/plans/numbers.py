@@ -147,7 +147,7 @@ def fit_quality(spark, d):
     f = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("f"))
     j = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("y")).join(f, "o_orderkey")
     m = j.groupBy("o_orderpriority").agg(F.avg("y").alias("m"))
-    out = j.join(F.broadcast(m), "o_orderpriority").groupBy("o_orderpriority").agg(stats.r_squared(F.col("y"), F.col("f"), F.col("m")).alias("r2"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("f"), 2))).alias("rmse"))
+    out = j.join(m, "o_orderpriority").groupBy("o_orderpriority").agg(stats.r_squared(F.col("y"), F.col("f"), F.col("m")).alias("r2"), F.sqrt(F.avg(F.pow(F.col("y") - F.col("f"), 2))).alias("rmse"))
     return out.select("o_orderpriority", F.round("r2", 6).alias("r2"), F.round("rmse", 4).alias("rmse"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import audits, corpora, designs, markups, measures, numbers, papers, reports, rules, surrogates
+from lodestone.plans import audits, books, corpora, designs, markups, measures, numbers, papers, reports, rules, surrogates
 
-_MODULES = (numbers, designs, measures, corpora, markups, audits, papers, rules, reports, surrogates)
+_MODULES = (numbers, designs, measures, corpora, markups, audits, papers, rules, reports, books, surrogates)
 
 
 def queries() -> dict:
