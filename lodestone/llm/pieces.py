@@ -173,6 +173,7 @@ class Machine:
                 if c is not Transducer.OTHER and c:
                     node[c] = nodes[to], ends[to]
         self.linked = nodes[0]
+        self.even = not any(weight for end in ends if end for weight in end[1:])
         inner = {c for p in self.ids if p.strip(MARK) for c in p[1:]}
         if MARK in inner:
             raise ValueError("a piece has a space mark after its first character")
@@ -203,12 +204,48 @@ class Machine:
         found = self.pairs[left, right] = 0 if at < 0 and parts == [a, b] else _INFINITE
         return found
 
+    def known_path(self, text: str) -> list[int]:
+        """path() of a segment without a character that falls back to bytes, where all pieces weigh the same: a place has one last piece."""
+        n, pairs, root = len(text), self.pairs, self.linked
+        ends_with, begins = [-1] * (n + 1), [0] * (n + 1)
+        ends_with[0] = -2
+        for s in range(n):
+            last = ends_with[s]
+            if last == -1:
+                continue
+            node, e = root, s
+            for c in text[s:]:
+                arc = node.get(c)
+                if arc is None:
+                    break
+                node, end = arc
+                e += 1
+                if end is None or ends_with[e] >= 0:
+                    continue
+                piece = end[0]
+                if last >= 0:
+                    joint = pairs.get((last, piece))
+                    if joint is None:
+                        joint = self.beside(last, piece)
+                    if joint:
+                        continue
+                ends_with[e] = piece
+                begins[e] = s
+        out, e = [], n
+        while e:
+            out.append(ends_with[e])
+            e = begins[e]
+        out.reverse()
+        return out
+
     def path(self, text: str) -> list[int]:
         """The shortest path of one segment: its lattice composed with the pair machine, place by place.
 
         best[place] has for each last piece (None: bytes) the least weight and where it comes from. Arcs of infinite
         weight are left out.
         """
+        if self.even and self.whole.issuperset(text):
+            return self.known_path(text)
         n, pairs, root = len(text), self.pairs, self.linked
         best: list = [None] * (n + 1)
         best[0] = {None: (0, 0, None)}
