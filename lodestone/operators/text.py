@@ -311,6 +311,8 @@ def skeleton(df: DataFrame, key: str, text: str, dimensions: dict[str, tuple[str
     body = F.substring(F.col(text), F.lit(1), F.floor(F.length(text) * 0.85).cast("int"))
 
     def claims(pattern: str) -> Column:
+        # A pattern that begins with the rest of a sentence is tried at its beginning only, not at each of its characters.
+        pattern = r"(?<![^.\n])" + pattern if pattern.startswith(r"[^.\n]*") else pattern
         every = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), squeezed)
         return F.slice(F.array_distinct(F.filter(every, lambda c: F.length(c) >= least)), 1, limit)
 
