@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.models import expected_improvement, generalised_improvement
+from lodestone.functions.models import expected_improvement
 from lodestone.operators.metric import squared, usable
 from lodestone.sources.staging import staged
 
@@ -195,43 +193,3 @@ def scored(df: DataFrame, inputs: Column, model, best: float) -> DataFrame:
 def ranked(found: DataFrame, by: str, name: str) -> DataFrame:
     """TOP4, NUM11: rows of a small table (one a label) with their rank, the smallest value first, ties by name."""
     return found.withColumn("rank", F.row_number().over(Window.orderBy(by, name)))
-
-
-def improvements(best: float, orders: tuple[int, ...]):
-    """NUM23: a column function of structs (mean, sd): the generalised improvements of the orders, an array."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def of(rows: pd.DataFrame) -> pd.Series:
-        found = [generalised_improvement(rows["mean"].to_numpy(), rows["sd"].to_numpy(), best, g) for g in orders]
-        return pd.Series(list(np.stack(found, 1)))
-
-    return of
-
-
-def left_out(spark: SparkSession, factory, x: np.ndarray, y: np.ndarray) -> DataFrame:
-    """NUM20: (n, rmse) over refits of a model without each of its design points, dealt to the executors; failed refits are left out."""
-    shared = spark.sparkContext.broadcast((np.asarray(x, float), np.asarray(y, float)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = shared.value
-        for b in batches:
-            out = []
-            for k in b.column(0).to_pylist():
-                keep = np.arange(len(y)) != k
-                try:
-                    out.append(float((factory().fit(x[keep], y[keep]).predict(x[k : k + 1])[0][0] - y[k]) ** 2))
-                except (ValueError, np.linalg.LinAlgError):
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], names=["e"])
-
-    return spark.range(len(y)).mapInArrow(run, "e double").agg(F.count("e").alias("n"), F.sqrt(F.avg("e")).alias("rmse"))
-
-
-def covered_share(spark: SparkSession, front: list[tuple[float, ...]], ref: tuple[float, ...], n: int, seed: int = 0) -> DataFrame:
-    """NUM8: (area): the share of n random points below ref that a point of a stated front dominates, times the box."""
-    low = [min(*(f[k] for f in front), ref[k]) for k in range(len(ref))]
-    points = spark.range(n).select(*[(F.lit(low[k]) + F.rand(seed + k) * (ref[k] - low[k])).alias(f"p{k}") for k in range(len(ref))])
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in f]) for f in front])
-    inside = F.exists(rows, lambda f: reduce(and_, [F.get(f, F.lit(k)) <= F.col(f"p{k}") for k in range(len(ref))]))
-    box = float(np.prod([b - a for a, b in zip(low, ref, strict=True)]))
-    return points.agg((F.avg(inside.cast("double")) * box).alias("area"))

@@ -37,12 +37,13 @@ _STARTS = ", ".join(f"list_position(list_transform(l, lambda x: starts_with(x, '
 
 @query(f"""WITH {_BOOKS}, l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM b), s AS (SELECT doc_id, l, {_STARTS}, len(l) - 1 - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END AS fin FROM l), t AS (SELECT doc_id, l, fin, [0, m0, m1, m2] AS s, unnest(range(4)) AS part FROM s),
 c AS (SELECT doc_id, l, part, s[part + 1] AS first_line, coalesce(list_min(list_filter(s, lambda x: x > s[part + 1])) - 1, fin) AS last_line, s[part] AS before FROM t)
-SELECT doc_id, CAST(part AS INT) AS part, CAST(first_line AS INT) AS first_line, CASE WHEN first_line IS NOT NULL THEN CAST(last_line AS INT) END AS last_line, md5(CASE WHEN first_line IS NOT NULL THEN array_to_string(l[first_line + 1 : last_line + 1], chr(10)) END) AS digest,
+SELECT doc_id, CAST(part AS INT) AS part, CAST(coalesce(first_line, -1) AS INT) AS first_line, CASE WHEN first_line IS NOT NULL THEN CAST(last_line AS INT) ELSE -1 END AS last_line, md5(CASE WHEN first_line IS NOT NULL THEN array_to_string(l[first_line + 1 : last_line + 1], chr(10)) END) AS digest,
  CASE WHEN first_line IS NULL THEN 'missing' WHEN first_line < before THEN 'out of order' WHEN last_line - first_line + 1 < 3 THEN 'short' END AS fault FROM c""")
 def book_parts(spark, d):
     """CMP10: books cut at their markers, each part to the line before the next, the last to the end."""
     found = reports.split_at(books(spark, d), "doc_id", "text", _MARKS, 3)
-    return found.select("doc_id", "part", "first_line", "last_line", F.md5(F.col("text").cast("binary")).alias("digest"), "fault")
+    line = lambda c: F.coalesce(c, F.lit(-1)).cast("int").alias(c)
+    return found.select("doc_id", "part", line("first_line"), line("last_line"), F.md5(F.col("text").cast("binary")).alias("digest"), "fault")
 
 
 @query(f"""WITH {_BOOKS}, i AS (SELECT doc_id, regexp_extract_all(regexp_extract(text, '{_CONTENTS}', 1), '\\]\\(#([^)]+)\\)', 1) AS t, regexp_extract_all(text, '<a +id="([^"]+)"', 1) AS ids FROM b),

@@ -23,7 +23,7 @@ def test_flagship_and_rules(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["describe_by_flag", "pareto_front_part", "dbscan_supplier", "grep_places", "section_lengths", "keyword_cooccurrence", "forbidden_words", "source_discrepancies", "uncited_claims", "exam_faults", "bare_concepts", "paper_metadata", "verbatim_links", "source_stamp", "assembled_book", "number_tiers"])
+@pytest.mark.parametrize("name", ["describe_by_flag", "pareto_front_part", "dbscan_supplier", "grep_places", "section_lengths", "keyword_cooccurrence", "forbidden_words", "source_discrepancies", "uncited_claims", "exam_faults", "bare_concepts", "paper_metadata", "verbatim_links", "source_stamp", "assembled_book", "number_tiers", "front_ranks_part", "alias_mentions", "page_metadata", "raw_places", "number_places", "label_discrepancies", "radial_by_brand", "improvement_choice", "sampled_hypervolume", "evidence_cards", "book_parts"])
 def test_agrees_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
@@ -33,5 +33,5 @@ def test_agrees_with_sql(spark, name):
     got = entry.queries()[name](spark, DATA).toPandas()
     order = sorted(want.columns)
     assert sorted(got.columns) == order and len(got) == len(want)
-    show = lambda df: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[order].itertuples(index=False))
+    show = lambda df: sorted(tuple("null" if str(v) in ("nan", "<NA>", "None") else f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[order].itertuples(index=False))
     assert show(got) == show(want)
