@@ -62,9 +62,9 @@ def least_before(df: DataFrame, keys: list[str], order: list[str], column: str,
     """WIN7, NUM6: df with the least value of a column among the rows before of the same keys, null where there is none."""
     rows = ordered(df, [*keys, *order])
     key, value = F.struct(F.lit(0).alias("0_"), *keys), rows.schema[column]
-    last = rows.groupBy("range_").agg(F.min_by(key, "place_").alias("first"), F.max_by(key, "place_").alias("last"))
-    # Of each range the least value of its last key.
-    tail = rows.join(F.broadcast(last), "range_").filter(key.eqNullSafe(F.col("last"))).groupBy("range_").agg(F.min(column).alias("least"), F.first("first").alias("first"), F.first("last").alias("last"))
+    # Of each range its first key, and its last one with the least value of its rows.
+    own = rows.groupBy("range_", *keys).agg(F.min("place_").alias("from_"), F.max("place_").alias("to_"), F.min(column).alias("least_"))
+    tail = own.groupBy("range_").agg(F.min_by(key, "from_").alias("first"), F.max_by(key, "to_").alias("last"), F.max_by("least_", "to_").alias("least"))
     told, least, of = [], None, None
     for r in sorted(tail.collect(), key=lambda r: r.range_):
         told.append((r.range_, r.first, least if r.first == of else None))
