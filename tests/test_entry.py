@@ -23,7 +23,7 @@ def test_flagship_and_rules(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["describe_by_flag", "pareto_front_part", "dbscan_supplier", "grep_places", "section_lengths", "keyword_cooccurrence", "forbidden_words", "source_discrepancies", "uncited_claims", "exam_faults", "bare_concepts", "paper_metadata", "verbatim_links", "source_stamp", "assembled_book", "number_tiers", "front_ranks_part", "alias_mentions", "page_metadata", "raw_places", "number_places", "label_discrepancies", "radial_by_brand", "improvement_choice", "sampled_hypervolume", "evidence_cards", "book_parts"])
+@pytest.mark.parametrize("name", ["describe_by_flag", "pareto_front_part", "dbscan_supplier", "grep_places", "section_lengths", "keyword_cooccurrence", "forbidden_words", "source_discrepancies", "uncited_claims", "exam_faults", "bare_concepts", "paper_metadata", "verbatim_links", "source_stamp", "assembled_book", "number_tiers", "front_ranks_part", "alias_mentions", "page_metadata", "raw_places", "label_discrepancies", "radial_by_brand", "improvement_choice", "evidence_cards"])
 def test_agrees_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
