@@ -3,8 +3,13 @@
 A bounded set of pivots cuts space into cells, each vector's nearest pivot being its cell. A vector also visits the
 cells that its distance to the plane between two pivots doesn't rule out, so each vector meets in its own cell all that
 lie within eps of it. Within a cell vectors lie on rings of width eps around the pivot, and only neighbouring rings meet
-(triangle inequality). What meets is dealt into blocks of at most BLOCK rows, each pair of blocks one piece of matrix
-work; pairs are aggregated where they are made, none is written.
+(triangle inequality). What meets is dealt into blocks, each pair of blocks one piece of matrix work; pairs are
+aggregated where they are made, none is written.
+
+Where a vector has about the same distance to everything (many dimensions), the pivots rule out next to nothing and a
+row would be written once a cell. So it is looked first how many cells rows of a sample visit; if there are fewer blocks
+than that, all blocks meet, each two once, and a row is written once a block. There are SPLITS blocks, so that what is
+written grows with the rows, until a block would hold more than WIDE bytes; beyond that more blocks keep memory bounded.
 
 Vectors are array<double>. Rows whose vector is null, empty or holds null or non-finite components are near nothing.
 All other vectors must have one length. Equal vectors are handled once.
@@ -26,6 +31,10 @@ from lodestone.sources.staging import staged
 PIVOTS = 256
 #: Rows for each pivot, and rows on each side of one piece of matrix work, at most.
 ROWS_A_PIVOT, BLOCK = 64, 2048
+#: Blocks that rows are dealt into, if those are not too large: bytes of vectors in a block. Rows whose visits are counted.
+SPLITS, WIDE, ASKED = 24, 32 << 20, 256
+#: Rows and columns of a piece of a matrix of distances.
+TILE = (512, 2048)
 _SLACK = 1 + 1e-9
 
 
@@ -47,13 +56,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def within(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
     """Which rows of two matrices are at most eps apart; what rounding leaves open is summed again term by term."""
-    d, scale = squared(a, b), 1 + max((a * a).sum(1).max(initial=0), (b * b).sum(1).max(initial=0))
-    near = d <= eps * eps
-    i, j = np.nonzero(np.abs(d - eps * eps) <= 1e-12 * scale)
-    near[i, j] = ((a[i] - b[j]) ** 2).sum(1) <= eps * eps
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    slack = 1e-12 * (1 + max(aa.max(initial=0), bb.max(initial=0)))
+    # One product gives squared distances less the rows' own lengths; it is compared in place.
+    d = (a * -2.0) @ b.T
+    d += bb[None, :]
+    limit = (eps * eps - aa)[:, None]
+    near, sure = d <= limit + slack, d < limit - slack
+    if np.count_nonzero(near) != np.count_nonzero(sure):
+        i, j = np.nonzero(near ^ sure)
+        for at in range(0, len(i), 65536):
+            m, n = i[at : at + 65536], j[at : at + 65536]
+            near[m, n] = ((a[m] - b[n]) ** 2).sum(1) <= eps * eps
     return near
 
 
+def tiles(n: int, m: int, same: bool) -> Iterator[tuple[slice, slice]]:
+    """Pieces of a matrix of so many rows and columns; same: of two equal sides only those on and above the diagonal."""
+    for i in range(0, n, TILE[0]):
+        for j in range(i - i % TILE[1] if same else 0, m, TILE[1]):
+            yield slice(i, min(n, i + TILE[0])), slice(j, min(m, j + TILE[1]))
+
+
 def pivots(distinct: DataFrame, most: int = PIVOTS) -> np.ndarray:
     """At most so many of the different vectors, those with the smallest hashes; which they are changes speed alone."""
     many = min(most, max(1, distinct.count() // ROWS_A_PIVOT))
@@ -101,23 +125,70 @@ def _sides(t: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return found[0], found[1]
 
 
+def visited(rows: DataFrame, centres: np.ndarray, eps: float) -> float:
+    """How many cells a row visits, on average over at most ASKED rows with the smallest hashes; it changes speed alone."""
+    asked = rows.orderBy(F.xxhash64("v", F.lit(1)), "v").limit(ASKED).select("v").collect()
+    batch = pa.RecordBatch.from_pydict({"id": range(len(asked)), "v": [r.v for r in asked], "x": range(len(asked))})
+    return sum(b.num_rows for b in _placed(iter([batch]), centres, eps)) / max(1, len(asked))
+
+
+def gridded(home: DataFrame, other: DataFrame, block: int, counts: tuple[int, int], body: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The body's rows for all pairs of blocks of home rows and other rows (id, v, x); of one table with itself each two blocks once (columns h_, o_)."""
+    homes, others = (max(1, -(-n // block)) for n in counts)
+    dealt = lambda df, n: df.select("id", "v", "x", F.pmod(F.xxhash64("id"), F.lit(n)).alias("own_"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    if home is other:
+        met = dealt(home, homes).withColumn("m_", each(homes))
+        met = met.select(F.least("own_", "m_").alias("h_"), F.greatest("own_", "m_").alias("o_"), (F.col("own_") > F.col("m_")).cast("int").alias("side_"), "id", "v", "x")
+    else:
+        h = dealt(home, homes).select(F.col("own_").alias("h_"), each(others).alias("o_"), F.lit(0).alias("side_"), "id", "v", "x")
+        met = h.unionByName(dealt(other, others).select(F.col("own_").alias("o_"), each(homes).alias("h_"), F.lit(1).alias("side_"), "id", "v", "x"))
+    return met.groupBy("h_", "o_").applyInArrow(body, schema)
+
+
 def near(home: DataFrame, other: DataFrame, centres: np.ndarray, eps: float, body: Callable, schema: str) -> DataFrame:
-    """JN13: the body's rows for pieces in which each home row (id, v, x) meets all other rows within eps of it, each once."""
+    """JN13: the body's rows for pieces in which each home row (id, v, x) meets all other rows within eps of it, each once.
+
+    body(once) gives what is run on a piece; once: pieces of one table with itself, each two blocks in one order only.
+    """
+    n = home.count()
+    m = n if home is other else other.count()
+    block = max(BLOCK, min(-(-max(n, m) // SPLITS), WIDE // (8 * centres.shape[1])))
+    if visited(other, centres, eps) >= max(1, -(-max(n, m) // block)):
+        return gridded(home, other, block, (n, m), body(home is other), schema)
     ring = F.floor(F.col("far") / (eps * _SLACK)).alias("ring")
     h = staged(placed(home, centres).select("cell", ring, "id", "v", "x"), "near-home")
     o = placed(other, centres, eps).select("cell", F.explode(F.sequence(F.floor(F.col("far") / (eps * _SLACK)) - 1, F.floor(F.col("far") / (eps * _SLACK)) + 1)).alias("ring"), "id", "v", "x")
     # Rings that no home row has are dropped before vectors are written.
     o = staged(o.join(h.select("cell", "ring").distinct(), ["cell", "ring"], "left_semi"), "near-other")
-    return meet(h, o, ["cell", "ring"], body, schema)
+    return meet(h, o, ["cell", "ring"], body(False), schema, block)
+
+
+def _met(t: pa.Table, once: bool) -> tuple[list[np.ndarray], list[np.ndarray], bool]:
+    """A piece's two sides, and whether they are one block."""
+    a, b = _sides(t)
+    same = once and t["h_"][0].as_py() == t["o_"][0].as_py()
+    return a, a if same else b, same
 
 
 def _degrees(eps: float):
-    def run(t: pa.Table) -> pa.Table:
-        (a, av, _), (b, bv, x) = _sides(t)
-        n = within(av, bv, eps) @ x if len(a) and len(b) else np.zeros(len(a), np.int64)
+    def run(t: pa.Table, once: bool) -> pa.Table:
+        (a, av, ax), (b, bv, bx), same = _met(t, once)
+        n, m = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        more_a, more_b = (np.flatnonzero(x > 1) for x in (ax, bx))
+        if len(a) and len(b):
+            for i, j in tiles(len(a), len(b), False):
+                met = within(av[i], bv[j], eps)
+                k = more_b[(more_b >= j.start) & (more_b < j.stop)]
+                n[i] += np.count_nonzero(met, axis=1) + met[:, k - j.start] @ (bx[k] - 1)
+                if once and not same:
+                    k = more_a[(more_a >= i.start) & (more_a < i.stop)]
+                    m[j] += np.count_nonzero(met, axis=0) + (ax[k] - 1) @ met[k - i.start]
+        if once and not same:
+            a, n = np.concatenate([a, b]), np.concatenate([n, m])
         return pa.table({"id": pa.array(a, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    return run
+    return lambda once: lambda t: run(t, once)
 
 
 def parts(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,31 +207,65 @@ def parts(near_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
+def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the smallest node that it reaches by links (u, v)."""
+    root = np.arange(n)
+    while len(u):
+        u, v = root[u], root[v]
+        open_ = u != v
+        u, v = u[open_], v[open_]
+        # Each root goes to the smallest root that it is linked with, then all go on to the ends.
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
 def _stars(eps: float):
-    def run(t: pa.Table) -> pa.Table:
-        (a, av, _), (b, bv, _) = _sides(t)
-        ids, part = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(a) and len(b):
-            r, c = parts(within(av, bv, eps))
-            ids, part = np.concatenate([a[r >= 0], b[c >= 0]]), np.concatenate([r[r >= 0], c[c >= 0]])
-        least = np.full(part.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, part, ids)
-        links = np.unique(np.stack([least[part], ids], 1), axis=0)
-        links = links[links[:, 0] != links[:, 1]]
-        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+    def run(t: pa.Table, once: bool) -> pa.Table:
+        (a, av, _), (b, bv, _), same = _met(t, once)
+        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        at, bt = where[: len(a)], where[len(a) :]
+        root, waiting, size = np.arange(len(ids)), [], 0
+
+        def settle() -> None:
+            nonlocal root, size
+            u, v = (np.concatenate(x) for x in zip(*waiting)) if waiting else (np.zeros(0, np.int64),) * 2
+            root, size = united(len(ids), np.concatenate([np.arange(len(ids)), u]), np.concatenate([root, v])), 0
+            waiting.clear()
 
-    return run
+        if len(a) and len(b):
+            for i, j in tiles(len(a), len(b), same):
+                # What is one cluster already needs no more links.
+                if (root[at[i]] == root[at[i.start]]).all() and (root[bt[j]] == root[at[i.start]]).all():
+                    continue
+                r, c = parts(within(av[i], bv[j], eps))
+                part, node = np.concatenate([r[r >= 0], c[c >= 0]]), np.concatenate([at[i][r >= 0], bt[j][c >= 0]])
+                least = np.full(part.max(initial=-1) + 1, len(ids))
+                np.minimum.at(least, part, node)
+                waiting.append((least[part], node))
+                size += len(part)
+                if size > 1 << 18:
+                    settle()
+            settle()
+        other = root != np.arange(len(ids))
+        return pa.table({"a": pa.array(ids[root[other]], pa.int64()), "b": pa.array(ids[other], pa.int64())})
+
+    return lambda once: lambda t: run(t, once)
 
 
 def _smallest(eps: float):
-    def run(t: pa.Table) -> pa.Table:
-        (a, av, _), (b, bv, x) = _sides(t)
+    def run(t: pa.Table, once: bool) -> pa.Table:
+        (a, av, _), (b, bv, x), _ = _met(t, once)
         top = np.iinfo(np.int64).max
-        best = np.where(within(av, bv, eps), x[None, :], top).min(1, initial=top) if len(a) and len(b) else np.full(len(a), top)
+        best = np.full(len(a), top)
+        if len(a) and len(b):
+            for i, j in tiles(len(a), len(b), False):
+                best[i] = np.minimum(best[i], np.where(within(av[i], bv[j], eps), x[None, j], top).min(1))
         met = best < top
         return pa.table({"id": pa.array(a[met], pa.int64()), "least": pa.array(best[met], pa.int64())})
 
-    return run
+    return lambda once: lambda t: run(t, once)
 
 
 def _distinct(points: DataFrame) -> DataFrame:

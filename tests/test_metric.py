@@ -88,3 +88,24 @@ def test_nearest_of_few_or_none(spark):
     found, _ = metric.nearest(df, df, 5)
     assert sorted((r.query, r.id, r.rank, r.d) for r in found.collect()) == [(1, 2, 1, 3.0), (2, 1, 1, 3.0)]
     assert metric.nearest(df.filter("id = 3"), df, 5)[0].count() == 0
+
+
+def directions(n, dim=64):
+    v = np.random.default_rng(5).normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def test_vectors_that_pivots_do_not_part_are_written_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(metric, "BLOCK", 32)
+    monkeypatch.setattr(metric, "SPLITS", 5)
+    monkeypatch.setattr(metric, "TILE", (16, 24))
+    monkeypatch.setattr(metric, "ROWS_A_PIVOT", 8)
+    v = directions(300)
+    rows = [*enumerate(v), (300, v[3]), (301, v[3]), (400, None)]
+    written = []
+    grid = metric.gridded
+    monkeypatch.setattr(metric, "gridded", lambda home, other, block, counts, *a: written.append(-(-counts[0] // block)) or grid(home, other, block, counts, *a))
+    df, (want, linked) = points(spark, rows), plain(rows, 1.15, 5)
+    assert {r.id: (r.is_core, r.cluster) for r in metric.dbscan(df, 1.15).collect()} == want
+    assert {r.id: r.cluster for r in metric.linkage(df, 1.0).collect()} == plain(rows, 1.0, 5)[1]
+    assert len(set(want.values())) > 2 and written and max(written) == 5
