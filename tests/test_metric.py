@@ -109,3 +109,16 @@ def test_vectors_that_pivots_do_not_part_are_written_once_a_block(spark, monkeyp
     assert {r.id: (r.is_core, r.cluster) for r in metric.dbscan(df, 1.15).collect()} == want
     assert {r.id: r.cluster for r in metric.linkage(df, 1.0).collect()} == plain(rows, 1.0, 5)[1]
     assert len(set(want.values())) > 2 and written and max(written) == 5
+
+
+def test_links_are_united():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (50, 20), (50, 60), (400, 390)):
+        u, v = rng.integers(0, n, (2, m))
+        want = np.arange(n)
+        for _ in range(n):
+            for i, j in zip(u, v):
+                want[i] = want[j] = min(want[i], want[j])
+        assert (metric.united(n, u, v) == want).all()
+    chain = np.arange(999)
+    assert (metric.united(1000, chain + 1, chain) == 0).all()
