@@ -102,7 +102,7 @@ _CLAIM_LISTS = ", ".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), l
 def paper_claims(spark, d):
     """STR7, STR8, CMP2: the different numeric claims of each text, forty at most, and the first of them."""
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.concat(F.expr(STATED), F.col("text")).alias("text"))
-    return docs.select("doc_id", text.claims("text").alias("c")).select("doc_id", F.size("c").cast("long").alias("n_claims"), F.get("c", F.lit(0)).alias("first_claim"))
+    return text.claimed(docs, "text").select("doc_id", F.size("claims").cast("long").alias("n_claims"), F.get("claims", F.lit(0)).alias("first_claim"))
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?i)<meta[^>]*charset="([^"]*)"', 1) AS charset, len(regexp_extract_all(html, '(?is)<div[^>]*class="ad"[^>]*>.*?</div>')) AS ads, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1), '(?s)<[^>]+>', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS footer FROM pages""")
