@@ -72,6 +72,13 @@ def test_wrong_sums(spark):
     assert sorted((r.key, r.said) for r in audit.wrong_sums(frame(spark, rows), "key", "text").collect()) == [("a", "1 + 2 = 4"), ("b", "1/4 ≈ 30%"), ("c", "1000^(1/2) ≈ 31.00")]
 
 
+def test_a_text_is_read_once_for_each_form_of_sum(spark):
+    out = audit.wrong_sums(frame(spark, [("a", "1 + 2 = 4, 1234567 + 1.5 = 3 and 12/6450%")]), "key", "text")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 3
+    assert sorted((r.form, r.said, r.real) for r in out.collect()) == [("share", "12/6450%", 100 * 12 / 645), ("sum", "1 + 2 = 4", 3.0), ("sum", "234567 + 1.5 = 3", 234568.5)]
+
+
+
 def test_assembled_book(spark):
     got = reports.assembled(frame(spark, [("1", "# A\ntext\n```\n# no\n```\n## B b")]), "key", "text").collect()[0]
     assert got.text == '## Contents\n\n- [A](#a1-1)\n- [B b](#a1-2)\n\n<a id="a1-1"></a>\n## A\ntext\n```\n# no\n```\n<a id="a1-2"></a>\n### B b'
