@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ranges import ordered
+
 TINY = 1e-12
 
 
@@ -21,13 +25,37 @@ def weighted_std(df: DataFrame, keys: list[str], v: str, w: str) -> DataFrame:
     return joined.groupBy(*keys).agg(F.first("mean").alias("mean"), F.sqrt(F.sum(F.col(w) * F.pow(F.col(v) - F.col("mean"), 2)) / F.sum(w)).alias("std"))
 
 
+def quantiles(df: DataFrame, keys: list[str], v: str, shares: dict[str, float]) -> DataFrame:
+    """AGG5: (keys, a column for each share): exact points, between two values in proportion, nulls left out.
+
+    Different values are counted, put in order over ranges, and found by the counts before them: no group is in one task.
+    """
+    of = F.struct(F.lit(0).alias("0_"), *keys).alias("key_")
+    rows = ordered(df.filter(F.col(v).isNotNull()).groupBy(of, F.col(v).alias("v_")).agg(F.count("*").alias("n_")), ["key_", "v_"])
+    # Of each key one row a range.
+    own = rows.groupBy("key_", "range_").agg(F.sum("n_").alias("n_"))
+    w = Window.partitionBy("key_")
+    told = own.select("key_", "range_", (F.sum("n_").over(w.orderBy("range_")) - F.col("n_")).alias("before_"), F.sum("n_").over(w).alias("all_"))
+    upto = F.sum("n_").over(Window.partitionBy("range_", "key_").orderBy("place_"))
+    met = rows.withColumn("upto_", upto).join(told, ["key_", "range_"]).withColumn("to_", F.col("before_") + F.col("upto_")).withColumn("from_", F.col("to_") - F.col("n_"))
+    found, parts = [], []
+    for name, share in shares.items():
+        at = (F.col("all_") - 1) * F.lit(share)
+        for end, place in (("low", F.floor(at)), ("high", F.ceil(at))):
+            found.append(F.max(F.when((F.col("from_") <= place) & (place < F.col("to_")), F.col("v_").cast("double"))).alias(f"{end}_{name}"))
+        found.append(F.max(at - F.floor(at)).alias(f"part_{name}"))
+        low, high, part = (F.col(f"{x}_{name}") for x in ("low", "high", "part"))
+        parts.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))
+    return met.groupBy("key_").agg(*found).select(*[F.col(f"key_.{k}").alias(k) for k in keys], *parts)
+
+
 def describe(df: DataFrame, keys: list[str], v: str) -> DataFrame:
     """AGG4: count, mean, population deviation, extremes, relative deviation in percent, exact 5 % and 95 % points."""
     c = F.col(v)
-    out = df.groupBy(*keys).agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"), F.percentile(c, F.lit(0.05)).alias("p05"), F.percentile(c, F.lit(0.95)).alias("p95"),
-    )
-    return out.withColumn("rsd", F.when(F.abs("mean") > TINY, 100 * F.col("std") / F.abs("mean")))
+    out = df.groupBy(*keys).agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("low"), F.max(c).alias("high"))
+    points = quantiles(df, keys, v, {"p05": 0.05, "p95": 0.95}).withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.lit(True))
+    return out.join(points, same, "left").drop(*[f"{k}_" for k in keys]).withColumn("rsd", F.when(F.abs("mean") > TINY, 100 * F.col("std") / F.abs("mean")))
 
 
 def deviation_band(df: DataFrame, keys: list[str], v: str, k: float = 2.0) -> DataFrame:
