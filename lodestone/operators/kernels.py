@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.models import expected_improvement
-from lodestone.operators.metric import squared, usable
+from lodestone.operators.metric import _matrix, squared, usable
 from lodestone.sources.staging import staged
 
-#: Rows of a block; a pair of blocks is one piece of matrix work.
-BLOCK = 1024
+#: Rows of a block at least, and of a piece of its matrix; blocks of the largest label, if none holds more than WIDE bytes of vectors.
+#: So each row is written a fixed number of times, until the bound on memory asks for more blocks.
+BLOCK, SPLITS, WIDE = 1024, 6, 32 << 20
 #: Counting goes on in so many shares of the range that the median lies in, until it is so narrow relative to the largest distance.
 SHARES, NARROW = 4096, 1e-15
 
@@ -28,11 +29,12 @@ class Sets:
     """
 
     def __init__(self, rows: DataFrame, target: int, block: int | None = None):
-        block = block or BLOCK
         self.spark, self.target = rows.sparkSession, target
         good = rows.select(F.col("label").cast("long").alias("label"), "v").filter(usable(F.col("v")) & F.col("label").isNotNull())
-        sizes = good.groupBy("label").agg(F.count("*").alias("n"))
-        many = sizes.withColumn("blocks", F.ceil(F.col("n") / block))
+        sizes = staged(good.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")), "kernel-counts")
+        top = sizes.agg(F.max("n").alias("n"), F.max("dim").alias("dim")).first()
+        block = block or max(BLOCK, min(-(-(top.n or 0) // SPLITS), WIDE // (8 * (top.dim or 1))))
+        many = sizes.select("label", "n", F.ceil(F.col("n") / block).alias("blocks"))
         self.dealt = staged(good.join(many.select("label", "blocks"), "label").withColumn("block", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), "blocks")).select("label", "block", "v"), "kernel-blocks")
         self.many = staged(many, "kernel-sizes")
         self.n = {r.label: r.n for r in self.many.collect()}
@@ -67,7 +69,7 @@ class Sets:
 
         def run(t: pa.Table) -> pa.Table:
             f, p, i, q, j = (t[c][0].as_py() for c in keys)
-            side, v, same = t["side"].to_numpy(), np.array(t["v"].to_pylist(), float), p == q and i == j
+            side, v, same = t["side"].to_numpy(), _matrix(t["v"]), p == q and i == j
             a = v[side == 0]
             b = a if same else v[side == 1]
             found = body(f, p, q, same, a, b, shared.value[f]) if len(a) and len(b) else [[] for _ in names]
@@ -76,15 +78,18 @@ class Sets:
         return left.unionByName(right).groupBy(*keys).applyInArrow(run, schema)
 
 
-def _squared(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
-    d = squared(a, b)
-    if same:
-        np.fill_diagonal(d, 0)
-    return d
+def _squared(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[np.ndarray]:
+    """All squared distances of two blocks, in pieces of at most BLOCK rows and columns."""
+    for i in range(0, len(a), BLOCK):
+        for j in range(0, len(b), BLOCK):
+            d = squared(a[i : i + BLOCK], b[j : j + BLOCK])
+            if same and i == j:
+                np.fill_diagonal(d, 0)
+            yield d
 
 
 def _kernel_sum(for_, p, q, same: bool, a: np.ndarray, b: np.ndarray, sigma: float) -> list:
-    total = np.exp(-_squared(a, b, same) / (2 * sigma**2)).sum()
+    total = sum(np.exp(d / (-2 * sigma**2)).sum() for d in _squared(a, b, same))
     # A pair of different blocks of one label stands for both orders.
     return [[for_], [p], [q], [float(total if same or p != q else 2 * total)]]
 
@@ -115,12 +120,13 @@ def discrepancies(rows: DataFrame, target: int, sigma: float, block: int | None
 
 def _counts(for_, p, q, same: bool, a: np.ndarray, b: np.ndarray, told: list[tuple[float, float]]) -> list:
     """For each range how many of the pairs' squared distances lie below it (-1), in each share of it and beyond it (SHARES)."""
-    d, out = _squared(a, b, same).ravel(), []
-    for k, (low, high) in enumerate(told):
-        share = np.clip(np.floor((d - low) / (high - low) * SHARES), -1, SHARES).astype(np.int64)
-        found, n = np.unique(share, return_counts=True)
-        out.append(np.stack([np.full(len(found), for_), np.full(len(found), k), found, n if same else 2 * n]))
-    return list(np.concatenate(out, 1))
+    n = np.zeros((len(told), SHARES + 2), np.int64)
+    for d in _squared(a, b, same):
+        for k, (low, high) in enumerate(told):
+            share = np.clip(np.floor((d.ravel() - low) / (high - low) * SHARES), -1, SHARES).astype(np.int64)
+            n[k] += np.bincount(share + 1, minlength=SHARES + 2)
+    k, share = np.nonzero(n)
+    return [np.full(len(k), for_), k, share - 1, n[k, share] if same else 2 * n[k, share]]
 
 
 def median_widths(sets: Sets) -> dict[int, float]:

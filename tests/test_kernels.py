@@ -43,3 +43,14 @@ def test_equal_rows_and_missing_sets(spark):
     assert [tuple(r) for r in kernels.median_discrepancies(same, 0).collect()] == [(1, 1.0, 0.0)]
     for df in (same.filter("label = 1"), same.filter("label = 0"), same.limit(0)):
         assert kernels.median_discrepancies(df, 0).count() == kernels.discrepancies(df, 0, 1.0).count() == 0
+
+
+def test_a_row_is_written_a_fixed_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BLOCK", 8)
+    rows = [(k % 3, [float(x) for x in np.random.default_rng(k).normal(size=3)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "label long, v array<double>")
+    sets = kernels.Sets(df, 0)
+    assert {r.blocks for r in sets.many.collect()} == {kernels.SPLITS}
+    small = {r.label: (r.sigma, r.mmd2) for r in kernels.median_discrepancies(df, 0, 50).collect()}
+    for r in kernels.median_discrepancies(df, 0).collect():
+        assert abs(r.sigma - small[r.label][0]) < 1e-9 and abs(r.mmd2 - small[r.label][1]) < 1e-9
