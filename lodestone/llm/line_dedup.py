@@ -16,8 +16,9 @@ pass the length and positional filters and the parities' bound, and what is left
 
 Copies of a line aren't paired with each other: first each class is compared with two others, the earliest of
 those that share its two rarest tokens and of those that share its tokens of least and greatest hash. In groups that
-stay large though split, ROUNDS rounds more compare each class left with the earliest of its groups' earliest ones.
-Classes found to match an earlier one are settled, and settled classes needn't be compared with each other.
+stay large though split, ROUNDS rounds more compare each class left with the closest of its groups' hubs, HUBS early ones.
+Classes found to match an earlier one are settled, and settled classes needn't be compared with each other. What is
+left is compared with its closest earlier candidate first, by parities; only classes that don't match that one meet the rest.
 
 Null and empty texts have one line without tokens, and stay. Of repeated rows the first is treated as any
 document; the others lose all lines with tokens. Other columns pass through.
@@ -40,10 +41,11 @@ BUCKETS = 1 << _BITS
 _HASH_BITS = 57
 #: Places of candidate lines and keys of large groups are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS.
+#: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS and HUBS.
 LARGE = 256
 PART = 16
 ROUNDS = 2
+HUBS = 8
 PASSES = 2
 _ID = ["doc_id", "key"]
 _PLACE = [*_ID, "line_no"]
@@ -164,10 +166,13 @@ def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -
     return rows.join(crowded, "g", "left_anti").select(*_ENTRY).unionByName(both if still is None else both.join(still, "g", "left_anti"))
 
 
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    """What is shuffled of a row: its group, its class, parities, and in one number whether it is settled and may be the smaller, size and place."""
+def _side(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    """What is shuffled of a row: its group, its class, parities, and in one number whether it is settled and may be the smaller, size and place.
+
+    more: the class's place as well, as at.
+    """
     size = F.shiftleft(F.col("settled").cast("long"), 61).bitwiseOR(F.shiftleft(F.col("few").cast("long"), 60)).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 30)).bitwiseOR(F.col("at").cast("long"))
-    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"), F.col("q").alias(f"q_{side}"))
+    return rows.select("g", F.col("k1").alias(f"k_{side}"), size.alias(f"s_{side}"), F.col("p").alias(f"p_{side}"), F.col("q").alias(f"q_{side}"), *[F.col(c).alias(f"at_{side}") for c in more])
 
 
 def _possible(smaller: bool) -> Column:
@@ -185,9 +190,24 @@ def _possible(smaller: bool) -> Column:
     return order & near & alike & enough
 
 
-def pairs(some: DataFrame, every: DataFrame) -> DataFrame:
-    """Pairs (k_a, k_b) with n_a <= n_b of rows of one group, one of each side, that pass the filters."""
-    return _side(some, "a").join(_side(every, "b"), "g").filter(_possible(True)).select("k_a", "k_b")
+def _gap() -> Column:
+    """How close a pair of _side rows may be by their parities, less what a match allows: the closest pairs have the least."""
+    up, down = THRESHOLD
+    n_a, n_b = (F.shiftright(f"s_{x}", 30).bitwiseAND(F.lit((1 << 30) - 1)) for x in "ab")
+    return (_apart("p_a", "q_a", "p_b", "q_b") * (up + down) - (n_a + n_b) * (down - up)).cast("int").alias("gap")
+
+
+def pairs(some: DataFrame, every: DataFrame, after: str | None = None) -> DataFrame:
+    """Pairs (k_a, k_b, gap) with n_a <= n_b of rows of one group, one of each side, that pass the filters.
+
+    after: the side, a or b, whose place comes after the other's; rows have their place then.
+    """
+    if after is None:
+        both = _side(some, "a").join(_side(every, "b"), "g").filter(_possible(True))
+    else:
+        order = F.col("at_a") > F.col("at_b") if after == "a" else F.col("at_b") > F.col("at_a")
+        both = _side(some, "a", "place").join(_side(every, "b", "place"), "g").filter(order & _possible(True))
+    return both.select("k_a", "k_b", _gap())
 
 
 def _hint(df: DataFrame):
@@ -217,23 +237,25 @@ class Words:
 
 
 def verified(words: Words, found: DataFrame, settled: DataFrame) -> DataFrame:
-    """Of candidate pairs (k_a, k_b) the later classes, settled ones aside, of those that match.
+    """Of candidate pairs (k_a, k_b, gap) the later classes, settled ones aside, of those that match.
 
-    Each class is compared with its earliest candidate first; only where that doesn't match with the others
-    that come before it.
+    Each class is compared with the closest candidate before it first; only where that doesn't match with the
+    others before it. Near copies of one line all match a close one, so it is few that meet the others.
     """
     places = words.first.select("k1", F.struct(*_PLACE).alias("place"))
     a, b = (places.withColumnsRenamed({"k1": f"k_{x}", "place": f"at_{x}"}) for x in "ab")
     ends = found.distinct().join(a, "k_a").join(b, "k_b")
     pick = lambda x, y: F.when(F.col("at_a") < F.col("at_b"), F.col(x)).otherwise(F.col(y))
-    edges = ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e"))
+    edges = ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e"), "gap")
     edges = edges.join(_hint(settled)(settled.withColumnRenamed("k1", "k")), "k", "left_anti")
     edges = staged(edges, "line-candidates")
-    least = edges.groupBy("k").agg(F.min(F.struct("at", "e")).alias("least")).select("k", "least.e")
+    least = edges.groupBy("k").agg(F.min(F.struct("gap", "at", "e")).alias("least")).select("k", "least.e")
+    least = staged(least, "line-closest")
     done = words.same(least)
-    rest = edges.join(done.withColumnRenamed("k1", "k"), "k", "left_anti").join(least, ["k", "e"], "left_anti")
-    more = words.same(rest.select("k", "e"))
-    unstage(edges)
+    rest = staged(edges.join(_hint(done)(done.withColumnRenamed("k1", "k")), "k", "left_anti").join(least, ["k", "e"], "left_anti").select("k", "e"), "line-rest")
+    unstage(edges, least)
+    more = words.same(rest)
+    unstage(rest)
     return done.unionByName(more).distinct()
 
 
@@ -249,14 +271,16 @@ def _large(rows: DataFrame, large: int, part: int) -> DataFrame | None:
 def _thinned(words: Words, crowd: DataFrame, rounds: int, settled: DataFrame) -> DataFrame:
     """The settled classes (k1) and those that match an earlier one, found by comparing each with one class a round.
 
-    crowd: entries of large groups with place, the class's place. A group's first class is its hub; of the hubs
-    of a class that pass the filters the earliest is compared with it. Settled classes are no hubs later on.
+    crowd: entries of large groups with place, the class's place. A group's classes are dealt to HUBS shares, and each
+    share's first class is a hub; of the hubs before a class that pass the filters the closest is compared with it.
+    Settled classes are no hubs later on.
     """
-    for _ in range(rounds):
+    for k in range(rounds):
         left = crowd.join(_hint(settled)(settled), "k1", "left_anti")
-        hubs = left.groupBy("g").agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "q", "settled", "place"), "place").alias("hub")).select("g", "hub.*")
-        met = _side(left, "a").join(_side(hubs, "b").join(hubs.select("g", "place"), "g"), "g").filter(_possible(False))
-        best = met.groupBy(F.col("k_a").alias("k")).agg(F.min(F.struct("place", F.col("k_b").alias("e"))).alias("hub"))
+        share = F.pmod(F.xxhash64(F.lit(k), "k1"), F.lit(HUBS))
+        hubs = left.groupBy("g", share.alias("share")).agg(F.min_by(F.struct("k1", "n", "at", "few", "p", "q", "settled", "place"), "place").alias("hub")).select("g", "hub.*")
+        met = _side(left, "a", "place").join(_side(hubs, "b", "place"), "g").filter((F.col("at_a") > F.col("at_b")) & _possible(False))
+        best = met.groupBy(F.col("k_a").alias("k")).agg(F.min(F.struct(_gap(), F.col("at_b"), F.col("k_b").alias("e"))).alias("hub"))
         edges = staged(best.select("k", "hub.e"), "line-hubs")
         found = words.same(edges)
         settled = staged(settled.unionByName(found), "line-settled")
@@ -300,8 +324,8 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
         out.append(staged(pairs(cold, cold).distinct(), "line-pairs"))
     if hot is not None:
         left = hot.join(_hint(settled)(settled), "k1", "left_anti")
-        # An unsettled class may be the smaller of a pair or the larger.
-        out.append(staged(pairs(left, hot).unionByName(pairs(hot, left)).distinct(), "line-pairs"))
+        # An unsettled class may be the smaller of a pair or the larger; the other one comes before it.
+        out.append(staged(pairs(left, hot, "a").unionByName(pairs(hot, left, "b")).distinct(), "line-pairs"))
         unstage(hot)
     more = verified(words, reduce(DataFrame.unionByName, out), settled)
     unstage(*out, first)

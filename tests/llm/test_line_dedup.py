@@ -65,3 +65,22 @@ def test_clean(spark, tmp_path):
 def test_empty(spark, tmp_path):
     write(spark, tmp_path, [])
     assert ld.op5_line_dedup(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_meet_few_others(spark, tmp_path, monkeypatch):
+    """Of a large group of near copies of one line most match a close one; their pairs with the others aren't written."""
+    rnd, staged, written = random.Random(5), ld.staged, {}
+    line = [f"w{k}" for k in range(50)]
+    docs = [(i, " ".join(f"new{i}x{k}" if k in gone else w for k, w in enumerate(line))) for i in range(400) for gone in [set(rnd.sample(range(50), rnd.randrange(1, 7)))]]
+
+    def counted(df, name, keep=False):
+        out = staged(df, name, keep)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ld, "staged", counted)
+    monkeypatch.setattr(ld.later, "__defaults__", (16, 2))
+    write(spark, tmp_path, docs)
+    assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
+    # All pairs are 79 800.
+    assert written["line-candidates"] < 20 * len(docs)
