@@ -61,6 +61,11 @@ def _got(state: dict[str, np.ndarray]) -> Kriging | Radial | CoKriging:
     return model
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Inputs, all usable and of one length, as rows."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
 def designs(rows: DataFrame, limit: int = DESIGN) -> DataFrame:
     """(group, level, x, y): of (group, level, x array<double>, y) the inputs that teach; level tells the fidelity, 0 the finest."""
     good = rows.filter(usable(F.col("x")) & usable(F.array("y")) & F.col("group").isNotNull())
@@ -110,7 +115,7 @@ def predict(states: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame
         if not len(t) or not len(s):
             return pa.table({n: pa.array([], k) for n, k in zip(("group", "id", "y", "mean", "sd", "ei"), (pa.string(), pa.int64(), *[pa.float64()] * 4), strict=True)})
         model = _got({k: np.array(v, float) for k, v in s["state"][0].as_py()})
-        mean, sd = model.predict(np.array(t["x"].to_pylist(), float))
+        mean, sd = model.predict(_matrix(t["x"]))
         ei = expected_improvement(mean, sd, s["best"][0].as_py())
         return pa.table({"group": t["group"], "id": t["id"], "y": t["y"], "mean": pa.array(mean), "sd": pa.array(sd), "ei": pa.array(ei)})
 
