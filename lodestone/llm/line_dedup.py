@@ -141,21 +141,21 @@ def entries(first: DataFrame) -> DataFrame:
     up, down = THRESHOLD
     some = first.filter(F.col("n") >= up).withColumn("reach", F.col("n") - _least(F.col("n")) + 1)
     some = some.withColumn("short", (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int"))
-    rows = some.select("k1", "n", "p", "q", "settled", "reach", "short", "prefix", F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
-    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "q", "settled", "reach", "short", "prefix")
+    rows = some.select("k1", "n", "p", "q", "settled", "reach", "short", "prefix", F.struct(*_PLACE).alias("place"), F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "q", "settled", "reach", "short", "prefix", "place")
 
 
 _ENTRY = ["g", "k1", "n", "at", "few", "p", "q", "settled"]
 
 
-def _paired(rows: DataFrame, large: DataFrame) -> DataFrame:
+def _paired(rows: DataFrame, large: DataFrame, *more: str) -> DataFrame:
     """Entries of large groups entered under pairs instead: g of both tokens, the second's place less one.
 
-    The second token is a later one of the prefix, or the next after it.
+    The second token is a later one of the prefix, or the next after it. more: columns of rows that go along.
     """
     met = rows.join(large, "g", "left_semi").withColumn("rest", F.expr("slice(prefix, at + 2, reach - at)"))
     both = F.transform("rest", lambda t, i: F.struct(F.xxhash64("g", t).alias("g"), (F.col("at") + i).alias("at"), (F.col("few") & (F.col("at") + i < F.col("short"))).alias("few")))
-    return met.select("k1", "n", "p", "q", "settled", F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "q", "settled")
+    return met.select("k1", "n", "p", "q", "settled", *more, F.explode(both).alias("e")).select("e.g", "k1", "n", "e.at", "e.few", "p", "q", "settled", *more)
 
 
 def _cold(rows: DataFrame, crowded: DataFrame | None, still: DataFrame | None) -> DataFrame:
@@ -314,8 +314,7 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     if crowded is not None:
         still = _large(_paired(rows, crowded), large, part)
     if still is not None:
-        places = first.select("k1", F.struct(*_PLACE).alias("place"))
-        hot = staged(_paired(rows, crowded).join(still, "g").join(places, "k1"), "line-crowd")
+        hot = staged(_paired(rows, crowded, "place").join(still, "g"), "line-crowd")
         settled = _thinned(words, hot, rounds, settled)
     out = []
     # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
