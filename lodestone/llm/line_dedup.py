@@ -14,11 +14,11 @@ avoid. Where over LARGE classes share a token, they are entered under pairs of t
 their prefix, which is longer by one then: matching classes share a second token there too. Pairs of classes
 pass the length and positional filters and the parities' bound, and what is left is verified on whole lines.
 
-Copies of a line aren't paired with each other: first each class is compared with two others, the earliest of
-those that share its two rarest tokens and of those that share its tokens of least and greatest hash. In groups that
-stay large though split, ROUNDS rounds more compare each class left with the closest of its groups' hubs, HUBS early ones.
-Classes found to match an earlier one are settled, and settled classes needn't be compared with each other. What is
-left is compared with its closest earlier candidate first, by parities; only classes that don't match that one meet the rest.
+Copies of a line aren't paired with each other. In groups that stay large though split, each class is first compared
+with two others of such groups, the earliest of those that share its two rarest tokens and of those that share its
+tokens of least and greatest hash; ROUNDS rounds more compare each class left with the closest of its groups' hubs,
+HUBS early ones. Classes found to match an earlier one are settled, and settled classes needn't be compared with each
+other; where no group is large there are none. A token that no other line has is entered nowhere. What is left is compared with its closest earlier candidate first, by parities; only classes that don't match that one meet the rest.
 
 Null and empty texts have one line without tokens, and stay. Of repeated rows the first is treated as any
 document; the others lose all lines with tokens. Other columns pass through.
@@ -37,8 +37,12 @@ from lodestone.llm.common import staged, table, tidy, unstage, whole
 THRESHOLD = (4, 5)
 _BITS, _LOW = 22, 11
 BUCKETS = 1 << _BITS
+#: Lines of more tokens have parities of two halves of them; 64 bits tell fewer apart well enough.
+WIDE = 64
 #: A token's number has its bucket's class above so many bits of its hash.
 _HASH_BITS = 57
+#: The class of buckets that one line's token fell into: no other line has it.
+_ALONE = 2
 #: Places of candidate lines and keys of large groups are broadcast while they are at most so many, else joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Groups of more classes are split or thinned before they are paired; results don't depend on it, nor on ROUNDS and HUBS.
@@ -64,8 +68,8 @@ def hashed(documents: DataFrame) -> DataFrame:
     """One row per line: doc_id, key, line_no and h, the hashes of its tokens."""
     text = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\f\r", F.coalesce("text", F.lit("")))
     rows = documents.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
-    words = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))  # noqa: PLW0108
-    return rows.select(*_PLACE, F.array_remove(words, F.xxhash64(F.lit(""))).alias("h"))
+    words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))  # noqa: PLW0108
+    return rows.select(*_PLACE, F.array_except(words, F.array(F.xxhash64(F.lit("")))).alias("h"))
 
 
 def _bucket(h: Column) -> Column:
@@ -86,8 +90,7 @@ def _ordered(h: Column, levels: Column) -> Column:
     """The tokens as numbers, one for each token's hash, rare ones first."""
 
     def number(h: Column, r: Column) -> Column:
-        level = F.coalesce(F.get(r, _bucket(h)).cast("long"), F.lit(0).cast("long"))
-        return F.shiftleft(level, _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        return F.shiftleft(F.get(r, F.shiftrightunsigned(h, 64 - _BITS)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
     return F.sort_array(F.transform(F.array(levels), lambda r: F.transform(h, lambda x: number(x, r)))[0])
 
@@ -103,45 +106,64 @@ def classes(documents: DataFrame) -> DataFrame:
     and ends, what names its tokens of least and greatest hash.
 
     Bit i of a parity tells whether an odd number of tokens falls on it: as many bits as differ between two
-    lines, so many tokens at least are in one of them alone.
+    lines, so many tokens at least are in one of them alone. q is of half the tokens, and only of lines of more than
+    WIDE; p less q is the other half's.
     """
     found = staged(hashed(documents), "line-hashes")
     levels = staged(rarity(found), "line-rarity")
     ends = F.xxhash64(F.array_min("h"), F.array_max("h")).alias("ends")
     rows = found.withColumn("levels", levels.scalar()).select(*_PLACE, ends, _ordered(F.col("h"), F.col("levels")).alias("all"))
-    rows = rows.select(*_PLACE, "ends", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity(0).alias("p"), _parity(1).alias("q"))
+    rows = rows.select(*_PLACE, "ends", F.xxhash64("all").alias("k1"), F.xxhash64(F.lit(1), "all").alias("k2"), F.size("all").alias("n"), "all", _parity().alias("p"), _odd_parity().alias("q"))
     out = staged(rows.select(*_PLACE, "k1", "k2", "n", "p", "q", "ends", F.slice("all", F.lit(1), F.when(F.col("n") > 0, F.col("n") - _least(F.col("n")) + 2).otherwise(0)).alias("prefix")), "line-classes")
     unstage(found, levels)
     return out
 
 
-def _parity(half: int) -> Column:
-    """The parity of the tokens whose number has a bit, or hasn't."""
+def _parity() -> Column:
+    """The parity of all tokens."""
     bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: F.when(v.bitwiseAND(F.lit(64)) == 64 * half, acc.bitwiseXOR(bit(v))).otherwise(acc))
+    return F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
 
 
-def _apart(p: str, q: str, of_p: str, of_q: str) -> Column:
-    """The bits in which two classes' parities differ."""
-    return F.bit_count(F.col(p).bitwiseXOR(F.col(of_p))) + F.bit_count(F.col(q).bitwiseXOR(F.col(of_q)))
+def _odd_parity() -> Column:
+    """The parity of the tokens whose number has bit 6, of lines of more than WIDE tokens; 0 of others."""
+    bit = lambda v: F.call_function("shiftleft", F.shiftright(v, 6).bitwiseAND(F.lit(1).cast("long")), v.bitwiseAND(F.lit(63)).cast("int"))
+    return F.when(F.size("all") > WIDE, F.aggregate("all", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))).otherwise(F.lit(0).cast("long"))
+
+
+def _apart(n_a: Column, p_a: str, q_a: str, n_b: Column, p_b: str, q_b: str) -> Column:
+    """The bits in which two classes' parities differ: of two wide lines in the halves of their tokens, else in all tokens."""
+    every, odd = F.col(p_a).bitwiseXOR(F.col(p_b)), F.col(q_a).bitwiseXOR(F.col(q_b))
+    return F.when((n_a > WIDE) & (n_b > WIDE), F.bit_count(every.bitwiseXOR(odd)) + F.bit_count(odd)).otherwise(F.bit_count(every))
 
 
 def heads(found: DataFrame) -> DataFrame:
-    """One row per class of lines with tokens: the place of its first line, n, prefix and parities."""
-    first = found.filter("n > 0").groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE, "n", "p", "q", "ends", "prefix")).alias("first"))
-    return first.select("k1", "k2", "first.*")
+    """One row per class of lines with tokens: the place of its first line, n, prefix and parities.
+
+    A line with a token that no other line has is a class of its own; the others' first lines are found by a window
+    that Spark limits to one row a class before it shuffles.
+    """
+    some = found.filter("n > 0")
+    alone = _lonely(F.get("prefix", F.lit(0)))
+    copy = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*_PLACE))
+    return some.filter(alone).unionByName(some.filter(~alone).withColumn("copy", copy).filter("copy = 1").drop("copy"))
+
+
+def _lonely(token: Column) -> Column:
+    """Whether no other line has the token."""
+    return F.shiftright(token, _HASH_BITS) <= _ALONE
 
 
 def entries(first: DataFrame) -> DataFrame:
     """A row per class and prefix token, (g, k1, n, at, few, p, ...): g names the token.
 
     few: whether the place is in the shorter prefix (short) that a class needs as the smaller of a pair. Classes of
-    fewer tokens than THRESHOLD's first number match no other.
+    fewer tokens than THRESHOLD's first number match no other. Tokens that no other line has are left out.
     """
     up, down = THRESHOLD
     some = first.filter(F.col("n") >= up).withColumn("reach", F.col("n") - _least(F.col("n")) + 1)
     some = some.withColumn("short", (F.col("n") - F.expr(f"(n * {2 * up} + {up + down - 1}) div {up + down}") + 1).cast("int"))
-    rows = some.select("k1", "n", "p", "q", "settled", "reach", "short", "prefix", F.struct(*_PLACE).alias("place"), F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token"))
+    rows = some.select("k1", "n", "p", "q", "settled", "reach", "short", "prefix", F.struct(*_PLACE).alias("place"), F.posexplode(F.slice("prefix", F.lit(1), F.col("reach"))).alias("at", "token")).filter(~_lonely(F.col("token")))
     return rows.select(F.xxhash64("token").alias("g"), "k1", "n", "at", (F.col("at") < F.col("short")).alias("few"), "p", "q", "settled", "reach", "short", "prefix", "place")
 
 
@@ -183,7 +205,7 @@ def _possible(smaller: bool) -> Column:
     at_a, at_b = (F.col(f"s_{x}").bitwiseAND(low) for x in "ab")
     near = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
     enough = F.least(n_a - at_a, n_b - at_b) * (up + down) >= (n_a + n_b) * up
-    apart = _apart("p_a", "q_a", "p_b", "q_b")
+    apart = _apart(n_a, "p_a", "q_a", n_b, "p_b", "q_b")
     alike = apart * (up + down) <= (n_a + n_b) * (down - up)
     flag = lambda x, bit: F.shiftright(f"s_{x}", bit).bitwiseAND(F.lit(1)) == 1
     order = flag("a", 60) & ~(flag("a", 61) & flag("b", 61)) & ((n_a < n_b) | ((n_a == n_b) & (F.col("k_a") < F.col("k_b")))) if smaller else F.col("k_a") != F.col("k_b")
@@ -194,7 +216,7 @@ def _gap() -> Column:
     """How close a pair of _side rows may be by their parities, less what a match allows: the closest pairs have the least."""
     up, down = THRESHOLD
     n_a, n_b = (F.shiftright(f"s_{x}", 30).bitwiseAND(F.lit((1 << 30) - 1)) for x in "ab")
-    return (_apart("p_a", "q_a", "p_b", "q_b") * (up + down) - (n_a + n_b) * (down - up)).cast("int").alias("gap")
+    return (_apart(n_a, "p_a", "q_a", n_b, "p_b", "q_b") * (up + down) - (n_a + n_b) * (down - up)).cast("int").alias("gap")
 
 
 def pairs(some: DataFrame, every: DataFrame, after: str | None = None) -> DataFrame:
@@ -236,7 +258,7 @@ class Words:
         return found
 
 
-def verified(words: Words, found: DataFrame, settled: DataFrame) -> DataFrame:
+def verified(words: Words, found: DataFrame, settled: DataFrame | None) -> DataFrame:
     """Of candidate pairs (k_a, k_b, gap) the later classes, settled ones aside, of those that match.
 
     Each class is compared with the closest candidate before it first; only where that doesn't match with the
@@ -247,7 +269,8 @@ def verified(words: Words, found: DataFrame, settled: DataFrame) -> DataFrame:
     ends = found.distinct().join(a, "k_a").join(b, "k_b")
     pick = lambda x, y: F.when(F.col("at_a") < F.col("at_b"), F.col(x)).otherwise(F.col(y))
     edges = ends.select(pick("k_b", "k_a").alias("k"), F.least("at_a", "at_b").alias("at"), pick("k_a", "k_b").alias("e"), "gap")
-    edges = edges.join(_hint(settled)(settled.withColumnRenamed("k1", "k")), "k", "left_anti")
+    if settled is not None:
+        edges = edges.join(_hint(settled)(settled.withColumnRenamed("k1", "k")), "k", "left_anti")
     edges = staged(edges, "line-candidates")
     least = edges.groupBy("k").agg(F.min(F.struct("gap", "at", "e")).alias("least")).select("k", "least.e")
     least = staged(least, "line-closest")
@@ -288,14 +311,15 @@ def _thinned(words: Words, crowd: DataFrame, rounds: int, settled: DataFrame) ->
     return settled
 
 
-def _settled(words: Words) -> DataFrame:
-    """The classes (k1) that match the earliest class with the same two rarest tokens, or with the same ends."""
+def _settled(words: Words, members: DataFrame) -> DataFrame:
+    """Of the classes (k1) in members those that match the earliest of them with the same two rarest tokens, or with the same ends."""
     up, down = THRESHOLD
-    rows = words.first.filter(F.col("n") >= up)
+    rows = words.first.join(_hint(members)(members), "k1", "left_semi")
     keys = F.explode(F.array(F.xxhash64(F.get("prefix", F.lit(0)), F.get("prefix", F.lit(1))), "ends"))
     rows = rows.select(keys.alias("g"), "k1", "n", "p", "q", F.struct(*_PLACE).alias("place"))
     hubs = rows.groupBy("g").agg(F.min_by(F.struct("k1", "n", "p", "q"), "place").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("g", "hub")
-    n, apart = F.col("hub.n"), _apart("p", "q", "hub.p", "hub.q")
+    n = F.col("hub.n")
+    apart = _apart(F.col("n"), "p", "q", n, "hub.p", "hub.q")
     near = (n * down >= F.col("n") * up) & (F.col("n") * down >= n * up) & (apart * (up + down) <= (n + F.col("n")) * (down - up))
     edges = staged(rows.join(hubs, "g").filter((F.col("k1") != F.col("hub.k1")) & near).select(F.col("k1").alias("k"), F.col("hub.k1").alias("e")).distinct(), "line-hubs")
     found = words.same(edges)
@@ -306,16 +330,20 @@ def _settled(words: Words) -> DataFrame:
 def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """The classes (k1) that an earlier class matches."""
     part = PART if large >= PART else 1
-    settled = _settled(words)
-    first = staged(words.first.join(settled.withColumn("settled", F.lit(True)), "k1", "left").withColumn("settled", F.coalesce("settled", F.lit(False))), "line-marked")
+    first = words.first.withColumn("settled", F.lit(False))
     rows = entries(first)
     crowded = _large(rows, large, part)
-    still = hot = None
+    still = hot = settled = None
     if crowded is not None:
         still = _large(_paired(rows, crowded), large, part)
     if still is not None:
+        members = staged(_paired(rows, crowded).join(still, "g", "left_semi").select("k1").distinct(), "line-members")
+        settled = _settled(words, members)
+        first = staged(words.first.join(_hint(settled)(settled.withColumn("settled", F.lit(True))), "k1", "left").withColumn("settled", F.coalesce("settled", F.lit(False))), "line-marked")
+        rows = entries(first)
         hot = staged(_paired(rows, crowded, "place").join(still, "g"), "line-crowd")
         settled = _thinned(words, hot, rounds, settled)
+        unstage(members)
     out = []
     # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
     for k in range(PASSES):
@@ -325,34 +353,32 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
         left = hot.join(_hint(settled)(settled), "k1", "left_anti")
         # An unsettled class may be the smaller of a pair or the larger; the other one comes before it.
         out.append(staged(pairs(left, hot, "a").unionByName(pairs(hot, left, "b")).distinct(), "line-pairs"))
-        unstage(hot)
+        unstage(hot, first)
     more = verified(words, reduce(DataFrame.unionByName, out), settled)
-    unstage(*out, first)
-    return more.unionByName(settled).distinct()
+    unstage(*out)
+    return more if settled is None else more.unionByName(settled).distinct()
 
 
 def removals(documents: DataFrame) -> DataFrame:
     """One row per different document (doc_id, key): copies, n_lines, removed and filled, arrays of line numbers.
 
-    removed: lines that an earlier line matches. filled: all lines with tokens. Each of the copies after the
-    first loses the filled ones.
+    removed: lines that an earlier line matches, which are all with tokens but the first ones of classes that no
+    earlier class matches. filled: all lines with tokens. Each of the copies after the first loses the filled ones.
     """
     every = classes(documents)
     first = staged(heads(every), "line-heads")
-    found = staged(every.drop("prefix", "p", "q", "ends"), "line-places")
+    found = staged(every.select(*_PLACE, (F.col("n") > 0).alias("full")), "line-places")
     unstage(every)
-    matched = staged(later(Words(documents, first)), "line-later").withColumn("later", F.lit(True))
-    known = first.select("k1", "k2", F.struct(*_ID, "line_no").alias("at")).join(matched, "k1", "left")
-    lines = found.select(*_ID, "line_no", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
-    gone = (F.col("n") > 0) & (F.coalesce("later", F.lit(False)) | ~F.col("at").eqNullSafe(F.struct(*_ID, "line_no")))
-    per = lines.groupBy(*_ID).agg(
-        F.count_if(F.col("line_no") == 0).alias("copies"),
-        F.count("*").alias("rows"),
-        F.collect_set(F.when(gone, F.col("line_no"))).alias("removed"),
-        F.collect_set(F.when(F.col("n") > 0, F.col("line_no"))).alias("filled"),
+    matched = staged(later(Words(documents, first)), "line-later")
+    stay = first.join(_hint(matched)(matched), "k1", "left_anti").select(*_PLACE, F.lit(False).alias("full"), F.lit(True).alias("stays"))
+    per = found.withColumn("stays", F.lit(False)).unionByName(stay).groupBy(*_ID).agg(
+        F.count_if((F.col("line_no") == 0) & ~F.col("stays")).alias("copies"),
+        F.count_if(~F.col("stays")).alias("rows"),
+        F.collect_set(F.when(F.col("full"), F.col("line_no"))).alias("filled"),
+        F.collect_set(F.when(F.col("stays"), F.col("line_no"))).alias("kept"),
     )
-    out = per.select(*_ID, "copies", F.expr("rows div copies").alias("n_lines"), F.array_sort("removed").alias("removed"), F.array_sort("filled").alias("filled"))
-    out = staged(out, "line-removals")
+    gone = F.sort_array(F.array_except("filled", "kept")).alias("removed")
+    out = staged(per.select(*_ID, "copies", F.expr("rows div copies").alias("n_lines"), gone, F.sort_array("filled").alias("filled")), "line-removals")
     unstage(found, first)
     return out
 

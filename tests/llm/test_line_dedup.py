@@ -84,3 +84,43 @@ def test_near_copies_meet_few_others(spark, tmp_path, monkeypatch):
     assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
     # All pairs are 79 800.
     assert written["line-candidates"] < 20 * len(docs)
+
+
+def counting(monkeypatch):
+    staged, written = ld.staged, {}
+
+    def counted(df, name, keep=False):
+        out = staged(df, name, keep)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ld, "staged", counted)
+    return written
+
+
+@pytest.mark.parametrize("large", [256, 0])
+def test_wide_lines_equal_brute_force(spark, tmp_path, monkeypatch, large):
+    """Lines on both sides of WIDE, with as many words changed as a match allows or some more or less."""
+    monkeypatch.setattr(ld.later, "__defaults__", (large, 2))
+    rnd, words = random.Random(7), [f"w{k}" for k in range(300)]
+    lines = []
+    for n in [50, 58, 62, 64, 65, 66, 70, 90, 140] * 3:
+        base = rnd.sample(words, n)
+        lines.append(base)
+        for less, more in [(0, n // 4), (n // 5, 0), (n // 9, n // 9), (n // 10, n // 9), (n // 7, n // 8)]:
+            lines.append(rnd.sample(base, n - less) + rnd.sample([w for w in words if w not in base], more))
+    docs = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    rnd.shuffle(docs)
+    write(spark, tmp_path, docs)
+    assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
+
+
+def test_tokens_of_one_line_are_not_entered(spark, tmp_path, monkeypatch):
+    """Of lines that share frequent words alone, rare ones pair nothing; nothing is settled first where no group is large."""
+    written = counting(monkeypatch)
+    docs = [(i, " ".join(["the", "of", *[f"own{i}x{k}" for k in range(20)]])) for i in range(50)] + [(60, "a b c d e f g h i j"), (61, "a b c d e f g h i k")]
+    write(spark, tmp_path, docs)
+    first = ld.heads(ld.classes(spark.read.parquet(f"{tmp_path}/documents.parquet"))).withColumn("settled", ld.F.lit(False))
+    assert {r.k1 for r in ld.entries(first).select("k1").distinct().collect()} <= {r.k1 for r in first.filter("doc_id >= 60").collect()}
+    assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
+    assert not {"line-hubs", "line-marked"} & set(written)
