@@ -37,8 +37,9 @@ from lodestone.llm.common import staged, table, tidy, unstage, whole
 THRESHOLD = (4, 5)
 _BITS, _LOW = 22, 11
 BUCKETS = 1 << _BITS
-#: Lines of more tokens have parities of two halves of them; 64 bits tell fewer apart well enough.
-WIDE = 64
+#: Lines of more tokens have parities of two halves of them; 64 bits tell fewer apart well enough (lines of 96 tokens
+#: match if 21 are in one of them alone, and of unrelated lines' bits 32 differ, 21 or fewer in one of 200 pairs).
+WIDE = 96
 #: A token's number has its bucket's class above so many bits of its hash.
 _HASH_BITS = 57
 #: The class of buckets that one line's token fell into: no other line has it.
@@ -55,8 +56,13 @@ _ID = ["doc_id", "key"]
 _PLACE = [*_ID, "line_no"]
 
 
+def _spaced(text: Column) -> Column:
+    """The text with spaces for all other white space but line ends: splitting at one character takes no pattern."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\f\r", text)
+
+
 def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), r"[\x20\t\x0b\f\r]+"), "")
+    return F.array_remove(F.split(F.lower(_spaced(line)), " "), "")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -66,8 +72,8 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def hashed(documents: DataFrame) -> DataFrame:
     """One row per line: doc_id, key, line_no and h, the hashes of its tokens."""
-    text = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\f\r", F.coalesce("text", F.lit("")))
-    rows = documents.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(F.lower(text), "\n")).alias("line_no", "line"))
+    text = F.lower(_spaced(F.coalesce("text", F.lit(""))))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     words = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))  # noqa: PLW0108
     return rows.select(*_PLACE, F.array_except(words, F.array(F.xxhash64(F.lit("")))).alias("h"))
 
@@ -79,7 +85,7 @@ def _bucket(h: Column) -> Column:
 def rarity(found: DataFrame) -> DataFrame:
     """One row with one array: the class of each bucket, twice the binary logarithm of the number of lines with its tokens."""
     every = found.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
-    counted = found.select(F.explode("h").alias("h")).groupBy(_bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n"))
+    counted = found.select(F.explode("h").alias("h")).select(_bucket(F.col("h")).alias("b"), F.lit(1).cast("long").alias("n"))
     level = F.least(F.floor(2 * F.log2(F.sum("n") + 1)), F.lit(63)).cast("tinyint")
     levels = counted.unionByName(every).groupBy("b").agg(level.alias("level"))
     rows = levels.groupBy(F.shiftright("b", _LOW).alias("high")).agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "level"))), lambda x: x["level"]).alias("part"))
@@ -90,7 +96,9 @@ def _ordered(h: Column, levels: Column) -> Column:
     """The tokens as numbers, one for each token's hash, rare ones first."""
 
     def number(h: Column, r: Column) -> Column:
-        return F.shiftleft(F.get(r, F.shiftrightunsigned(h, 64 - _BITS)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        found = F.shiftleft(F.get(r, F.shiftrightunsigned(h, 64 - _BITS)).cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+        # None is null; where Spark knows that, it sorts longs as they are.
+        return F.coalesce(found, F.lit(0).cast("long"))
 
     return F.sort_array(F.transform(F.array(levels), lambda r: F.transform(h, lambda x: number(x, r)))[0])
 
@@ -327,6 +335,12 @@ def _settled(words: Words, members: DataFrame) -> DataFrame:
     return found
 
 
+def _marked(rows: DataFrame, settled: DataFrame, few: bool) -> DataFrame:
+    """rows with what settled (k1) says in their column of that name; few: settled is broadcast."""
+    flags = settled.withColumn("mark", F.lit(True))
+    return rows.join(F.broadcast(flags) if few else flags, "k1", "left").withColumn("settled", F.col("mark").isNotNull()).drop("mark")
+
+
 def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """The classes (k1) that an earlier class matches."""
     part = PART if large >= PART else 1
@@ -337,13 +351,14 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     if crowded is not None:
         still = _large(_paired(rows, crowded), large, part)
     if still is not None:
-        members = staged(_paired(rows, crowded).join(still, "g", "left_semi").select("k1").distinct(), "line-members")
+        crowd = staged(_paired(rows, crowded, "place").join(still, "g"), "line-crowd")
+        members = staged(crowd.select("k1").distinct(), "line-members")
         settled = _settled(words, members)
-        first = staged(words.first.join(_hint(settled)(settled.withColumn("settled", F.lit(True))), "k1", "left").withColumn("settled", F.coalesce("settled", F.lit(False))), "line-marked")
-        rows = entries(first)
-        hot = staged(_paired(rows, crowded, "place").join(still, "g"), "line-crowd")
+        few = settled.count() <= BROADCAST_ROWS
+        hot, first = staged(_marked(crowd, settled, few), "line-crowd"), _marked(first, settled, few)
+        rows = entries(first if few else staged(first, "line-marked"))
         settled = _thinned(words, hot, rounds, settled)
-        unstage(members)
+        unstage(members, crowd)
     out = []
     # In PASSES over as many shares of the groups: no more than one share's rows are in shuffle files at once.
     for k in range(PASSES):
@@ -353,7 +368,7 @@ def later(words: Words, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
         left = hot.join(_hint(settled)(settled), "k1", "left_anti")
         # An unsettled class may be the smaller of a pair or the larger; the other one comes before it.
         out.append(staged(pairs(left, hot, "a").unionByName(pairs(hot, left, "b")).distinct(), "line-pairs"))
-        unstage(hot, first)
+        unstage(hot)
     more = verified(words, reduce(DataFrame.unionByName, out), settled)
     unstage(*out)
     return more if settled is None else more.unionByName(settled).distinct()

@@ -124,3 +124,16 @@ def test_tokens_of_one_line_are_not_entered(spark, tmp_path, monkeypatch):
     assert {r.k1 for r in ld.entries(first).select("k1").distinct().collect()} <= {r.k1 for r in first.filter("doc_id >= 60").collect()}
     assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
     assert not {"line-hubs", "line-marked"} & set(written)
+
+
+def test_large_groups_are_entered_once(spark, tmp_path, monkeypatch):
+    """Entries of large groups are made once, classes aren't written again to mark the settled ones, and tokens are sorted as longs."""
+    written = counting(monkeypatch)
+    monkeypatch.setattr(ld.later, "__defaults__", (4, 2))
+    docs = sample()
+    write(spark, tmp_path, docs)
+    assert sorted((tuple(r) for r in ld.op5_line_dedup(spark, str(tmp_path)).collect()), key=str) == plain(docs)
+    assert "line-crowd" in written and "line-marked" not in written
+    found = ld.hashed(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    levels = spark.range(1).select(ld.F.array(ld.F.lit(3).cast("tinyint")).alias("levels"))
+    assert not found.crossJoin(levels).select(ld._ordered(ld.F.col("h"), ld.F.col("levels")).alias("all")).schema["all"].dataType.containsNull
